@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from lexmill.llm.near_dedup import op3_minhash_forest
+from lexmill.llm.sharding import op4_external_shuffle
+from lexmill.llm.source_mix import OP8_SQL, op8_golden_mix
 
 QUERIES = {
     "op3_minhash_forest": op3_minhash_forest,
+    "op4_external_shuffle": op4_external_shuffle,
+    "op8_golden_mix": op8_golden_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_golden_mix": OP8_SQL}
