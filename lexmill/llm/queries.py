@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from lexmill.llm.near_dedup import op3_minhash_forest
+from lexmill.llm.pii import op7_anchor_pii
+from lexmill.llm.secrets import op2_credential_links
 from lexmill.llm.sharding import op4_external_shuffle
 from lexmill.llm.source_mix import OP8_SQL, op8_golden_mix
 
 QUERIES = {
+    "op2_credential_links": op2_credential_links,
     "op3_minhash_forest": op3_minhash_forest,
     "op4_external_shuffle": op4_external_shuffle,
+    "op7_anchor_pii": op7_anchor_pii,
     "op8_golden_mix": op8_golden_mix,
 }
 
