@@ -6,6 +6,7 @@ from lexmill.llm.fingerprints import op10_quartile_digest
 from lexmill.llm.near_dedup import op3_minhash_forest
 from lexmill.llm.pii import op7_anchor_pii
 from lexmill.llm.secrets import op2_credential_links
+from lexmill.llm.sentencepieces import op5_tokenizers_backend
 from lexmill.llm.sharding import op4_external_shuffle
 from lexmill.llm.source_mix import OP8_SQL, op8_golden_mix
 from lexmill.llm.tiff import op1_tiff_pages
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_credential_links": op2_credential_links,
     "op3_minhash_forest": op3_minhash_forest,
     "op4_external_shuffle": op4_external_shuffle,
+    "op5_tokenizers_backend": op5_tokenizers_backend,
     "op7_anchor_pii": op7_anchor_pii,
     "op8_golden_mix": op8_golden_mix,
     "op10_quartile_digest": op10_quartile_digest,
