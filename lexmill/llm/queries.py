@@ -10,6 +10,7 @@ from lexmill.llm.sentencepieces import op5_tokenizers_backend
 from lexmill.llm.sharding import op4_external_shuffle
 from lexmill.llm.source_mix import OP8_SQL, op8_golden_mix
 from lexmill.llm.tiff import op1_tiff_pages
+from lexmill.llm.toxicity import op6_conv_toxicity
 
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_minhash_forest": op3_minhash_forest,
     "op4_external_shuffle": op4_external_shuffle,
     "op5_tokenizers_backend": op5_tokenizers_backend,
+    "op6_conv_toxicity": op6_conv_toxicity,
     "op7_anchor_pii": op7_anchor_pii,
     "op8_golden_mix": op8_golden_mix,
     "op10_quartile_digest": op10_quartile_digest,
