@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexmill.llm.fingerprints import op10_quartile_digest
 from lexmill.llm.near_dedup import op3_minhash_forest
 from lexmill.llm.pii import op7_anchor_pii
+from lexmill.llm.quality import op9_nonneg_pu_quality
 from lexmill.llm.secrets import op2_credential_links
 from lexmill.llm.sentencepieces import op5_tokenizers_backend
 from lexmill.llm.sharding import op4_external_shuffle
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_conv_toxicity": op6_conv_toxicity,
     "op7_anchor_pii": op7_anchor_pii,
     "op8_golden_mix": op8_golden_mix,
+    "op9_nonneg_pu_quality": op9_nonneg_pu_quality,
     "op10_quartile_digest": op10_quartile_digest,
 }
 
