@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import cut
@@ -16,11 +16,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     logarithm of the longest path; each is written to the shared folder.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = cut(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now, state = _written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if state == before or not state["n"]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
@@ -30,4 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(root.withColumnRenamed("m", "v")).distinct(), "edges")
+        now, state = _written(small.unionByName(root.withColumnRenamed("m", "v")).distinct())
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The table written and read again, with its count and checksum observed on the way."""
+    seen = Observation()
+    counted = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    return cut(edges.observe(seen, *counted), "edges"), seen.get

@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _OWN: list[str] = []
 
 
@@ -37,3 +39,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Exchange whole texts with Python in batches of ``BATCH_BYTES`` in this session.
+
+    The usual limit is 64 MB a task, which both the executor's Arrow buffers and
+    its Python workers hold several times over. A smaller setting is left alone.
+    """
+    if int(str(spark.conf.get(_BATCH_SETTING, "67108864")).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return spark

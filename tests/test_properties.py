@@ -1,0 +1,174 @@
+"""Invariants that fail silently if broken."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.functions import text as tx
+from lexmill.functions import vec
+from lexmill.operators import checks, drift, experiments, metrics, neighbours, openset, ranking, similarity, splits
+from lexmill.operators.components import connected_components
+from lexmill.sources import config, tables
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_split_and_folds_partition_the_groups(spark):
+    rows = frame(spark, [(i, "ab"[i % 3 == 0]) for i in range(200)], "id long, label string")
+    split = splits.stratified_split(rows, "id", "label")
+    assert split.count() == 200 and {r["split"] for r in split.select("split").distinct().collect()} == {"train", "val", "test"}
+    shares = {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert abs(shares["a", "train"] / 133 - 0.7) < 0.01
+    folds = splits.group_folds(rows, "id", "label")
+    sizes = [r["count"] for r in folds.where("label = 'a'").groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
+    assert checks.same_keys(split, folds, on="id").first()["in_some"] == 0
+
+
+def test_duplicate_groups_never_cross_splits(spark, sf_dir):
+    docs = tables.load(spark, sf_dir, "documents")
+    groups = similarity.duplicate_groups(docs, "doc_id", 0.6)
+    label = groups.join(docs.select(F.col("doc_id").alias("group"), "lang"), "group").select("group", "lang").distinct()
+    split = splits.stratified_split(label, "group", "lang").select("group", "split")
+    assert checks.mixed_groups(groups.join(split, "group"), "group", "split").count() == 0
+
+
+def test_label_ids_are_sorted(spark):
+    got = ranking.dense_ids(frame(spark, [("b",), ("a",), ("c",), ("a",)], "label string"), "label").collect()
+    assert {r["label"]: r["id"] for r in got} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_parent_loss_is_the_log_of_the_children(spark):
+    rng = np.random.default_rng(1)
+    rows = frame(spark, [(rng.normal(size=4).tolist(),) for _ in range(20)], "z array<double>")
+    got = rows.select("z", openset.group_cross_entropy(F.col("z"), F.array(F.lit(0), F.lit(1), F.lit(2))).alias("l")).collect()
+    for r in got:
+        p = np.exp(r["z"]) / np.exp(r["z"]).sum()
+        assert math.isclose(r["l"], -math.log(p[:3].sum()), rel_tol=1e-9)
+
+
+def test_uniform_logits_minimise_the_outlier_loss(spark):
+    got = frame(spark, [([0.0] * 5,), ([3.0, 0.0, 0.0, 0.0, 0.0],)], "z array<double>").select(openset.uniform_term(F.col("z")).alias("l")).collect()
+    assert math.isclose(got[0]["l"], math.log(5)) and got[1]["l"] > got[0]["l"]
+
+
+def test_confident_known_rows_give_an_auroc_of_one(spark):
+    rows = frame(spark, [([8.0, 0.0, 0.0], 0)] * 50 + [([0.1, 0.0, 0.05], 1)] * 50, "z array<double>, u int")
+    scored = rows.select(openset.msp(F.col("z")).alias("s"), "u")
+    assert metrics.auroc(scored, "s", "u").first()["auroc"] == 1.0
+
+
+@pytest.mark.parametrize("n", [20, 76, 77])
+def test_thresholds_keep_at_least_the_target(spark, n):
+    values = np.random.default_rng(n).random(n)
+    rows = frame(spark, [(float(v),) for v in values], "s double")
+    low, high = metrics.threshold_lower(rows, "s", 0.95).first()["tau"], metrics.threshold_higher(rows, "s", 0.95).first()["tau"]
+    assert (values >= low).mean() >= 0.95 and (values <= high).mean() >= 0.95
+    assert low == np.quantile(values, 0.05, method="lower") and high == np.quantile(values, 0.95, method="higher")
+
+
+def test_swap_changes_the_prefix_only(spark):
+    rows = frame(spark, [(1, "please check PO-12345 and the rest now"), (2, "nothing here"), (3, "wordPO-123 is PO-1")], "id long, text string")
+    got = experiments.swapped(rows, "text", ["id"]).collect()
+    assert {r["id"] for r in got} == {1} and len(got) == 4
+    assert all(r["probe"].replace(f"{r['swapped_to']}-12345", "PO-12345") == "please check PO-12345 and the rest now" for r in got)
+
+
+def test_average_precision_and_ks_by_hand(spark):
+    rows = frame(spark, [(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 0)], "s double, y int")
+    assert math.isclose(metrics.average_precision(rows, "s", "y").first()[0], 0.5 * 1 + 0.5 * 0.5)
+    assert math.isclose(metrics.ks_statistic(rows, "s", "y").first()[0], 0.5)
+    assert math.isclose(metrics.auroc(rows, "s", "y").first()[0], (2 + 0.5) / 4)
+
+
+def test_bins_are_closed_where_they_should_be(spark):
+    rows = frame(spark, [(0.1,), (0.2,), (1.0,), (0.0,)], "x double")
+    assert [r[0] for r in rows.select(drift.bin_of(F.col("x"))).collect()] == [2, 3, 10, 1]
+    table = metrics.reliability(rows.withColumn("ok", F.lit(1)), "x", "ok").collect()
+    assert {r["bin"]: r["n"] for r in table} == {1: 2, 2: 1, 10: 1}
+
+
+def test_exact_binomial(spark):
+    got = drift.binomial_p(spark, 8, 10, 0.5).first()
+    assert math.isclose(got["greater"], 56 / 1024, rel_tol=1e-9) and math.isclose(got["two_sided"], 112 / 1024, rel_tol=1e-9)
+
+
+def test_permutation_p_can_reach_the_corrected_level():
+    rng = np.random.default_rng(0)
+    _, p = drift.mmd_permutation_p(rng.normal(0, 1, (30, 4)), rng.normal(3, 1, (30, 4)))
+    assert p < drift.alert_level()
+    assert drift.chi_square_p([50, 50], [0.5, 0.5]) > 0.9 and drift.ks_p(0.5, 200, 200) < 1e-6
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(200, 200), (301, 300), (300, 301)]
+    got = {r["node"]: r["component"] for r in connected_components(frame(spark, edges, "a long, b long")).collect()}
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[301] == 300 and 200 not in got
+    assert connected_components(frame(spark, [], "a long, b long")).count() == 0
+
+
+def test_neighbours_across_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(50, 8))
+    rows = frame(spark, [(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(rows, rows, 3, block=7).collect()
+    sims = v @ v.T
+    np.fill_diagonal(sims, -np.inf)
+    for i in range(50):
+        assert [r["near"] for r in sorted((r for r in got if r["query"] == i), key=lambda r: r["place"])] == list(np.argsort(-sims[i])[:3])
+    assert neighbours.pairs_above(rows, 5.0, block=7).count() == int((np.triu(v @ v.T, 1) >= 5).sum())
+
+
+def test_precision_matrix_is_well_formed(spark):
+    rng = np.random.default_rng(4)
+    rows = frame(spark, [(i, "ab"[i % 2], rng.normal(i % 2, 1, 3).tolist()) for i in range(60)], "id long, label string, v array<double>")
+    means, precision, shrink = openset.pooled_shrunk_precision(rows, "label", "v")
+    assert set(means) == {"a", "b"} and 0 <= shrink <= 1 and np.all(np.linalg.eigvalsh(precision) > 0)
+    assert openset.mahalanobis(rows, "id", "v", means, precision).where("distance < 0").count() == 0
+
+
+def test_one_to_one_join_refuses_repeats(spark):
+    left, right = frame(spark, [(1,), (2,)], "k long"), frame(spark, [(1, "x"), (1, "y")], "k long, v string")
+    with pytest.raises(Exception, match="repeated k"):
+        checks.one_to_one(left, right, "k").collect()
+
+
+def test_text_functions(spark):
+    row = frame(spark, [("  Ein  Straße\tx ",)], "t string").select(tx.strip(F.col("t")).alias("s"), tx.n_words(F.col("t")).alias("n"), tx.n_alpha_words(F.col("t")).alias("a"), tx.windows(tx.words_of(F.col("t")), 9).alias("w")).first()
+    assert row["s"] == "Ein  Straße\tx" and row["n"] == 3 and row["a"] == 2 and row["w"] == []
+    top = frame(spark, [(["a", "b", "c"], [0.2, 0.5, 0.5])], "l array<string>, p array<double>").select(vec.top_k(F.col("l"), F.col("p"), 2).alias("t"), vec.argmax(F.col("p")).alias("m")).first()
+    assert [t["label"] for t in top["t"]] == ["b", "c"] and top["m"] == 1
+
+
+def test_sources(spark, tmp_path):
+    rows = frame(spark, [("1", "a, \"b\"\nc", "x")], tables.MESSAGES)
+    tables.write_csv(rows, f"{tmp_path}/m")
+    assert tables.read_optional(spark, f"{tmp_path}/none", tables.FOLDS).columns == ["id", "fold"]
+    with pytest.raises(FileNotFoundError):
+        tables.read_optional(spark, f"{tmp_path}/none", tables.FOLDS, required=True)
+    tables.append_json(frame(spark, [("m", "open", 3, "1", "old", 1, 1, 0.1)], tables.ANSWERS).coalesce(1), f"{tmp_path}/log")
+    import time
+
+    time.sleep(1.1)
+    tables.append_json(frame(spark, [("m", "open", 3, "1", "new", 1, 1, 0.1)], tables.ANSWERS).coalesce(1), f"{tmp_path}/log")
+    assert [r["pred"] for r in tables.read_answers(spark, f"{tmp_path}/log").collect()] == ["new"]
+    (tmp_path / "runs").mkdir()
+    for name in ("cv-a-lr1", "cv-b-hier-lr1"):
+        (tmp_path / "runs" / f"{name}.json").write_text('{"best": {"f1": 0.5}}')
+    got = tables.read_json_documents(spark, f"{tmp_path}/runs", "best struct<f1:double>", "cv-*.json", ("-hier",)).collect()
+    assert [(r["stem"], r["best"]["f1"]) for r in got] == [("cv-a-lr1", 0.5)]
+    assert "| id |" in tables.markdown(rows.select("id"))
+
+
+def test_settings():
+    lines = ["lr: 5e-5  # step", "names: [a, b]", "flag: true", "", "# note", "n: 3"]
+    assert config.read_settings(lines, ["n=4"]) == {"lr": 5e-5, "names": ["a", "b"], "flag": True, "n": 4}
+    with pytest.raises(KeyError):
+        config.read_settings(lines, ["other=1"])
+    assert config.read_environment(["# x", "LEXMILL_TEST_KEY = v"]) == {"LEXMILL_TEST_KEY": "v"}
