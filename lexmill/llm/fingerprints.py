@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import bounded_batches
+
 BUCKETS = 256
 #: What two unrelated digests differ by: a quarter step of 0 to 3 costs 0, 1, 2 or 6.
 STEP_COST = (0, 1, 2, 6)
@@ -86,6 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts])], names=["doc_id", "n_chars", "fingerprint"]
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
@@ -140,7 +143,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Ranges of ids are cut at ids that occur, so the row that follows a range is
     known beforehand: it is sent to both ranges and texts move once.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(i / n).cast("double") for i in range(1, n)]) if n > 1 else F.array().cast("array<double>")

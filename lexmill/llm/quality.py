@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._labels import drawn, fold, labels_of, texts_of
 from lexmill.llm._words import hash_words, text_slices
+from lexmill.sources.shared import bounded_batches
 
 MOST_POSITIVES = 4000
 MOST_UNLABELLED = 6000
@@ -184,7 +185,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     positives every score is 0.5. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    send = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))
+    send = bounded_batches(docs.sparkSession).sparkContext.broadcast(fit(rows, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = send.value

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.spans import Span, of_kinds, ordered, scan, written
+from lexmill.sources.shared import bounded_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "identifier", "secret", "endpoint", "credential")
@@ -144,6 +145,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns[at] = pa.array(edited, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    bounded_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
 

@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import bounded_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THREADS = 2
 BATCH_TEXTS = 256
 MARK = "▁"
 #: Words whose ids a worker remembers; then it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 150_000
 #: New words that are encoded as one line.
 LINE_WORDS = 2000
 
@@ -116,7 +118,7 @@ def build(model: Model):
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     if model.model_type == BPE:
-        inner = models.BPE(vocab=vocab, merges=_merges(model, vocab), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=50_000)
+        inner = models.BPE(vocab=vocab, merges=_merges(model, vocab), unk_token=model.pieces[model.unk_id][0], fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     elif model.model_type == UNIGRAM:
         inner = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unk_id, model.byte_fallback)
     else:
@@ -253,6 +255,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns = [part.column(0), pc.list_value_length(ids).cast(pa.int64()), ids, pa.array(trips), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns[: 4 + verify], names=["doc_id", "n_tokens", "token_ids", "round_trip", "parity"][: 4 + verify])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean" + (", parity boolean" if verify else ""))
 

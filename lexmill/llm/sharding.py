@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.sources.shared import cut
+from lexmill.sources.shared import bounded_batches, cut
 
 N_SHARDS = 24
 SEED = 41
@@ -72,6 +72,7 @@ def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if docs.isEmpty():
         return docs.select(F.struct("*").alias("record"), F.lit(0).alias("shard"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("slot"))
+    bounded_batches(docs.sparkSession)
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tie = F.xxhash64(F.lit(seed + 1), key, text)
     shard, fine = shard_of(key, n_shards, seed), F.pmod(tie, F.lit(FINE)).cast("int")

@@ -152,8 +152,9 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     A document without words takes no part in a mix and is left out, as is a row without id.
     """
     plan = mix_sources(docs, id_col, text_col, source_col).where("taken > 0")
-    copies = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.floor(F.sum("taken") / F.sum("size") + F.lit(0.5)).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(copies, docs[id_col] == copies["_id"]).withColumn("_n", F.explode(F.expr("sequence(1, _copies)"))).drop("_id", "_copies", "_n")
+    copies = plan.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + F.lit(0.5)).cast("int").alias("copies")).where("copies > 0")
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
+    return packed.join(copies, "doc_id").select("row", F.explode(F.expr("sequence(1, copies)")).alias("n")).select("row.*")
 
 
 def op8_golden_mix(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import bounded_batches
+
 SPAN = "struct<kind:string,start:int,end:int>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 Span = tuple[str, int, int]
@@ -30,6 +32,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, find: Callable[[str], list
                 columns.append(pa.array([edit(t, s) for t, s in zip(texts, found, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "spans", "edited"][: len(columns)])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, spans array<{SPAN}>" + (", edited string" if edit else ""))
 

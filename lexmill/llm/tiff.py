@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import bounded_batches
+
 # Fixed values of the format: tags, compressions, sizes of field types.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
@@ -175,10 +177,14 @@ def _decompress(data: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data)
     if compression in (DEFLATE, OLD_DEFLATE):
+        stream = zlib.decompressobj()
         try:
-            return zlib.decompressobj().decompress(data)
+            out = stream.decompress(data)
         except zlib.error as e:
             raise TiffError(str(e)) from e
+        if not stream.eof:
+            raise TiffError("deflate data is cut short")
+        return out
     if compression == PACKBITS:
         return unpack_bits(data)
     raise TiffError(f"compression {compression} is not supported")
@@ -191,7 +197,9 @@ def _compress(data: bytes, compression: int) -> bytes:
 def _undo(data: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
     """A strip or tile as rows of little-endian sample bytes."""
     per_row = (width * samples * bits + 7) // 8
-    data = data[: rows * per_row].ljust(rows * per_row, b"\0")
+    if len(data) < rows * per_row:
+        raise TiffError("a strip or tile is cut short")
+    data = data[: rows * per_row]
     if predictor == 3:
         if bits not in (16, 32, 64):
             raise TiffError("the floating-point predictor needs 16, 32 or 64 bits")
@@ -364,6 +372,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = pa.array([encode(p) for p, _ in padded], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in padded], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
