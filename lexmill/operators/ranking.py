@@ -10,7 +10,7 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """``n``, ``share`` and ``rank`` (largest first, ties by value) of each value."""
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
     every = Window.partitionBy(F.lit(1))
-    return counts.select(column, "n", (F.col("n").cast("double") / F.sum("n").over(every)).alias("share"), F.row_number().over(every.orderBy(F.col("n").desc(), column)).alias("rank"))
+    return counts.select(column, "n", (F.col("n").cast("double") / F.sum("n").over(every)).alias("share"), F.row_number().over(every.orderBy(F.col("n").desc(), column)).cast("long").alias("rank"))
 
 
 def later_copies(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -25,9 +25,10 @@ def later_copies(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
 
 def head_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
     """The first ``k`` rows of each group, numbered; the limit is applied before the shuffle."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    return numbered.withColumn(name, F.col(name).cast("long"))
 
 
 def dense_ids(rows: DataFrame, column: str, name: str = "id") -> DataFrame:
     """Distinct values in sorted order with numbers from 0."""
-    return rows.select(column).distinct().withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)) - 1)
+    return rows.select(column).distinct().withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)) - 1).cast("long"))

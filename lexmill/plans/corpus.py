@@ -40,9 +40,9 @@ def text_profile(spark, sf_dir):
     t = F.col("text")
     return load(spark, sf_dir, "documents").select(
         "doc_id",
-        F.length(t).alias("chars"),
-        tx.n_words(t).alias("words"),
-        F.regexp_count(t, F.lit(r"\p{L}{2,}")).alias("alpha_words"),
+        F.length(t).cast("long").alias("chars"),
+        tx.n_words(t).cast("long").alias("words"),
+        F.regexp_count(t, F.lit(r"\p{L}{2,}")).cast("long").alias("alpha_words"),
         t.rlike("^[a-z]").alias("lower_start"),
         t.rlike(r"(?i)(\||!!|[#$%&*]{3})").alias("noisy"),
     )
@@ -163,7 +163,7 @@ SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '[a-z]+-[0-9]{
 """)
 def row_id_mentions(spark, sf_dir):
     ids = F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+-[0-9]{3,}"), F.lit(0))))
-    return load(spark, sf_dir, "pages").select("page_id", ids.alias("n_ids"), (ids > 4).alias("leaks"))
+    return load(spark, sf_dir, "pages").select("page_id", ids.cast("long").alias("n_ids"), (ids > 4).alias("leaks"))
 
 
 @query("""

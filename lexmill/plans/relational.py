@@ -68,7 +68,7 @@ def set_ops(spark, sf_dir):
 
 @query("SELECT conv_id, turn, role, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
 def latest_per_key(spark, sf_dir):
-    return latest(load(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "turn", "role", F.length("text").alias("chars"))
+    return latest(load(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn"]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("chars"))
 
 
 @query("""SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS sum_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k,
@@ -102,7 +102,7 @@ def ordered_lookup(spark, sf_dir):
 JOIN (SELECT doc_id, source FROM documents WHERE doc_id % 20 < 14 AND lang = 'es') d ON t.src_id = d.doc_id""")
 def translated_copies_in_train(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    copies = docs.select(F.col("doc_id").alias("src_id"), F.explode(F.array(F.lit("xx"), F.lit("yy"))).alias("lang"), F.length("text").alias("chars"))
+    copies = docs.select(F.col("doc_id").alias("src_id"), F.explode(F.array(F.lit("xx"), F.lit("yy"))).alias("lang"), F.length("text").cast("long").alias("chars"))
     train = docs.where((F.col("doc_id") % 20 < 14) & (F.col("lang") == "es")).select("doc_id", "source")
     return copies.join(train, copies["src_id"] == train["doc_id"]).select("src_id", "lang", "source", "chars")
 
@@ -138,7 +138,7 @@ def aligned_fold_diff(spark, sf_dir):
     return a.join(b, "fold", "full_outer").select("fold", F.round(F.col("ma") - F.col("mb"), 6).alias("diff"))
 
 
-@query("SELECT lang, label, n, sum(n) OVER (PARTITION BY lang ORDER BY label) AS running FROM (SELECT lang, quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)")
+@query("SELECT lang, label, n, (sum(n) OVER (PARTITION BY lang ORDER BY label))::BIGINT AS running FROM (SELECT lang, quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)")
 def running_counts(spark, sf_dir):
     counts = load(spark, sf_dir, "documents").select("doc_id", "lang").join(load(spark, sf_dir, "labels"), "doc_id").groupBy("lang", F.col("quality").alias("label")).agg(F.count("*").alias("n"))
     return counts.withColumn("running", F.sum("n").over(Window.partitionBy("lang").orderBy("label")))

@@ -76,7 +76,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DE
 def knn_scores(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
     found = neighbours.nearest(rows.where(_TEST), rows.where(_BANK), 10)
-    return found.where("place in (1, 5, 10)").select(F.col("query").alias("vec_id"), F.col("place").alias("k"), F.round("sim", 6).alias("sim"))
+    return found.where("place in (1, 5, 10)").select(F.col("query").alias("vec_id"), F.col("place").cast("long").alias("k"), F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {_E}, s AS (SELECT q.vec_id, {_dot("q.v", "b.v")} AS sim, b.vec_id AS near, b.label AS near_label FROM e q CROSS JOIN (SELECT * FROM e WHERE {_BANK}) b WHERE q.vec_id <> b.vec_id),

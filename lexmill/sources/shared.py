@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+_READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
+READ_ROWS = 256
 _OWN: list[str] = []
 
 
@@ -42,11 +44,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Exchange whole texts with Python in batches of ``BATCH_BYTES`` in this session.
+    """Read whole texts ``READ_ROWS`` at a time and exchange ``BATCH_BYTES`` of them with Python, in this session.
 
-    The usual limit is 64 MB a task, which both the executor's Arrow buffers and
-    its Python workers hold several times over. A smaller setting is left alone.
+    The usual limits are 4096 rows and 64 MB a task. The reader's vectors of that
+    many texts are arrays of tens of megabytes, and the executor's Arrow buffers
+    and its Python workers hold a batch several times over. Smaller settings are
+    left alone.
     """
     if int(str(spark.conf.get(_BATCH_SETTING, "67108864")).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    if int(spark.conf.get(_READ_SETTING, "4096")) > READ_ROWS:
+        spark.conf.set(_READ_SETTING, str(READ_ROWS))
     return spark

@@ -140,7 +140,7 @@ def test_one_to_one_join_refuses_repeats(spark):
 
 
 def test_text_functions(spark):
-    row = frame(spark, [("  Ein  Straße\tx ",)], "t string").select(tx.strip(F.col("t")).alias("s"), tx.n_words(F.col("t")).alias("n"), tx.n_alpha_words(F.col("t")).alias("a"), tx.windows(tx.words_of(F.col("t")), 9).alias("w")).first()
+    row = frame(spark, [("  Ein  Straße\tx ",)], "t string").select(tx.strip(F.col("t")).alias("s"), tx.n_words(F.col("t")).alias("n"), tx.n_alpha_words(F.col("t")).alias("a"), tx.windows(tx.words_of(F.col("t")), 9).alias("w")).first()
     assert row["s"] == "Ein  Straße\tx" and row["n"] == 3 and row["a"] == 2 and row["w"] == []
     top = frame(spark, [(["a", "b", "c"], [0.2, 0.5, 0.5])], "l array<string>, p array<double>").select(vec.top_k(F.col("l"), F.col("p"), 2).alias("t"), vec.argmax(F.col("p")).alias("m")).first()
     assert [t["label"] for t in top["t"]] == ["b", "c"] and top["m"] == 1
