@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at once; bounds the working arrays to some 50 MB.
-CHUNK = 1 << 20
+#: Bytes hashed at once; bounds the working arrays to some 20 MB.
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
