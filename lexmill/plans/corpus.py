@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators import leaks, ranking
 from lexmill.plans.registry import query
-from lexmill.sources.tables import load
+from lexmill.sources.tables import load, load_spread
 
 _NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 _WINDOWS = "unnest([array_to_string(w[i:i+6], ' ') for i in range(1, len(w) - 5)])"
@@ -20,7 +20,7 @@ dw AS (SELECT DISTINCT doc_id, {_WINDOWS} AS run FROM d), bw AS (SELECT DISTINCT
 SELECT doc_id, count(*) AS n_windows FROM dw WHERE run IN (SELECT run FROM bw) GROUP BY doc_id
 """)
 def leak_scan_7gram(spark, sf_dir):
-    return leaks.shared_windows(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "doc_id")
+    return leaks.shared_windows(load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark"), "doc_id")
 
 
 @query(f"""
@@ -28,7 +28,7 @@ SELECT item_id, doc_id FROM (SELECT item_id, {_NORM} AS item FROM benchmark) b
 JOIN (SELECT doc_id, {_NORM} AS norm FROM documents) d ON contains(norm, item) WHERE length(item) >= 15
 """)
 def leak_full_text(spark, sf_dir):
-    return leaks.contained_texts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return leaks.contained_texts(load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @query("""
