@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,7 @@ from lexmill.functions import text as tx
 from lexmill.operators.metrics import macro_scores
 from lexmill.sources.shared import cut
 
-#: Prefixes of entity ids and the class each one hints at.
-PREFIXES = {"PO": "order", "INV": "invoice", "SHP": "shipment", "DOC": "document", "CUS": "customer"}
+PREFIXES = tuple(tx.PREFIX_CLASS)
 
 
 def bootstrap(rows: DataFrame, id_col: str, label: str, pred: str, replicates: int, seed: int = 13) -> DataFrame:
@@ -75,23 +75,35 @@ def swap_copies(rows: DataFrame, id_col: str, text: str, keep: list[str], least_
     return base.withColumn("swapped_to", choice).select(*keep, "swapped_to", tx.swap_prefix(F.col(text), F.col("swapped_to")).alias("copy"))
 
 
-def noisy_copies(rows: DataFrame, id_col: str, text: str, copies: int, rate: float = 0.03, seed: int = 3) -> DataFrame:
-    """``copies`` of each text with characters swapped, dropped or doubled at ``rate``, seeded by id and copy."""
+def noisy_copies(rows: DataFrame, id_col: str, text: str, copies: int, rate: float = 0.04, seed: int = 3) -> DataFrame:
+    """``copies`` of each text as it might be typed in a hurry, seeded by id and copy.
+
+    Each shorthand is used by half the copies, half are lower-cased, three in ten
+    lose their punctuation; of the letters a share of ``rate`` is swapped with the
+    next character, dropped or doubled. A text that would vanish stays as it is.
+    """
 
     def noise(value: str, rng: np.random.Generator) -> str:
-        out, i = [], 0
-        draws = rng.random((len(value), 2))
-        while i < len(value):
-            hit, kind = draws[i]
-            if hit >= rate:
-                out.append(value[i])
-            elif kind < 1 / 3 and i + 1 < len(value):
-                out += [value[i + 1], value[i]]
-                i += 1
-            elif kind >= 2 / 3:
-                out += [value[i], value[i]]
-            i += 1
-        return "".join(out)
+        typed = value
+        for (word, short), use in zip(tx.SHORTHAND.items(), rng.random(len(tx.SHORTHAND)) < 0.5, strict=True):
+            if use:
+                typed = re.sub(rf"\b{word}\b", short, typed, flags=re.I)
+        lower, bare = rng.random(2)
+        typed = typed.lower() if lower < 0.5 else typed
+        typed = typed.translate(dict.fromkeys(map(ord, "?.!,"))) if bare < 0.3 else typed
+        fate = np.digitize(rng.random(len(typed)), [rate / 3, 2 * rate / 3, rate])
+        pieces, skip = [], False
+        for i, c in enumerate(typed):
+            if skip:
+                skip = False
+            elif not c.isalpha() or fate[i] == 3:
+                pieces.append(c)
+            elif fate[i] == 0 and i + 1 < len(typed):
+                pieces.append(typed[i + 1] + c)
+                skip = True
+            elif fate[i] == 2:
+                pieces.append(c + c)
+        return "".join(pieces) or value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,14 +36,14 @@ def contained_texts(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_id:
     A bank text of ``width`` words or more is only compared with texts that hold
     its first inner window; shorter ones are few and compared with every text.
     """
-    items = bank.select(bank_id, collapse(F.col("text")).alias("item")).where(F.length("item") >= least_chars)
-    items = items.withColumn("words", F.split("item", " "))
-    ours = corpus.select(corpus_id, collapse(F.col("text")).alias("norm"))
+    items = bank.select(F.col(bank_id).alias("_b"), collapse(F.col("text")).alias("_item")).where(F.length("_item") >= least_chars)
+    items = items.withColumn("_words", F.split("_item", " "))
+    ours = corpus.select(F.col(corpus_id).alias("_c"), collapse(F.col("text")).alias("_norm"))
     # A contained text may start and end inside a word, so its outer words are no evidence.
-    inner = items.where(F.size("words") >= width + 2).select(bank_id, "item", F.xxhash64(F.array_join(F.slice("words", 2, width), " ")).alias("h"))
-    probe = broadcast_if_small(inner.select("h").distinct())
-    hashed = ours.select(corpus_id, "norm", F.explode(F.array_distinct(F.transform(windows(F.split("norm", " "), width), lambda r: F.xxhash64(r)))).alias("h"))
-    near = hashed.join(probe, "h", "left_semi").join(broadcast_if_small(inner), "h").where(F.col("norm").contains(F.col("item")))
-    short = items.where(F.size("words") < width + 2).select(bank_id, "item")
-    direct = ours.join(F.broadcast(short) if short.limit(1001).count() <= 1000 else short, F.col("norm").contains(F.col("item")))
-    return near.select(bank_id, corpus_id).unionByName(direct.select(bank_id, corpus_id)).distinct()
+    inner = items.where(F.size("_words") >= width + 2).select("_b", "_item", F.xxhash64(F.array_join(F.slice("_words", 2, width), " ")).alias("_h"))
+    probe = broadcast_if_small(inner.select("_h").distinct())
+    hashed = ours.select("_c", "_norm", F.explode(F.array_distinct(F.transform(windows(F.split("_norm", " "), width), lambda r: F.xxhash64(r)))).alias("_h"))
+    near = hashed.join(probe, "_h", "left_semi").join(broadcast_if_small(inner), "_h").where(F.col("_norm").contains(F.col("_item")))
+    short = items.where(F.size("_words") < width + 2).select("_b", "_item")
+    direct = ours.join(F.broadcast(short) if short.limit(1001).count() <= 1000 else short, F.col("_norm").contains(F.col("_item")))
+    return near.select("_b", "_c").unionByName(direct.select("_b", "_c")).distinct().select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id))

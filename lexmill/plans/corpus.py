@@ -23,6 +23,23 @@ def leak_scan_7gram(spark, sf_dir):
     return leaks.shared_windows(load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark"), "doc_id")
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {_NORM} AS norm, string_split({_NORM}, ' ') AS w FROM documents), b AS (SELECT {_NORM} AS item, string_split({_NORM}, ' ') AS w FROM benchmark),
+dw AS (SELECT DISTINCT doc_id, {_WINDOWS} AS run FROM d), bw AS (SELECT DISTINCT {_WINDOWS} AS run FROM b),
+n AS (SELECT doc_id, count(*) AS n_windows FROM dw WHERE run IN (SELECT run FROM bw) GROUP BY doc_id),
+f AS (SELECT doc_id, count(DISTINCT item) AS n_texts FROM d JOIN b ON contains(norm, item) WHERE length(item) >= 15 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_texts, 0) AS n_texts, coalesce(n_windows, 0) AS n_windows, len(list_distinct(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}'))) AS n_ids,
+  coalesce(n_texts, 0) > 0 OR coalesce(n_windows, 0) > 0 OR len(list_distinct(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}'))) > 4 AS leaks
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
+""")
+def leak_verdict(spark, sf_dir):
+    docs, bank = load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark")
+    texts = leaks.contained_texts(docs, bank.select("text", F.xxhash64(tx.collapse(F.col("text"))).alias("item")).dropDuplicates(["item"]), "doc_id", "item").groupBy("doc_id").agg(F.count("*").alias("n_texts"))
+    ids = F.size(F.array_distinct(F.regexp_extract_all(tx.collapse(F.col("text")), F.lit("[a-z]+-[0-9]{3,}"), F.lit(0)))).cast("long")
+    found = docs.select("doc_id", ids.alias("n_ids")).join(leaks.shared_windows(docs, bank, "doc_id"), "doc_id", "left").join(texts, "doc_id", "left").na.fill(0, ["n_windows", "n_texts"])
+    return found.select("doc_id", "n_texts", "n_windows", "n_ids", ((F.col("n_texts") > 0) | (F.col("n_windows") > 0) | (F.col("n_ids") > 4)).alias("leaks"))
+
+
 @query(f"""
 SELECT item_id, doc_id FROM (SELECT item_id, {_NORM} AS item FROM benchmark) b
 JOIN (SELECT doc_id, {_NORM} AS norm FROM documents) d ON contains(norm, item) WHERE length(item) >= 15
@@ -33,9 +50,10 @@ def leak_full_text(spark, sf_dir):
 
 @query("""
 SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '\\S+')) AS words, len(regexp_extract_all(text, '\\p{L}{2,}')) AS alpha_words,
-  regexp_matches(text, '^[a-z]') AS lower_start, regexp_matches(text, '(?i)(\\||!!|[#$%&*]{3})') AS noisy
+  regexp_matches(text, '^[a-z]') AS lower_start, regexp_matches(text, '(?i)(\\||!!|[#$%&*]{3})') AS noisy,
+  regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])(SLANG)([^\\p{L}\\p{N}_]|$)') AS slang
 FROM documents
-""")
+""".replace("SLANG", "|".join(tx.SLANG)))
 def text_profile(spark, sf_dir):
     t = F.col("text")
     return load(spark, sf_dir, "documents").select(
@@ -45,6 +63,7 @@ def text_profile(spark, sf_dir):
         F.regexp_count(t, F.lit(r"\p{L}{2,}")).cast("long").alias("alpha_words"),
         t.rlike("^[a-z]").alias("lower_start"),
         t.rlike(r"(?i)(\||!!|[#$%&*]{3})").alias("noisy"),
+        tx.has_slang(t).alias("slang"),
     )
 
 
@@ -148,6 +167,7 @@ def lang_rules(spark, sf_dir):
 def _chat_sql() -> str:
     inner = "lower(text)"
     for word, short in tx.SHORTHAND.items():
+        word = word.replace("'", "''")
         inner = f"regexp_replace({inner}, '\\b{word}\\b', '{short}', 'g')"
     return f"SELECT conv_id, turn, regexp_replace({inner}, '[.,!?]', '', 'g') AS styled FROM conversations"
 

@@ -27,9 +27,10 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(ex.bootstrap(predicted(spark, sf_dir), "doc_id", "label", "pred", _B), "f1_lo", "f1_hi", "acc_lo", "acc_hi", digits=8)
 
 
-_MARKED = "marked AS (SELECT doc_id, length(text) AS chars, text || ' ' || (['PO', 'INV', 'SHP', 'DOC', 'CUS'])[doc_id % 5 + 1] || '-' || CAST(10000 + doc_id % 80000 AS VARCHAR) AS text, (['PO', 'INV', 'SHP', 'DOC', 'CUS'])[doc_id % 5 + 1] AS original FROM documents)"
-_SWAP = "regexp_replace(text, '(^|[^A-Za-z])([A-Z]{2,4})-([0-9]{3,6})', '\\1' || swapped_to || '-\\3', 'g')"
-_OTHERS = "unnest(list_filter(['PO', 'INV', 'SHP', 'DOC', 'CUS'], lambda p: p <> original))"
+_P = str(list(ex.PREFIXES))
+_MARKED = "marked AS (SELECT doc_id, length(text) AS chars, text || ' ' || (" + _P + ")[doc_id % 5 + 1] || '-' || CAST(10000 + doc_id % 80000 AS VARCHAR) AS text, (" + _P + ")[doc_id % 5 + 1] AS original FROM documents)"
+_SWAP = "regexp_replace(text, '(^|[^A-Za-z])(APT|PO|DOC|TR|LD)-([0-9]+)', '\\1' || swapped_to || '-\\3', 'g')"
+_OTHERS = f"unnest(list_filter({_P}, lambda p: p <> original))"
 
 
 def marked(spark, sf_dir):
@@ -43,7 +44,7 @@ def id_swap_probe(spark, sf_dir):
     return ex.swapped(marked(spark, sf_dir), "text", ["doc_id"]).withColumn("probe", F.md5("probe"))
 
 
-@query(f"""WITH {_MARKED}, o AS (SELECT *, list_filter(['PO', 'INV', 'SHP', 'DOC', 'CUS'], lambda p: p <> original) AS others FROM marked WHERE len(regexp_extract_all(text, '\\S+')) >= 6),
+@query(f"""WITH {_MARKED}, o AS (SELECT *, list_filter({_P}, lambda p: p <> original) AS others FROM marked WHERE len(regexp_extract_all(text, '\\S+')) >= 6),
 p AS (SELECT *, others[(doc_id * 7919 % 4) + 1] AS swapped_to FROM o) SELECT doc_id, swapped_to, md5({_SWAP}) AS copy FROM p""")
 def idswap_copies(spark, sf_dir):
     return ex.swap_copies(marked(spark, sf_dir), "doc_id", "text", ["doc_id"]).withColumn("copy", F.md5("copy"))

@@ -74,7 +74,7 @@ def test_thresholds_keep_at_least_the_target(spark, n):
 
 
 def test_swap_changes_the_prefix_only(spark):
-    rows = frame(spark, [(1, "please check PO-12345 and the rest now"), (2, "nothing here"), (3, "wordPO-123 is PO-1")], "id long, text string")
+    rows = frame(spark, [(1, "please check PO-12345 and the rest now"), (2, "nothing here"), (3, "wordPO-123 and INV-9")], "id long, text string")
     got = experiments.swapped(rows, "text", ["id"]).collect()
     assert {r["id"] for r in got} == {1} and len(got) == 4
     assert all(r["probe"].replace(f"{r['swapped_to']}-12345", "PO-12345") == "please check PO-12345 and the rest now" for r in got)
@@ -172,3 +172,28 @@ def test_settings():
     with pytest.raises(KeyError):
         config.read_settings(lines, ["other=1"])
     assert config.read_environment(["# x", "LEXMILL_TEST_KEY = v"]) == {"LEXMILL_TEST_KEY": "v"}
+
+
+def test_noisy_copies_repeat_and_keep_what_is_no_letter(spark):
+    rows = frame(spark, [(i, "please send order 12345 to the dock tomorrow, thanks!") for i in range(30)] + [(99, "")], "id long, text string")
+    made = experiments.noisy_copies(rows, "id", "text", 2)
+    first = {(r["id"], r["copy"]): r["text"] for r in made.collect()}
+    assert len(first) == 62 and first == {(r["id"], r["copy"]): r["text"] for r in made.collect()}
+    assert all("12345" in t for (i, _), t in first.items() if i < 99) and len(set(first.values())) > 40 and first[99, 1] == ""
+
+
+def test_active_learning_ends_at_the_whole_pool(spark, sf_dir):
+    from lexmill.plans.catalogue import QUERIES
+
+    rows = {(r["strategy"], r["fraction"]): r for r in QUERIES["learning_curve"](spark, sf_dir).collect()}
+    a, b = rows["least confident", 1.0], rows["random", 1.0]
+    assert a["n_labelled"] == b["n_labelled"] and a["macro_f1"] == b["macro_f1"]
+
+
+def test_winner_and_verdict(spark):
+    runs = frame(spark, [("big", 0.92, 0.03, 300), ("small", 0.90, 0.02, 100), ("tiny", 0.80, 0.01, 10)], "name string, score double, spread double, size long")
+    assert experiments.winner(runs, "name", "score", "spread", "size").first()["winner"] == "small"
+    side = lambda v: frame(spark, [(i, x) for i, x in enumerate(v)], "fold long, f double")
+    assert experiments.paired(side([0.9, 0.9, 0.9]), side([0.8, 0.8, 0.95]), "fold", "f").first()["verdict"] == "helps"
+    assert experiments.paired(side([0.7, 0.7, 0.9]), side([0.8, 0.8, 0.8]), "fold", "f").first()["verdict"] == "hurts"
+    assert experiments.paired(side([0.8]), side([0.8]), "fold", "f").first()["verdict"] == "no difference"
