@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexmill.llm.fingerprints import op10_quartile_digest
-from lexmill.llm.near_dedup import op3_minhash_forest
+from lexmill.llm.near_dedup import OP3_SQL, op3_minhash_forest
 from lexmill.llm.pii import op7_anchor_pii
 from lexmill.llm.quality import op9_nonneg_pu_quality
 from lexmill.llm.secrets import op2_credential_links
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quartile_digest": op10_quartile_digest,
 }
 
-ORACLES = {"op8_golden_mix": OP8_SQL}
+ORACLES = {"op3_minhash_forest": OP3_SQL, "op8_golden_mix": OP8_SQL}
