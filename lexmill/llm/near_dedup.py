@@ -10,7 +10,9 @@ confirm every link.
 Whatever stays open is settled exactly: a region first names the strongest
 spanning forest of its candidates, and once the confirmed links are known,
 every candidate between two different components is confirmed as well, unless
-bitmaps of the two sets prove that they have too few shingles in common.
+bitmaps of the two sets prove that they have too few shingles in common. This
+second pass takes the regions of ``MIN_DEPTH`` values whole, however crowded
+they are: large ones are compared block by block over all pairs of parts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MIN_DEPTH = 3
 CROWD = 2048
 #: Two bytes of each MinHash value enter a tree's order.
 STEP = 2
+#: Crowds in a part of a large region of the second pass; a block holds two parts.
+PART = 4
 VALUES = TREES * DEPTH
 #: Of VALUES sketch cells, so many equal ones make a candidate. At a similarity
 #: of 0.75 the expected count is 110 with deviation 5: about 4 in a million fall short.
@@ -126,18 +130,26 @@ def _full_sets(keep: bytes, bitmap: bool):
 
 
 def _unpack(rows: list[bytes]) -> np.ndarray:
-    packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
-    return np.concatenate((packed >> 4, packed & 15), axis=1)
-
-
-def _likeness(cells: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Equal cells of all pairs of a region; 0 where the pair cannot be a link."""
-    m = len(cells)
-    equal = np.empty((m, m), dtype=np.int16)
-    for at in range(0, m, 64):
-        equal[at : at + 64] = (cells[at : at + 64, None, :] == cells[None, :, :]).sum(axis=2, dtype=np.int16)
-    small, large = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    equal[(equal < LEAST_EQUAL) | (100 * small < 75 * large)] = 0
+    """Sketches as words of 16 cells."""
+    return np.frombuffer(b"".join(rows), dtype=np.uint64).reshape(len(rows), -1)
+
+
+def _likeness(cells: np.ndarray, sizes: np.ndarray, other_cells: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Equal cells of all pairs of two sides; 0 where the pair cannot be a link."""
+    equal = np.empty((len(cells), len(other_cells)), dtype=np.int16)
+    one, two, ones = np.uint64(1), np.uint64(2), np.uint64(0x1111111111111111)
+    for at in range(0, len(cells), 64):
+        unlike = np.zeros((len(cells[at : at + 64]), len(other_cells)), dtype=np.int16)
+        for k in range(cells.shape[1]):
+            bits = cells[at : at + 64, k, None] ^ other_cells[None, :, k]
+            bits |= bits >> one
+            bits |= bits >> two
+            bits &= ones
+            unlike += np.bitwise_count(bits)
+        part, mine = VALUES - unlike, sizes[at : at + 64, None]
+        small, large = np.minimum(mine, other_sizes[None, :]), np.maximum(mine, other_sizes[None, :])
+        part[(part < LEAST_EQUAL) | (100 * small < 75 * large)] = 0
+        equal[at : at + 64] = part
     return equal
 
 
@@ -189,9 +201,35 @@ def _possible(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, bits: np.ndarray,
     return i[keep], j[keep]
 
 
+def _across(group: pa.RecordBatch, min_pct: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All possible pairs of a block between different components, a stripe at a time: within its part, or between its two parts."""
+    cells, sizes, label = _unpack(group.column(3).to_pylist()), group.column(2).to_numpy(), group.column(4).to_numpy()
+    bits = np.frombuffer(b"".join(group.column(5).to_pylist()), dtype=np.uint64).reshape(len(label), -1)
+    part = group.column(6).to_numpy()
+    one, two = np.flatnonzero(part == part.min()), np.flatnonzero(part != part.min())
+    for at in range(0, len(one), 64):
+        x = one[at : at + 64]
+        y = two if len(two) else one[at:]
+        i, j = np.nonzero((_likeness(cells[x], sizes[x], cells[y], sizes[y]) > 0) & (label[x][:, None] != label[y][None, :]))
+        if len(i):
+            yield _possible(x[i], y[j], sizes, bits, min_pct)
+
+
 def _pairs_of(across: bool, min_pct: int = 75):
     """Candidates of each region: its spanning forest, or all possible ones between different components."""
 
+    def pairs_in(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray | list, np.ndarray | list]]:
+        if across:
+            yield from _across(group, min_pct)
+            return
+        cells, sizes = _unpack(group.column(3).to_pylist()), group.column(2).to_numpy()
+        equal = _likeness(cells, sizes, cells, sizes)
+        if group.num_rows == 2:
+            yield ([0], [1]) if equal[0, 1] else ([], [])
+        else:
+            edges = _forest(equal)
+            yield [x for x, _ in edges], [y for _, y in edges]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         count = 0
@@ -204,17 +242,9 @@ def _pairs_of(across: bool, min_pct: int = 75):
             if group.num_rows < 2:
                 continue
             rep = group.column(1).to_numpy()
-            equal = _likeness(_unpack(group.column(3).to_pylist()), group.column(2).to_numpy())
-            if across:
-                label = group.column(4).to_numpy()
-                i, j = np.nonzero(np.triu(equal > 0, 1) & (label[:, None] != label[None, :]))
-                i, j = _possible(i, j, group.column(2).to_numpy(), np.frombuffer(b"".join(group.column(5).to_pylist()), dtype=np.uint8).reshape(len(rep), -1), min_pct)
-            elif len(rep) == 2:
-                i, j = ([0], [1]) if equal[0, 1] else ([], [])
-            else:
-                edges = _forest(equal)
-                i, j = [x for x, _ in edges], [y for _, y in edges]
-            if len(i):
+            for i, j in pairs_in(group):
+                if not len(i):
+                    continue
                 x, y = rep[i], rep[j]
                 ok = x != y
                 found.append(np.stack((np.minimum(x, y)[ok], np.maximum(x, y)[ok]), axis=1))
@@ -229,7 +259,12 @@ def _pairs_of(across: bool, min_pct: int = 75):
 
 
 def _regions(reps: DataFrame) -> DataFrame:
-    """Tree and region of each representative that shares its region with another."""
+    """Tree and region of each representative that shares its region with another.
+
+    ``first`` marks the regions of the first pass, which deepen where they are
+    crowded; ``whole`` those of the second, all of ``MIN_DEPTH`` values.
+    """
+    passes = lambda rows, first, whole: rows.select("region", "rep", "tree", F.lit(first).alias("first"), F.lit(whole).alias("whole"))
     width = STEP * DEPTH
     open_rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
         "rep", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path")
@@ -242,25 +277,55 @@ def _regions(reps: DataFrame) -> DataFrame:
         crowded = shared.where(F.col("n") > CROWD)
         any_crowd = not crowded.isEmpty()
         if not any_crowd:
-            done.append(keyed.select("region", "rep", "tree").join(shared.select("region"), "region"))
+            done.append(passes(keyed.join(shared.select("region"), "region"), True, depth == MIN_DEPTH))
             break
-        done.append(keyed.select("region", "rep", "tree").join(shared.where(F.col("n") <= CROWD).select("region"), "region"))
+        done.append(passes(keyed.join(shared.where(F.col("n") <= CROWD).select("region"), "region"), True, depth == MIN_DEPTH))
+        if depth == MIN_DEPTH:
+            done.append(passes(keyed.join(crowded.select("region"), "region"), False, True))
         if depth < DEPTH:
             open_rows = keyed.join(crowded.select("region"), "region").select("rep", "tree", "path")
             continue
         # As deep as the trees go: deal the region out in parts, its pivot in each.
         parts = F.ceil(F.col("n") / CROWD).cast("int")
         crowded = crowded.select("region", "pivot", "of", parts.alias("parts"))
-        dealt = keyed.join(crowded, "region").select(F.xxhash64("region", F.pmod(F.xxhash64("rep"), "parts").cast("int")).alias("region"), "rep", "tree")
+        dealt = keyed.join(crowded, "region").select(F.xxhash64("region", F.pmod(F.xxhash64("region", "rep"), "parts").cast("int")).alias("region"), "rep", "tree")
         pivots = crowded.select("*", F.explode(F.expr("sequence(0, parts - 1)")).alias("part")).select(
             F.xxhash64("region", F.col("part").cast("int")).alias("region"), F.col("pivot").alias("rep"), F.col("of").alias("tree")
         )
-        done.append(dealt.unionByName(pivots).distinct())
+        done.append(passes(dealt.unionByName(pivots).distinct(), True, False))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     wide = reps.select("rep", "n_shingles", "sketch", "sig")
-    return out.join(wide, "rep").select("region", "rep", "n_shingles", "sketch", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path"))
+    return out.join(wide, "rep").select("region", "rep", "n_shingles", "sketch", "first", "whole", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path"))
+
+
+def _parted(labelled: DataFrame) -> DataFrame:
+    """Rows of the regions of several components, with their ``part`` and the numbers of parts.
+
+    Rows of a large region's largest component need no comparison with each other,
+    so they have parts of their own, the last ``mains`` of them.
+    """
+    rows = PART * CROWD
+    by_label = labelled.groupBy("region", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    large = F.col("n") > rows
+    mixed = mixed.select(
+        "region",
+        F.when(large, F.col("top.label")).alias("main"),
+        F.when(large, F.ceil((F.col("n") - F.col("top.n")) / rows)).otherwise(1).cast("int").alias("others"),
+        F.when(large, F.ceil(F.col("top.n") / rows)).otherwise(0).cast("int").alias("mains"),
+    )
+    deal = lambda n: F.pmod(F.xxhash64("region", "rep"), F.col(n)).cast("int")
+    part = F.when(F.col("label") == F.col("main"), F.col("others") + deal("mains")).otherwise(deal("others"))
+    return labelled.join(mixed, "region").withColumn("part", part).drop("main")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Each row once for every block, a pair of parts of its region, that it takes part in."""
+    last = F.when(F.col("part") < F.col("others"), F.col("others") + F.col("mains") - 1).otherwise(F.col("others") - 1)
+    every = rest.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return every.withColumn("region", F.xxhash64("region", F.least("part", "with"), F.greatest("part", "with")))
 
 
 def _shingled(ids: DataFrame, docs: DataFrame, bitmap: bool = False) -> DataFrame:
@@ -305,18 +370,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     regions = cut(_regions(reps), "regions")
     order = ["region", "rep", "n_shingles", "sketch"]
-    ordered = regions.repartition("region").sortWithinPartitions("region", "path", "rep").select(order)
+    ordered = regions.where("first").repartition("region").sortWithinPartitions("region", "path", "rep").select(order)
     pairs = cut(ordered.mapInArrow(_pairs_of(False), _PAIRS).distinct(), "pairs")
     links = cut(_confirmed(pairs, docs, min_pct), "links")
     groups = cut(connected_components(links), "groups")
-    labelled = regions.join(groups, regions["rep"] == groups["node"], "left").select(*order, F.coalesce("component", "rep").alias("label"))
-    mixed = labelled.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("region")
-    rest = cut(labelled.join(mixed, "region", "left_semi"), "rest")
+    labelled = regions.where("whole").join(groups, F.col("rep") == F.col("node"), "left").select(*order, F.coalesce("component", "rep").alias("label"))
+    rest = cut(_parted(labelled), "rest")
     bounds = _shingled(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, bitmap=True)
     # A repeated id may stand for several texts; then every bit is set, which rules nothing out.
     bounds = bounds.groupBy(F.col("doc_id").alias("rep")).agg(F.max("members").alias("members"), F.count("*").alias("texts"))
     wide = F.when(F.col("texts") == 1, F.col("members")).otherwise(F.lit(b"\xff" * BOUND_BYTES))
-    rest = rest.join(bounds, "rep").select(*order, "label", wide.alias("members")).repartition("region").sortWithinPartitions("region")
+    rest = _blocks(rest.join(bounds, "rep").withColumn("members", wide)).select(*order, "label", "members", "part").repartition("region").sortWithinPartitions("region")
     more = cut(rest.mapInArrow(_pairs_of(True, min_pct), _PAIRS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         extra = cut(_confirmed(more, docs, min_pct), "links")

@@ -59,6 +59,32 @@ def test_equals_all_pairs(spark, monkeypatch, crowd):
     assert got == want and len(set(want.values())) > 12
 
 
+def templated(n):
+    """A template of 84 shingles in each of ``n`` texts: partners are 0.80 alike, all others 0.72."""
+    rng, head = random.Random(3), " ".join(f"t{i}" for i in range(88))
+    ids = list(range(n))
+    rng.shuffle(ids)
+    tail = lambda name, size: " ".join(f"{name}x{i}" for i in range(size))
+    rows = [(i, f"{head} {tail(f'p{k // 2}', 5)} {tail(f'o{k}', 11)}") for k, i in enumerate(ids)]
+    want = {}
+    for k in range(0, n, 2):
+        want |= dict.fromkeys(ids[k : k + 2], min(ids[k : k + 2]))
+    return rows, want
+
+
+def test_template_is_as_said():
+    rows, want = templated(60)
+    assert brute(rows) == want and len(set(want.values())) == 30
+
+
+@pytest.mark.parametrize(("crowd", "n"), [(2048, 5000), (32, 2600)])
+def test_large_templated_group_keeps_its_links(spark, monkeypatch, crowd, n):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    rows, want = templated(n)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_documents_equal_all_pairs(spark, sf_dir, docs):
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     got = op3_minhash_forest(spark, sf_dir).collect()
