@@ -27,9 +27,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, so 32 characters or more is the same as a filter on the run's length.
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-_BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-_ENDPOINT = re.compile(r"""\b(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)""", re.I | re.A)
+#: A name may follow an underscore (``DB_USER=``), a bare secret an equals sign (``AWS_SECRET_ACCESS_KEY=``).
+_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+_ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)""", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
