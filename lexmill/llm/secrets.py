@@ -5,7 +5,9 @@ identifiers, secrets and endpoints, some of them weak (a login name, a bare
 base64 word, a host). Parts of one scope are interval-joined: two parts meet if
 no blank line lies between them and their gap is ``REACH`` characters at most.
 A weak part is reported only where complementary parts co-occur: an identifier
-with a secret, a secret with an identifier, an endpoint with both.
+with a secret, a secret with an identifier, an endpoint with both. Every pair of
+an identifier and a secret that meet is a credential, with each endpoint that
+meets the identifier.
 """
 
 from __future__ import annotations
@@ -41,26 +43,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Scope:
-    """Sorted, non-overlapping intervals and the breaks that none may reach across."""
+    """Sorted intervals and the breaks that none may reach across."""
 
     def __init__(self, parts: list[tuple[int, int]], breaks: list[int]):
         self.parts, self.breaks = sorted(set(parts)), breaks
         self.starts = [a for a, _ in self.parts]
+        self.by_end = sorted(self.parts, key=lambda p: (p[1], p[0]))
+        self.ends = [b for _, b in self.by_end]
 
-    def near(self, start: int, end: int) -> tuple[int, int] | None:
-        """The nearest part that shares a scope with ``[start, end)`` and does not overlap it."""
+    def near(self, start: int, end: int) -> list[tuple[int, int]]:
+        """All parts that share a scope with ``[start, end)``, within reach, and do not overlap it."""
+        left = self.by_end[bisect_left(self.ends, start - REACH) : bisect_right(self.ends, start)]
+        right = self.parts[bisect_left(self.starts, end) : bisect_right(self.starts, end + REACH)]
         block = bisect_right(self.breaks, start)
-        at, best = bisect_left(self.starts, end), None
-        while at < len(self.parts) and self.parts[at][0] - end <= REACH:
-            if bisect_right(self.breaks, self.parts[at][0]) == block:
-                best = (self.parts[at][0] - end, self.parts[at])
-            break
-        at = bisect_left(self.starts, start) - 1
-        while at >= 0 and self.parts[at][1] > start:
-            at -= 1
-        if at >= 0 and (gap := start - self.parts[at][1]) <= REACH and bisect_right(self.breaks, self.parts[at][0]) == block and (best is None or gap <= best[0]):
-            best = (gap, self.parts[at])
-        return best[1] if best else None
+        return [p for p in (*left, *right) if bisect_right(self.breaks, p[0]) == block]
 
 
 def find_in(text: str) -> list[Span]:
@@ -82,14 +78,12 @@ def find_in(text: str) -> list[Span]:
     ends = [m.span() for m in _ENDPOINT.finditer(text) if free(*m.span())]
     breaks = [m.end() for m in _BLANK.finditer(text)]
     by_id, by_secret, by_end = _Scope(ids, breaks), _Scope(secrets, breaks), _Scope(ends, breaks)
-    found = set(base)
+    found, weak = set(base), set(weak_ids)
     for a, b in by_id.parts:
-        if secret := by_secret.near(a, b):
-            lo, hi = min(a, secret[0]), max(b, secret[1])
-            if end := by_end.near(a, b):
-                lo, hi = min(lo, end[0]), max(hi, end[1])
-            found.add(("credential", lo, hi))
-            if (a, b) in set(weak_ids):
+        if near := by_secret.near(a, b):
+            for c, d in by_end.near(a, b) or [(a, b)]:
+                found.update(("credential", min(a, c, x), max(b, d, y)) for x, y in near)
+            if (a, b) in weak:
                 found.add(("identifier", a, b))
     for a, b in weak_secrets:
         if by_id.near(a, b):
