@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators.metrics import macro_scores
+from lexmill.operators.splits import place_of
 from lexmill.sources.shared import cut
 
 PREFIXES = tuple(tx.PREFIX_CLASS)
@@ -28,7 +29,7 @@ def bootstrap(rows: DataFrame, id_col: str, label: str, pred: str, replicates: i
     w = Window.partitionBy(F.lit(1)).orderBy("label", "pred").rowsBetween(Window.unboundedPreceding, 0)
     table = pairs.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
     n = rows.count()
-    draw = ((F.col("b") * n + F.col("i")) * 7919 + F.col("b") * 104729 + seed) % 1000003 % n
+    draw = place_of((F.col("b") * n + F.col("i")) * 7919 + F.col("b") * 104729 + seed, F.lit(n), F.lit(seed), F.col("b"), F.col("i"))
     spark = rows.sparkSession
     draws = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("i")).select("b", draw.alias("r"))
     counts = draws.groupBy("b", "r").agg(F.count("*").alias("k"))
@@ -41,6 +42,28 @@ def bootstrap(rows: DataFrame, id_col: str, label: str, pred: str, replicates: i
     return scores.agg(q("f1", 0.025).alias("f1_lo"), q("f1", 0.975).alias("f1_hi"), q("acc", 0.025).alias("acc_lo"), q("acc", 0.975).alias("acc_hi"))
 
 
+def bootstrap_counts(rows: DataFrame, label: str, pred: str, replicates: int = 1000, seed: int = 13) -> DataFrame:
+    """The interval of :func:`bootstrap` with a resample drawn as multinomial counts over the confusion matrix.
+
+    Its cost does not grow with the rows but for their count by pair: labels squared rows reach the driver.
+    """
+    pairs = rows.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count("*").alias("c")).orderBy("label", "pred").collect()
+    schema = "f1_lo double, f1_hi double, acc_lo double, acc_hi double"
+    if not pairs:
+        return rows.sparkSession.createDataFrame([(None,) * 4], schema)
+    names = {v: k for k, v in enumerate(dict.fromkeys(v for r in pairs for v in (r["label"], r["pred"])))}
+    true, said, c = (np.array(x) for x in zip(*[(names[r["label"]], names[r["pred"]], r["c"]) for r in pairs], strict=True))
+    rng, n, f1, acc = np.random.default_rng(seed), int(c.sum()), [], []
+    for _ in range(replicates):
+        k = rng.multinomial(n, c / n)
+        sides = np.bincount(true, k, len(names)) + np.bincount(said, k, len(names))
+        tp = np.bincount(true[true == said], k[true == said], len(names))
+        f1.append((2 * tp[sides > 0] / sides[sides > 0]).mean())
+        acc.append(tp.sum() / n)
+    ends = [float(x) for values in (f1, acc) for x in np.percentile(values, [2.5, 97.5])]
+    return rows.sparkSession.createDataFrame([tuple(ends)], schema)
+
+
 def paired(a: DataFrame, b: DataFrame, on: str, value: str) -> DataFrame:
     """Mean difference ``a - b``, folds better, tied and worse, and the verdict. Folds that one side lacks do not count."""
     d = a.select(on, F.col(value).alias("_a")).join(b.select(on, F.col(value).alias("_b")), on).select((F.col("_a") - F.col("_b")).alias("d"))

@@ -10,11 +10,18 @@ from lexmill.operators.ranking import head_per_group
 
 #: Ids below 2**43 keep the order key in a long.
 _ID_ROOM = 1 << 43
+#: Modulus of the arithmetic hash; it reaches no place beyond.
+MIXED = 1000003
 
 
 def mixed(id_: Column, seed: int = 13) -> Column:
     """An arithmetic hash that any SQL engine can repeat."""
-    return (id_ * 7919 + seed) % 1000003
+    return (id_ * 7919 + seed) % MIXED
+
+
+def place_of(number: Column, n: Column, *keys: Column) -> Column:
+    """A place below ``n``: ``number`` folded by ``MIXED`` where that reaches every place, a 64-bit hash of ``keys`` above."""
+    return F.when(n <= MIXED, number % MIXED % n).otherwise(F.pmod(F.xxhash64(*keys), n))
 
 
 def order_key(id_: Column, seed: int = 13) -> Column:
@@ -55,5 +62,5 @@ def resample(rows: DataFrame, id_col: str, draws: int, seed: int = 13) -> DataFr
     n = rows.count()
     if not n:
         return numbered.select(F.lit(0).cast("long").alias("draw"), *rows.columns)
-    wanted = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (mixed(F.col("id"), seed) % n + 1).alias("_r"))
+    wanted = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (place_of(F.col("id") * 7919 + seed, F.lit(n), F.lit(seed), F.col("id")) + 1).alias("_r"))
     return wanted.join(numbered, "_r").select("draw", *rows.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import drift as dr
 from lexmill.operators import metrics
 from lexmill.operators.cumulative import cumulative
-from lexmill.operators.splits import sample_per_group
+from lexmill.operators.splits import place_of, sample_per_group
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
 from lexmill.streaming import windows
@@ -137,7 +137,7 @@ def power_grid(spark, sf_dir):
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     )
     draws = grid.withColumn("cur", ((F.col("mixed") == 1) & (F.col("i") % 5 < 2)).cast("int")).join(F.broadcast(sizes), "cur")
-    draws = draws.withColumn("r", ((F.col("rep") * 10007 + F.col("i")) * 7919 + F.col("size")) % 1000003 % F.col("m"))
+    draws = draws.withColumn("r", place_of((F.col("rep") * 10007 + F.col("i")) * 7919 + F.col("size"), F.col("m"), F.col("size"), F.col("mixed"), F.col("rep"), F.col("i")))
     per = draws.join(placed, ["cur", "r"]).groupBy("size", "mixed", "rep").agg(F.count_if("far").alias("k"))
     n = F.col("size").cast("double")
     fires = (F.col("k") > n * 0.05 + F.lit(1.645) * F.sqrt(n * 0.05 * 0.95)).cast("double")

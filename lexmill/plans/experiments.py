@@ -27,6 +27,12 @@ def bootstrap_ci(spark, sf_dir):
     return rounded(ex.bootstrap(predicted(spark, sf_dir), "doc_id", "label", "pred", _B), "f1_lo", "f1_hi", "acc_lo", "acc_hi", digits=8)
 
 
+@query()
+def bootstrap_ci_1000(spark, sf_dir):
+    """All 1,000 replicates, independently drawn; the SQL of ``bootstrap_ci`` states 50 by an arithmetic hash."""
+    return rounded(ex.bootstrap_counts(predicted(spark, sf_dir), "label", "pred"), "f1_lo", "f1_hi", "acc_lo", "acc_hi", digits=8)
+
+
 _P = str(list(ex.PREFIXES))
 _MARKED = "marked AS (SELECT doc_id, length(text) AS chars, text || ' ' || (" + _P + ")[doc_id % 5 + 1] || '-' || CAST(10000 + doc_id % 80000 AS VARCHAR) AS text, (" + _P + ")[doc_id % 5 + 1] AS original FROM documents)"
 _SWAP = "regexp_replace(text, '(^|[^A-Za-z])(APT|PO|DOC|TR|LD)-([0-9]+)', '\\1' || swapped_to || '-\\3', 'g')"

@@ -190,6 +190,30 @@ def test_active_learning_ends_at_the_whole_pool(spark, sf_dir):
     assert a["n_labelled"] == b["n_labelled"] and a["macro_f1"] == b["macro_f1"]
 
 
+def test_draws_reach_every_place_of_many_rows(spark):
+    rows = spark.range(1_250_000).select("id", F.lit("a").alias("pred"), F.when(F.col("id") < 1_000_003, "a").otherwise("b").alias("label"))
+    got = experiments.bootstrap(rows, "id", "label", "pred", 3).first()
+    assert 0.79 < got["acc_lo"] <= got["acc_hi"] < 0.81
+    drawn = [r["id"] for r in splits.resample(rows.select("id"), "id", 400).collect()]
+    assert len(drawn) == 400 and 40 < sum(i >= 1_000_003 for i in drawn) < 120
+
+
+def test_bootstrap_counts_equal_resampled_rows(spark):
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 3, 400)
+    pred = np.where(rng.random(400) < 0.8, label, rng.integers(0, 3, 400))
+    accs, f1s = [], []
+    for _ in range(1000):
+        at = rng.integers(0, 400, 400)
+        t, p = label[at], pred[at]
+        accs.append((t == p).mean())
+        f1s.append(np.mean([2 * ((t == k) & (p == k)).sum() / ((t == k).sum() + (p == k).sum()) for k in range(3)]))
+    rows = frame(spark, [(int(a), int(b)) for a, b in zip(label, pred, strict=True)], "label long, pred long")
+    got = experiments.bootstrap_counts(rows, "label", "pred").first()
+    assert np.allclose(list(got), [*np.percentile(f1s, [2.5, 97.5]), *np.percentile(accs, [2.5, 97.5])], atol=0.012)
+    assert got == experiments.bootstrap_counts(rows, "label", "pred").first() and list(experiments.bootstrap_counts(rows.limit(0), "label", "pred").first()) == [None] * 4
+
+
 def test_winner_and_verdict(spark):
     runs = frame(spark, [("big", 0.92, 0.03, 300), ("small", 0.90, 0.02, 100), ("tiny", 0.80, 0.01, 10)], "name string, score double, spread double, size long")
     assert experiments.winner(runs, "name", "score", "spread", "size").first()["winner"] == "small"
