@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import cut
@@ -32,8 +32,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now, state = _written(small.unionByName(root.withColumnRenamed("m", "v")).distinct())
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The table written and read again, with its count and checksum observed on the way."""
-    seen = Observation()
-    counted = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-    return cut(edges.observe(seen, *counted), "edges"), seen.get
+def _written(edges: DataFrame) -> tuple[DataFrame, Row]:
+    """The table written and read again, with its count and checksum.
+
+    They are read from the written table: an observed query would leave its
+    manager in the session, which then cannot be sent along with a fitted model.
+    """
+    table = cut(edges, "edges")
+    return table, table.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()

@@ -7,6 +7,7 @@ files outlive any executor, so a lost one costs a re-read, not a recomputation.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +23,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a private folder where it is unset and driver and executors are one process."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="lexmill-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -43,6 +46,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bytes(setting: str) -> int:
+    """A setting of bytes, with or without a unit: ``64m``, ``1 GB``, ``4096``."""
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", str(setting), re.I)
+    if found is None:
+        raise ValueError(f"no number of bytes: {setting}")
+    return int(found[1]) << (10 * (" kmgtp".index(found[2].lower()) if found[2] else 0))
+
+
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Read whole texts ``READ_ROWS`` at a time and exchange ``BATCH_BYTES`` of them with Python, in this session.
 
@@ -51,7 +62,7 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     and its Python workers hold a batch several times over. Smaller settings are
     left alone.
     """
-    if int(str(spark.conf.get(_BATCH_SETTING, "67108864")).rstrip("b")) > BATCH_BYTES:
+    if _bytes(spark.conf.get(_BATCH_SETTING, "67108864")) > BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     if int(spark.conf.get(_READ_SETTING, "4096")) > READ_ROWS:
         spark.conf.set(_READ_SETTING, str(READ_ROWS))
