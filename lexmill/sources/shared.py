@@ -35,13 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the table read back.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that no other call gets, so concurrent queries never collide."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Each call takes a new path, so concurrent queries never collide.
-    """
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
