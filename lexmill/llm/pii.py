@@ -90,7 +90,7 @@ def find_in(text: str) -> list[Span]:
             if a >= after["ip"]:
                 m = _IP.match(text, a)
                 after["ip"] = (m or _RUN.match(text, a)).end()
-                if m and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+                if m and all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m.groups()):
                     found.append(("ip", *m.span()))
         elif what == "@":
             lo = a

@@ -1,8 +1,8 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records by seeded hashes into buckets that fit in memory,
-some to each shard; pass two runs a Fisher-Yates shuffle over each bucket and
-writes it. The id alone decides the shard (highest random weight over the
+Pass one scatters records by seeded hashes into buckets that fit in memory, as
+many to a shard as the bytes ask for; pass two runs a Fisher-Yates shuffle over
+each bucket and writes it as one file. The id alone decides the shard (highest random weight over the
 shards), so one more shard only takes rows into itself. A bucket's slots start
 where the bucket before it ends; both passes are functions of the records and
 the seed, so a lost task repeats exactly.
@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.sources.shared import bounded_batches, cut
+from lexmill.operators.sized import broadcast_if_small
+from lexmill.sources.shared import bounded_batches, cut, fresh_path
 
 N_SHARDS = 24
 SEED = 41
 BUCKET_BYTES = 16 << 20
-#: Parts of a shard that pass one counts; the most buckets a shard can have.
+#: Parts of a shard that are counted first; counted again, finer, where buckets must be smaller.
 FINE = 1 << 12
 EMIT_ROWS = 2000
 
@@ -34,16 +35,18 @@ def shard_of(key: Column, n_shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(k), key).alias("h"), F.lit(k).alias("k")) for k in range(n_shards)]))["k"]
 
 
-def _shuffle(offsets: dict[int, int], seed: int):
+def _shuffle(seed: int):
+    """One bucket's records in Fisher-Yates order; what the records and the seed decide, arrival does not."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
         del held
-        bucket = table.column("bucket")[0].as_py()
-        keys = table.select(["id", "tie"])
-        table = table.take(pc.sort_indices(keys, sort_keys=[("id", "ascending"), ("tie", "ascending")]))
+        bucket, at = table.column("bucket")[0].as_py(), table.column("at")[0].as_py()
+        keys = table.select(["id", "tie", "whole"])
+        table = table.take(pc.sort_indices(keys, sort_keys=[("id", "ascending"), ("tie", "ascending"), ("whole", "ascending")]))
         n = table.num_rows
         draws = np.random.Generator(np.random.PCG64([seed, bucket])).random(n)
         order = list(range(n))
@@ -53,44 +56,62 @@ def _shuffle(offsets: dict[int, int], seed: int):
         order = np.array(order)
         for lo in range(0, n, EMIT_ROWS):
             part = table.select(["record", "shard", "bucket"]).take(pa.array(order[lo : lo + EMIT_ROWS]))
-            slots = pa.array(np.arange(lo, lo + part.num_rows) + offsets[bucket], pa.int64())
+            slots = pa.array(np.arange(lo, lo + part.num_rows) + at, pa.int64())
             yield from part.append_column("slot", slots).combine_chunks().to_batches()
 
     return run
 
 
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark can hash a column of this type: maps, and what holds them, have no order."""
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = N_SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows of ``docs`` in a uniformly shuffled order within hashed shards.
 
     Returns ``record`` (a struct of all columns of ``docs``, so names never
     clash), ``shard``, ``bucket`` and ``slot`` (gapless from 0 in each shard), one
-    row per input row; every bucket is one partition in slot order.
+    row per input row; every bucket is one partition in slot order. Buckets hold
+    about ``bucket_bytes`` of text, however much there is; one very long text makes
+    its bucket larger.
 
     Null ids form one key, null texts are empty. Rows that repeat an id share its
-    shard and are spread over its buckets by their text; identical rows are
-    interchangeable. An empty table gives an empty result.
+    shard and are spread over its buckets by their text; rows that differ in other
+    columns only keep their places on every run, and identical rows, which share a
+    bucket, are interchangeable. An empty table gives an empty result.
     """
     if docs.isEmpty():
         return docs.select(F.struct("*").alias("record"), F.lit(0).alias("shard"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("slot"))
     bounded_batches(docs.sparkSession)
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tie = F.xxhash64(F.lit(seed + 1), key, text)
-    shard, fine = shard_of(key, n_shards, seed), F.pmod(tie, F.lit(FINE)).cast("int")
-    counted = cut(docs.groupBy(shard.alias("shard"), fine.alias("fine")).agg(F.count("*").alias("rows"), F.sum(F.octet_length(text) + 8).alias("bytes")), "counts")
-    total = counted.agg(F.sum("bytes")).first()[0]
-    parts = 1
-    while parts < FINE and total > parts * n_shards * bucket_bytes:
+    whole = F.xxhash64(F.lit(seed + 2), *[F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)])
+    shard = shard_of(key, n_shards, seed)
+
+    def counts(fine: int) -> DataFrame:
+        by = F.pmod(tie, F.lit(fine)).cast("int")
+        return cut(docs.groupBy(shard.alias("shard"), by.alias("fine")).agg(F.count("*").alias("rows"), F.sum(F.octet_length(text) + 8).alias("bytes")), "counts")
+
+    fine, counted = FINE, counts(FINE)
+    total, parts = counted.agg(F.sum("bytes")).first()[0], 1
+    while total > parts * n_shards * bucket_bytes:
         parts *= 2
-    step = FINE // parts
-    bucket = F.expr(f"shard * {parts} + fine div {step}").cast("int")
+    if parts > fine:
+        fine, counted = parts, counts(parts)
+    bucket = F.expr(f"shard * {parts} + fine div {fine // parts}").cast("int")
     sums = counted.groupBy("shard", bucket.alias("bucket")).agg(F.sum("rows").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")
-    offsets = {r["bucket"]: r["at"] for r in sums.select("bucket", before.alias("at")).collect()}  # one row a bucket: total / bucket_bytes
+    starts = broadcast_if_small(cut(sums.select("bucket", before.alias("at")), "starts"))  # one row a bucket
 
-    scattered = docs.select(F.struct("*").alias("record"), key.alias("id"), tie.alias("tie"), shard.alias("shard"), fine.alias("fine"))
-    scattered = scattered.select("record", "id", "tie", "shard", bucket.alias("bucket")).repartitionById(n_shards * parts, F.col("bucket"))
+    scattered = docs.select(F.struct("*").alias("record"), key.alias("id"), tie.alias("tie"), whole.alias("whole"), shard.alias("shard"), F.pmod(tie, F.lit(fine)).cast("int").alias("fine"))
+    scattered = scattered.withColumn("bucket", bucket).drop("fine").join(starts, "bucket").repartitionById(n_shards * parts, F.col("bucket"))
     schema = T.StructType([scattered.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return scattered.mapInArrow(_shuffle(offsets, seed), schema)
+    return scattered.mapInArrow(_shuffle(seed), schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
@@ -99,9 +120,18 @@ def write_shards(shuffled: DataFrame, path: str) -> None:
 
 
 def op4_external_shuffle(spark, sf_dir: str) -> DataFrame:
-    shuffled = external_shuffle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    doc_id, text = F.col("record.doc_id"), F.coalesce(F.col("record.text"), F.lit(""))
-    grown = shard_of(doc_id.cast("long"), N_SHARDS + 1)
-    return shuffled.select(
-        doc_id.alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard")
+    """``documents`` scattered, shuffled and written to the shared folder; the rows are those of the shards read back."""
+    path = fresh_path(spark, "shards")
+    write_shards(external_shuffle(spark.read.parquet(f"{sf_dir}/documents.parquet")), path)
+    written = spark.read.parquet(path)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    grown = shard_of(F.col("doc_id").cast("long"), N_SHARDS + 1)
+    return written.select(
+        "doc_id",
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col("_shard").cast("int").alias("shard"),
+        F.col("_slot").alias("slot"),
+        grown.alias("grown_shard"),
     )

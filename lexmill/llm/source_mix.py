@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.sized import broadcast_if_small
 from lexmill.sources.shared import bounded_batches, cut
 
 WEIGHTS = (5, 2, 1)
@@ -28,11 +29,14 @@ RING_BITS = 31
 RING = 1 << RING_BITS
 STRIDE = 1327217885
 #: Slots whose ranks are counted together, and documents in a bucket of a stream.
-RUN = 1 << 16
+RUN = 1 << 13
 BUCKET_ROWS = 4096
+#: A bucket is named by leading bits of the key, so many at most.
+MOST_BUCKET_BITS = 31
 #: Up to so many sources their table is broadcast (some 100 bytes each).
 BROADCAST_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
+NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def n_words(text: Column) -> Column:
@@ -106,8 +110,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``target`` (of its source), ``taken`` (words the mix takes, repeats counted),
     ``first_slot`` (the mix's first slot with one of its words, null if none).
 
-    Null texts have size 0, as have blank ones; nothing is taken from them. Null
-    is a source of its own, the last. Equal ids stand next to each other in the
+    Null texts have size 0, as have blank ones; nothing is taken from them and they
+    go round every join. Null is a source of its own, the last. Equal ids stand next to each other in the
     seeded order. An empty table gives an empty result. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -117,18 +121,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = cut(_plan(source_targets(words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).select("source", "source_size")), block), "sources")
     n_slots, n_sources = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count("*")).first()
     rows = words.count()
-    bits = min(16, max(0, (rows // BUCKET_ROWS).bit_length()))
+    bits = min(MOST_BUCKET_BITS, (rows // BUCKET_ROWS).bit_length())
 
     columns = ["source", "nr", "source_size", "target", "blocks", "quota"]
     side = _hint(plan.select(F.col("source").alias("_source"), *columns[1:]), n_sources)
     placed = words.join(side, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("bucket", F.expr(f"shiftright(cast(conv(substring(key, 1, 4), 16, 10) as int), {16 - bits})"))
+    nothing = F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")
+    blank = placed.where("size = 0").select("doc_id", "size", "source_size", "target", *nothing)  # takes no part in the joins
+    placed = placed.where("size > 0").withColumn("bucket", F.expr(f"shiftright(cast(conv(substring(key, 1, 8), 16, 10) as bigint), {32 - bits})"))
     sums = placed.groupBy("nr", "bucket").agg(F.sum("size").alias("n"))
     base = sums.withColumn("base", F.sum("n").over(Window.partitionBy("nr").orderBy("bucket")) - F.col("n")).select("nr", "bucket", "base")
     inside = Window.partitionBy("nr", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("upto", F.sum("size").over(inside)).join(base, ["nr", "bucket"]).withColumn("lo", F.col("base") + F.col("upto") - F.col("size"))
 
-    covers = F.expr(f"CASE WHEN size > 0 THEN sequence(lo div {block}, (lo + size - 1) div {block}) ELSE array(-1L) END")
+    covers = F.expr(f"sequence(lo div {block}, (lo + size - 1) div {block})")
     pieces = placed.select("doc_id", "nr", "size", "source_size", "target", "lo", F.explode(covers).alias("number"))
     schedule = _schedule(plan, n_slots, n_sources).join(_hint(plan.select("nr", "blocks", "quota", F.col("source_size").alias("words")), n_sources), "nr")
     used = schedule.select(
@@ -139,23 +145,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     overlap = F.expr(f"CASE WHEN take > 0 THEN greatest(0L, least(lo + size, number * {block} + take) - greatest(lo, number * {block})) ELSE 0L END")
     met = pieces.join(used, ["nr", "number"], "left").withColumn("overlap", overlap)
-    out = met.groupBy("nr", "lo", "doc_id", "size", "source_size", "target").agg(
-        F.sum("overlap").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"), F.count(F.when(F.col("size") == 0, 1)).alias("blank")
-    )
-    # Blank rows with one id stand at one place: give each back.
-    out = out.withColumn("blank", F.explode(F.expr("sequence(1L, greatest(blank, 1L))")))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    out = met.groupBy("nr", "lo", "doc_id", "size", "source_size", "target").agg(F.sum("overlap").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot").unionByName(blank)
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs``, each row as often as the mix takes it (rounded, so at most ``REPEAT`` times).
-
-    A document without words takes no part in a mix and is left out, as is a row without id.
+    """``docs``, each row as often as the mix takes it, ``REPEAT`` times at most.
+
+    A document that the mix takes in part stays whole, so each source exceeds its
+    target by less than the documents where its rounds end; one that is much longer
+    than its target is still there. Rows of one id count together, as do rows
+    without id. A document without words takes no part in a mix and is left out;
+    one of which nothing is taken goes. An empty table stays empty; names never
+    clash. Texts move only where the ids of the mix are too many to broadcast.
     """
     plan = mix_sources(docs, id_col, text_col, source_col).where("taken > 0")
-    copies = plan.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + F.lit(0.5)).cast("int").alias("copies")).where("copies > 0")
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"))
-    return packed.join(copies, "doc_id").select("row", F.explode(F.expr("sequence(1, copies)")).alias("n")).select("row.*")
+    copies = plan.groupBy("doc_id").agg(F.least(F.ceil(F.sum("taken") / F.sum("size")), F.lit(REPEAT)).cast("int").alias("copies"))
+    copies = broadcast_if_small(cut(copies, "copies").select(F.col("doc_id").alias("_id"), "copies"))
+    packed = docs.where(F.col(text_col).rlike(NO_SPACE)).select(F.struct("*").alias("row"), F.col(id_col).alias("_doc"))
+    return packed.join(copies, F.col("_doc").eqNullSafe(F.col("_id"))).select("row", F.explode(F.expr("sequence(1, copies)")).alias("n")).select("row.*")
 
 
 def op8_golden_mix(spark, sf_dir: str) -> DataFrame:

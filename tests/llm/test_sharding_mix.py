@@ -3,8 +3,11 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
+from lexmill.llm import sharding
 from lexmill.llm.sharding import external_shuffle, op4_external_shuffle, shard_of, write_shards
 from lexmill.llm.source_mix import OP8_SQL, apply_mix, mix_sources, op8_golden_mix
 from tests.oracle import check
@@ -38,6 +41,61 @@ def test_small_buckets_keep_slots_gapless(spark, docs, bucket_bytes, tmp_path):
     assert back.count() == docs.count() and set(docs.columns) <= set(back.columns)
 
 
+def hashed(*values):
+    """The engine's 64-bit hash of numbers and strings: each value is hashed with the hash before it as seed."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v
+        h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def whole(number, size=4):
+    return int(number).to_bytes(size, "little", signed=True)
+
+
+@pytest.mark.parametrize("fine", [1 << 12, 4])
+def test_scatter_and_shuffle_equal_a_plain_version(spark, docs, monkeypatch, fine):
+    """Buckets and slots by plain loops; with 4 parts counted first, buckets must be counted again."""
+    monkeypatch.setattr(sharding, "FINE", fine)
+    seed, shards, most = sharding.SEED, 3, 2000
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    total, parts = sum(len(t.encode()) + 8 for t in rows.values()), 1
+    while total > parts * shards * most:
+        parts *= 2
+    assert parts > 4
+    buckets = defaultdict(list)
+    for i, text in rows.items():
+        shard = max((hashed(whole(seed), whole(k), whole(i, 8)), k) for k in range(shards))[1]
+        tie = hashed(whole(seed + 1), whole(i, 8), text)
+        buckets[shard * parts + (tie % max(fine, parts)) // (max(fine, parts) // parts)].append((i, tie))
+    want, at = {}, Counter()
+    for bucket in sorted(buckets):
+        held = sorted(buckets[bucket])
+        draws = np.random.Generator(np.random.PCG64([seed, bucket])).random(len(held))
+        for i in range(len(held) - 1, 0, -1):
+            j = int(draws[i] * (i + 1))
+            held[i], held[j] = held[j], held[i]
+        for i, _ in held:
+            want[i] = (bucket // parts, bucket, at[bucket // parts])
+            at[bucket // parts] += 1
+    made = external_shuffle(docs, n_shards=shards, bucket_bytes=most).select("record.doc_id", "shard", "bucket", "slot").collect()
+    assert {r["doc_id"]: (r["shard"], r["bucket"], r["slot"]) for r in made} == want
+
+
+def test_rows_that_differ_in_other_columns_only_keep_their_places(spark):
+    rows = [(1, "same", f"s{i}", {"k": i}) for i in range(40)]
+    schema = "doc_id long, text string, source string, more map<string,int>"
+    made = [external_shuffle(spark.createDataFrame(r, schema).repartition(n), n_shards=2).select("record.source", "slot").collect() for r, n in ((rows, 3), (rows[::-1], 5))]
+    assert {r["source"]: r["slot"] for r in made[0]} == {r["source"]: r["slot"] for r in made[1]} and len(made[0]) == 40
+
+
+def test_long_and_unnamed_documents_stay_in_the_mix(spark):
+    rows = [(1, "w " * 5000, "a")] + [(i, f"x{i} y z", "b") for i in range(2, 40)] + [(None, "no id here", "b"), (50, " ", "b")]
+    mixed = [r["doc_id"] for r in apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert 1 in mixed and None in mixed and 50 not in mixed and max(Counter(mixed).values()) <= 2
+
+
 def test_shuffle_order_is_mixed(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
     order = [r["record"]["doc_id"] for r in external_shuffle(rows, n_shards=1).orderBy("slot").collect()]
@@ -79,7 +137,8 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count() and mix_sources(none).count() == 0 and apply_mix(none).count() == 0
     assert all(r["taken"] == 0 for r in got if r["size"] == 0)
     mixed = apply_mix(odd)
-    assert mixed.columns == odd.columns and {r["doc_id"] for r in mixed.collect()} <= {1, 2, 6, 7, 8, 9, 10}
+    assert mixed.columns == odd.columns and {r["doc_id"] for r in mixed.collect()} <= {None, 1, 2, 6, 7, 8, 9, 10}
+    assert mixed.where("text is null or trim(text) = ''").count() == 0
     made = external_shuffle(odd, n_shards=3, bucket_bytes=100).select("shard", "slot", "record.doc_id").collect()
     assert len(made) == odd.count() and external_shuffle(none).count() == 0
     assert len({r["shard"] for r in made if r["doc_id"] is None}) == 1
