@@ -4,15 +4,17 @@ Every tree orders the documents by a signature of its own, a sequence of
 MinHash values. Documents that stand together in that order with a common
 prefix of ``MIN_DEPTH`` values form a region; where a region is crowded the
 prefix grows, for that region alone, until it holds ``CROWD`` documents at most.
-Inside a region compact sketches pick the candidates; full shingle sets
-confirm every link.
-
-Whatever stays open is settled exactly: a region first names the strongest
-spanning forest of its candidates, and once the confirmed links are known,
-every candidate between two different components is confirmed as well, unless
-bitmaps of the two sets prove that they have too few shingles in common. This
-second pass takes the regions of ``MIN_DEPTH`` values whole, however crowded
-they are: large ones are compared block by block over all pairs of parts.
+Inside a region, a document's candidates are its longest-common-prefix
+neighbours: those that stand around it in the sorted order with as long a prefix
+as any other shares with it. Compact sketches keep the promising ones; full
+shingle sets confirm every link.
+
+Whatever stays open is settled exactly: the first pass names the strongest
+spanning forest of a region's candidates, and once the confirmed links are
+known, every pair of a region between two different components is compared and
+confirmed as well, unless its sketches or bitmaps of the two sets rule it out.
+This second pass takes the regions of ``MIN_DEPTH`` values whole, however
+crowded they are: large ones are compared block by block over all pairs of parts.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ VALUES = TREES * DEPTH
 #: Of VALUES sketch cells, so many equal ones make a candidate. At a similarity
 #: of 0.75 the expected count is 110 with deviation 5: about 4 in a million fall short.
 LEAST_EQUAL = 88
-#: Bits of the filter that names documents whose full sets are wanted (1 MB).
-FILTER_BITS = 1 << 23
+#: Bits for each document in the filter that names those whose full sets are wanted, and the filter's least and most bits (1 and 64 MB).
+BITS_PER_ID, LEAST_FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 23, 1 << 29
 #: Bytes of the bitmap that bounds a pair's common shingles from above.
 BOUND_BYTES = 1024
 
@@ -100,9 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _full_sets(keep: bytes, bitmap: bool):
-    """Sorted shingle sets of the wanted documents, or bitmaps of them."""
-    wanted = np.frombuffer(keep, dtype=np.uint8)
+def _full_sets(send, bitmap: bool):
+    """Sorted shingle sets of the wanted documents, or bitmaps of them; ``send`` broadcasts the filter."""
 
     def hashed(s: np.ndarray) -> bytes:
         cells = np.zeros(8 * BOUND_BYTES, dtype=bool)
@@ -110,6 +111,7 @@ def _full_sets(keep: bytes, bitmap: bool):
         return np.packbits(cells).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(send.value, dtype=np.uint8)
         for batch in batches:
             slot = batch.column(2).to_numpy() - 1
             mask = (wanted[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
@@ -153,6 +155,25 @@ def _likeness(cells: np.ndarray, sizes: np.ndarray, other_cells: np.ndarray, oth
     return equal
 
 
+def _neighbours(path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Longest-common-prefix neighbours in a sorted order: rows, and the stretch of rows around them that are theirs.
+
+    ``path`` has a row of values for each document. Rows of one stretch have the
+    same length of prefix as their longest; every row is in one of the first parts.
+    """
+    m = len(path)
+    lcp = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1)
+    longest = np.maximum(np.concatenate(([-1], lcp)), np.concatenate((lcp, [-1])))
+    for depth in np.unique(longest)[::-1]:
+        stretch = np.concatenate(([0], np.cumsum(lcp < depth)))
+        rows = np.flatnonzero(longest == depth)
+        of = stretch[rows]
+        ends = np.searchsorted(stretch, np.arange(stretch[-1] + 2))
+        for some in np.split(rows, np.flatnonzero(of[1:] != of[:-1]) + 1):
+            a = stretch[some[0]]
+            yield some, np.arange(ends[a], ends[a + 1] if a + 1 < len(ends) else m)
+
+
 def _forest(equal: np.ndarray) -> list[tuple[int, int]]:
     """The strongest spanning forest of a region's candidates."""
     m = len(equal)
@@ -216,19 +237,24 @@ def _across(group: pa.RecordBatch, min_pct: int) -> Iterator[tuple[np.ndarray, n
 
 
 def _pairs_of(across: bool, min_pct: int = 75):
-    """Candidates of each region: its spanning forest, or all possible ones between different components."""
+    """Candidates of each region: the forest of its neighbours in sorted order, or all possible ones between different components."""
 
     def pairs_in(group: pa.RecordBatch) -> Iterator[tuple[np.ndarray | list, np.ndarray | list]]:
         if across:
             yield from _across(group, min_pct)
             return
-        cells, sizes = _unpack(group.column(3).to_pylist()), group.column(2).to_numpy()
-        equal = _likeness(cells, sizes, cells, sizes)
-        if group.num_rows == 2:
-            yield ([0], [1]) if equal[0, 1] else ([], [])
-        else:
-            edges = _forest(equal)
-            yield [x for x, _ in edges], [y for _, y in edges]
+        cells, sizes, m = _unpack(group.column(3).to_pylist()), group.column(2).to_numpy(), group.num_rows
+        if m == 2:
+            yield ([0], [1]) if _likeness(cells[:1], sizes[:1], cells[1:], sizes[1:])[0, 0] else ([], [])
+            return
+        path = np.frombuffer(b"".join(group.column(4).to_pylist()), dtype=f"V{STEP}").reshape(m, DEPTH)
+        equal = np.zeros((m, m), dtype=np.int16)
+        for rows, near in _neighbours(path):
+            like = _likeness(cells[rows], sizes[rows], cells[near], sizes[near])
+            equal[np.ix_(rows, near)] = like
+            equal[np.ix_(near, rows)] = like.T
+        edges = _forest(equal)
+        yield [x for x, _ in edges], [y for _, y in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -329,14 +355,23 @@ def _blocks(rest: DataFrame) -> DataFrame:
 
 
 def _shingled(ids: DataFrame, docs: DataFrame, bitmap: bool = False) -> DataFrame:
-    """``doc_id`` and ``members`` (set, or its bitmap) of the documents in ``ids``; texts meet no shuffle."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    filled = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    keep = bytearray(FILTER_BITS // 8)
-    for row in filled:  # FILTER_BITS / 32768 rows of 4 KB at most
+    """``doc_id`` and ``members`` (set, or its bitmap) of the documents in ``ids``; texts meet no shuffle.
+
+    A filter of a few bits for each wanted document keeps the others from being
+    shingled. It grows with their number up to ``MOST_FILTER_BITS``; beyond, it lets
+    more through, which the join drops: the work grows, the result stays.
+    """
+    n, bits = ids.count(), LEAST_FILTER_BITS
+    while bits < min(BITS_PER_ID * n, MOST_FILTER_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    filled = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    keep = bytearray(bits // 8)
+    for row in filled.toLocalIterator():  # bits / 32768 rows of 4 KB at most
         keep[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = row["bits"]
+    send = docs.sparkSession.sparkContext.broadcast(bytes(keep))
     named = docs.select("doc_id", "text", slot.alias("slot")).where("doc_id is not null")
-    return named.mapInArrow(_full_sets(bytes(keep), bitmap), f"doc_id long, members {'binary' if bitmap else 'array<long>'}").join(ids, "doc_id", "left_semi")
+    return named.mapInArrow(_full_sets(send, bitmap), f"doc_id long, members {'binary' if bitmap else 'array<long>'}").join(ids, "doc_id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, min_pct: int) -> DataFrame:
@@ -355,8 +390,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept``, one row per input row. Null and blank texts have no shingles and
     link with nothing; a text under five words is one shingle. Rows that repeat
     an id count as one document. A row without an id joins no group and is kept.
-    Other columns are ignored. The sketch threshold is tuned to ``min_pct`` of 75
-    and above; smaller values are refused.
+    Other columns are ignored; an empty table gives an empty result; a text is
+    taken whole, however long. The sketch threshold is tuned to ``min_pct`` of 75 and
+    above; smaller values are refused.
     """
     if min_pct < 75:
         raise ValueError("min_pct must be 75 or more")
@@ -370,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     regions = cut(_regions(reps), "regions")
     order = ["region", "rep", "n_shingles", "sketch"]
-    ordered = regions.where("first").repartition("region").sortWithinPartitions("region", "path", "rep").select(order)
+    ordered = regions.where("first").repartition("region").sortWithinPartitions("region", "path", "rep").select(*order, "path")
     pairs = cut(ordered.mapInArrow(_pairs_of(False), _PAIRS).distinct(), "pairs")
     links = cut(_confirmed(pairs, docs, min_pct), "links")
     groups = cut(connected_components(links), "groups")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lexmill.llm import near_dedup
@@ -77,7 +78,7 @@ def test_template_is_as_said():
     assert brute(rows) == want and len(set(want.values())) == 30
 
 
-@pytest.mark.parametrize(("crowd", "n"), [(2048, 5000), (32, 2600)])
+@pytest.mark.parametrize(("crowd", "n"), [(2048, 5000), (32, 2600), (8, 1200)])
 def test_large_templated_group_keeps_its_links(spark, monkeypatch, crowd, n):
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rows, want = templated(n)
@@ -114,3 +115,28 @@ def test_documents_equal_sql(spark, sf_dir):
     from tests.oracle import check
 
     check(spark, sf_dir, op3_minhash_forest, near_dedup.OP3_SQL)
+
+
+def test_neighbours_share_the_longest_prefix():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        m = int(rng.integers(2, 30))
+        path = rng.integers(0, 3, (m, 6)).astype("u2")
+        path = path[np.lexsort(path.T[::-1])]
+        common = np.array([[np.cumprod(path[i] == path[j]).sum() if i != j else -1 for j in range(m)] for i in range(m)])
+        want = common == common.max(axis=1)[:, None]
+        got = np.zeros((m, m), bool)
+        for rows, near in near_dedup._neighbours(path):
+            assert not got[rows].any()
+            got[np.ix_(rows, near)] = True
+        np.fill_diagonal(got, False)
+        np.fill_diagonal(want, False)
+        assert (got == want).all()
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAST_FILTER_BITS", 1 << 15)
+    monkeypatch.setattr(near_dedup, "MOST_FILTER_BITS", 1 << 15)
+    rows = variants(2)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
