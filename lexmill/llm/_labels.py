@@ -22,7 +22,12 @@ def drawn(ids: DataFrame, most: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int) -> list:
-    """Rows of ``ids`` (a bounded sample, so it is broadcast) with their texts, those above ``most_bytes`` left out."""
+def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int) -> DataFrame:
+    """Rows of ``ids`` (a bounded sample, so it is broadcast) with their texts, those above ``most_bytes`` left out.
+
+    An id that repeats gives one row, the least of its texts, so no more rows come than there are in ``ids``.
+    """
     texts = docs.where(F.octet_length("text") <= most_bytes)
-    return sorted(texts.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct("text", *others)).alias("_row")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at once; bounds the working arrays to some 20 MB.
+#: Bytes hashed at once, also of a longer word; bounds the working arrays to some 20 MB.
 CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -66,6 +66,46 @@ def _hash_chunk(buf: np.ndarray, opens: np.ndarray, heads: tuple[int, ...]) -> t
     return starts, out
 
 
+def _hash_long(buf: np.ndarray, lo: int, end: int, lower: bool, heads: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the one word ``buf[lo:end]``, a chunk at a time: the same as those of :func:`_hash_chunk`."""
+    table, base, whole = _power_table(CHUNK)[:CHUNK], int(_BASE), 0
+    firsts = [0] * len(heads)
+    for at in range(lo, end, CHUNK):
+        piece = buf[at : min(at + CHUNK, end)]
+        terms = ((_LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)) * table[: len(piece)]
+        scale = pow(base, at - lo, 1 << 64)
+        whole += int(terms.sum(dtype=np.uint64)) * scale
+        for k, n in enumerate(heads):
+            if at - lo < n:
+                firsts[k] += int(terms[: n - (at - lo)].sum(dtype=np.uint64)) * scale
+    fold = lambda x: np.array([x % (1 << 64)], dtype=np.uint64)
+    return [mix(fold(whole)), *[mix(fold(x + n)) for x, n in zip(firsts, heads, strict=True)]]
+
+
+def _chunk_end(buf: np.ndarray, lo: int, offsets: np.ndarray) -> tuple[int, bool]:
+    """Where a chunk that starts at ``lo`` ends, and whether it is all of one longer word.
+
+    No word is cut: the chunk ends at a space or where a text does.
+    """
+    size, hi = len(buf), lo + CHUNK
+    if hi >= size:
+        return size, False
+    text_end = int(offsets[np.searchsorted(offsets, hi, side="right") - 1])  # the last one at or before hi
+    spaces = np.flatnonzero(_SPACE[buf[lo : hi + 1]])
+    cut = max(text_end, lo + int(spaces[-1]) if len(spaces) else lo)
+    if cut > lo:
+        return cut, False
+    if len(spaces):  # the space at lo alone, then a longer word
+        return lo + 1, False
+    stop = min(size, int(offsets[np.searchsorted(offsets, lo, side="right")]))
+    while hi < stop:
+        ahead = np.flatnonzero(_SPACE[buf[hi : min(hi + CHUNK, stop)]])
+        if len(ahead):
+            return hi + int(ahead[0]), True
+        hi += CHUNK
+    return stop, True
+
+
 def hash_words(texts: pa.Array, lower: bool = True, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
     """Hashes of all words of an Arrow string array, null read as empty.
 
@@ -84,13 +124,15 @@ def hash_words(texts: pa.Array, lower: bool = True, heads: tuple[int, ...] = ())
     size = len(buf)
     all_starts, parts, lo = [], [], 0
     while lo < size:
-        hi = min(lo + CHUNK, size)
-        while hi < size and not _SPACE[buf[hi]]:
-            ahead = np.flatnonzero(_SPACE[buf[hi : hi + 65536]])
-            hi = hi + int(ahead[0]) if len(ahead) else min(hi + 65536, size)
+        hi, one_word = _chunk_end(buf, lo, offsets)
+        if one_word:
+            all_starts.append(np.array([lo]))
+            parts.append(_hash_long(buf, lo, hi, lower, heads))
+            lo = hi
+            continue
         piece = buf[lo:hi]
         opens = np.zeros(hi - lo, dtype=bool)
-        inside = offsets[(offsets >= lo) & (offsets < hi)]
+        inside = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)]
         opens[inside - lo] = True
         starts, hashes = _hash_chunk(_LOWER[piece] if lower else piece, opens, heads)
         all_starts.append(starts + lo)

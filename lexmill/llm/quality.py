@@ -165,14 +165,28 @@ def train(pos: np.ndarray, unl: np.ndarray, seed: int = SEED) -> Network:
     return _train(pos, unl, estimate_prior(scores_p, scores_u), seed + 1)
 
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi in text_slices(batch.column(2)):
+            part = batch.slice(lo, hi - lo)
+            made = features(part.column(2))
+            ends = pa.array(np.arange(len(made) + 1, dtype=np.int32) * N_FEATURES)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], names=["doc_id", "label", "made"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 2, folds: int = 4) -> Network | None:
-    """Train on bounded samples outside the held-out fold; None without positives or unlabelled texts."""
+    """Train on bounded samples outside the held-out fold; None without positives or unlabelled texts.
+
+    Features are made where the texts lie; only they come to the driver.
+    """
+    bounded_batches(docs.sparkSession)
     open_fold = fold(F.col("doc_id"), folds) != held_out_fold
     positives = drawn(labels_of(labels, "quality").where(open_fold & (F.col("label") == 1)), MOST_POSITIVES, SEED)
     web = drawn(docs.select("doc_id").where(open_fold & F.col("doc_id").isNotNull()).distinct(), MOST_UNLABELLED, SEED + 1).withColumn("label", F.lit(-1))
-    rows = texts_of(docs.select("doc_id", "text"), positives.unionByName(web), MOST_BYTES)
-    made = features(pa.array([r["text"] for r in rows], pa.string()))
-    trusted = np.array([r["label"] == 1 for r in rows], dtype=bool)
+    rows = texts_of(docs.select("doc_id", "text"), positives.unionByName(web), MOST_BYTES).select("doc_id", "label", "text")
+    found = sorted(rows.mapInArrow(_featured, "doc_id long, label int, made array<double>").collect())  # some 400 bytes a row
+    made = np.array([r["made"] for r in found]).reshape(-1, N_FEATURES)
+    trusted = np.array([r["label"] == 1 for r in found], dtype=bool)
     if trusted.sum() < 2 or (~trusted).sum() < 2:
         return None
     return train(made[trusted], made[~trusted])

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.sources.shared import bounded_batches
 
@@ -33,6 +34,9 @@ ROW = 64
 PAGE_ROWS = 256
 STRIP_ROWS = 128
 MOST_PAGES = 1 << 20
+EMIT_BYTES = 4 << 20
+#: Bytes of one decoded page; a larger one is an error, so a small file cannot fill the memory.
+MOST_PAGE_BYTES = 1 << 28
 
 
 class TiffError(ValueError):
@@ -54,11 +58,12 @@ class Page:
     """Samples row by row, interleaved, little-endian; below 8 bits packed as stored."""
 
 
-def unpack_bits(data: bytes) -> bytes:
-    """PackBits, decoded."""
-    out, at, n = [], 0, len(data)
-    while at < n:
+def unpack_bits(data: bytes, most: int = MOST_PAGE_BYTES) -> bytes:
+    """PackBits, decoded; no further than to ``most`` bytes."""
+    out, at, n, size = [], 0, len(data), 0
+    while at < n and size < most:
         head = data[at]
+        size += head + 1 if head < 128 else 257 - head if head > 128 else 0
         at += 1
         if head < 128:
             out.append(data[at : at + head + 1])
@@ -92,11 +97,11 @@ def pack_bits(data: bytes) -> bytes:
 _SINGLE = [bytes([i]) for i in range(256)]
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """LZW as TIFF has it: codes from the high bit, widths grow one code early."""
+def lzw_decode(data: bytes, most: int = MOST_PAGE_BYTES) -> bytes:
+    """LZW as TIFF has it: codes from the high bit, widths grow one code early; no further than to ``most`` bytes."""
     table: list[bytes] = [*_SINGLE, b"", b""]
     out: list[bytes] = []
-    width, held, bits, last = 9, 0, 0, None
+    width, held, bits, last, done = 9, 0, 0, None, 0
     for byte in data:
         held = held << 8 | byte
         bits += 8
@@ -128,6 +133,9 @@ def lzw_decode(data: bytes) -> bytes:
             width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
         out.append(entry)
         last = entry
+        done += len(entry)
+        if done >= most:
+            break
     return b"".join(out)
 
 
@@ -171,22 +179,23 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _decompress(data: bytes, compression: int) -> bytes:
+def _decompress(data: bytes, compression: int, need: int) -> bytes:
+    """The first ``need`` bytes of a strip or tile, or a little more."""
     if compression == RAW:
         return data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, need)
     if compression in (DEFLATE, OLD_DEFLATE):
         stream = zlib.decompressobj()
         try:
-            out = stream.decompress(data)
+            out = stream.decompress(data, need)
         except zlib.error as e:
             raise TiffError(str(e)) from e
-        if not stream.eof:
+        if len(out) < need and not stream.eof:
             raise TiffError("deflate data is cut short")
         return out
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     raise TiffError(f"compression {compression} is not supported")
 
 
@@ -257,8 +266,10 @@ def decode_pages(data: bytes) -> Iterator[Page]:
     try:
         for number, (order, f) in enumerate(_directories(data)):
             yield _page(data, number, order, f)
-    except (struct.error, KeyError, IndexError) as e:
-        raise TiffError(f"broken directory: {e}") from e
+    except (struct.error, LookupError, TypeError, ArithmeticError, MemoryError) as e:
+        raise TiffError(f"broken directory: {type(e).__name__} {e}") from e
+    except ValueError as e:
+        raise e if isinstance(e, TiffError) else TiffError(f"broken directory: {e}") from e
 
 
 def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
@@ -267,14 +278,16 @@ def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     compression, predictor, tiled = one(COMPRESSION, RAW), one(PREDICTOR, 1), TILE_OFFSETS in f
     if len(set(f.get(BITS, (bits,)))) > 1:
         raise TiffError("samples of different widths")
-    if not width or not length:
+    if not all(isinstance(x, int) and x > 0 for x in (width, length, samples, bits, one(ROWS_PER_STRIP, 1))):
         raise TiffError("a page without size")
+    if length * ((width * samples * bits + 7) // 8) > MOST_PAGE_BYTES:
+        raise TiffError("a page is too large")
     planes = samples if one(PLANAR, 1) == 2 else 1
     inside = samples // planes
     if tiled:
         tw, tl, offsets, sizes = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0), f[TILE_OFFSETS], f[TILE_BYTES]
-        if not tw or not tl:
-            raise TiffError("tiles without size")
+        if not all(isinstance(x, int) and x > 0 for x in (tw, tl)) or tw * tl * inside * bits > 8 * MOST_PAGE_BYTES:
+            raise TiffError("tiles without size, or too large")
     else:
         tw, tl, offsets = width, min(one(ROWS_PER_STRIP, length), length), f[STRIP_OFFSETS]
         sizes = f.get(STRIP_BYTES) or ((len(data) - offsets[0],) if len(offsets) == 1 else ())
@@ -288,7 +301,8 @@ def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     for k in range(planes * across * down):
         plane, (y, x) = k // (across * down), divmod(k % (across * down), across)
         rows = tl if tiled else min(tl, length - y * tl)
-        part = _undo(_decompress(data[offsets[k] : offsets[k] + sizes[k]], compression), rows, tw, inside, bits, predictor, order)
+        stored = data[offsets[k] : offsets[k] + sizes[k]]
+        part = _undo(_decompress(stored, compression, rows * ((tw * inside * bits + 7) // 8)), rows, tw, inside, bits, predictor, order)
         if not step:
             whole.append(part)
             continue
@@ -298,13 +312,9 @@ def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     return Page(number, width, length, samples, bits, one(SAMPLE_FORMAT, 1), compression, predictor, tiled, raw)
 
 
-#: Layouts a payload's checksum chooses from: compression, predictor, tiled.
-LAYOUTS = (
-    (LZW, 1, False),
-    *((PACKBITS, 1, False),) * 3,
-    *((DEFLATE, 2, True),) * 4,
-    *((DEFLATE, 1, False),) * 8,
-)
+#: Layouts a payload's checksum chooses from, in equal shares: compression, predictor, tiled.
+#: Predictor 3 is for floating-point samples, so 8-bit payloads never have it.
+LAYOUTS = tuple((c, p, t) for c in (PACKBITS, LZW, DEFLATE) for p in (1, 2) for t in (False, True))
 
 
 def encode(payload: bytes, layout: tuple[int, int, bool] | None = None) -> bytes:
@@ -362,7 +372,11 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``media``: every whole text as a TIFF; null is stored as the empty text. One row per input row."""
+    """``doc_id``, ``n_bytes``, ``media``: every whole text, however long, as a TIFF; null is stored as the empty text.
+
+    One row per input row, repeated rows included, equal texts as equal bytes; an
+    empty table gives an empty result; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,13 +396,18 @@ _PAGE_COLUMNS = ("page", "width", "length", "samples", "bits", "sample_format",
 def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row per page of every TIFF of a column.
 
-    Returns the id, the page's number and layout, its samples as ``data`` and
-    ``error``. A null gives no row; bytes that cannot be decoded give the pages
-    before the fault, then one row with the fault named and no data. Repeated
-    rows give repeated pages; other columns are ignored.
+    Returns the id (any type, also a struct), the page's number and layout, its
+    samples as ``data`` and ``error``. A null gives no row; bytes that cannot be
+    decoded, empty ones among them, give the pages before the fault, then one row
+    with the fault named and no data. Pages above ``MOST_PAGE_BYTES`` are a fault.
+    Repeated rows give repeated pages, an empty table gives an empty result; other
+    columns are ignored; an id named like a column of the result is refused. Pages
+    come in the order of their rows, those of one TIFF after each other.
     """
-    kind = media.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, page int, width int, length int, samples int, bits int, sample_format int, compression int, predictor int, tiled boolean, data binary, error string"
+    if id_col in _PAGE_COLUMNS:
+        raise ValueError(f"the id must not be named {id_col}")
+    kinds = [T.IntegerType()] * 8 + [T.BooleanType(), T.BinaryType(), T.StringType()]
+    schema = T.StructType([media.schema[id_col], *[T.StructField(n, k) for n, k in zip(_PAGE_COLUMNS, kinds, strict=True)]])
     types = [pa.int32()] * 8 + [pa.bool_(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,12 +421,18 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                     for p in decode_pages(data):
                         number = p.number
                         rows.append((p.number, p.width, p.length, p.samples, p.bits, p.sample_format, p.compression, p.predictor, p.tiled, p.data, None))
+                        if sum(len(r[9]) for r in rows) > EMIT_BYTES:
+                            yield _emitted(batch, i, rows, types)
+                            rows = []
                 except TiffError as e:
                     rows.append((number + 1, *[None] * 9, str(e)))
                 if rows:
-                    ids = batch.column(0).take(pa.array([i] * len(rows)))
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, *_PAGE_COLUMNS])
+                    yield _emitted(batch, i, rows, types)
+
+    def _emitted(batch: pa.RecordBatch, i: int, rows: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        ids = batch.column(0).take(pa.array([i] * len(rows)))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, *_PAGE_COLUMNS])
 
     return media.select(id_col, media_col).mapInArrow(run, schema)
 
@@ -415,30 +440,56 @@ def tiff_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 _DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Payload:
+    """What the pages of one TIFF amount to, page by page."""
+
+    def __init__(self, key: dict):
+        self.key, self.sha, self.size, self.tail = key, hashlib.sha256(), 0, b""
+        self.histogram, self.pages, self.layout = np.zeros(256, dtype=np.int64), 0, ""
+
+    def add(self, data: bytes, layout: str) -> None:
+        self.sha.update(data)
+        self.size += len(data)
+        self.tail = (self.tail + data[-ROW:])[-ROW:]
+        self.histogram += np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
+        self.pages += 1
+        self.layout = self.layout or layout
+
+    def row(self) -> tuple:
+        n, counts = self.size, self.histogram
+        total, squares = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
+        share = counts[counts > 0] / n
+        spread = math.sqrt(max(0, squares * n - total * total)) / n
+        feature = f"pages={self.pages};layout={self.layout};mean={total / n:.4f};sd={spread:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f}"
+        k = self.key
+        return k["doc_id"], k["n_bytes"], n, self.sha.hexdigest(), zlib.crc32(self.tail), k["media_bytes"], k["media_sha256"], feature
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages, those of one TIFF after each other, to one row a TIFF."""
     names = [c.split()[0] for c in _DIGEST.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    now, rows = None, []
     for batch in batches:
-        rows = []
-        for media in batch.column(2):
-            data = media.as_py()
-            whole, histogram, layouts = [], np.zeros(256, dtype=np.int64), []
-            for page in decode_pages(data):
-                whole.append(page.data)
-                histogram += np.bincount(np.frombuffer(page.data, dtype=np.uint8), minlength=256)
-                layouts.append(f"{page.compression}.{page.predictor}.{'t' if page.tiled else 's'}")
-            payload = b"".join(whole)
-            n = len(payload)
-            total, squares = int(histogram @ np.arange(256)), int(histogram @ np.arange(256) ** 2)
-            share = histogram[histogram > 0] / n
-            spread = math.sqrt(max(0, squares * n - total * total)) / n
-            feature = f"pages={len(layouts)};layout={layouts[0]};mean={total / n:.4f};sd={spread:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f}"
-            rows.append((n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        if rows:
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
+        for key, compression, predictor, tiled, data, error in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if error is not None:
+                raise TiffError(f"document {key['doc_id']}: {error}")
+            if now is None or key["row"] != now.key["row"]:
+                rows += [now.row()] if now else []
+                now = _Payload(key)
+            now.add(data, f"{compression}.{predictor}.{'t' if tiled else 's'}")
+        if len(rows) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows = []
+    rows += [now.row()] if now else []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def op1_tiff_pages(spark, sf_dir: str) -> DataFrame:
-    """Texts stored as TIFFs and read back: the pages of each are folded where they are decoded, so none is shuffled."""
-    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).mapInArrow(_digest, _DIGEST)
+    """Texts stored as TIFFs and read back page by page; the pages of one follow each other where they are read, so none is shuffled."""
+    stored = store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    size, digest = F.octet_length("media").cast("long"), F.sha2("media", 256)
+    key = F.struct(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", size.alias("media_bytes"), digest.alias("media_sha256"))
+    pages = tiff_pages(stored.select(key.alias("key"), "media"), "key")
+    return pages.select("key", "compression", "predictor", "tiled", "data", "error").mapInArrow(_fold, _DIGEST)
