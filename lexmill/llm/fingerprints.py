@@ -27,6 +27,8 @@ FAR = 1.625 * BUCKETS
 LENGTH_COST = 6
 MOST_LENGTH_STEPS = 12
 _PIECE = 1 << 18
+#: Bytes of text in a range of ids, and the most ranges; larger ranges are sorted on disk and read as a stream.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 4096
 
 _draw = np.random.default_rng(77)
 _SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
@@ -145,10 +147,11 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / n).cast("double") for i in range(1, n)]) if n > 1 else F.array().cast("array<double>")
-    cuts, top = rows.agg(F.percentile_approx("doc_id", shares, 10_000) if n > 1 else F.lit(None), F.max("doc_id")).first()
-    heads = sorted({*(cuts or []), *([top] if top is not None else [])}, reverse=True)  # first ids of the ranges: one a partition
+    shares = F.array(*[F.lit(i / MOST_RANGES).cast("double") for i in range(1, MOST_RANGES)])
+    cuts, top, total = rows.agg(F.percentile_approx("doc_id", shares, 4 * MOST_RANGES), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    n = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-(total or 0) // RANGE_BYTES)))
+    cuts = [cuts[i * MOST_RANGES // n - 1] for i in range(1, n)] if cuts else []
+    heads = sorted({*cuts, *([top] if top is not None else [])}, reverse=True)  # first ids of the ranges: one a partition
     last = max(len(heads) - 1, 0)
     at = F.array(*[F.lit(c).cast("long") for c in heads[1:]]) if last else F.array().cast("array<long>")
     own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(at, lambda c: F.col("doc_id") <= c)))

@@ -32,11 +32,13 @@ _RUN = re.compile(r"[0-9]+")
 _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+;=-]+:[^\s/@:]+@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[\s:#.]{0,3}([A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30})")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|num)\.?)?[\x20:#.]{1,3}([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])", re.I | re.A)
 _WORDS_BACK = re.compile(r"(?<![\w])([0-9]{1,5}[A-Za-z]?\x20(?:[^\W\d_][\w'-]*\x20){1,3})\Z")
 _NUMBER_BACK = re.compile(r"(?<![\w])([0-9]{1,5}(?:\x20?bis|\x20?ter)?,?\x20)\Z")
+_NUMBER_CHARS = 11  # the most that it can match
 _NUMBER_ON = re.compile(r"(?:\x20[^\W\d_][\w'-]*){0,4},?\x20([0-9]{1,5})(?![0-9])")
 _NAME_ON = re.compile(r"(?:\x20[^\W\d_][\w'-]*){1,4}")
 _CASE = {c: c + 32 for c in range(65, 91)}
@@ -73,6 +75,13 @@ def _word_at(text: str, a: int, b: int) -> bool:
     return (a == 0 or not (text[a - 1].isalnum() or text[a - 1] == "_")) and (b == len(text) or not (text[b].isalnum() or text[b] == "_"))
 
 
+def _words_back(text: str, at: int, words: int = 4) -> int:
+    """Where the last ``words`` words before ``at`` begin, however long they are."""
+    for _ in range(words):
+        at = text.rfind(" ", 0, max(at - 1, 0)) + 1
+    return at
+
+
 def find_in(text: str) -> list[Span]:
     """All spans of a text, sorted; see :func:`find_personal`."""
     found: list[Span] = []
@@ -105,9 +114,12 @@ def find_in(text: str) -> list[Span]:
                 if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append(("phone", *m.span()))
         elif what == "://":
-            m, s = _USERINFO.match(text, at + 1), _SCHEME.search(text, max(0, a - 20), a)
-            if m and s:
-                found.append(("login", s.start(), m.end()))
+            if m := _USERINFO.match(text, at + 1):
+                lo = a
+                while lo > 0 and text[lo - 1] in _SCHEME_CHARS:
+                    lo -= 1
+                if s := _SCHEME.search(text, lo, a):
+                    found.append(("login", s.start(), m.end()))
         elif what == "iban":
             if (m := _IBAN.match(text, at + 1)) and _word_at(text, a, at + 1):
                 letters = re.sub(r"\x20", "", m[1])
@@ -124,14 +136,14 @@ def find_in(text: str) -> list[Span]:
             if (m := _ACCOUNT.match(text, at + 1)) and _word_at(text, a, at + 1):
                 found.append(("account", *m.span(1)))
         else:
-            if "after" in what and _word_at(text, a, at + 1) and (m := _WORDS_BACK.search(text, max(0, a - 80), a)):
+            if "after" in what and _word_at(text, a, at + 1) and (m := _WORDS_BACK.search(text, _words_back(text, a), a)):
                 found.append(("street", m.start(1), at + 1))
             if "before" in what and (m := _NUMBER_ON.match(text, at + 1)):
                 lo = a
                 while lo > 0 and text[lo - 1].isalpha():
                     lo -= 1
                 found.append(("street", lo, m.end(1)))
-            if "first" in what and _word_at(text, a, at + 1) and (m := _NUMBER_BACK.search(text, max(0, a - 16), a)) and (n := _NAME_ON.match(text, at + 1)):
+            if "first" in what and _word_at(text, a, at + 1) and (m := _NUMBER_BACK.search(text, max(0, a - _NUMBER_CHARS), a)) and (n := _NAME_ON.match(text, at + 1)):
                 found.append(("street", m.start(1), n.end()))
     return ordered(list(dict.fromkeys(found)), KINDS)
 
@@ -141,12 +153,15 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns ``doc_id`` and ``spans`` (array of kind, start, end in code points,
     end exclusive, by start then kind as in ``KINDS``), one row per input row,
-    repeated rows included. Null and empty texts have no spans; other columns are ignored.
+    repeated rows included. Null and empty texts have no spans; an empty table gives
+    an empty result; other columns are ignored. Texts, words and numbers may be of
+    any length.
     """
     return scan(docs, id_col, text_col, find_in)
 
 
 def op7_anchor_pii(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` scanned where it lies; nothing is shuffled."""
     found = find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

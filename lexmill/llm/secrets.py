@@ -2,7 +2,8 @@
 
 Besides the patterns that stand for themselves, a text yields parts: access
 identifiers, secrets and endpoints, some of them weak (a login name, a bare
-base64 word, a host). Parts of one scope are interval-joined: two parts meet if
+base64 word, a host). A connection URL with a login holds all three: the name,
+the password and what follows the at-sign. Parts of one scope are interval-joined: two parts meet if
 no blank line lies between them and their gap is ``REACH`` characters at most.
 A weak part is reported only where complementary parts co-occur: an identifier
 with a secret, a secret with an identifier, an endpoint with both. Every pair of
@@ -33,6 +34,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)""", re.I | re.A)
+_LOGIN = re.compile(r"""(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*://([^\s"'<>/:@]+):([^\s"'<>/@]+)@([^\s"'<>@]+)""", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
 
@@ -42,6 +44,12 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def apart(span: tuple[int, int], sorted_spans: list[tuple[int, int]]) -> bool:
+    """Whether ``span`` meets none of ``sorted_spans``, which do not overlap."""
+    at = bisect_left(sorted_spans, (span[1], 0)) - 1
+    return at < 0 or sorted_spans[at][1] <= span[0]
+
+
 class _Scope:
     """Sorted intervals and the breaks that none may reach across."""
 
@@ -69,13 +77,16 @@ def find_in(text: str) -> list[Span]:
         at = bisect_left(begins, b) - 1
         return at < 0 or taken[at][1] <= a
 
-    weak_ids = [m.span() for m in _IDENTIFIER.finditer(text) if free(*m.span())]
-    weak_secrets = [m.span() for m in _BARE.finditer(text) if free(*m.span()) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+    logins = [m for m in _LOGIN.finditer(text) if free(m.start(1), m.end(2))]
+    in_url = [m.span() for m in logins]
+    weak_ids = [m.span() for m in _IDENTIFIER.finditer(text) if free(*m.span()) and apart(m.span(), in_url)] + [m.span(1) for m in logins]
+    weak_secrets = [m.span() for m in _BARE.finditer(text) if free(*m.span()) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and apart(m.span(), in_url)]
+    weak_secrets += [m.span(2) for m in logins]
     ids = weak_ids + [(a, b) for k, a, b in base if k == "access"]
     secrets = weak_secrets + [(a, b) for k, a, b in base if k != "access"]
     if not ids or not secrets:
         return ordered(base, KINDS)
-    ends = [m.span() for m in _ENDPOINT.finditer(text) if free(*m.span())]
+    ends = [m.span() for m in _ENDPOINT.finditer(text) if free(*m.span()) and apart(m.span(), in_url)] + [m.span(3) for m in logins if free(*m.span(3))]
     breaks = [m.end() for m in _BLANK.finditer(text)]
     by_id, by_secret, by_end = _Scope(ids, breaks), _Scope(secrets, breaks), _Scope(ends, breaks)
     found, weak = set(base), set(weak_ids)
@@ -104,7 +115,8 @@ def mask(text: str, spans: list[Span]) -> str:
         elif kind in ("access", "hex", "secret"):
             cuts.append((a, b))
         elif kind == "identifier":
-            cuts.append(_IDENTIFIER.match(text, a).span(1))
+            m = _IDENTIFIER.match(text, a)
+            cuts.append(m.span(1) if m and m.end() == b else (a, b))
     out, at = [], 0
     for a, b in sorted(cuts):
         if a >= at:
@@ -119,7 +131,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``doc_id``, ``spans`` (array of kind, start, end in code points, end
     exclusive, by start then kind as in ``KINDS``) and, if ``masked``, ``edited``:
     the text with its secrets masked. One row per input row, repeated rows
-    included; null and empty texts have no spans; other columns are ignored.
+    included; null and empty texts have no spans; an empty table gives an empty
+    result; other columns are ignored. A text is scanned whole, in time that grows
+    with its length: a part meets others within ``REACH`` characters only.
     """
     return scan(docs, id_col, text_col, find_in, mask if masked else None)
 
@@ -127,7 +141,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets masked in its text and the length column set anew; all rows and columns stay.
 
-    Rows meet no shuffle: the other columns travel beside the text.
+    Rows meet no shuffle: the other columns travel beside the text. Null stays
+    null, equal texts stay equal, an empty table stays empty.
     """
     import pyarrow as pa
 
@@ -146,6 +161,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op2_credential_links(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` scanned where it lies; nothing is shuffled."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in BASE], F.sha2(written(of_kinds(F.col("spans"), BASE)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

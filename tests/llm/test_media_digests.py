@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import struct
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import fingerprints as fp
 from lexmill.llm import tiff
@@ -159,6 +161,53 @@ def test_op10_equals_brute_force(spark, sf_dir, docs):
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.98 * len(got)
 
 
+def plain_digest(text):
+    """The digest by a dictionary of counts and sorted lists."""
+    data, counts = text.encode(), dict.fromkeys(range(256), 0)
+    if data:
+        padded = bytes(3) + data + bytes(3)
+        for at in range(len(padded) - 3):
+            for k, places in enumerate(((0, 1, 2), (0, 1, 3), (0, 2, 3))):
+                h = 0
+                for j, p in enumerate(places):
+                    h ^= int(fp._TABLES[k, j, padded[at + p]])
+                counts[h] += 1
+    order = sorted(counts.values())
+    low, mid, high = order[64], order[128], order[192]
+    length = min(255, round(math.log(len(data), 1.1)) + 1) if data else 0
+    ratios = (16 * low // (high + 1)) * 16 + 16 * mid // (high + 1) if data else 0
+    quarter = [sum(counts[b] > edge for edge in (low, mid, high)) for b in range(256)]
+    return length, ratios, quarter
+
+
+def plain_likeness(a, b):
+    steps = sum((0, 1, 2, 6)[abs(x - y)] for x, y in zip(a[2], b[2], strict=True))
+    heads = 6 * min(12, abs(a[0] - b[0])) + abs(a[1] // 16 - b[1] // 16) + abs(a[1] % 16 - b[1] % 16)
+    return 1 - min(416, steps + heads) / 416
+
+
+def test_op10_equals_counts_by_dictionary(spark, sf_dir, docs):
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"]) < 1500), reverse=True)
+    some = docs.where(F.length("text") < 1500)
+    got = {r["doc_id"]: r for r in against_next(some).collect()}
+    assert len(got) == len(rows) > 50
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        n = len(text) // 3
+        mark, edited, following = plain_digest(text), plain_digest(text[: len(text) - n] + after[:n]), plain_digest(after)
+        bits = "".join(f"{q:02b}" for q in mark[2])
+        assert got[i]["fingerprint"] == bytes(mark[:2]).hex() + int(bits, 2).to_bytes(64, "big").hex()
+        assert math.isclose(got[i]["near_edited"], plain_likeness(mark, edited)) and math.isclose(got[i]["near_next"], plain_likeness(mark, following))
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_ranges_do_not_change_rows(spark, docs, monkeypatch, most):
+    want = sorted(map(tuple, against_next(docs).collect()))
+    monkeypatch.setattr(fp, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(fp, "MOST_RANGES", most)
+    assert sorted(map(tuple, against_next(docs).collect())) == want
+
+
 def test_fingerprints():
     rng = random.Random(6)
     for _ in range(50):

@@ -80,6 +80,30 @@ def test_parts_of_env_files():
     assert found("superuser=alice password=hunter2hunter2") == [("assign", "password=hunter2hunter2")]
 
 
+def test_logins_in_urls():
+    found = lambda t: [(k, t[a:b]) for k, a, b in secrets.find_in(t)]
+    text = "postgres://admin:S3cretPw99@db.example.com:5432/prod"
+    assert found(text) == [("identifier", "admin"), ("credential", text[11:]), ("secret", "S3cretPw99"), ("endpoint", "db.example.com:5432/prod")]
+    assert secrets.mask(text, secrets.find_in(text)) == "postgres://[SECRET]:[SECRET]@db.example.com:5432/prod"
+    text = "amqp://u:p@h1 and redis://:pw@h2 and https://example.com/a:b@c"
+    assert [t for k, t in found(text) if k == "secret"] == ["p"]
+    text = "postgres://admin:token=abcdefgh1234@db.example.com/x"
+    assert ("assign", "token=abcdefgh1234") in found(text)
+
+
+def test_scan_time_grows_with_length_alone():
+    import time
+
+    def seconds(n):
+        text = "user=alice password=hunter2hunter2 host=db.example.com\n" * n
+        began = time.perf_counter()
+        assert len(secrets.find_in(text)) > 5 * n
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(8000) < 24 * max(seconds(1000), 0.01)
+
+
 def test_every_pair_in_reach_is_linked():
     linked = lambda t: {t[a:b] for k, a, b in secrets.find_in(t) if k == "credential"}
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY1a"
@@ -117,6 +141,16 @@ def test_method_spans_of_personal_data():
     assert kinds("ftp://bob:pw@host.example/x") == ["login", "email"]
 
 
+def test_numbers_of_any_length():
+    long = "0" * 5000
+    assert [s[0] for s in pii.find_in(f"{long}1.2.3.4 and {long}.{long}.{long}.{long}")] == ["ip", "ip"]
+    assert pii.find_in(f"{'9' * 5000}.1.1.1") == []
+    text = f"see x{'a' * 60}://bob:pw@host.example"
+    assert ("login", 4, len(text)) in pii.find_in(text)
+    text = f"at 12 {'Old' * 40} Mill Street"
+    assert pii.find_in(text) == [("street", 3, len(text))]
+
+
 def test_queries_equal_brute_force(spark, sf_dir, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for query, base, kinds in ((op2_credential_links, base_secrets, secrets.BASE), (op7_anchor_pii, base_personal, pii.BASE)):
