@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,17 @@ from lexmill.operators.splits import place_of
 from lexmill.sources.shared import cut
 
 PREFIXES = tuple(tx.PREFIX_CLASS)
+#: The prime that arithmetic hashes of places are taken by, and the steps between ids and copies.
+MODULUS = 2147483647
+COPY_STEP, PLACE_STEP = 1000003, 7919
+#: A pattern that matches nothing.
+NEVER = "(?!)"
+
+
+def scattered(number: Column) -> Column:
+    """A number below ``MODULUS`` that any SQL engine can repeat: two products and a shift mix the bits."""
+    once = F.pmod(number, F.lit(MODULUS)) * 48271 % MODULUS
+    return (once.bitwiseXOR(F.shiftright(once, 15)) * 69621) % MODULUS
 
 
 def bootstrap(rows: DataFrame, id_col: str, label: str, pred: str, replicates: int, seed: int = 13) -> DataFrame:
@@ -99,43 +108,41 @@ def swap_copies(rows: DataFrame, id_col: str, text: str, keep: list[str], least_
 
 
 def noisy_copies(rows: DataFrame, id_col: str, text: str, copies: int, rate: float = 0.04, seed: int = 3) -> DataFrame:
-    """``copies`` of each text as it might be typed in a hurry, seeded by id and copy.
+    """``id``, ``copy``, ``text``: ``copies`` of each text as it might be typed in a hurry.
 
-    Each shorthand is used by half the copies, half are lower-cased, three in ten
-    lose their punctuation; of the letters a share of ``rate`` is swapped with the
-    next character, dropped or doubled. A text that would vanish stays as it is.
+    Hashes of id, copy and place decide: each shorthand is used by half the copies,
+    half are lower-cased, three in ten lose their punctuation. A share ``rate`` of
+    the letters is touched, a third each way: dropped, doubled, or swapped with the
+    next character (pairs of places do, so that no two swaps meet). A text that
+    would vanish stays as it is; null gives null. Expressions over columns alone.
     """
-
-    def noise(value: str, rng: np.random.Generator) -> str:
-        typed = value
-        for (word, short), use in zip(tx.SHORTHAND.items(), rng.random(len(tx.SHORTHAND)) < 0.5, strict=True):
-            if use:
-                typed = re.sub(rf"\b{word}\b", short, typed, flags=re.I)
-        lower, bare = rng.random(2)
-        typed = typed.lower() if lower < 0.5 else typed
-        typed = typed.translate(dict.fromkeys(map(ord, "?.!,"))) if bare < 0.3 else typed
-        fate = np.digitize(rng.random(len(typed)), [rate / 3, 2 * rate / 3, rate])
-        pieces, skip = [], False
-        for i, c in enumerate(typed):
-            if skip:
-                skip = False
-            elif not c.isalpha() or fate[i] == 3:
-                pieces.append(c)
-            elif fate[i] == 0 and i + 1 < len(typed):
-                pieces.append(typed[i + 1] + c)
-                skip = True
-            elif fate[i] == 2:
-                pieces.append(c + c)
-        return "".join(pieces) or value
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, texts = (batch.column(i).to_pylist() for i in range(3))
-            made = [noise(t or "", np.random.default_rng([seed, i or 0, c])) for i, c, t in zip(ids, numbers, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["id", "copy", "text"])
-
     every = rows.select(F.col(id_col).cast("long").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"), F.col(text).alias("text"))
-    return every.mapInArrow(run, "id long, copy int, text string")
+    base = F.pmod("id", F.lit(MODULUS)) * COPY_STEP + F.col("copy") * PLACE_STEP + seed
+    chance = lambda place: scattered(base + place)
+    typed = F.col("text")
+    # Each step names the text before it once: twice, and its cost would double with every step.
+    for place, (word, short) in enumerate(tx.SHORTHAND.items()):
+        pattern = F.when(chance(F.lit(place)) < MODULUS // 2, rf"(?i)\b{word}\b").otherwise(NEVER)
+        typed = F.regexp_replace(typed, pattern, F.lit(short))
+    typed = F.regexp_replace(typed, F.when(chance(F.lit(101)) < MODULUS * 3 // 10, "[?.!,]").otherwise(NEVER), F.lit(""))
+    typed = F.when(chance(F.lit(100)) < MODULUS // 2, F.lower(typed)).otherwise(typed)
+    third = int(MODULUS * rate / 3)
+    # A variable for the characters: inside the function they would be made anew for every place.
+    letter = lambda c: c.rlike(r"\p{L}")
+
+    def changed(chars: Column) -> Column:
+        def at(c: Column, i: Column) -> Column:
+            pair = i.cast("long") - i % 2
+            swapped = letter(chars[pair.cast("int")]) & (pair + 1 < F.size(chars)) & (chance(1000 + pair) < 2 * third)
+            other = chars[F.when(i % 2 == 0, i + 1).otherwise(i - 1)]
+            fate = chance(F.lit(1_000_000) + i)
+            own = F.when(letter(c) & (fate < third), "").when(letter(c) & (fate < 2 * third), F.concat(c, c)).otherwise(c)
+            return F.when(swapped, other).otherwise(own)
+
+        return F.array_join(F.transform(chars, at), "")
+
+    made = every.withColumn("_made", F.transform(F.array(F.split(typed, "")), changed)[0])
+    return made.select("id", "copy", F.when(F.col("_made") == "", F.col("text")).otherwise(F.col("_made")).alias("text"))
 
 
 def flips(rows: DataFrame, before: Column, after: Column, keys: tuple[str, ...]) -> DataFrame:

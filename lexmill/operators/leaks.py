@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import collapse, windows, words_of
 from lexmill.operators.sized import broadcast_if_small
+from lexmill.sources.shared import cut
 
 WIDTH = 7
 LEAST_CHARS = 15
@@ -33,17 +36,27 @@ def shared_windows(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text
 def contained_texts(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_id: str, least_chars: int = LEAST_CHARS, width: int = WIDTH) -> DataFrame:
     """Pairs of a bank text of ``least_chars`` characters or more and a corpus text that contains it, both normalised.
 
-    A bank text of ``width`` words or more is only compared with texts that hold
-    its first inner window; shorter ones are few and compared with every text.
+    A contained text may start and end inside a word, so its outer words are no
+    evidence; the words between them stand whole in the text that contains it. Up
+    to ``width`` of them make a probe. Texts of two words or one are probed by
+    their first ``least_chars`` characters. Hashes of probes and of what a text holds
+    are joined; texts themselves are joined only for the pairs that agree in one.
     """
     items = bank.select(F.col(bank_id).alias("_b"), collapse(F.col("text")).alias("_item")).where(F.length("_item") >= least_chars)
-    items = items.withColumn("_words", F.split("_item", " "))
+    words = F.split("_item", " ")
+    inner = F.least(F.size(words) - 2, F.lit(width))  # below 1: too few words
+    head = F.xxhash64(F.substring("_item", 1, least_chars))
+    probe = F.when(inner >= 1, F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(inner, F.lit(1))), " "))).otherwise(head)
+    items = cut(items.select("_b", "_item", F.greatest(inner, F.lit(0)).alias("_w"), probe.alias("_h")), "items")
+    sizes = sorted(r["_w"] for r in items.select("_w").distinct().collect())  # width + 1 values at most
     ours = corpus.select(F.col(corpus_id).alias("_c"), collapse(F.col("text")).alias("_norm"))
-    # A contained text may start and end inside a word, so its outer words are no evidence.
-    inner = items.where(F.size("_words") >= width + 2).select("_b", "_item", F.xxhash64(F.array_join(F.slice("_words", 2, width), " ")).alias("_h"))
-    probe = broadcast_if_small(inner.select("_h").distinct())
-    hashed = ours.select("_c", "_norm", F.explode(F.array_distinct(F.transform(windows(F.split("_norm", " "), width), lambda r: F.xxhash64(r)))).alias("_h"))
-    near = hashed.join(probe, "_h", "left_semi").join(broadcast_if_small(inner), "_h").where(F.col("_norm").contains(F.col("_item")))
-    short = items.where(F.size("_words") < width + 2).select("_b", "_item")
-    direct = ours.join(F.broadcast(short) if short.limit(1001).count() <= 1000 else short, F.col("_norm").contains(F.col("_item")))
-    return near.select("_b", "_c").unionByName(direct.select("_b", "_c")).distinct().select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id))
+    found = []
+    for w in sizes:
+        runs = windows(F.split("_norm", " "), w) if w else F.transform(F.sequence(F.lit(1), F.greatest(F.length("_norm") - least_chars + 1, F.lit(1))), lambda i: F.substring("_norm", i, F.lit(least_chars)))
+        held = ours.select("_c", F.explode(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))).alias("_h"))
+        found.append(held.join(broadcast_if_small(items.where(F.col("_w") == w).select("_b", "_h")), "_h").select("_b", "_c"))
+    if not found:
+        return corpus.limit(0).select(F.lit(None).cast(bank.schema[bank_id].dataType).alias(bank_id), corpus_id)
+    near = cut(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    met = ours.join(broadcast_if_small(near), "_c").join(broadcast_if_small(items.select("_b", "_item")), "_b")
+    return met.where(F.col("_norm").contains(F.col("_item"))).select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id)).distinct()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (ids, hashes, a few numbers) is broadcast: some 50 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a narrow table (ids, hashes, a few numbers) is broadcast: some 30 MB.
+BROADCAST_ROWS = 300_000
 
 
 def broadcast_if_small(table: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:

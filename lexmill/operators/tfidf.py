@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import words_of
-from lexmill.operators.metrics import class_weights
+from lexmill.functions.text import windows, words_of
+from lexmill.operators.metrics import class_weights, macro_scores
 from lexmill.operators.sized import broadcast_if_small
+from lexmill.sources.shared import cut
+
+#: Inverse strengths of the penalty that a validation set chooses from.
+STRENGTHS = (0.3, 1.0, 3.0, 10.0, 30.0)
+FEATURES = 1 << 18
+#: Rows of a block of similar rows; as many pairs between two blocks are cheaper met at once.
+BLOCK_ROWS = 256
 
 
 def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
@@ -25,43 +35,177 @@ def char_grams(text: Column, least: int = 3, most: int = 5) -> Column:
     return F.flatten(F.transform(words_of(text), of_word))
 
 
-def tfidf(rows: DataFrame, id_col: str, grams: Column, sublinear: bool = False) -> DataFrame:
-    """``id``, ``gram``, ``weight``: smoothed inverse document frequency, rows of length one."""
-    counts = rows.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    n = rows.agg(F.count("*").alias("n"))
-    df = counts.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
-    idf = df.select("gram", (F.ln((1 + F.col("n")).cast("double") / (1 + F.col("df")).cast("double")) + 1).alias("idf"))
+def word_grams(text: Column) -> Column:
+    """Words, and pairs of words that follow each other."""
+    return F.flatten(F.transform(F.array(words_of(text)), lambda w: F.concat(w, windows(w, 2))))
+
+
+def gram_counts(rows: DataFrame, id_col: str, grams: Column) -> DataFrame:
+    """``id``, ``gram``, ``tf``. Rows without grams give none."""
+    return rows.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+
+
+def idf_table(counts: DataFrame, n: int) -> DataFrame:
+    """``gram``, ``df``, ``idf``: smoothed inverse document frequency over ``n`` rows."""
+    df = counts.groupBy("gram").agg(F.count("*").alias("df"))
+    return df.select("gram", "df", (F.ln(F.lit(1 + n).cast("double") / (1 + F.col("df")).cast("double")) + 1).alias("idf"))
+
+
+def weighted(counts: DataFrame, idf: DataFrame, sublinear: bool = False) -> DataFrame:
+    """``id``, ``gram``, ``weight``: rows of length one; grams that ``idf`` lacks are left out."""
     tf = 1 + F.ln(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
     raw = counts.join(idf, "gram").select("id", "gram", (tf * F.col("idf")).alias("w"))
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(broadcast_if_small(norms), "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf(rows: DataFrame, id_col: str, grams: Column, sublinear: bool = False) -> DataFrame:
+    """``id``, ``gram``, ``weight`` of rows weighted among themselves."""
+    counts = cut(gram_counts(rows, id_col, grams), "grams")
+    return weighted(counts, idf_table(counts, rows.count()), sublinear)
+
+
+def _row(values: pa.ListScalar) -> np.ndarray:
+    return values.values.to_numpy()
+
+
+def _similar(least: float):
+    """Similarities of pairs of rows, each as sorted hashes of grams and their weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sims = np.empty(batch.num_rows)
+            for i in range(batch.num_rows):
+                g, v, h, w = (_row(batch.column(c)[i]) for c in range(2, 6))
+                at = np.searchsorted(h, g)
+                at[at == len(h)] = 0
+                same = h[at] == g if len(h) else np.zeros(len(g), dtype=bool)
+                sims[i] = v[same] @ w[at[same]]
+            made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
+            yield made.filter(pa.array(sims >= least))
+
+    return run
+
+
+def _similar_blocks(least: float):
+    """The pairs of two blocks of rows at or above ``least``, by one product of matrices over the grams of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, ends, g, v), (others, stops, h, w) = ([_row(batch.column(c + k)[i]) for k in range(4)] for c in (2, 6))
+                own = batch.column(0)[i] == batch.column(1)[i]
+                grams = np.intersect1d(g, h)
+                sides = []
+                for rows, held, x in ((ends, g, v), (stops, h, w)):
+                    at = np.minimum(np.searchsorted(grams, held), max(len(grams) - 1, 0))
+                    same = grams[at] == held if len(grams) else np.zeros(len(held), dtype=bool)
+                    dense = np.zeros((len(rows), len(grams)))
+                    dense[np.repeat(np.arange(len(rows)), np.diff(rows, prepend=0))[same], at[same]] = x[same]
+                    sides.append(dense)
+                sims = sides[0] @ sides[1].T
+                p, q = np.nonzero(np.triu(sims >= least, 1) if own else sims >= least)
+                one, two = ids[p], others[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(sims[p, q])], names=["a", "b", "sim"])
+
+    return run
+
+
 def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
-    """``a < b`` and ``sim`` of the pairs at or above ``least``.
+    """``a < b`` and ``sim`` of the pairs of unit rows, with numbers as ids, at or above ``least``, which must be above 0.
+
+    Prefix filter: grams are ordered by how many rows hold them. What is left of a
+    row behind a place of that order can add no more than its length to a
+    similarity, so a pair at ``least`` shares a gram that comes before the rest's
+    length falls below ``least``, in both rows. Only those are joined, the rare
+    ones; the pairs they name are then summed over all grams of both rows. Rows
+    stand in blocks of about ``BLOCK_ROWS``, alike ones together: where two blocks
+    have many such pairs the blocks are multiplied, elsewhere each pair by itself.
+    """
+    weights = cut(weights.select(F.col("id").cast("long").alias("id"), "gram", "weight"), "weights")
+    held = weights.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = cut(weights.join(held, "gram").select("id", F.xxhash64("gram").alias("h"), "df", "weight"), "shared")
+    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id").orderBy(F.col("df").desc(), F.col("h").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    prefix = cut(shared.withColumn("rest", rest).where(F.col("rest") >= F.lit(least) * F.lit(least) - F.lit(1e-9)).select("id", "h"), "prefix")
+
+    places = prefix.groupBy("id").agg(F.min("h").alias("least"))
+    parts = places.groupBy("least").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
+    n_blocks = max(1, -(-places.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("id"), "parts")), F.lit(n_blocks))
+    rows = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("h", "weight"))).alias("s"))
+    rows = cut(rows.join(places.join(parts, "least").select("id", block.alias("block")), "id"), "rows")
+
+    place = rows.select("id", "block")
+    mine = prefix.join(place, "id")
+    pairs = mine.withColumnsRenamed({"id": "a", "block": "ba"}).join(mine.withColumnsRenamed({"id": "b", "block": "bb"}), "h").where("a < b").select("a", "b", F.least("ba", "bb").alias("p"), F.greatest("ba", "bb").alias("q"))
+    pairs = cut(pairs.distinct(), "candidates")
+    dense = cut(pairs.groupBy("p", "q").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK_ROWS).select("p", "q"), "dense")
+
+    side = lambda c, x, y: rows.select(F.col("id").alias(c), F.col("s.h").alias(x), F.col("s.weight").alias(y))
+    apart = pairs.join(broadcast_if_small(dense), ["p", "q"], "left_anti").select("a", "b")
+    single = apart.join(side("a", "ha", "wa"), "a").join(side("b", "hb", "wb"), "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_similar(least), "a long, b long, sim double")
+
+    packed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "s"))).alias("rows"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("rows")), lambda i: F.aggregate(F.slice("rows", F.lit(1), i), F.lit(0), lambda n, r: n + F.size(r["s"])))
+    flat = F.flatten("rows.s")
+    blocks = packed.select("block", F.col("rows.id").alias("ids"), ends.alias("ends"), F.transform(flat, lambda x: x["h"]).alias("h"), F.transform(flat, lambda x: x["weight"]).alias("w"))
+    of = lambda c: blocks.select(F.col("block").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("ids", "ends", "h", "w")])
+    met = dense.join(of("p"), "p").join(of("q"), "q").select("p", "q", *[f"{c}_{x}" for c in "pq" for x in ("ids", "ends", "h", "w")])
+    return single.unionByName(met.mapInArrow(_similar_blocks(least), "a long, b long, sim double"))
+
+
+def _counted(rows: DataFrame, id_col: str, text: str) -> dict[str, DataFrame]:
+    """Gram counts of the two families of features, written once."""
+    return {
+        "char": cut(gram_counts(rows, id_col, char_grams(F.col(text), 2, 5)), "chars"),
+        "word": cut(gram_counts(rows, id_col, word_grams(F.col(text))), "words"),
+    }
+
+
+def linear_features(counts: dict[str, DataFrame], idf: dict[str, DataFrame]) -> DataFrame:
+    """``id``, ``family``, ``gram``, ``weight``: sublinear weights of characters (2 to 5) and words (1 and 2), each family of length one."""
+    made = [weighted(counts[k], idf[k], sublinear=True).select("id", F.lit(k).alias("family"), "gram", "weight") for k in counts]
+    return made[0].unionByName(made[1])
+
+
+_sparse = F.udf(lambda at, w: SparseVector(FEATURES, sorted(zip(at, w, strict=True))), VectorUDT())
+
+
+def _vectors(features: DataFrame) -> DataFrame:
+    """``id`` and a sparse vector; grams that hash alike are added."""
+    slot = F.pmod(F.xxhash64("family", "gram"), F.lit(FEATURES)).cast("int")
+    summed = features.groupBy("id", slot.alias("slot")).agg(F.sum("weight").alias("weight"))
+    return summed.groupBy("id").agg(F.collect_list(F.struct("slot", "weight")).alias("s")).select("id", _sparse("s.slot", "s.weight").alias("features"))
+
+
+def tuned_classifier(rows: DataFrame, id_col: str, text: str, label: str, part: str, strengths: tuple[float, ...] = STRENGTHS, iterations: int = 60) -> tuple[LogisticRegressionModel, float, DataFrame]:
+    """Balanced logistic regression on ``linear_features``, its strength chosen by macro-F1 on a validation part.
 
-    A pair's similarity sums over shared grams. Grams are cut into groups of
-    heavy and light rows no further: the join is on the gram, and its sums are
-    combined before the shuffle.
+    ``part`` is ``train``, ``val`` or ``test``; document frequencies are those of the
+    training rows. Returns the model, the strength, and ``id``, ``label``, ``part``,
+    ``features`` of all rows. Rows without a gram of the training rows have zeros only.
     """
-    a, b = weights.select(F.col("id").alias("a"), "gram", F.col("weight").alias("wa")), weights.select(F.col("id").alias("b"), "gram", F.col("weight").alias("wb"))
-    return a.join(b, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= least)
-
-
-def classifier(labelled: DataFrame, text: str, label: str, features: int = 1 << 14, reg: float = 1e-3, iterations: int = 20):
-    """Balanced logistic regression on hashed word uni- and bigrams, fitted by ``pyspark.ml``."""
-    rows = labelled.select(words_of(F.col(text)).alias("words"), F.col(label).cast("double").alias("label"))
-    weighted = rows.join(F.broadcast(class_weights(rows).select("label", "weight")), "label")
-    stages = [
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"),
-        HashingTF(numFeatures=features, inputCol="grams", outputCol="tf"),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(weightCol="weight", regParam=reg, maxIter=iterations),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
-def classify(model, rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    made = model.transform(rows.select(*keep, words_of(F.col(text)).alias("words")))
-    return made.select(*keep, F.element_at(vector_to_array("probability"), 2).alias("probability"), F.col("prediction").cast("int").alias("pred"))
+    train = rows.where(F.col(part) == "train")
+    counts, n = _counted(rows, id_col, text), train.count()
+    ids = train.select(F.col(id_col).alias("id"))
+    idf = {k: cut(idf_table(c.join(broadcast_if_small(ids), "id", "left_semi"), n), "idf") for k, c in counts.items()}
+    made = rows.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"), F.col(part).alias("part")).join(_vectors(linear_features(counts, idf)), "id", "left")
+    empty = F.udf(lambda: SparseVector(FEATURES, []), VectorUDT())
+    made = cut(made.withColumn("features", F.coalesce("features", empty())), "features")
+    fitted = made.where("part = 'train'")
+    weighted_rows = fitted.join(broadcast_if_small(class_weights(fitted).select("label", "weight")), "label").cache()
+    best: tuple[LogisticRegressionModel, float, float] | None = None
+    for strength in strengths:
+        # The penalty of a sum of losses, restated for Spark's mean of them; balanced weights sum to the rows.
+        model = LogisticRegression(weightCol="weight", regParam=1 / (strength * max(n, 1)), maxIter=iterations, standardization=False).fit(weighted_rows)
+        score = macro_scores(model.transform(made.where("part = 'val'")), pred="prediction").first()["macro_f1"] or 0.0
+        if best is None or score > best[2]:
+            best = model, strength, score
+    weighted_rows.unpersist()
+    return best[0], best[1], made
+
+
+def classify(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
+    """``id``, ``label``, ``probability`` of label 1 and ``pred``."""
+    made = model.transform(rows)
+    return made.select("id", F.col("label").cast("int").alias("label"), F.element_at(vector_to_array("probability"), 2).alias("probability"), F.col("prediction").cast("int").alias("pred"))

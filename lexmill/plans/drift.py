@@ -1,14 +1,18 @@
-"""Drift of event windows: days 1 to 7 are the reference, days 22 to 28 the window."""
+"""Drift: of event windows (days 1 to 7 are the reference, 22 to 28 the window) and of batches of scored vectors."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import vec
 from lexmill.operators import drift as dr
 from lexmill.operators import metrics
 from lexmill.operators.cumulative import cumulative
-from lexmill.operators.splits import place_of, sample_per_group
+from lexmill.operators.splits import place_of, resample, sample
+from lexmill.plans import vectors
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
 from lexmill.streaming import windows
@@ -53,12 +57,19 @@ def ks_stat(spark, sf_dir):
     return metrics.ks_statistic(compared(spark, sf_dir), "x", "cur").select(F.round("ks", 9).alias("ks"))
 
 
-@query()
+_KS_P = "CASE WHEN lam > 0.2 THEN least(1.0, greatest(0.0, list_sum([2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * lam * lam) for k in range(1, 101)]))) ELSE 1.0 END"
+_LAM = "(sqrt(n * m / (n + m)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n * m / (n + m))) * ks AS lam"
+
+
+@query(f"""WITH {_EV}, g AS (SELECT x, sum(cur) AS a, sum(1 - cur) AS b FROM ev GROUP BY x),
+c AS (SELECT (sum(a) OVER (ORDER BY x))::DOUBLE / (sum(a) OVER ())::DOUBLE AS fa, (sum(b) OVER (ORDER BY x))::DOUBLE / (sum(b) OVER ())::DOUBLE AS fb FROM g),
+d AS (SELECT max(abs(fa - fb)) AS ks FROM c), z AS (SELECT sum(cur)::DOUBLE AS n, sum(1 - cur)::DOUBLE AS m FROM ev), l AS (SELECT ks, {_LAM} FROM d CROSS JOIN z)
+SELECT round(ks, 9) AS ks, round({_KS_P}, 8) AS p FROM l""")
 def ks_p(spark, sf_dir):
     rows = compared(spark, sf_dir)
-    n = rows.agg(F.sum("cur").alias("a"), F.sum(1 - F.col("cur")).alias("b"), F.first(F.lit(0))).first()
+    n, m = rows.agg(F.sum("cur"), F.sum(1 - F.col("cur"))).first()
     d = metrics.ks_statistic(rows, "x", "cur").first()["ks"]
-    return spark.createDataFrame([(d, dr.ks_p(d, n["a"], n["b"]))], "ks double, p double")
+    return spark.createDataFrame([(round(d, 9), round(dr.ks_p(d, n, m), 8))], "ks double, p double")
 
 
 @query(f"""WITH {_EV}, t AS (SELECT x AS tau FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM ev WHERE cur = 0) WHERE i = ceil((n - 1) * 0.95 - 1e-9)),
@@ -74,54 +85,45 @@ def binom_p(spark, sf_dir):
     return dr.binomial_p(spark, k, n, 0.05).select(F.lit(k).cast("long").alias("k"), F.round("greater", 8).alias("greater"), F.round("two_sided", 8).alias("two_sided"))
 
 
-_SMALL = 40
-_V = f"""v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 7919 + 13) % 1000003, vec_id) AS n FROM embeddings WHERE label IN (0, 1)) WHERE n <= {_SMALL})"""
+_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (0, 1))"
 
 
 @query(f"""WITH {_V}, p AS (SELECT a.label AS la, b.label AS lb, a.vec_id < b.vec_id AS up, list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) for i in range(1, 65)]) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
-g AS (SELECT 1 / median(d) AS g FROM p WHERE up), k AS (SELECT la, lb, avg(exp(-g * d)) AS k FROM p CROSS JOIN g GROUP BY la, lb)
+g AS (SELECT 1 / median(d) AS g FROM p WHERE up AND d > 0), k AS (SELECT la, lb, avg(exp(-g * d)) AS k FROM p CROSS JOIN g GROUP BY la, lb)
 SELECT round(sum(CASE WHEN la = lb THEN k ELSE -k END), 8) AS mmd2 FROM k""")
 def mmd2(spark, sf_dir):
-    x, y = _two_samples(spark, sf_dir)
-    return spark.createDataFrame([(round(dr.mmd2(x, y)[0], 8),)], "mmd2 double")
+    """All vectors of label 0 against all of label 1."""
+    found, _ = dr.mean_discrepancy(_two_labels(spark, sf_dir), "vec_id", "label", "embedding")
+    return spark.createDataFrame([(round(found, 8),)], "mmd2 double")
 
 
-def _two_samples(spark, sf_dir) -> tuple[np.ndarray, np.ndarray]:
-    """Samples of fixed size of two labels: the test compares windows, never whole tables."""
-    rows = sample_per_group(load(spark, sf_dir, "embeddings").where("label in (0, 1)"), "vec_id", "label", _SMALL).orderBy("vec_id").collect()
-    side = lambda k: np.array([r["embedding"] for r in rows if r["label"] == k], dtype=float)
-    return side(0), side(1)
+def _two_labels(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").where("label in (0, 1)")
 
 
 @query()
 def mmd2_p(spark, sf_dir):
-    stat, p = dr.mmd_permutation_p(*_two_samples(spark, sf_dir))
-    return spark.createDataFrame([(stat, p)], "mmd2 double, p double")
+    return spark.createDataFrame([dr.mean_discrepancy(_two_labels(spark, sf_dir), "vec_id", "label", "embedding", dr.PERMUTATIONS)], "mmd2 double, p double")
 
 
-@query("""WITH ref AS (SELECT event_type AS k, count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE AS r FROM events WHERE day(ts) <= 7 GROUP BY 1),
-d AS (SELECT day(ts) AS day, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT day, sum(n) AS total FROM d GROUP BY 1),
+@query("""WITH d AS (SELECT day(ts) AS day, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT day, sum(n) AS total FROM d GROUP BY 1),
+ref AS (SELECT k, sum(CASE WHEN day <= 7 THEN n ELSE 0 END)::DOUBLE / (sum(sum(CASE WHEN day <= 7 THEN n ELSE 0 END)) OVER ())::DOUBLE AS r FROM d GROUP BY k),
 g AS (SELECT t.day, ref.k, r, coalesce(d.n, 0) AS n, total, coalesce(d.n, 0)::DOUBLE / total::DOUBLE AS c FROM t CROSS JOIN ref LEFT JOIN d ON d.day = t.day AND d.k = ref.k)
 SELECT day, max(total)::BIGINT AS n, round(sum((c - r) * ln((c + 1e-4) / (r + 1e-4))), 8) AS psi, sum((c - r) * ln((c + 1e-4) / (r + 1e-4))) > 0.02 AS alert FROM g GROUP BY day""")
 def drift_daily(spark, sf_dir):
     events = load(spark, sf_dir, "events").select(F.dayofmonth("ts").cast("long").alias("day"), F.col("event_type").alias("k"))
-    counts = events.groupBy("day", "k").agg(F.count("*").alias("n"))
-    week = counts.where("day <= 7").groupBy("k").agg(F.sum("n").alias("m"))
-    ref = week.crossJoin(F.broadcast(week.agg(F.sum("m").alias("all")))).select("k", (F.col("m").cast("double") / F.col("all").cast("double")).alias("r"))
-    totals = counts.groupBy("day").agg(F.sum("n").alias("total"))
-    grid = totals.crossJoin(F.broadcast(ref)).join(counts, ["day", "k"], "left").withColumn("c", F.coalesce("n", F.lit(0)).cast("double") / F.col("total").cast("double"))
-    psi = F.sum((F.col("c") - F.col("r")) * F.ln((F.col("c") + dr.SMOOTHING) / (F.col("r") + dr.SMOOTHING)))
-    return grid.groupBy("day").agg(F.max("total").alias("n"), F.round(psi, 8).alias("psi"), (psi > 0.02).alias("alert"))
+    per = dr.psi_by_window(events, "day", "k", F.col("day") <= 7)
+    return per.select("day", "n", F.round("psi", 8).alias("psi"), (F.col("psi") > 0.02).alias("alert"))
 
 
-_SIZES, _REPS = (65, 130, 260), 20
+_SIZES, _REPS = (65, 130, 260, 520), 40
 
 
 @query(f"""WITH {_EV}, t AS (SELECT x AS tau FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM ev WHERE cur = 0) WHERE i = ceil((n - 1) * 0.95 - 1e-9)),
 pool AS (SELECT cur, row_number() OVER (PARTITION BY cur ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY cur) AS m, x > tau AS far FROM ev CROSS JOIN t),
 sizes AS (SELECT cur, max(m) AS m FROM pool GROUP BY cur),
 draws AS (SELECT size, mixed, rep, i, CASE WHEN mixed = 1 AND i % 5 < 2 THEN 1 ELSE 0 END AS cur, ((rep * 10007 + i) * 7919 + size) % 1000003 AS h
-  FROM (SELECT unnest([65, 130, 260]) AS size) CROSS JOIN (SELECT unnest([0, 1]) AS mixed) CROSS JOIN range(0, {_REPS}) a(rep) CROSS JOIN range(0, 260) b(i) WHERE i < size),
+  FROM (SELECT unnest([65, 130, 260, 520]) AS size) CROSS JOIN (SELECT unnest([0, 1]) AS mixed) CROSS JOIN range(0, {_REPS}) a(rep) CROSS JOIN range(0, 520) b(i) WHERE i < size),
 w AS (SELECT size, mixed, rep, sum(CASE WHEN far THEN 1 ELSE 0 END) AS k FROM draws JOIN sizes USING (cur) JOIN pool ON pool.cur = draws.cur AND pool.r = draws.h % sizes.m GROUP BY 1, 2, 3)
 SELECT size, mixed, round(avg(k::DOUBLE / size), 8) AS far, round(avg(CASE WHEN k > size * 0.05 + 1.645 * sqrt(size * 0.05 * 0.95) THEN 1.0 ELSE 0.0 END), 8) AS power FROM w GROUP BY size, mixed""")
 def power_grid(spark, sf_dir):
@@ -148,3 +150,115 @@ def power_grid(spark, sf_dir):
 def stream_daily_counts(spark, sf_dir):
     counts = windows.replay(windows.window_counts(windows.read_events(spark, sf_dir)))
     return counts.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+_FOREIGN = "coalesce(lang, 'und') NOT IN ('en', 'und')"
+_SHARE, _RETENTION = 0.4, 0.95
+_SCORED = f"""{vectors._LOGITS}, sc AS (SELECT l.vec_id AS id, l.label, exp(l.m - l.lse) AS confidence, b.best AS pred, CASE WHEN {_FOREIGN} THEN 1 ELSE 0 END AS foreign_text, e.v AS vec
+  FROM lse l JOIN best b USING (vec_id) JOIN e USING (vec_id) LEFT JOIN documents d ON d.doc_id = l.vec_id),
+tr AS (SELECT * FROM sc WHERE label < {vectors.KNOWN} AND {vectors._TRAIN.replace("vec_id", "id")}), va AS (SELECT * FROM sc WHERE label < {vectors.KNOWN} AND {vectors._VAL.replace("vec_id", "id")}),
+te AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 13) % 1000003, id) AS place FROM sc WHERE label < {vectors.KNOWN} AND {vectors._TEST.replace("vec_id", "id")}),
+un AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 13) % 1000003, id) AS place FROM sc WHERE label >= {vectors.KNOWN}), size AS (SELECT count(*) AS n, floor({_SHARE}::DOUBLE * count(*)) AS u FROM te),
+ba AS (SELECT 'known' AS batch, * FROM te UNION ALL SELECT 'mixed', te.* FROM te CROSS JOIN size WHERE place <= n - u UNION ALL SELECT 'mixed', un.* FROM un CROSS JOIN size WHERE place <= u)"""
+_TAIL = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+
+
+def scored_vectors(spark, sf_dir) -> DataFrame:
+    """Every vector with its confidence, predicted class, and whether its document is in another language than English."""
+    rows = vectors._logits(spark, sf_dir)
+    pred = F.element_at("names", vec.argmax(F.transform("logits", lambda z: F.round(z, 12))) + 1)
+    scored = rows.select(F.col("vec_id").alias("id"), "label", F.array_max(vec.softmax(F.col("logits"))).alias("confidence"), pred.alias("pred"), vec.doubles(F.col("embedding")).alias("vec"))
+    langs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return scored.join(langs, "id", "left").withColumn("foreign", (~F.coalesce("lang", F.lit("und")).isin("en", "und")).cast("int")).drop("lang")
+
+
+def batches(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Training and validation rows, and two batches: known traffic, and the same with a share of unknown labels."""
+    rows = scored_vectors(spark, sf_dir)
+    known = rows.where(f"label < {vectors.KNOWN}")
+    train, val, test = (known.where(part.replace("vec_id", "id")) for part in (vectors._TRAIN, vectors._VAL, vectors._TEST))
+    n = test.count()
+    unknown = int(_SHARE * n)
+    return train, val, {"known": test, "mixed": sample(test, "id", n - unknown).unionByName(sample(rows.where(f"label >= {vectors.KNOWN}"), "id", unknown))}
+
+
+_REPORT = "batch string, n long, confidence_ks double, confidence_ks_p double, confidence_psi double, unknown_rate double, unknown_rate_p double, mix_chi2 double, mix_psi double, foreign_share double, foreign_share_train double, language_mix_p double, embedding_mmd2 double"
+
+
+@query(f"""WITH {_SCORED}, counts AS (SELECT batch, count(*)::DOUBLE AS n, sum(foreign_text)::DOUBLE AS f FROM ba GROUP BY batch),
+tau AS (SELECT confidence AS tau FROM (SELECT confidence, row_number() OVER (ORDER BY confidence) - 1 AS i, count(*) OVER () AS n FROM va) WHERE i = floor((n - 1) * (1 - 0.95::DOUBLE) + 1e-9)),
+unk AS (SELECT batch, sum(CASE WHEN confidence < tau THEN 1 ELSE 0 END) AS u FROM ba CROSS JOIN tau GROUP BY batch),
+cf AS (SELECT b.batch, x.confidence, x.cur FROM (SELECT DISTINCT batch FROM ba) b JOIN (SELECT batch, confidence, 1 AS cur FROM ba UNION ALL SELECT NULL, confidence, 0 FROM va) x ON x.batch = b.batch OR x.batch IS NULL),
+kg AS (SELECT batch, confidence, sum(cur) AS a, sum(1 - cur) AS b FROM cf GROUP BY 1, 2),
+kc AS (SELECT batch, (sum(a) OVER w)::DOUBLE / (sum(a) OVER o)::DOUBLE AS fa, (sum(b) OVER w)::DOUBLE / (sum(b) OVER o)::DOUBLE AS fb FROM kg WINDOW w AS (PARTITION BY batch ORDER BY confidence), o AS (PARTITION BY batch)),
+kd AS (SELECT batch, max(abs(fa - fb)) AS ks FROM kc GROUP BY batch), km AS (SELECT batch, sum(cur)::DOUBLE AS n, sum(1 - cur)::DOUBLE AS m FROM cf GROUP BY batch), kl AS (SELECT batch, ks, {_LAM} FROM kd JOIN km USING (batch)),
+kp AS (SELECT batch, ks, {_KS_P} AS p FROM kl),
+hb AS (SELECT batch, least(floor(confidence * 10) + 1, 10) AS k, sum(1 - cur) AS ref, sum(cur) AS cur FROM cf GROUP BY 1, 2),
+hs AS (SELECT batch, ref::DOUBLE / (sum(ref) OVER o)::DOUBLE AS r, cur::DOUBLE / (sum(cur) OVER o)::DOUBLE AS c FROM hb WINDOW o AS (PARTITION BY batch)),
+hp AS (SELECT batch, sum((c - r) * ln((c + 1e-4) / (r + 1e-4))) AS psi FROM hs GROUP BY batch),
+mx AS (SELECT b.batch, x.pred, sum(1 - cur) AS ref, sum(cur) AS cur FROM (SELECT DISTINCT batch FROM ba) b JOIN (SELECT batch, pred, 1 AS cur FROM ba UNION ALL SELECT NULL, pred, 0 FROM tr) x ON x.batch = b.batch OR x.batch IS NULL GROUP BY 1, 2),
+ms AS (SELECT *, ref::DOUBLE / (sum(ref) OVER o)::DOUBLE AS r, cur::DOUBLE / (sum(cur) OVER o)::DOUBLE AS c FROM mx WINDOW o AS (PARTITION BY batch)),
+me AS (SELECT *, (r + 1e-6) / (sum(r + 1e-6) OVER o) * (sum(cur) OVER o) AS e FROM ms WINDOW o AS (PARTITION BY batch)),
+mp AS (SELECT batch, sum((cur - e) * (cur - e) / e) AS chi2, sum((c - r) * ln((c + 1e-4) / (r + 1e-4))) AS psi FROM me GROUP BY batch),
+ft AS (SELECT avg(foreign_text::DOUBLE) AS share FROM tr),
+up AS (SELECT batch, sum({_TAIL.format(p="0.05::DOUBLE")}) AS p FROM (SELECT batch, n, unnest(range(u::BIGINT, n::BIGINT + 1)) AS i FROM unk JOIN counts USING (batch)) GROUP BY batch),
+lm AS (SELECT batch, i, f, {_TAIL.format(p="share")} AS mass FROM (SELECT batch, n, f, share, unnest(range(0, n::BIGINT + 1)) AS i FROM counts CROSS JOIN ft)),
+lp AS (SELECT a.batch, least(1.0, sum(CASE WHEN a.mass <= b.mass * exp(1e-7::DOUBLE) THEN a.mass ELSE 0 END)) AS p FROM lm a JOIN lm b ON a.batch = b.batch AND b.i = b.f GROUP BY a.batch),
+vv AS (SELECT b.batch, x.cur, x.id, x.vec FROM (SELECT DISTINCT batch FROM ba) b JOIN (SELECT batch, 1 AS cur, id, vec FROM ba UNION ALL SELECT NULL, 0, id, vec FROM tr) x ON x.batch = b.batch OR x.batch IS NULL),
+vp AS (SELECT a.batch, a.cur AS ca, b.cur AS cb, a.id < b.id AS up, list_sum([(a.vec[i] - b.vec[i]) * (a.vec[i] - b.vec[i]) for i in range(1, 65)]) AS d FROM vv a JOIN vv b ON a.batch = b.batch AND a.id <> b.id),
+vg AS (SELECT batch, 1 / median(d) AS g FROM vp WHERE up AND d > 0 GROUP BY batch), vk AS (SELECT batch, ca, cb, avg(exp(-g * d)) AS k FROM vp JOIN vg USING (batch) GROUP BY 1, 2, 3),
+vm AS (SELECT batch, sum(CASE WHEN ca = cb THEN k ELSE -k END) AS mmd2 FROM vk GROUP BY batch)
+SELECT batch, n::BIGINT AS n, round(ks, 8) AS confidence_ks, round(kp.p, 8) AS confidence_ks_p, round(hp.psi, 8) AS confidence_psi, round(u / n, 8) AS unknown_rate, round(up.p, 8) AS unknown_rate_p, round(mp.chi2, 6) AS mix_chi2, round(mp.psi, 8) AS mix_psi,
+  round(f / n, 8) AS foreign_share, round(share, 8) AS foreign_share_train, round(lp.p, 8) AS language_mix_p, round(mmd2, 8) AS embedding_mmd2
+FROM counts JOIN unk USING (batch) JOIN kp USING (batch) JOIN hp USING (batch) JOIN mp USING (batch) JOIN up USING (batch) JOIN lp USING (batch) JOIN vm USING (batch) CROSS JOIN ft""")
+def drift_report(spark, sf_dir):
+    """Five signals of two batches: statistics and the p-values that have a closed form."""
+    train, val, every = batches(spark, sf_dir)
+    found = [{"batch": name} | dr.drift_report(train, val, batch, _RETENTION) for name, batch in every.items()]
+    digits = {"mix_chi2": 6}
+    return spark.createDataFrame([{k: round(v, digits.get(k, 8)) if isinstance(v, float) else v for k, v in r.items()} for r in found], _REPORT)
+
+
+@query()
+def drift_alerts(spark, sf_dir):
+    """The same with the simulated p-values of class mix and vectors, and the signals that alert at a fifth of the level."""
+    train, val, every = batches(spark, sf_dir)
+    found = [{"batch": name} | dr.drift_report(train, val, batch, _RETENTION, dr.PERMUTATIONS) for name, batch in every.items()]
+    return spark.createDataFrame(found, f"{_REPORT}, mix_p double, embedding_mmd_p double, alerts array<string>")
+
+
+#: Rows of each reference set of the power study, drawn by a hash: a study simulates references as large as its windows.
+_REFERENCE = 500
+_ALERTS = [*dr.SIGNALS, "any"]
+
+
+@query()
+def power_study(spark, sf_dir):
+    """Share of windows that alert, by size and traffic: five signals and any of them, 40 windows each drawn with replacement."""
+    train, val, every = batches(spark, sf_dir)
+    rows = scored_vectors(spark, sf_dir)
+    columns = ["confidence", "pred", "foreign", "vec"]
+    held = lambda df: {c: np.array([r[c] for r in df], dtype=float) for c in columns}
+    reference = held(sample(train, "id", _REFERENCE).select(*columns).collect())
+    reference["confidence"] = np.array([r["confidence"] for r in sample(val, "id", _REFERENCE).collect()])
+    tau = metrics.threshold_lower(val, "confidence", _RETENTION).first()["tau"]
+    sets = [(size, share) for size in _SIZES for share in (0.0, _SHARE)]
+    wanted = [(size, share, rep, unknown, size - int(share * size) if not unknown else int(share * size)) for size, share in sets for rep in range(_REPS) for unknown in (0, 1)]
+    upto = np.cumsum([0, *[w[4] for w in wanted if not w[3]]]), np.cumsum([0, *[w[4] for w in wanted if w[3]]])
+    # Which window a draw belongs to: draws of either pool are numbered through.
+    windows_of = [(*w[:4], int(upto[w[3]][k // 2]), int(upto[w[3]][k // 2 + 1])) for k, w in enumerate(wanted)]
+    table = spark.createDataFrame(windows_of, "size int, share double, rep int, unknown int, first long, upto long")
+    draws = table.where("upto > first").select("size", "share", "rep", "unknown", F.explode(F.expr("sequence(first, upto - 1)")).alias("draw"))
+    pools = [every["known"], rows.where(f"label >= {vectors.KNOWN}")]
+    drawn = [resample(pool.select("id", *columns), "id", int(upto[k][-1]), seed=13 + k).withColumn("unknown", F.lit(k)) for k, pool in enumerate(pools)]
+    met = drawn[0].unionByName(drawn[1]).join(F.broadcast(draws), ["unknown", "draw"])
+
+    def judged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        window = {c: np.stack(pdf[c]) if c == "vec" else pdf[c].to_numpy(dtype=float) for c in columns}
+        ref = reference | {"n": len(pdf)}
+        fired = dr.window_alerts({c: ref[c] for c in columns}, window, tau, seed=int(key[2]))
+        return pd.DataFrame([[key[0], key[1], *[float(a in fired) for a in dr.SIGNALS], float(bool(fired))]], columns=["size", "share", *names])
+
+    names = [a.replace(" ", "_") for a in _ALERTS]
+    found = met.groupBy("size", "share", "rep").applyInPandas(judged, f"size int, share double, {', '.join(f'{n} double' for n in names)}")
+    return found.groupBy("size", "share").agg(*[F.avg(n).alias(n) for n in names])

@@ -67,7 +67,32 @@ def flip_rates(spark, sf_dir):
     return rounded(ex.flips(probes, predict(F.col("original")), predict(tx.entity_prefix(F.col("probe"))), ("swapped_to",)), "flip_rate")
 
 
-@query()
+def _scattered(number: str) -> str:
+    once = f"(({number}) % {ex.MODULUS} * 48271 % {ex.MODULUS})"
+    return f"(xor({once}, {once} >> 15) * 69621 % {ex.MODULUS})"
+
+
+def _noise_sql() -> str:
+    half, third = ex.MODULUS // 2, int(ex.MODULUS * 0.04 / 3)
+    chance = lambda place: _scattered(f"base + {place}")
+    steps, name = [], "text"
+    for place, (word, short) in enumerate(tx.SHORTHAND.items()):
+        pattern = word.replace("'", "''")
+        steps.append(f"s{place} AS (SELECT id, copy, text, base, CASE WHEN {chance(place)} < {half} THEN regexp_replace({name}, '\\b{pattern}\\b', '{short}', 'gi') ELSE {name} END AS typed FROM {'every' if not place else f's{place - 1}'})")
+        name = "typed"
+    last = f"s{len(tx.SHORTHAND) - 1}"
+    pair = "(i - i % 2)"
+    return f"""WITH every AS (SELECT conv_id * 1000 + turn AS id, c AS copy, text, (conv_id * 1000 + turn) % {ex.MODULUS} * {ex.COPY_STEP} + c * {ex.PLACE_STEP} + 3 AS base FROM conversations CROSS JOIN range(1, 3) r(c)),
+{", ".join(steps)}, low AS (SELECT id, copy, text, base, CASE WHEN {chance(100)} < {half} THEN lower(typed) ELSE typed END AS typed FROM {last}),
+bare AS (SELECT id, copy, text, base, string_split(CASE WHEN {chance(101)} < {ex.MODULUS * 3 // 10} THEN translate(typed, '?.!,', '') ELSE typed END, '') AS chars FROM low),
+places AS (SELECT id, copy, text, base, chars, unnest(range(0, len(chars))) AS i FROM bare),
+fates AS (SELECT id, copy, text, i, chars[i + 1] AS c, chars[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END] AS other,
+  regexp_matches(chars[{pair} + 1], '\\p{{L}}') AND {pair} + 1 < len(chars) AND {_scattered(f"base + 1000 + {pair}")} < {2 * third} AS swapped, {chance("1000000 + i")} AS fate FROM places),
+made AS (SELECT id, copy, any_value(text) AS text, string_agg(CASE WHEN swapped THEN other WHEN regexp_matches(c, '\\p{{L}}') AND fate < {third} THEN '' WHEN regexp_matches(c, '\\p{{L}}') AND fate < {2 * third} THEN c || c ELSE c END, '' ORDER BY i) AS typed FROM fates GROUP BY id, copy)
+SELECT id, copy::INTEGER AS copy, CASE WHEN typed = '' THEN text ELSE typed END AS text FROM made"""
+
+
+@query(_noise_sql())
 def noise_copies(spark, sf_dir):
     return ex.noisy_copies(load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", "text", 2)
 
