@@ -18,10 +18,16 @@ def key_report(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join that fails at run time if a key of ``right`` repeats."""
-    single = right.groupBy(on).agg(*[F.first(c).alias(c) for c in right.columns if c != on], F.count("*").alias("_n"))
-    checked = single.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated {on}: "), F.col(on).cast("string"))).cast("boolean")).otherwise(True)).where("_ok").drop("_n", "_ok")
-    return left.join(checked, on, how)
+    """Join that fails at run time if a key repeats on either side. Rows without a key meet nothing and may be many."""
+
+    def single(side: DataFrame, name: str) -> DataFrame:
+        others = [c for c in side.columns if c != on]
+        rows = side.groupBy(on, F.when(F.col(on).isNull(), F.monotonically_increasing_id()).alias("_row")) if name == "left" else side.where(F.col(on).isNotNull()).groupBy(on)
+        once = rows.agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in others])
+        failure = F.raise_error(F.concat(F.lit(f"repeated {on} on the {name}: "), F.col(on).cast("string"))).cast("boolean")
+        return once.where(F.when(F.col("_n") > 1, failure).otherwise(True)).select(side.columns)
+
+    return single(left, "left").join(single(right, "right"), on, how)
 
 
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import collapse, windows, words_of
@@ -60,3 +60,8 @@ def contained_texts(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_id:
     near = cut(reduce(DataFrame.unionByName, found).distinct(), "candidates")
     met = ours.join(broadcast_if_small(near), "_c").join(broadcast_if_small(items.select("_b", "_item")), "_b")
     return met.where(F.col("_norm").contains(F.col("_item"))).select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id)).distinct()
+
+
+def listed_terms(text: Column, terms: tuple[str, ...]) -> Column:
+    """Distinct listed terms, as regular expressions without regard to case, that a text holds."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("|".join(t.lower() for t in terms)), F.lit(0)))

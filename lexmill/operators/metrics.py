@@ -53,6 +53,44 @@ def per_class(rows: DataFrame, label: str = "label", pred: str = "pred", keys: t
     )
 
 
+def full_report(rows: DataFrame, slice_of: Column, coarse_of, label: str = "label", pred: str = "pred") -> DataFrame:
+    """Everything at once, as rows of ``part`` and ``name``: all rows, slices, merged labels, and each label.
+
+    ``macro_f1``, ``accuracy`` and ``n`` of the first three parts; ``precision``,
+    ``recall``, ``f1`` and ``n`` of the labels. ``coarse_of`` maps a column of labels
+    to the merged ones. Rows are counted once, by slice, label and prediction.
+    """
+    counts = rows.groupBy(slice_of.alias("slice"), F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count("*").alias("_c"))
+    views = F.array(
+        F.struct(F.lit("all").alias("part"), F.lit("all").alias("name"), F.col("label").alias("t"), F.col("pred").alias("p")),
+        F.struct(F.lit("slice").alias("part"), F.col("slice").alias("name"), F.col("label").alias("t"), F.col("pred").alias("p")),
+        F.struct(F.lit("coarse").alias("part"), F.lit("coarse").alias("name"), coarse_of(F.col("label")).alias("t"), coarse_of(F.col("pred")).alias("p")),
+    )
+    viewed = counts.select(F.explode(views).alias("v"), "_c").groupBy("v.part", "v.name", "v.t", "v.p").agg(F.sum("_c").alias("_c"))
+    sides = F.array(F.struct(F.col("t").alias("label"), F.lit(1).alias("true")), F.struct(F.col("p").alias("label"), F.lit(0).alias("true")))
+    per = viewed.select("part", "name", "t", "p", "_c", F.explode(sides).alias("s")).groupBy("part", "name", F.col("s.label").alias("label")).agg(
+        F.sum(F.when(F.col("s.true") == 1, F.col("_c")).otherwise(0)).alias("n_true"),
+        F.sum(F.when(F.col("s.true") == 0, F.col("_c")).otherwise(0)).alias("n_pred"),
+        F.sum(F.when((F.col("s.true") == 1) & (F.col("t") == F.col("p")), F.col("_c")).otherwise(0)).alias("tp"),
+    )
+    f1, none = f1_of(F.col("tp"), F.col("n_true"), F.col("n_pred")), F.lit(None).cast("double")
+    whole = per.groupBy("part", "name").agg(F.avg(f1).alias("macro_f1"), (F.sum("tp").cast("double") / F.sum("n_true").cast("double")).alias("accuracy"), F.sum("n_true").alias("n"))
+    each = per.where("part = 'all'").select(
+        F.lit("label").alias("part"), F.col("label").alias("name"), F.col("n_true").alias("n"), _ratio(F.col("tp"), F.col("n_pred")).alias("precision"), _ratio(F.col("tp"), F.col("n_true")).alias("recall"), f1.alias("f1")
+    )
+    columns = ["part", "name", "macro_f1", "accuracy", "precision", "recall", "f1", "n"]
+    return whole.withColumns({c: none for c in ("precision", "recall", "f1")}).select(columns).unionByName(each.withColumns({c: none for c in ("macro_f1", "accuracy")}).select(columns))
+
+
+def histogram(rows: DataFrame, value: str, bins: int = 25, lo: float = 0.0, hi: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``bin`` (from 1), ``n`` and ``density`` over equal bins ``[lo, hi)``, the last one closed; empty bins are absent, values outside are left out."""
+    inside = rows.where(F.col(value).between(lo, hi))
+    number = F.least(F.width_bucket(F.col(value), F.lit(float(lo)), F.lit(float(hi)), F.lit(bins)), F.lit(bins)).cast("int")
+    counts = inside.groupBy(*keys, number.alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys, F.lit(1)))
+    return counts.withColumn("density", F.col("n").cast("double") * F.lit(bins / (hi - lo)) / total.cast("double"))
+
+
 def confusion(rows: DataFrame, labels: list[str], label: str = "label", pred: str = "pred") -> DataFrame:
     """Counts over the full grid of ``labels``, zeros kept."""
     grid = rows.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "true string, pred string")

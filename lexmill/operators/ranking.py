@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.sized import broadcast_if_small
+
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """``n``, ``share`` and ``rank`` (largest first, ties by value) of each value."""
@@ -32,3 +34,20 @@ def head_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int
 def dense_ids(rows: DataFrame, column: str, name: str = "id") -> DataFrame:
     """Distinct values in sorted order with numbers from 0."""
     return rows.select(column).distinct().withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)) - 1).cast("long"))
+
+
+def with_ids(rows: DataFrame, column: str, name: str = "id") -> DataFrame:
+    """``rows`` with the dense number of their value."""
+    return rows.join(broadcast_if_small(dense_ids(rows, column, name)), column)
+
+
+def counts_in_order(rows: DataFrame, row: str, column: str, row_values: list, column_values: list) -> DataFrame:
+    """Counts over the given rows and columns in the given order, zeros kept; ``place`` is a row's number. Other values are left out."""
+    order = rows.sparkSession.createDataFrame(list(enumerate(row_values)), f"place int, {row} {rows.schema[row].dataType.simpleString()}")
+    counts = rows.groupBy(row).pivot(column, column_values).count()
+    return order.join(counts, row, "left").na.fill(0, [str(v) for v in column_values])
+
+
+def transposed(table: DataFrame, key: str, keys: list, columns: list[str], name: str = "metric") -> DataFrame:
+    """A small table turned round: one row for each of ``columns``, one column for each of ``keys``."""
+    return table.unpivot([key], columns, name, "_v").groupBy(name).pivot(key, keys).agg(F.first("_v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.cumulative import cumulative
 from lexmill.operators.ranking import head_per_group
+from lexmill.operators.sized import broadcast_if_small
 
 #: Ids below 2**43 keep the order key in a long.
 _ID_ROOM = 1 << 43
@@ -37,7 +38,7 @@ def ranks(rows: DataFrame, id_col: str, keys: tuple[str, ...], seed: int = 13) -
 def stratified_split(groups: DataFrame, id_col: str, label: str, shares: tuple[float, float] = (0.7, 0.85), seed: int = 13) -> DataFrame:
     """``split`` of each group: within a label the first shares of the hashed order train and validate, the rest tests."""
     sizes = groups.groupBy(label).agg(F.count("*").alias("_n"))
-    placed = ranks(groups, id_col, (label,), seed).join(F.broadcast(sizes), label)
+    placed = ranks(groups, id_col, (label,), seed).join(broadcast_if_small(sizes), label)
     at = (F.col("place").cast("double") + F.lit(0.5)) / F.col("_n")
     return placed.withColumn("split", F.when(at < shares[0], "train").when(at < shares[1], "val").otherwise("test")).drop("_n")
 
@@ -56,6 +57,12 @@ def sample_per_group(rows: DataFrame, id_col: str, label: str, k: int, seed: int
     return head_per_group(rows, [label], [mixed(F.col(id_col), seed), F.col(id_col)], k)
 
 
+def stratified_share(rows: DataFrame, id_col: str, label: str, share: float, seed: int = 13) -> DataFrame:
+    """The first ``share`` of every label's rows in hashed order, rounded, one row at least."""
+    sizes = rows.groupBy(label).agg(F.greatest(F.floor(F.count("*") * F.lit(share) + F.lit(0.5)), F.lit(1)).alias("_k"))
+    return ranks(rows, id_col, (label,), seed).join(broadcast_if_small(sizes), label).where(F.col("place") < F.col("_k")).drop("_k", "place")
+
+
 def resample(rows: DataFrame, id_col: str, draws: int, seed: int = 13) -> DataFrame:
     """``draws`` rows with replacement: draw ``i`` takes the row at a hashed position of the id order."""
     numbered = cumulative(rows.withColumn("_1", F.lit(1).cast("long")), id_col, {"_r": "_1"})

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
+from lexmill.operators import experiments as ex
 from lexmill.operators import metrics as m
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
@@ -100,20 +101,25 @@ def single_class_f1(spark, sf_dir):
     return rounded(m.per_class(predicted(spark, sf_dir), keys=("fold",)).where("label = 'fr'").select("fold", "f1"), "f1")
 
 
-@query(f"""WITH {_PRED}, {counts_sql()}, a AS (SELECT {_MACRO} FROM counts),
-o AS (SELECT avg(coalesce((2 * tp)::DOUBLE / nullif(n_true + n_pred, 0), 0)) FILTER (WHERE label <> 'en') AS other_f1, min(coalesce(tp::DOUBLE / nullif(n_true, 0), 0)) AS least_recall FROM counts)
-SELECT macro_f1, accuracy, n, round(other_f1, 9) AS other_f1, round(least_recall, 9) AS least_recall FROM a CROSS JOIN o""")
+_WHOLE = "round(avg(CASE WHEN n_true + n_pred = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (n_true + n_pred)::DOUBLE END), 9) AS macro_f1, round(sum(tp)::DOUBLE / sum(n_true)::DOUBLE, 9) AS accuracy, NULL::DOUBLE AS precision, NULL::DOUBLE AS recall, NULL::DOUBLE AS f1, sum(n_true)::BIGINT AS n"
+
+
+@query(f"""WITH {_PRED}, views AS (SELECT 'all' AS part, 'all' AS name, label, pred FROM pred UNION ALL SELECT 'slice', CASE WHEN label = 'en' THEN 'english' ELSE 'non_english' END, label, pred FROM pred
+UNION ALL SELECT 'coarse', 'coarse', {_COARSE.format(c="label")}, {_COARSE.format(c="pred")} FROM pred), {counts_sql("part, name,", "views")}
+SELECT part, name, {_WHOLE} FROM counts GROUP BY part, name UNION ALL
+SELECT 'label', label, NULL, NULL, round(coalesce(tp::DOUBLE / nullif(n_pred, 0), 0), 9), round(coalesce(tp::DOUBLE / nullif(n_true, 0), 0), 9), round(coalesce((2 * tp)::DOUBLE / nullif(n_true + n_pred, 0), 0), 9), n_true::BIGINT FROM counts WHERE part = 'all'""")
 def full_report(spark, sf_dir):
-    table = m.label_counts(predicted(spark, sf_dir))
-    f1 = m.f1_of(F.col("tp"), F.col("n_true"), F.col("n_pred"))
-    recall = F.when(F.col("n_true") == 0, 0.0).otherwise(F.col("tp").cast("double") / F.col("n_true"))
-    return table.agg(
-        F.round(F.avg(f1), 9).alias("macro_f1"),
-        F.round(F.sum("tp").cast("double") / F.sum("n_true").cast("double"), 9).alias("accuracy"),
-        F.sum("n_true").alias("n"),
-        F.round(F.avg(F.when(F.col("label") != "en", f1)), 9).alias("other_f1"),
-        F.round(F.min(recall), 9).alias("least_recall"),
-    )
+    """All rows, slices, merged labels and each label; :func:`full_report_interval` adds the bootstrap interval."""
+    slice_of = F.when(F.col("label").isin("en", "und"), "english").otherwise("non_english")
+    coarse = lambda c: F.when(c.isin("de", "en"), "germanic").otherwise("romance")
+    return rounded(m.full_report(predicted(spark, sf_dir), slice_of, coarse), "macro_f1", "accuracy", "precision", "recall", "f1")
+
+
+@query()
+def full_report_interval(spark, sf_dir):
+    """The report with the ends of the interval of 1,000 resamples beside all rows."""
+    ends = rounded(ex.bootstrap_counts(predicted(spark, sf_dir), "label", "pred"), "f1_lo", "f1_hi", "acc_lo", "acc_hi")
+    return full_report(spark, sf_dir).join(F.broadcast(ends.withColumn("part", F.lit("all"))), "part", "left")
 
 
 @query(f"""WITH {_SCORED}, b AS (SELECT greatest(ceil(s * 10), 1)::INTEGER AS bin, avg(y::DOUBLE) AS accuracy, avg(s) AS confidence, count(*) AS n FROM scored GROUP BY 1)
@@ -179,3 +185,17 @@ def best_config(spark, sf_dir):
     one = Window.partitionBy(F.lit(1))
     before = F.max("acc").over(one.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
     return per.select(F.col("epoch").cast("long"), "acc", F.coalesce(F.col("acc") > before, F.lit(True)).alias("improves"), (F.row_number().over(one.orderBy(F.col("acc").desc(), "epoch")) == 1).alias("best"))
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT ep::BIGINT AS epoch, doc_id % 5 AS fold, y AS label, CASE WHEN s >= ep::DOUBLE / 10 THEN 1 ELSE 0 END AS pred FROM scored CROSS JOIN range(1, 10) t(ep)),
+pooled AS (WITH {counts_sql("epoch,", "g")} SELECT epoch, {_MACRO} FROM counts GROUP BY epoch), folds AS (WITH {counts_sql("epoch, fold,", "g")} SELECT epoch, fold, {_MACRO} FROM counts GROUP BY epoch, fold),
+f AS (SELECT epoch, round(avg(macro_f1), 8) AS fold_mean, round(stddev_pop(macro_f1), 8) AS fold_std FROM folds GROUP BY epoch)
+SELECT epoch, macro_f1, accuracy, fold_mean, fold_std, row_number() OVER (ORDER BY macro_f1 DESC, epoch) = 1 AS best FROM pooled JOIN f USING (epoch)""")
+def epoch_report(spark, sf_dir):
+    """Pooled and by fold at every epoch (here a threshold); the best has the largest pooled macro-F1, the first of equals."""
+    grid = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long")))
+    rows = scored(spark, sf_dir).withColumn("epoch", grid).select("epoch", (F.col("doc_id") % 5).alias("fold"), F.col("y").alias("label"), (F.col("s") >= F.col("epoch").cast("double") / 10).cast("int").alias("pred"))
+    pooled = rounded(m.macro_scores(rows, keys=("epoch",)), "macro_f1", "accuracy").drop("n")
+    folds = rounded(m.macro_scores(rows, keys=("epoch", "fold")), "macro_f1").groupBy("epoch").agg(F.round(F.avg("macro_f1"), 8).alias("fold_mean"), F.round(F.stddev_pop("macro_f1"), 8).alias("fold_std"))
+    first = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("macro_f1").desc(), "epoch"))
+    return pooled.join(folds, "epoch").withColumn("best", first == 1)

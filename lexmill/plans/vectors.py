@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from lexmill.functions import vec
 from lexmill.operators import metrics, neighbours, openset
 from lexmill.operators.ranking import head_per_group
+from lexmill.operators.sized import broadcast_if_small
 from lexmill.plans.registry import query
+from lexmill.sources.shared import cut
 from lexmill.sources.tables import load
 
 KNOWN = 8
@@ -79,11 +81,11 @@ def knn_scores(spark, sf_dir):
     return found.where("place in (1, 5, 10)").select(F.col("query").alias("vec_id"), F.col("place").cast("long").alias("k"), F.round("sim", 6).alias("sim"))
 
 
-@query(f"""WITH {_E}, s AS (SELECT q.vec_id, {_dot("q.v", "b.v")} AS sim, b.vec_id AS near, b.label AS near_label FROM e q CROSS JOIN (SELECT * FROM e WHERE {_BANK}) b WHERE q.vec_id <> b.vec_id),
+@query(f"""WITH {_E}, s AS (SELECT q.vec_id, {_dot("q.v", "b.v")} AS sim, b.vec_id AS near, b.label AS near_label FROM e q CROSS JOIN (SELECT * FROM e WHERE {_BANK}) b WHERE q.vec_id % 20 = 0 AND q.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sim, 9) DESC, near) AS k FROM s) SELECT vec_id, near, near_label, round(sim, 6) AS sim FROM r WHERE k = 1""")
 def nearest_neighbour(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
-    found = neighbours.nearest(rows, rows.where(_BANK), 1)
+    found = neighbours.nearest(rows.where("vec_id % 20 = 0"), rows.where(_BANK), 1)
     labels = rows.select(F.col("vec_id").alias("near"), F.col("label").alias("near_label"))
     return found.join(labels, "near").select(F.col("query").alias("vec_id"), "near", "near_label", F.round("sim", 6).alias("sim"))
 
@@ -136,7 +138,7 @@ ap AS (SELECT scorer, sum(np::DOUBLE / p * tp / (tp + fp)) AS ap FROM cc GROUP B
 k AS (SELECT scorer, avg(CASE WHEN u = 1 THEN CASE WHEN s > tau THEN 1.0 ELSE 0.0 END END) AS rejected, avg(CASE WHEN u = 0 THEN CASE WHEN s <= tau THEN 1.0 ELSE 0.0 END END) AS kept FROM ev JOIN tau USING (scorer) WHERE {_TEST} GROUP BY scorer)
 SELECT scorer, round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(tau, 6) AS tau, round(rejected, 6) AS rejected, round(kept, 6) AS kept FROM a JOIN ap USING (scorer) JOIN tau USING (scorer) JOIN k USING (scorer)""")
 def open_set_table(spark, sf_dir):
-    rows = scorer_table(spark, sf_dir).persist()
+    rows = cut(scorer_table(spark, sf_dir), "scores")
     test, keys = rows.where(_TEST), ("scorer",)
     tau = metrics.threshold_higher(rows.where("u = 0").where(_VAL), "s", 0.95, keys)
     rules = test.join(F.broadcast(tau), "scorer").groupBy("scorer").agg(
@@ -154,15 +156,45 @@ def mahalanobis(spark, sf_dir):
     return openset.mahalanobis(rows.where("vec_id % 20 >= 14"), "vec_id", "embedding", means, precision).select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
+_CATCH_ALL = (0, 1)
+
+
+@query(f"""WITH {_SCORERS}, v AS (SELECT scorer, s, row_number() OVER (PARTITION BY scorer ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY scorer) AS n FROM ev WHERE u = 0 AND {_VAL}),
+tau AS (SELECT scorer, s AS tau FROM v WHERE i = ceil((n - 1) * 0.95 - 1e-9)),
+r AS (SELECT scorer, label, CASE WHEN s > tau THEN 1.0 ELSE 0.0 END AS strict, CASE WHEN s > tau OR best IN {_CATCH_ALL} THEN 1.0 ELSE 0.0 END AS lenient FROM ev JOIN tau USING (scorer) JOIN best USING (vec_id) WHERE u = 1 AND {_TEST})
+SELECT scorer, round(avg(strict), 8) AS strict, round(avg(lenient), 8) AS lenient, round(avg(CASE WHEN label = 8 THEN strict END), 8) AS strict_8, round(avg(CASE WHEN label = 9 THEN strict END), 8) AS strict_9 FROM r GROUP BY scorer""")
+def rejection_recall(spark, sf_dir):
+    """Share of unknown rows that each scorer rejects: strictly, with catch-all classes as good as a rejection, and by label."""
+    rows = cut(scorer_table(spark, sf_dir), "scores")
+    tau = metrics.threshold_higher(rows.where("u = 0").where(_VAL), "s", 0.95, ("scorer",))
+    best = _logits(spark, sf_dir).select("vec_id", F.element_at("names", vec.argmax(F.transform("logits", lambda z: F.round(z, 12))) + 1).alias("best"))
+    judged = rows.where("u = 1").where(_TEST).join(broadcast_if_small(tau), "scorer").join(best, "vec_id")
+    strict = F.col("s") > F.col("tau")
+    share = lambda c, name: F.round(F.avg(c), 8).alias(name)
+    return judged.groupBy("scorer").agg(
+        share(strict.cast("double"), "strict"), share((strict | F.col("best").isin(*_CATCH_ALL)).cast("double"), "lenient"), *[share(F.when(F.col("label") == k, strict.cast("double")), f"strict_{k}") for k in (8, 9)]
+    )
+
+
 @query(f"""WITH {_LOGITS}, kb AS (SELECT q.vec_id, max({_dot("q.v", "b.v")}) AS sim FROM e q CROSS JOIN (SELECT * FROM e WHERE {_BANK}) b WHERE q.label = 9 GROUP BY q.vec_id)
-SELECT vec_id, round(sim, 6) AS sim, best AS centroid, CASE WHEN sim >= 0.35 THEN 'near duplicate' WHEN best IN (0, 1) THEN 'protected class' ELSE '' END AS reason FROM kb JOIN best USING (vec_id)""")
+SELECT vec_id, round(sim, 6) AS sim, best AS centroid, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'keyword' WHEN sim >= 0.35 THEN 'near duplicate' WHEN best IN (0, 1) THEN 'protected class' ELSE '' END AS reason
+FROM kb JOIN best USING (vec_id) LEFT JOIN documents ON doc_id = vec_id""")
 def outlier_screen(spark, sf_dir):
+    """Why an outlier is dropped, first reason first: a keyword of its text, a near row, a protected class."""
     rows = _embeddings(spark, sf_dir)
     aux = rows.where("label = 9")
     near = neighbours.nearest(aux, rows.where(_BANK), 1).select(F.col("query").alias("vec_id"), "sim")
     best = _logits(spark, sf_dir).where("label = 9").select("vec_id", F.element_at("names", vec.argmax(F.transform("logits", lambda z: F.round(z, 12))) + 1).alias("centroid"))
-    reason = F.when(F.col("sim") >= 0.35, "near duplicate").when(F.col("centroid").isin(0, 1), "protected class").otherwise("")
-    return near.join(best, "vec_id").select("vec_id", F.round("sim", 6).alias("sim"), "centroid", reason.alias("reason"))
+    words = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").rlike("(?i)license|copyright").alias("keyword"))
+    reason = F.when(F.col("keyword"), "keyword").when(F.col("sim") >= 0.35, "near duplicate").when(F.col("centroid").isin(0, 1), "protected class").otherwise("")
+    return near.join(best, "vec_id").join(words, "vec_id", "left").select("vec_id", F.round("sim", 6).alias("sim"), "centroid", reason.alias("reason"))
+
+
+@query()
+def nearest_indexed(spark, sf_dir):
+    """The five nearest rows of every row, found by the index; the tests measure its recall against exact searches."""
+    rows = _embeddings(spark, sf_dir)
+    return neighbours.nearest_indexed(rows, rows, 5).select(F.col("query").alias("vec_id"), "near", F.col("place").cast("long").alias("place"), F.round("sim", 6).alias("sim"))
 
 
 _GRID = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]

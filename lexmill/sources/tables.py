@@ -84,7 +84,21 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, append: bool = False) -> None:
-    rows.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+    rows.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_parts(rows: DataFrame, path: str, key: str) -> None:
+    """Write rows below a folder for each ``key``. Parts that are written again are replaced, others stay: a job that is run again adds nothing twice."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def missing_parts(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of keys that :func:`write_parts` has not written yet."""
+    spark = rows.sparkSession
+    if not _exists(spark, path):
+        return rows
+    done = spark.read.schema(rows.schema).parquet(path).select(key).distinct()
+    return rows.join(done, key, "left_anti")
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -95,7 +109,7 @@ def read_corpus(spark: SparkSession, path: str, binary: tuple[str, ...] = (".png
     """``path`` and ``text`` of all files below a folder but the binary ones; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kept = files.where(~F.lower("path").rlike("(" + "|".join(re.escape(s) for s in binary) + ")$"))
-    return kept.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.sources.shared import shared_dir
+from lexmill.sources.shared import fresh_path
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -32,7 +30,7 @@ def first_answers(events: DataFrame, keys: list[str], late: str = "1 day") -> Da
 def replay(counts: DataFrame, name: str = "windows") -> DataFrame:
     """Run a windowed stream over all that is there, then return its last full result as a table."""
     spark = counts.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = fresh_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/result")
@@ -40,3 +38,15 @@ def replay(counts: DataFrame, name: str = "windows") -> DataFrame:
     run = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{base}/result")
+
+
+def replay_append(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """Run a stream over all that is there and return what it appended. A batch that is run again replaces its own rows."""
+    spark = rows.sparkSession
+    base = fresh_path(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/result/batch={number}")
+
+    rows.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/result")
