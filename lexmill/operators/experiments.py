@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -150,22 +151,34 @@ def flips(rows: DataFrame, before: Column, after: Column, keys: tuple[str, ...])
     return rows.groupBy(*keys).agg(F.avg((before != after).cast("double")).alias("flip_rate"), F.count("*").alias("n"))
 
 
-def active_learning(pool: DataFrame, seeds: DataFrame, id_col: str, fractions: list[float], strategy: str, score: Callable[[DataFrame, DataFrame], DataFrame], evaluate: Callable[[DataFrame], DataFrame]) -> list[dict]:
-    """Grow a labelled set to each fraction of the pool, then evaluate a classifier of it.
+def active_learning(pool: DataFrame, seeds: DataFrame, id_col: str, keys: tuple[str, ...], fractions: list[float], confidence: Callable[[DataFrame, DataFrame], DataFrame], predict: Callable[[DataFrame], DataFrame], orders: dict[str, Column], done: DataFrame | None = None) -> DataFrame:
+    """Grow the labelled part of each pool to each fraction of it, and evaluate a classifier of what is labelled.
 
-    ``score(labelled, rest)`` gives ``rest`` with a ``confidence``; the least
-    confident are labelled next, or hashed random ones. One job a fraction: the
-    selection is what the operator does, the loop only orders it.
+    ``pool`` and ``seeds`` have ``keys``, one of them ``strategy``; all groups grow at
+    the same time, so a step is one job, however many folds and strategies there
+    are. ``orders`` has the strategies that pick by an order of their own; the
+    others pick the rows least sure by ``confidence(labelled, rest)``. ``predict``
+    gives ``label`` and ``pred`` of the evaluation rows by what is labelled. Groups in
+    ``done`` (an earlier result) are not grown again; their rows are returned.
     """
-    total, labelled, found = pool.count(), seeds.select(id_col), []
+    rest_of = lambda labelled: pool.join(labelled, [*keys, id_col], "left_anti")
+    if done is not None:
+        finished = done.where(F.col("fraction") == fractions[-1]).select(*keys).distinct()
+        pool, seeds = pool.join(F.broadcast(finished), list(keys), "left_anti"), seeds.join(F.broadcast(finished), list(keys), "left_anti")
+    sizes = cut(pool.groupBy(*keys).agg(F.count("*").alias("_all")), "sizes")  # a row a group
+    labelled, found = cut(seeds.select(*keys, id_col), "labelled"), []
+    within = Window.partitionBy(*keys)
     for fraction in fractions:
-        have = labelled.count()
-        want = max(0, round(fraction * total) - have)
-        rest = pool.join(labelled, id_col, "left_anti")
-        order = [F.round("confidence", 9), F.col(id_col)] if strategy == "least confident" else [F.xxhash64(F.lit(17), F.col(id_col)), F.col(id_col)]
-        ranked = score(pool.join(labelled, id_col, "left_semi"), rest) if strategy == "least confident" else rest
-        chosen = ranked.orderBy(*order).limit(want).select(id_col)
+        want = sizes.join(labelled.groupBy(*keys).agg(F.count("*").alias("_have")), list(keys), "left")
+        want = want.select(*keys, (F.floor(F.col("_all") * F.lit(fraction) + F.lit(0.5)) - F.coalesce("_have", F.lit(0))).alias("_want")).where("_want > 0")
+        rest = rest_of(labelled)
+        sure = confidence(pool.join(labelled, [*keys, id_col], "left_semi"), rest.where(~F.col("strategy").isin(*orders)))
+        picked = [sure.withColumn("_n", F.row_number().over(within.orderBy(F.round("confidence", 9), id_col))).select(*keys, id_col, "_n")]
+        picked += [rest.where(F.col("strategy") == name).withColumn("_n", F.row_number().over(within.orderBy(order, id_col))).select(*keys, id_col, "_n") for name, order in orders.items()]
+        chosen = reduce(DataFrame.unionByName, picked).join(F.broadcast(want), list(keys)).where(F.col("_n") <= F.col("_want")).select(*keys, id_col)
         labelled = cut(labelled.unionByName(chosen), "labelled")
-        report = macro_scores(evaluate(pool.join(labelled, id_col, "left_semi"))).first()
-        found.append({"strategy": strategy, "fraction": fraction, "n_labelled": have + want, "macro_f1": report["macro_f1"], "accuracy": report["accuracy"]})
-    return found
+        scores = macro_scores(predict(pool.join(labelled, [*keys, id_col], "left_semi")), keys=keys)
+        counts = labelled.groupBy(*keys).agg(F.count("*").alias("n_labelled"))
+        found.append(scores.join(F.broadcast(counts), list(keys)).select(*keys, F.lit(fraction).alias("fraction"), "n_labelled", "macro_f1", "accuracy", "n"))
+    made = cut(reduce(DataFrame.unionByName, found), "curve")
+    return made if done is None else done.unionByName(made)

@@ -10,25 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vec
+from lexmill.operators.sized import broadcast_if_small
 
 EPSILON = 1e-12
 
 
-def centroids(rows: DataFrame, label: str, vec_col: str) -> DataFrame:
-    """Mean vector of each label scaled to length one: ``label``, ``n``, ``centroid``."""
-    long = rows.select(label, F.posexplode(vec_col).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    means = long.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
-    return means.select(label, "n", vec.unit(F.col("v")).alias("centroid"))
+def centroids(rows: DataFrame, label: str, vec_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean vector of each label, per group of ``keys``, scaled to length one: ``label``, ``n``, ``centroid``."""
+    long = rows.select(*keys, label, F.posexplode(vec_col).alias("pos", "x")).groupBy(*keys, label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    means = long.groupBy(*keys, label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    return means.select(*keys, label, "n", vec.unit(F.col("v")).alias("centroid"))
 
 
-def with_logits(rows: DataFrame, centers: DataFrame, label: str, vec_col: str, scale: float = 1.0) -> DataFrame:
-    """``rows`` with ``names`` (labels in order) and ``logits``: scaled dot products with each centroid.
+def with_logits(rows: DataFrame, centers: DataFrame, label: str, vec_col: str, scale: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``names`` (labels in order) and ``logits``: scaled dot products with each centroid, of the row's own group of ``keys``.
 
-    The centroids travel as one broadcast row, so rows neither multiply nor move.
+    The centroids of a group travel as one row, so rows neither multiply nor move.
     """
     table = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))))
-    bank = centers.agg(table.alias("_bank"))
-    joined = rows.crossJoin(F.broadcast(bank))
+    bank = broadcast_if_small(centers.groupBy(*keys).agg(table.alias("_bank")))
+    joined = rows.join(bank, list(keys)) if keys else rows.crossJoin(bank)
     own = vec.doubles(F.col(vec_col))
     logits = F.transform("_bank", lambda b: vec.dot(own, b["c"]) * F.lit(float(scale)))
     return joined.withColumn("names", F.transform("_bank", lambda b: b["label"])).withColumn("logits", logits).drop("_bank")

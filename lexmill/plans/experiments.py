@@ -9,6 +9,7 @@ from lexmill.functions import vec
 from lexmill.operators import experiments as ex
 from lexmill.operators import metrics as m
 from lexmill.operators import openset
+from lexmill.operators.splits import stratified_share
 from lexmill.plans.evaluation import _PRED, counts_sql, predicted, rounded
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
@@ -121,15 +122,64 @@ def winner_rule(spark, sf_dir):
     return ex.winner(runs, "name", "score", "spread", "size")
 
 
-@query()
+_FRACTIONS, _FOLDS = [0.10, 0.20, 0.35, 0.50, 0.75, 1.00], [0, 1, 2]
+_STRATEGIES = ["least confident", "random"]
+_HASHED = "(vec_id * 7919 + 13 + k) % 1000003"
+
+
+def _centers_sql(name: str, of: str) -> str:
+    """Centroids by strategy, fold and label of the ids in ``of``."""
+    return f"""{name}_l AS (SELECT s, k, label, i, avg(v[i]) AS x FROM {of} JOIN e USING (vec_id) CROSS JOIN range(1, 65) t(i) GROUP BY s, k, label, i),
+{name}_m AS (SELECT s, k, label, list(x ORDER BY i) AS m FROM {name}_l GROUP BY s, k, label), {name} AS (SELECT s, k, label, [x / sqrt(list_sum([y * y for y in m])) for x in m] AS c FROM {name}_m)"""
+
+
+def _curve_sql() -> str:
+    dot = "list_sum([v[i] * c[i] for i in range(1, 65)]) * 10.0::DOUBLE"
+    parts = [
+        "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 8)",
+        f"pool AS (SELECT s, k, vec_id FROM e CROSS JOIN (SELECT unnest({_STRATEGIES}) AS s) CROSS JOIN (SELECT unnest({_FOLDS}) AS k) WHERE vec_id % 5 <> k)",
+        "size AS (SELECT s, k, count(*) AS n FROM pool GROUP BY s, k)",
+        """r0 AS (SELECT s, k, vec_id, row_number() OVER (PARTITION BY s, k, label ORDER BY (vec_id * 7919 + 13) % 1000003, vec_id) AS r, count(*) OVER (PARTITION BY s, k, label) AS n FROM pool JOIN e USING (vec_id))""",
+        "l0 AS (SELECT s, k, vec_id FROM r0 WHERE r <= greatest(floor(n * 0.1 + 0.5), 1))",
+    ]
+    for step, fraction in enumerate(_FRACTIONS, 1):
+        old, new = f"l{step - 1}", f"l{step}"
+        parts += [
+            _centers_sql(f"c{step}", old),
+            f"""o{step} AS (SELECT p.s, p.k, p.vec_id, row_number() OVER (PARTITION BY p.s, p.k ORDER BY CASE WHEN p.s = 'random' THEN ({_HASHED.replace("vec_id", "p.vec_id").replace("+ k", "+ p.k")})::DOUBLE ELSE round(conf, 9) END, p.vec_id) AS r
+FROM pool p LEFT JOIN {old} USING (s, k, vec_id) LEFT JOIN (SELECT s, k, vec_id, 1 / sum(exp(z - m)) AS conf FROM (SELECT p.s, p.k, p.vec_id, {dot} AS z, max({dot}) OVER (PARTITION BY p.s, p.k, p.vec_id) AS m FROM pool p JOIN e USING (vec_id) JOIN c{step} c ON c.s = p.s AND c.k = p.k) GROUP BY s, k, vec_id) f USING (s, k, vec_id)
+WHERE {old}.vec_id IS NULL)""",
+            f"h{step} AS (SELECT s, k, floor(n * {fraction}::DOUBLE + 0.5) - count(*) AS want FROM {old} JOIN size USING (s, k) GROUP BY s, k, n)",
+            f"{new} AS (SELECT * FROM {old} UNION ALL SELECT s, k, vec_id FROM o{step} JOIN h{step} USING (s, k) WHERE r <= want)",
+            _centers_sql(f"d{step}", new),
+            f"""p{step} AS (SELECT s, k, vec_id, any_value(label) AS label, arg_max(name, (round(z, 12), -name)) AS pred FROM (SELECT c.s, c.k, vec_id, e.label, c.label AS name, {dot} AS z FROM e JOIN d{step} c ON vec_id % 5 = c.k) GROUP BY s, k, vec_id)""",
+        ]
+    union = " UNION ALL ".join(f"SELECT {f}::DOUBLE AS fraction, s, k, label, pred FROM p{i}" for i, f in enumerate(_FRACTIONS, 1))
+    sizes = " UNION ALL ".join(f"SELECT {f}::DOUBLE AS fraction, s, k, count(*) AS n_labelled FROM l{i} GROUP BY s, k" for i, f in enumerate(_FRACTIONS, 1))
+    parts += [f"judged AS ({union})", f"sizes AS ({sizes})", counts_sql("fraction, s, k,", "judged")]
+    macro = "round(avg(CASE WHEN n_true + n_pred = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (n_true + n_pred)::DOUBLE END), 8) AS macro_f1, round(sum(tp)::DOUBLE / sum(n_true)::DOUBLE, 8) AS accuracy, sum(n_true)::BIGINT AS n"
+    return f"WITH {', '.join(parts)}, m AS (SELECT fraction, s, k, {macro} FROM counts GROUP BY fraction, s, k) SELECT k::INTEGER AS fold, s AS strategy, fraction, n_labelled, macro_f1, accuracy, n FROM m JOIN sizes USING (fraction, s, k)"
+
+
+def curve(spark, sf_dir, folds=_FOLDS, done=None):
+    """Learning curves of nearest-centroid classifiers by fold and strategy; resumes after what is ``done``."""
+    keys = ("fold", "strategy")
+    rows = load(spark, sf_dir, "embeddings").where("label < 8").select("vec_id", "label", "embedding")
+    every = rows.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in _STRATEGIES]))).withColumn("fold", F.explode(F.array(*[F.lit(k) for k in folds])))
+    pool, held = every.where("vec_id % 5 <> fold"), every.where("vec_id % 5 = fold")
+    group = F.concat_ws("/", "strategy", "fold", "label")
+    seeds = stratified_share(pool.withColumn("_g", group), "vec_id", "_g", 0.1).select(*keys, "vec_id")
+    logits = lambda labelled, of: openset.with_logits(of, openset.centroids(labelled, "label", "embedding", keys), "label", "embedding", 10.0, keys)
+    sure = lambda labelled, rest: logits(labelled, rest).withColumn("confidence", F.array_max(vec.softmax(F.col("logits"))))
+    best = vec.argmax(F.transform("logits", lambda z: F.round(z, 12))) + 1
+    predict = lambda labelled: logits(labelled, held).withColumn("pred", F.element_at("names", best))
+    order = (F.col("vec_id") * 7919 + 13 + F.col("fold")) % 1000003
+    return ex.active_learning(pool, seeds, "vec_id", keys, _FRACTIONS, sure, predict, {"random": order}, done)
+
+
+@query(_curve_sql())
 def learning_curve(spark, sf_dir):
-    rows = load(spark, sf_dir, "embeddings").where("label < 8")
-    pool, seeds, val = rows.where("vec_id % 20 < 14"), rows.where("vec_id % 20 < 2"), rows.where("vec_id % 20 between 14 and 16")
-    logits = lambda labelled, rest: openset.with_logits(rest, openset.centroids(labelled, "label", "embedding"), "label", "embedding", 10.0)
-    score = lambda labelled, rest: logits(labelled, rest).withColumn("confidence", F.array_max(vec.softmax(F.col("logits"))))
-    evaluate = lambda labelled: logits(labelled, val).withColumn("pred", F.element_at("names", vec.argmax(F.col("logits")) + 1))
-    found = [r for s in ("least confident", "random") for r in ex.active_learning(pool, seeds, "vec_id", [0.25, 0.5, 1.0], s, score, evaluate)]
-    return spark.createDataFrame(found, "strategy string, fraction double, n_labelled long, macro_f1 double, accuracy double")
+    return rounded(curve(spark, sf_dir), "macro_f1", "accuracy", digits=8)
 
 
 @query(f"""WITH {_PRED}, {counts_sql("source,")}, f AS (SELECT source, avg(CASE WHEN n_true + n_pred = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (n_true + n_pred)::DOUBLE END) AS f FROM counts GROUP BY source)

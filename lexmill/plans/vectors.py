@@ -207,7 +207,17 @@ def temperature_grid(spark, sf_dir):
     return openset.nll_by_temperature(rows, "logits", "label", _GRID).withColumn("nll", F.round("nll", 6))
 
 
-@query()
+def _fit_sql(lo: float = 0.05, hi: float = 20.0, rounds: int = 4, points: int = 15) -> str:
+    parts = [f"own AS (SELECT vec_id, name, z, label FROM logit WHERE label < {KNOWN} AND {_VAL})", f"b0 AS (SELECT ln({lo}::DOUBLE) AS a, ln({hi}::DOUBLE) AS b)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""g{k} AS (SELECT a, b, exp(a + (b - a) * i / {points - 1}) AS t FROM b{k - 1} CROSS JOIN range(0, {points}) r(i)),
+n{k} AS (SELECT a, b, t, avg(m + ln(s) - o) AS nll FROM (SELECT a, b, t, vec_id, max(m) AS m, sum(exp(z / t - m)) AS s, max(CASE WHEN name = label THEN z / t END) AS o
+  FROM (SELECT *, max(z / t) OVER (PARTITION BY vec_id, t) AS m FROM own CROSS JOIN g{k}) GROUP BY a, b, t, vec_id) GROUP BY a, b, t),
+w{k} AS (SELECT * FROM n{k} ORDER BY nll, t LIMIT 1), b{k} AS (SELECT ln(t) - (b - a) / {points - 1} AS a, ln(t) + (b - a) / {points - 1} AS b FROM w{k})""")
+    return f"WITH {_LOGITS}, {', '.join(parts)} SELECT round(t, 4) AS temperature, round(nll, 6) AS nll FROM w{rounds}"
+
+
+@query(_fit_sql())
 def temperature_fit(spark, sf_dir):
     t, nll = openset.fit_temperature(_logits(spark, sf_dir).where(f"label < {KNOWN}").where(_VAL), "logits", "label")
     return spark.createDataFrame([(round(t, 4), round(nll, 6))], "temperature double, nll double")

@@ -235,8 +235,12 @@ def test_precision_matrix_is_well_formed(spark):
 
 def test_one_to_one_join_refuses_repeats(spark):
     left, right = frame(spark, [(1,), (2,)], "k long"), frame(spark, [(1, "x"), (1, "y")], "k long, v string")
-    with pytest.raises(Exception, match="repeated k"):
-        checks.one_to_one(left, right, "k").collect()
+    for one, two in ((left, right), (right, left)):
+        with pytest.raises(Exception, match="repeated k"):
+            checks.one_to_one(one, two, "k").collect()
+    some = frame(spark, [(None, "a"), (None, "b"), (1, "c")], "k long, w string")
+    assert sorted((r["k"], r["w"]) for r in checks.one_to_one(some, left, "k").collect()) == [(1, "c")]
+    assert checks.one_to_one(some, left, "k", "left").count() == 3
 
 
 def test_text_functions(spark):
@@ -297,12 +301,16 @@ def test_noisy_copies_repeat_and_keep_what_is_no_letter(spark):
     assert all(sorted(filter(str.isdigit, t)) == list("12345") for (i, _), t in first.items() if i < 99) and len(set(first.values())) > 40 and first[99, 1] == ""
 
 
-def test_active_learning_ends_at_the_whole_pool(spark, sf_dir):
-    from lexmill.plans.catalogue import QUERIES
+def test_active_learning_ends_at_the_whole_pool_and_resumes(spark, sf_dir):
+    from lexmill.plans.experiments import curve
 
-    rows = {(r["strategy"], r["fraction"]): r for r in QUERIES["learning_curve"](spark, sf_dir).collect()}
-    a, b = rows["least confident", 1.0], rows["random", 1.0]
-    assert a["n_labelled"] == b["n_labelled"] and a["macro_f1"] == b["macro_f1"]
+    rows = {(r["fold"], r["strategy"], r["fraction"]): r for r in curve(spark, sf_dir, [0, 1]).collect()}
+    a, b = rows[0, "least confident", 1.0], rows[0, "random", 1.0]
+    assert len(rows) == 24 and a["n_labelled"] == b["n_labelled"] and a["macro_f1"] == b["macro_f1"]
+    first = spark.createDataFrame([r for k, r in rows.items() if k[0] == 0])
+    marked = first.withColumn("accuracy", F.lit(-1.0))
+    again = {(r["fold"], r["strategy"], r["fraction"]): r for r in curve(spark, sf_dir, [0, 1], marked).collect()}
+    assert set(again) == set(rows) and all(r["accuracy"] == -1.0 if k[0] == 0 else r == rows[k] for k, r in again.items())
 
 
 def test_draws_reach_every_place_of_many_rows(spark):
