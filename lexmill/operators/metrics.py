@@ -125,7 +125,8 @@ def _scored(rows: DataFrame, score: str, positive: str, keys: tuple[str, ...]) -
     """Distinct scores with running and total counts."""
     table = cumulative(by_score(rows, score, positive, keys), score, {"cum_pos": "n_pos", "cum_neg": "n_neg"}, keys)
     totals = rows.groupBy(*keys).agg(F.sum(positive).cast("long").alias("pos"), F.sum(1 - F.col(positive)).cast("long").alias("neg"))
-    return table.join(F.broadcast(totals), list(keys)) if keys else table.crossJoin(F.broadcast(totals))
+    # One row is broadcast; a table of groups joins as its size asks for.
+    return table.join(totals, list(keys)) if keys else table.crossJoin(F.broadcast(totals))
 
 
 def auroc(rows: DataFrame, score: str, positive: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -156,7 +157,7 @@ def order_statistic(rows: DataFrame, score: str, index: Column, keys: tuple[str,
     """The value at a position from 0 of each group's ascending scores; ``index`` is an expression in ``n``."""
     table = cumulative(rows.groupBy(*keys, score).agg(F.count("*").alias("_c")), score, {"_cum": "_c"}, keys)
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, index.cast("long").alias("_i"))
-    joined = table.join(F.broadcast(sizes), list(keys)) if keys else table.crossJoin(F.broadcast(sizes))
+    joined = table.join(sizes, list(keys)) if keys else table.crossJoin(F.broadcast(sizes))
     return joined.where(F.col("_cum") > F.col("_i")).groupBy(*keys).agg(F.min(score).alias(name))
 
 

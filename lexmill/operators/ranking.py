@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.sized import broadcast_if_small
+from lexmill.sources.shared import cut
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number from 1 in a total order, without one task that holds them all.
+
+    Rows are dealt into ranges of the order; each range is numbered by itself and
+    starts after the rows of the ranges before it, a table of one row a range.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
+    starts = sizes.select("_range", (F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_c")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + inside).cast("long")).drop("_range", "_start")
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """``n``, ``share`` and ``rank`` (largest first, ties by value) of each value."""
-    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    every = Window.partitionBy(F.lit(1))
-    return counts.select(column, "n", (F.col("n").cast("double") / F.sum("n").over(every)).alias("share"), F.row_number().over(every.orderBy(F.col("n").desc(), column)).cast("long").alias("rank"))
+    counts = numbered(rows.groupBy(column).agg(F.count("*").alias("n")), [F.col("n").desc(), F.col(column).asc()], "rank")
+    total = rows.agg(F.count("*").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", (F.col("n").cast("double") / F.col("_all")).alias("share"), "rank")
 
 
 def later_copies(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -33,7 +47,7 @@ def head_per_group(rows: DataFrame, keys: list[str], order: list[Column], k: int
 
 def dense_ids(rows: DataFrame, column: str, name: str = "id") -> DataFrame:
     """Distinct values in sorted order with numbers from 0."""
-    return rows.select(column).distinct().withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)) - 1).cast("long"))
+    return numbered(rows.select(column).distinct(), [F.col(column).asc()], name).withColumn(name, F.col(name) - 1)
 
 
 def with_ids(rows: DataFrame, column: str, name: str = "id") -> DataFrame:

@@ -270,6 +270,19 @@ def test_sources(spark, tmp_path):
     assert "| id |" in tables.markdown(rows.select("id"))
 
 
+def test_sizes_of_batches_may_have_units(spark):
+    from lexmill.sources import shared
+
+    assert [shared._bytes(x) for x in ("67108864", "64m", "1 GB", "3kb", "5b", -1)] == [67108864, 64 << 20, 1 << 30, 3072, 5, -1]
+    with pytest.raises(ValueError):
+        shared._bytes("many")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    shared.bounded_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(shared.BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 def test_settings():
     lines = ["lr: 5e-5  # step", "names: [a, b]", "flag: true", "", "# note", "n: 3"]
     assert config.read_settings(lines, ["n=4"]) == {"lr": 5e-5, "names": ["a", "b"], "flag": True, "n": 4}
