@@ -81,7 +81,10 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_chars``, ``fingerprint`` of whole texts: one row per input row; null texts are empty."""
+    """``doc_id``, ``n_chars``, ``fingerprint`` of whole texts, however long: one row per input row, equal texts alike.
+
+    Null texts are empty, an empty table gives an empty result, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,4 +174,5 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_quartile_digest(spark, sf_dir: str) -> DataFrame:
+    """All of ``documents``, each text against its edited self and the next one; texts move once."""
     return against_next(spark.read.parquet(f"{sf_dir}/documents.parquet"))

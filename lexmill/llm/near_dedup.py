@@ -439,6 +439,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op3_minhash_forest(spark, sf_dir: str) -> DataFrame:
+    """The group of each of ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -101,6 +101,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the unbiased risk under logistic loss: of positives, and of negatives, which may fall below zero."""
+    minus = lambda s: -np.log(1 - s + 1e-9)
+    return prior * float(-np.log(sp + 1e-9).mean()), float(minus(su).mean() - prior * minus(sp).mean())
+
+
+def descent(sp: np.ndarray, su: np.ndarray, prior: float) -> np.ndarray:
+    """Direction of a step by the logits of positives and unlabelled: the gradient of the risk, or, where the negative part is below zero, that which lifts it."""
+    if risk(sp, su, prior)[1] >= 0:
+        return np.concatenate((np.full(len(sp), -prior / len(sp)), su / len(su)))
+    return np.concatenate((prior * sp / len(sp), -su / len(su)))
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int) -> Network:
     """Minimise the non-negative risk; without a prior, tell positives from unlabelled."""
     rng = np.random.default_rng(seed)
@@ -122,15 +135,10 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int) ->
             hidden = np.tanh(x[at] @ net.w1 + net.b1)
             s = _sigmoid(hidden @ net.w2 + net.b2[0])
             sp, su = s[: len(p)], s[len(p) :]
-            # Logistic loss: d loss(+) = s - 1, d loss(-) = s.
             if prior is None:
                 back = np.concatenate(((sp - 1) / len(p), su / len(u)))
             else:
-                negative = -np.log(1 - su + 1e-9).mean() - prior * (-np.log(1 - sp + 1e-9)).mean()
-                if negative >= 0:
-                    back = np.concatenate((prior * (sp - 1 - sp) / len(p), su / len(u)))
-                else:
-                    back = np.concatenate((prior * sp / len(p), -su / len(u)))
+                back = descent(sp, su, prior)
             into = back[:, None] * net.w2[None, :] * (1 - hidden * hidden)
             grads = [x[at].T @ into + 2e-3 * net.w1, into.sum(axis=0), hidden.T @ back + 2e-3 * net.w2, np.array([back.sum()])]
             t += 1
@@ -196,7 +204,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Quality of every whole text: ``doc_id`` and ``score`` (0 to 1), one row per input row.
 
     Null and empty texts share one score, that of all features at zero. Without
-    positives every score is 0.5. Other columns are ignored.
+    positives every score is 0.5. Repeated rows score alike, an empty table gives an
+    empty result, texts are read whole; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     send = bounded_batches(docs.sparkSession).sparkContext.broadcast(fit(rows, labels))
@@ -213,5 +222,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def op9_nonneg_pu_quality(spark, sf_dir: str) -> DataFrame:
+    """All of ``documents`` scored where they lie, by a model of the positives outside the held-out quarter."""
     scored = quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

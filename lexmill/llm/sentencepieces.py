@@ -242,8 +242,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns ``doc_id``, ``n_tokens``, ``token_ids``, ``round_trip`` (decoding gives
     the very text; a text with the marker character itself does not) and, with
     ``verify``, ``parity``: the original implementation gives the same ids, for
-    each word or, where words cannot be cut apart, for the text. One row per input row; null and empty texts have no tokens; other columns are
-    ignored. ``model`` is a path on every worker.
+    each word or, where words cannot be cut apart, for the text. One row per input
+    row, repeated ones included; null and empty texts have no tokens; texts are
+    encoded whole, however long; an empty table gives an empty result; other columns
+    are ignored. ``model`` is a path on every worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,4 +276,5 @@ def decode_ids(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_
 
 
 def op5_tokenizers_backend(spark, sf_dir: str) -> DataFrame:
+    """All of ``documents`` encoded where they lie."""
     return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -167,6 +167,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def op8_golden_mix(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes from each of ``documents``, by expressions and joins alone."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
