@@ -9,17 +9,18 @@ from lexmill.operators.sized import broadcast_if_small
 from lexmill.sources.shared import cut
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``rows`` with their number from 1 in a total order, without one task that holds them all.
+def numbered(rows: DataFrame, order: list[Column], name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their number from 1 in a total order, within ``keys``, without one task that holds them all.
 
     Rows are dealt into ranges of the order; each range is numbered by itself and
-    starts after the rows of the ranges before it, a table of one row a range.
+    starts after the rows of the ranges before it, a table of one row a range and group.
     """
     dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_c"))
-    starts = sizes.select("_range", (F.sum("_c").over(Window.partitionBy(F.lit(1)).orderBy("_range")) - F.col("_c")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + inside).cast("long")).drop("_range", "_start")
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys, F.lit(1)).orderBy("_range")
+    starts = sizes.select(*keys, "_range", (F.sum("_c").over(before) - F.col("_c")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return dealt.join(starts, [*keys, "_range"]).withColumn(name, (F.col("_start") + inside).cast("long")).select(*rows.columns, name)
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

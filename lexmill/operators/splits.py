@@ -6,18 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.cumulative import cumulative
-from lexmill.operators.ranking import head_per_group
+from lexmill.operators.ranking import head_per_group, numbered
 from lexmill.operators.sized import broadcast_if_small
 
-#: Ids below 2**43 keep the order key in a long.
-_ID_ROOM = 1 << 43
 #: Modulus of the arithmetic hash; it reaches no place beyond.
 MIXED = 1000003
 
 
 def mixed(id_: Column, seed: int = 13) -> Column:
-    """An arithmetic hash that any SQL engine can repeat."""
-    return (id_ * 7919 + seed) % MIXED
+    """An arithmetic hash that any SQL engine can repeat: of ``id * 7919 + seed``, without overflow for any id."""
+    return (id_ % MIXED * 7919 + seed) % MIXED
 
 
 def place_of(number: Column, n: Column, *keys: Column) -> Column:
@@ -25,14 +23,9 @@ def place_of(number: Column, n: Column, *keys: Column) -> Column:
     return F.when(n <= MIXED, number % MIXED % n).otherwise(F.pmod(F.xxhash64(*keys), n))
 
 
-def order_key(id_: Column, seed: int = 13) -> Column:
-    return (mixed(id_, seed) * F.lit(_ID_ROOM) + id_).cast("long")
-
-
 def ranks(rows: DataFrame, id_col: str, keys: tuple[str, ...], seed: int = 13) -> DataFrame:
-    """``rows`` with ``place``, from 0, in hashed order within ``keys``; a group may be of any size. Ids are unique."""
-    ordered = rows.withColumn("_k", order_key(F.col(id_col), seed)).withColumn("_1", F.lit(1).cast("long"))
-    return cumulative(ordered, "_k", {"_r": "_1"}, keys).withColumn("place", F.col("_r") - 1).drop("_k", "_1", "_r")
+    """``rows`` with ``place``, from 0, in hashed order within ``keys``; a group may be of any size, ids may be any numbers. Ids are unique."""
+    return numbered(rows, [mixed(F.col(id_col), seed).asc(), F.col(id_col).asc()], "place", keys).withColumn("place", F.col("place") - 1)
 
 
 def stratified_split(groups: DataFrame, id_col: str, label: str, shares: tuple[float, float] = (0.7, 0.85), seed: int = 13) -> DataFrame:

@@ -31,6 +31,13 @@ def test_split_and_folds_partition_the_groups(spark):
     assert checks.same_keys(split, folds, on="id").first()["in_some"] == 0
 
 
+def test_hashed_ids_of_64_bits_are_split_and_sampled(spark):
+    rows = frame(spark, [((1 << 62) + 977 * i, "ab"[i % 2]) for i in range(300)], "id long, label string")
+    split = splits.stratified_split(rows, "id", "label")
+    assert split.count() == 300 and 205 <= split.where("split = 'train'").count() <= 215
+    assert splits.sample(rows, "id", 20).count() == 20 and splits.group_folds(rows, "id", "label").where("fold = 0").count() == 60
+
+
 def test_duplicate_groups_never_cross_splits(spark, sf_dir):
     docs = tables.load(spark, sf_dir, "documents")
     groups = similarity.duplicate_groups(docs, "doc_id", 0.6)
