@@ -11,6 +11,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ BATCH_BYTES = 4 << 20
 _READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 READ_ROWS = 256
 _OWN: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +47,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no result reads any more; others are left alone."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            there = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def _bytes(setting: str) -> int:
