@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import bounded_batches
@@ -137,39 +138,63 @@ def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _range_of(heads: list[tuple], place: Column) -> Column:
+    """Number of the last of the sorted ``heads`` at or before a row's place: first among some of them, then among those that follow."""
+    whole = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for n, i, h in heads])
+    step = max(1, math.isqrt(len(heads)))
+    coarse = F.array(*[F.element_at(whole, k + 1) for k in range(0, len(heads), step)])
+    upto = lambda some: F.size(F.filter(some, lambda head: head <= place))
+    first = (upto(coarse) - 1) * step
+    return (first + upto(F.slice(whole, first + 1, F.lit(step))) - 1).cast("int")
+
+
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text ends with the start of the next document, by descending id
-    (after the last: the first). Rows of one id follow each other by text; rows
-    without id come last; null texts are empty; a single row is its own next.
-    One row per input row; other columns are ignored; an empty table stays empty.
-
-    Ranges of ids are cut at ids that occur, so the row that follows a range is
-    known beforehand: it is sent to both ranges and texts move once.
+    (after the last: the first). Rows of one id follow each other by text or, if they
+    fill whole ranges, by a hash of it; rows without id come last; null texts are
+    empty; a single row is its own next. One row per input row; other columns are
+    ignored; an empty table stays empty; texts are taken whole.
+
+    Ranges of ids are cut by quantiles. An id, or none, that fills several is cut by
+    hashes of its texts. The least row of every range is known beforehand: it is
+    sent to the range before it as well, and texts move once. Rows that agree in id
+    and text stand in one range.
     """
     spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shares = F.array(*[F.lit(i / MOST_RANGES).cast("double") for i in range(1, MOST_RANGES)])
-    cuts, top, total = rows.agg(F.percentile_approx("doc_id", shares, 4 * MOST_RANGES), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
-    n = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-(total or 0) // RANGE_BYTES)))
+    cuts, top, total, count, unnamed = rows.agg(
+        F.percentile_approx("doc_id", shares, 4 * MOST_RANGES), F.max("doc_id"), F.sum(F.octet_length("text")), F.count("*"), F.count_if(F.col("doc_id").isNull())
+    ).first()
+    if not count:
+        return docs.sparkSession.createDataFrame([], _PAIR)
+    n = min(MOST_RANGES, max(spark.sparkContext.defaultParallelism, -(-total // RANGE_BYTES)))
     cuts = [cuts[i * MOST_RANGES // n - 1] for i in range(1, n)] if cuts else []
-    heads = sorted({*cuts, *([top] if top is not None else [])}, reverse=True)  # first ids of the ranges: one a partition
-    last = max(len(heads) - 1, 0)
-    at = F.array(*[F.lit(c).cast("long") for c in heads[1:]]) if last else F.array().cast("array<long>")
-    own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(at, lambda c: F.col("doc_id") <= c)))
-    placed = rows.withColumn("own", own.cast("int"))
-    if heads:
-        head = F.array(*[F.lit(c).cast("long") for c in heads])
-        leads = F.coalesce(F.col("doc_id") == F.element_at(head, F.col("own") + 1), F.lit(False))
-        before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1)
-        mine = F.struct(F.col("own").alias("range"), F.lit(False).alias("follows"))
-        also = F.struct(before.cast("int").alias("range"), F.lit(True).alias("follows"))
-        placed = placed.withColumn("to", F.explode(F.when(leads, F.array(mine, also)).otherwise(F.array(mine))))
+    pieces = {i: k for i, k in Counter([*cuts, *([top] if top is not None else [])]).items()}
+    pieces |= {None: max(1, round(n * unnamed / count))} if unnamed else {}
+    heavy = [i for i, k in pieces.items() if k > 2 and i is not None]
+    # A place in the order: rows without id last, larger ids first, then the hash of an id that is cut.
+    by_hash = F.col("doc_id").isNull() | F.col("doc_id").isin(heavy) if heavy else F.col("doc_id").isNull()
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("i"), F.when(by_hash, F.xxhash64("text")).otherwise(0).cast("long").alias("h"))
+    heads = sorted((i is None, 0 if i is None else ~i, -(1 << 63) + (j << 64) // k if i is None or i in heavy else 0) for i, k in pieces.items() for j in range(k if i is None or i in heavy else 1))
+    placed = rows.withColumn("place", place)
+    if not heavy and not unnamed:
+        least = {k: h for k, h in enumerate(heads)}  # ids that occur
     else:
-        placed = placed.withColumn("to", F.struct(F.col("own").alias("range"), F.lit(False).alias("follows")))
-    dealt = placed.select("doc_id", "text", F.col("to.follows").alias("follows"), F.col("to.range").alias("range")).repartitionById(last + 1, F.col("range"))
-    ordered = dealt.sortWithinPartitions("follows", F.col("doc_id").desc_nulls_last(), "text").select("doc_id", "text", "follows")
+        least = {r["k"]: tuple(r["p"]) for r in placed.groupBy(_range_of(heads, F.col("place")).alias("k")).agg(F.min("place").alias("p")).collect()}  # a row a range
+    filled = sorted(least)
+    heads = [least[k] for k in filled]
+    last = len(heads) - 1
+    placed = placed.withColumn("own", _range_of(heads, F.col("place")))
+    head = F.array(*[F.struct(F.lit(x).alias("n"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for x, i, h in heads])
+    leads = F.col("place") == F.element_at(head, F.col("own") + 1)
+    before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1).cast("int")
+    mine, also = F.struct(F.col("own").alias("range"), F.lit(False).alias("follows")), F.struct(before.alias("range"), F.lit(True).alias("follows"))
+    sent = placed.withColumn("to", F.explode(F.when(leads, F.array(mine, also)).otherwise(F.array(mine))))
+    dealt = sent.select("doc_id", "text", "place", F.col("to.follows").alias("follows"), F.col("to.range").alias("range")).repartitionById(last + 1, F.col("range"))
+    ordered = dealt.sortWithinPartitions("follows", "place", "text").select("doc_id", "text", "follows")
     return ordered.mapInArrow(_against_next, _PAIR)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from lexmill.llm._words import hash_words, mix, shingles, text_slices
 from lexmill.operators.components import connected_components
-from lexmill.sources.shared import bounded_batches, cut
+from lexmill.sources.shared import bounded_batches, cut, forget
 
 TREES = 24
 DEPTH = 6
@@ -285,7 +285,7 @@ def _pairs_of(across: bool, min_pct: int = 75):
 
 
 def _regions(reps: DataFrame) -> DataFrame:
-    """Tree and region of each representative that shares its region with another.
+    """Tree and region of each representative that shares its region with another, written.
 
     ``first`` marks the regions of the first pass, which deepen where they are
     crowded; ``whole`` those of the second, all of ``MIN_DEPTH`` values.
@@ -296,10 +296,12 @@ def _regions(reps: DataFrame) -> DataFrame:
         "rep", "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path")
     )
     done: list[DataFrame] = []
+    spent: list[DataFrame] = []
     for depth in range(MIN_DEPTH, DEPTH + 1):
         key = F.xxhash64("tree", F.substring("path", 1, STEP * depth), F.lit(depth))
         keyed = open_rows.select("rep", "tree", "path", key.alias("region"))
         shared = cut(keyed.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.first("tree").alias("of")).where("n > 1"), "crowds")
+        spent.append(shared)
         crowded = shared.where(F.col("n") > CROWD)
         any_crowd = not crowded.isEmpty()
         if not any_crowd:
@@ -323,7 +325,10 @@ def _regions(reps: DataFrame) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     wide = reps.select("rep", "n_shingles", "sketch", "sig")
-    return out.join(wide, "rep").select("region", "rep", "n_shingles", "sketch", "first", "whole", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path"))
+    path = F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("path")
+    regions = cut(out.join(wide, "rep").select("region", "rep", "n_shingles", "sketch", "first", "whole", path), "regions")
+    forget(*spent)
+    return regions
 
 
 def _parted(labelled: DataFrame) -> DataFrame:
@@ -404,14 +409,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("sig").alias("sig")),
         "reps",
     )
-    regions = cut(_regions(reps), "regions")
+    regions = _regions(reps)
     order = ["region", "rep", "n_shingles", "sketch"]
     ordered = regions.where("first").repartition("region").sortWithinPartitions("region", "path", "rep").select(*order, "path")
     pairs = cut(ordered.mapInArrow(_pairs_of(False), _PAIRS).distinct(), "pairs")
     links = cut(_confirmed(pairs, docs, min_pct), "links")
     groups = cut(connected_components(links), "groups")
     labelled = regions.where("whole").join(groups, F.col("rep") == F.col("node"), "left").select(*order, F.coalesce("component", "rep").alias("label"))
-    rest = cut(_parted(labelled), "rest")
+    held = rest = cut(_parted(labelled), "rest")
     bounds = _shingled(rest.select(F.col("rep").alias("doc_id")).distinct(), docs, bitmap=True)
     # A repeated id may stand for several texts; then every bit is set, which rules nothing out.
     bounds = bounds.groupBy(F.col("doc_id").alias("rep")).agg(F.max("members").alias("members"), F.count("*").alias("texts"))
@@ -422,6 +427,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         extra = cut(_confirmed(more, docs, min_pct), "links")
         if not extra.isEmpty():
             groups = cut(connected_components(links.unionByName(extra)), "groups")
+        forget(extra)
+    forget(regions, pairs, links, held, more)
     of_set = reps.select("k1", "k2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     mark = F.col("n_shingles") > 0
     joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(of_set, ["k1", "k2"], "left")

@@ -28,6 +28,8 @@ BUCKET_BYTES = 16 << 20
 #: Parts of a shard that are counted first; counted again, finer, where buckets must be smaller.
 FINE = 1 << 12
 EMIT_ROWS = 2000
+#: Groups of identical rows whose records are broadcast to where their copies are made.
+HOT_ROWS = 64
 
 
 def shard_of(key: Column, n_shards: int, seed: int = SEED) -> Column:
@@ -81,39 +83,70 @@ def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its bucket larger.
 
     Null ids form one key, null texts are empty. Rows that repeat an id share its
-    shard and are spread over its buckets by their text; rows that differ in other
-    columns only keep their places on every run, and identical rows, which share a
-    bucket, are interchangeable. An empty table gives an empty result.
+    shard and are spread over its buckets by their text, and identical rows that
+    would fill a bucket by their number; rows that differ in other columns only keep
+    their places on every run. An empty table gives an empty result.
     """
     if docs.isEmpty():
         return docs.select(F.struct("*").alias("record"), F.lit(0).alias("shard"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("slot"))
     bounded_batches(docs.sparkSession)
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tie = F.xxhash64(F.lit(seed + 1), key, text)
-    whole = F.xxhash64(F.lit(seed + 2), *[F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)])
-    shard = shard_of(key, n_shards, seed)
-
-    def counts(fine: int) -> DataFrame:
-        by = F.pmod(tie, F.lit(fine)).cast("int")
-        return cut(docs.groupBy(shard.alias("shard"), by.alias("fine")).agg(F.count("*").alias("rows"), F.sum(F.octet_length(text) + 8).alias("bytes")), "counts")
-
-    fine, counted = FINE, counts(FINE)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)]
+    marks = [F.xxhash64(F.lit(seed + 1), key, text).alias("tie"), F.xxhash64(F.lit(seed + 2), *hashed).alias("whole"), shard_of(key, n_shards, seed).alias("shard")]
+    rows = docs.select(F.struct("*").alias("record"), key.alias("id"), *marks, (F.octet_length(text) + 8).alias("bytes"))
+    fine, counted = FINE, _counted(rows, FINE)
     total, parts = counted.agg(F.sum("bytes")).first()[0], 1
     while total > parts * n_shards * bucket_bytes:
         parts *= 2
+    if len(hashed) == len(docs.columns):
+        full = counted.where(F.col("bytes") > 4 * max(bucket_bytes, total * max(1, parts // fine) / (parts * n_shards)))
+        if not full.isEmpty():
+            rows, fine = _spread(rows, full, fine, bucket_bytes), 0
     if parts > fine:
-        fine, counted = parts, counts(parts)
+        fine = max(parts, FINE)
+        counted = _counted(rows, fine)
     bucket = F.expr(f"shard * {parts} + fine div {fine // parts}").cast("int")
     sums = counted.groupBy("shard", bucket.alias("bucket")).agg(F.sum("rows").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")
     starts = broadcast_if_small(cut(sums.select("bucket", before.alias("at")), "starts"))  # one row a bucket
 
-    scattered = docs.select(F.struct("*").alias("record"), key.alias("id"), tie.alias("tie"), whole.alias("whole"), shard.alias("shard"), F.pmod(tie, F.lit(fine)).cast("int").alias("fine"))
-    scattered = scattered.withColumn("bucket", bucket).drop("fine").join(starts, "bucket").repartitionById(n_shards * parts, F.col("bucket"))
+    scattered = rows.withColumn("fine", F.pmod("tie", F.lit(fine)).cast("int")).withColumn("bucket", bucket).drop("fine", "bytes")
+    scattered = scattered.join(starts, "bucket").repartitionById(n_shards * parts, F.col("bucket"))
     schema = T.StructType([scattered.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType())])
     return scattered.mapInArrow(_shuffle(seed), schema)
 
 
+def _counted(rows: DataFrame, fine: int) -> DataFrame:
+    """Rows and bytes of each of the ``fine`` parts of every shard."""
+    by = F.pmod("tie", F.lit(fine)).cast("int")
+    return cut(rows.groupBy("shard", by.alias("fine")).agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")), "counts")
+
+
+def _spread(rows: DataFrame, full: DataFrame, fine: int, bucket_bytes: int) -> DataFrame:
+    """``rows`` with the copies of identical rows that would fill a bucket of their own dealt over all buckets of their shard.
+
+    Such rows are counted, taken out, and made again from their numbers, each with a
+    hash of its number in place of the common one; a full bucket without them stays.
+    """
+    mine = rows.withColumn("fine", F.pmod("tie", F.lit(fine)).cast("int")).join(broadcast_if_small(full.select("shard", "fine")), ["shard", "fine"], "left_semi")
+    groups = mine.groupBy("tie", "whole").agg(F.count("*").alias("copies"), F.first("record").alias("record"), F.first("id").alias("id"), F.first("shard").alias("shard"), F.first("bytes").alias("bytes"))
+    hot = groups.where((F.col("copies") > 1) & (F.col("copies") * F.col("bytes") > bucket_bytes))
+    hot = cut(hot.withColumn("upto", F.sum("copies").over(Window.partitionBy(F.lit(1)).orderBy("tie", "whole"))), "hot")  # fewer rows than there are buckets
+    n = hot.agg(F.max("upto")).first()[0]
+    if n is None:
+        return rows
+    cool = rows.join(broadcast_if_small(hot.select("tie", "whole")), ["tie", "whole"], "left_anti")
+    starts = hot.select("tie", "whole", (F.col("upto") - F.col("copies")).alias("first"), "upto")
+    # Numbers meet their group by the part of the numbers that holds its range.
+    step = 1 << 16
+    spans = starts.withColumn("span", F.explode(F.expr(f"sequence(first div {step}, (upto - 1) div {step})")))
+    numbers = rows.sparkSession.range(n).withColumn("span", F.expr(f"id div {step}")).withColumnRenamed("id", "number")
+    copies = numbers.join(spans, "span").where("number >= first and number < upto").select("tie", "whole", "number", "first")
+    made = copies.join(broadcast_if_small(hot.drop("upto", "copies"), HOT_ROWS), ["tie", "whole"])
+    again = made.select("record", "id", F.xxhash64("tie", F.col("number") - F.col("first")).alias("tie"), "whole", "shard", "bytes")
+    return cool.select(again.columns).unionByName(again)
+
+
 def write_shards(shuffled: DataFrame, path: str) -> None:
     """Write every bucket as one Parquet file below its shard's folder, rows in slot order."""
     shuffled.select("record.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).write.partitionBy("_shard").parquet(path)

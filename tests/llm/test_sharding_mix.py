@@ -90,6 +90,23 @@ def test_rows_that_differ_in_other_columns_only_keep_their_places(spark):
     assert {r["source"]: r["slot"] for r in made[0]} == {r["source"]: r["slot"] for r in made[1]} and len(made[0]) == 40
 
 
+def test_identical_rows_are_spread_over_buckets(spark):
+    """A third of the rows are one row: it fills no bucket of its own, all copies are there, and reruns agree."""
+    rows = [(5, "the very same text", "a")] * 3000 + [(i % 900, f"text {i}", "b") for i in range(6000)]
+    runs = []
+    for n in (3, 7):
+        made = external_shuffle(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), n_shards=3, bucket_bytes=4000).select("record.*", "shard", "bucket", "slot").collect()
+        assert Counter((r["doc_id"], r["text"], r["source"]) for r in made) == Counter(rows)
+        slots = defaultdict(list)
+        for r in made:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        same = Counter(r["bucket"] for r in made if r["doc_id"] == 5 and r["text"] == "the very same text")
+        assert len({r["shard"] for r in made if r["doc_id"] == 5}) == 1 and len(same) >= 16 and max(same.values()) < 500
+        runs.append(sorted(map(tuple, made)))
+    assert runs[0] == runs[1]
+
+
 def test_long_and_unnamed_documents_stay_in_the_mix(spark):
     rows = [(1, "w " * 5000, "a")] + [(i, f"x{i} y z", "b") for i in range(2, 40)] + [(None, "no id here", "b"), (50, " ", "b")]
     mixed = [r["doc_id"] for r in apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
