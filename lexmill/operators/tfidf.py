@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.text import windows, words_of
 from lexmill.operators.metrics import class_weights, macro_scores
 from lexmill.operators.sized import broadcast_if_small
-from lexmill.sources.shared import cut
+from lexmill.sources.shared import bounded_batches, cut
 
 #: Inverse strengths of the penalty that a validation set chooses from.
 STRENGTHS = (0.3, 1.0, 3.0, 10.0, 30.0)
@@ -122,6 +122,7 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     stand in blocks of about ``BLOCK_ROWS``, alike ones together: where two blocks
     have many such pairs the blocks are multiplied, elsewhere each pair by itself.
     """
+    bounded_batches(weights.sparkSession)
     weights = cut(weights.select(F.col("id").cast("long").alias("id"), "gram", "weight"), "weights")
     held = weights.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = cut(weights.join(held, "gram").select("id", F.xxhash64("gram").alias("h"), "df", "weight"), "shared")
