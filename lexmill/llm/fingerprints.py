@@ -138,14 +138,18 @@ def _against_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+def _array(heads: list[tuple]) -> Column:
+    """Places as one constant, written as SQL: a call for each of thousands of numbers would take seconds."""
+    one = lambda x: f"named_struct('n', {str(x[0]).lower()}, 'i', bigint('{x[1]}'), 'h', bigint('{x[2]}'))"
+    return F.expr(f"array({', '.join(map(one, heads))})")
+
+
 def _range_of(heads: list[tuple], place: Column) -> Column:
     """Number of the last of the sorted ``heads`` at or before a row's place: first among some of them, then among those that follow."""
-    whole = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for n, i, h in heads])
     step = max(1, math.isqrt(len(heads)))
-    coarse = F.array(*[F.element_at(whole, k + 1) for k in range(0, len(heads), step)])
     upto = lambda some: F.size(F.filter(some, lambda head: head <= place))
-    first = (upto(coarse) - 1) * step
-    return (first + upto(F.slice(whole, first + 1, F.lit(step))) - 1).cast("int")
+    first = (upto(_array(heads[::step])) - 1) * step
+    return (first + upto(F.slice(_array(heads), first + 1, F.lit(step))) - 1).cast("int")
 
 
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +168,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shares = F.array(*[F.lit(i / MOST_RANGES).cast("double") for i in range(1, MOST_RANGES)])
+    shares = F.expr(f"array({', '.join(f'{i / MOST_RANGES!r}D' for i in range(1, MOST_RANGES))})") if MOST_RANGES > 1 else F.array().cast("array<double>")
     cuts, top, total, count, unnamed = rows.agg(
         F.percentile_approx("doc_id", shares, 4 * MOST_RANGES), F.max("doc_id"), F.sum(F.octet_length("text")), F.count("*"), F.count_if(F.col("doc_id").isNull())
     ).first()
@@ -188,8 +192,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = [least[k] for k in filled]
     last = len(heads) - 1
     placed = placed.withColumn("own", _range_of(heads, F.col("place")))
-    head = F.array(*[F.struct(F.lit(x).alias("n"), F.lit(i).cast("long").alias("i"), F.lit(h).cast("long").alias("h")) for x, i, h in heads])
-    leads = F.col("place") == F.element_at(head, F.col("own") + 1)
+    leads = F.col("place") == F.element_at(_array(heads), F.col("own") + 1)
     before = F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1).cast("int")
     mine, also = F.struct(F.col("own").alias("range"), F.lit(False).alias("follows")), F.struct(before.alias("range"), F.lit(True).alias("follows"))
     sent = placed.withColumn("to", F.explode(F.when(leads, F.array(mine, also)).otherwise(F.array(mine))))
