@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +42,23 @@ def contained_texts(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_id:
     """
     items = bank.select(F.col(bank_id).alias("_b"), collapse(F.col("text")).alias("_item")).where(F.length("_item") >= least_chars)
     words = F.split("_item", " ")
-    inner = F.least(F.size(words) - 2, F.lit(width))  # below 1: too few words
-    head = F.xxhash64(F.substring("_item", 1, least_chars))
-    probe = F.when(inner >= 1, F.xxhash64(F.array_join(F.slice(words, F.lit(2), F.greatest(inner, F.lit(1))), " "))).otherwise(head)
-    items = cut(items.select("_b", "_item", F.greatest(inner, F.lit(0)).alias("_w"), probe.alias("_h")), "items")
+    inner = F.greatest(F.least(F.size(words) - 2, F.lit(width)), F.lit(0))  # 0: too few words
+    probe = F.when(inner > 0, F.array_join(F.slice(words, F.lit(2), F.greatest(inner, F.lit(1))), " ")).otherwise(F.substring("_item", 1, least_chars))
+    items = cut(items.select("_b", "_item", inner.alias("_w"), F.xxhash64(inner, probe).alias("_h")), "items")
     sizes = sorted(r["_w"] for r in items.select("_w").distinct().collect())  # width + 1 values at most
-    ours = corpus.select(F.col(corpus_id).alias("_c"), collapse(F.col("text")).alias("_norm"))
-    found = []
-    for w in sizes:
-        runs = windows(F.split("_norm", " "), w) if w else F.transform(F.sequence(F.lit(1), F.greatest(F.length("_norm") - least_chars + 1, F.lit(1))), lambda i: F.substring("_norm", i, F.lit(least_chars)))
-        held = ours.select("_c", F.explode(F.array_distinct(F.transform(runs, lambda r: F.xxhash64(r)))).alias("_h"))
-        found.append(held.join(broadcast_if_small(items.where(F.col("_w") == w).select("_b", "_h")), "_h").select("_b", "_c"))
-    if not found:
+    if not sizes:
         return corpus.limit(0).select(F.lit(None).cast(bank.schema[bank_id].dataType).alias(bank_id), corpus_id)
-    near = cut(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    ours = corpus.select(F.col(corpus_id).alias("_c"), collapse(F.col("text")).alias("_norm"))
+
+    def runs(w: int) -> Column:
+        """Hashes of all runs of ``w`` words of a text, for 0 of ``least_chars`` characters."""
+        if w:
+            return F.transform(windows(F.split("_norm", " "), w), lambda r: F.xxhash64(F.lit(w), r))
+        places = F.sequence(F.lit(1), F.greatest(F.length("_norm") - least_chars + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(0), F.substring("_norm", i, F.lit(least_chars))))
+
+    held = ours.select("_c", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("_h"))
+    near = cut(held.join(broadcast_if_small(items.select("_b", "_h")), "_h").select("_b", "_c").distinct(), "candidates")
     met = ours.join(broadcast_if_small(near), "_c").join(broadcast_if_small(items.select("_b", "_item")), "_b")
     return met.where(F.col("_norm").contains(F.col("_item"))).select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id)).distinct()
 
