@@ -312,9 +312,10 @@ def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     return Page(number, width, length, samples, bits, one(SAMPLE_FORMAT, 1), compression, predictor, tiled, raw)
 
 
-#: Layouts a payload's checksum chooses from, in equal shares: compression, predictor, tiled.
-#: Predictor 3 is for floating-point samples, so 8-bit payloads never have it.
-LAYOUTS = tuple((c, p, t) for c in (PACKBITS, LZW, DEFLATE) for p in (1, 2) for t in (False, True))
+#: Layouts a payload's checksum chooses from: every compression with either predictor, in strips and in tiles.
+#: LZW has a third of the others' shares: its codes are read one by one in Python. Predictor 3 is for
+#: floating-point samples, so 8-bit payloads never have it.
+LAYOUTS = tuple((c, p, t) for c in (PACKBITS, PACKBITS, PACKBITS, LZW, DEFLATE, DEFLATE, DEFLATE) for p in (1, 2) for t in (False, True))
 
 
 def encode(payload: bytes, layout: tuple[int, int, bool] | None = None) -> bytes:
