@@ -17,7 +17,7 @@ from lexmill.operators.metrics import class_weights, macro_scores
 from lexmill.operators.sized import broadcast_if_small
 from lexmill.sources.shared import bounded_batches, cut
 
-#: Inverse strengths of the penalty that a validation set chooses from.
+#: Inverse strengths of the penalty that a validation set chooses from.
 STRENGTHS = (0.3, 1.0, 3.0, 10.0, 30.0)
 FEATURES = 1 << 18
 #: Rows of a block of similar rows; as many pairs between two blocks are cheaper met at once.

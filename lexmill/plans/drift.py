@@ -116,6 +116,7 @@ def drift_daily(spark, sf_dir):
     return per.select("day", "n", F.round("psi", 8).alias("psi"), (F.col("psi") > 0.02).alias("alert"))
 
 
+#: Sizes of the windows of a power study, and windows of each.
 _SIZES, _REPS = (65, 130, 260, 520), 40
 
 

@@ -122,6 +122,7 @@ def winner_rule(spark, sf_dir):
     return ex.winner(runs, "name", "score", "spread", "size")
 
 
+#: Labelled shares of the pool, and folds.
 _FRACTIONS, _FOLDS = [0.10, 0.20, 0.35, 0.50, 0.75, 1.00], [0, 1, 2]
 _STRATEGIES = ["least confident", "random"]
 _HASHED = "(vec_id * 7919 + 13 + k) % 1000003"

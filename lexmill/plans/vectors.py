@@ -149,7 +149,19 @@ def open_set_table(spark, sf_dir):
     return joined.select("scorer", *[F.round(c, 6).alias(c) for c in ("auroc", "ap", "tau", "rejected", "kept")])
 
 
-@query()
+_PRECISION = f"""{_E}, bank AS (SELECT label, v FROM e WHERE {_BANK}), mu AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM bank CROSS JOIN range(1, 65) t(i) GROUP BY label, i) GROUP BY label),
+c AS (SELECT [v[i] - m[i] for i in range(1, 65)] AS d FROM bank JOIN mu USING (label)), pooled AS (SELECT i, j, avg(d[i] * d[j]) AS p FROM c CROSS JOIN range(1, 65) a(i) CROSS JOIN range(1, 65) b(j) GROUP BY i, j),
+tr AS (SELECT sum(CASE WHEN i = j THEN p END) / 64 AS mu, sum(p * p) AS squares FROM pooled), q AS (SELECT count(*)::DOUBLE AS n, sum(s * s) AS quartic FROM (SELECT list_sum([x * x for x in d]) AS s FROM c)),
+sp AS (SELECT sum((p - CASE WHEN i = j THEN mu ELSE 0 END) * (p - CASE WHEN i = j THEN mu ELSE 0 END)) / 64 AS spread FROM pooled CROSS JOIN tr),
+sh AS (SELECT CASE WHEN spread = 0 THEN 1 ELSE least(1.0, greatest(0.0, (quartic / n - squares) / n / 64) / spread) END AS shrink FROM tr CROSS JOIN q CROSS JOIN sp),
+rows AS (SELECT i, list((1 - shrink) * p + CASE WHEN i = j THEN shrink * mu + 1e-12 ELSE 0 END ORDER BY j) || [CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for k in range(1, 65)] AS r FROM pooled CROSS JOIN tr CROSS JOIN sh GROUP BY i),
+solved(k, a) AS (SELECT 0, list(r ORDER BY i) FROM rows UNION ALL
+  SELECT k + 1, [CASE WHEN i = k + 1 THEN [x / a[i][i] for x in a[i]] ELSE [a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] for j in range(1, 129)] END for i in range(1, 65)] FROM solved WHERE k < 64),
+inverse AS (SELECT [r[65:128] for r in a] AS w FROM solved WHERE k = 64)"""
+
+
+@query(f"""WITH RECURSIVE {_PRECISION}, gaps AS (SELECT vec_id, mu.label, [v[i] - m[i] for i in range(1, 65)] AS g FROM e CROSS JOIN mu WHERE vec_id % 20 >= 14)
+SELECT vec_id, round(min(list_sum([g[i] * list_sum([g[j] * w[i][j] for j in range(1, 65)]) for i in range(1, 65)])), 6) AS distance FROM gaps CROSS JOIN inverse GROUP BY vec_id""")
 def mahalanobis(spark, sf_dir):
     rows = _embeddings(spark, sf_dir)
     means, precision, _ = openset.pooled_shrunk_precision(rows.where(_BANK), "label", "embedding")
