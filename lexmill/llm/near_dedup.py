@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from lexmill.llm._words import hash_words, mix, shingles, text_slices
 from lexmill.operators.components import connected_components
+from lexmill.operators.sized import broadcast_if_small
 from lexmill.sources.shared import bounded_batches, cut, forget
 
 TREES = 24
@@ -439,9 +440,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose document is kept by :func:`near_duplicates`.
 
-    Rows without an id stay.
+    Rows without an id stay. Texts move only where the ids that go are too many to broadcast.
     """
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = broadcast_if_small(cut(gone, "gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 
 
