@@ -30,6 +30,8 @@ WINDOW = 35
 MOST_BITS = 1 << 29
 #: Bits to a hash, and of each piece of a bitmap that is made by itself.
 SPREAD, PIECE_BITS = 32, 1 << 16
+#: A window with one in so many of all that repeat is dealt over so many parts.
+OFTEN, SALTS = 4096, 32
 _MULTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407))
 _KEY = ["k1", "k2"]
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -182,6 +184,16 @@ def _windows(texts: DataFrame, anchors: Broadcast, width: int, window: int, plac
     return _passed(texts, "w1 long, w2 long, k1 long, k2 long, place int" if placed else "w1 long, w2 long, n long", find)
 
 
+def _met(windows: DataFrame, again: DataFrame) -> DataFrame:
+    """The windows that are in ``again``. One that makes up much of the whole is dealt over ``SALTS`` parts on both sides."""
+    total = again.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * OFTEN > total  # OFTEN windows at most
+    hot = again.where(often).select("w1", "w2", F.lit(SALTS).alias("salts"))
+    salted = windows.join(F.broadcast(hot), ["w1", "w2"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("k1", "place"), "salts"), F.lit(0).cast("long"))).drop("salts")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(often, SALTS - 1).otherwise(0).cast("long")))
+    return salted.join(again.select("w1", "w2", salts.alias("salt")), ["w1", "w2", "salt"])
+
+
 def flat(text: str) -> bytes:
     """The words of a text, joined by one space."""
     return _SPACE.sub(b" ", text.encode()).strip(b" ")
@@ -235,11 +247,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = cut(_index(texts, width), "index")
     anchors = cut(_anchors(texts, bitmap(index, "h"), width), "anchors")
     near = bitmap(anchors, "h")
-    again = _windows(texts, near, width, window, False).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    met = _windows(texts.where("not copied"), near, width, window, True).join(again, ["w1", "w2"])
+    again = cut(_windows(texts, near, width, window, False).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1"), "again")
+    met = _met(_windows(texts.where("not copied"), near, width, window, True), again)
     places = cut(met.groupBy(*_KEY).agg(F.collect_list("place").alias("places")), "places")  # a text's own places
     touched = bitmap(places, "k1")
-    forget(index, anchors)
+    forget(index, anchors, again)
 
     def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
