@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators.metrics import macro_scores
-from lexmill.operators.splits import place_of
+from lexmill.operators.splits import mixed
 from lexmill.sources.shared import cut
 
 PREFIXES = tuple(tx.PREFIX_CLASS)
@@ -29,22 +29,20 @@ def scattered(number: Column) -> Column:
 
 
 def bootstrap(rows: DataFrame, id_col: str, label: str, pred: str, replicates: int, seed: int = 13) -> DataFrame:
-    """Percentile interval of macro-F1 and accuracy over resamples with replacement.
+    """Percentile interval of macro-F1 and accuracy over resamples with replacement, which SQL can repeat draw by draw.
 
     A resample of rows only matters through its pairs of label and prediction, so
-    each draw picks a pair by its place among the cumulated pair counts; rows are
-    neither numbered nor joined.
+    each draw picks a pair by a hashed place among the cumulated pair counts; rows are
+    neither numbered nor joined. The work is rows times replicates:
+    :func:`bootstrap_counts` draws the same distribution at a cost that does not grow.
     """
     pairs = rows.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(F.lit(1)).orderBy("label", "pred").rowsBetween(Window.unboundedPreceding, 0)
     table = pairs.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
     n = rows.count()
-    draw = place_of((F.col("b") * n + F.col("i")) * 7919 + F.col("b") * 104729 + seed, F.lit(n), F.lit(seed), F.col("b"), F.col("i"))
-    spark = rows.sparkSession
-    draws = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (F.col("id") % max(n, 1)).alias("i")).select("b", draw.alias("r"))
-    counts = draws.groupBy("b", "r").agg(F.count("*").alias("k"))
+    draws = rows.sparkSession.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("b"), (mixed(F.col("id"), seed=seed) % max(n, 1)).alias("r"))
     # A confusion matrix: labels squared rows.
-    met = counts.join(F.broadcast(table), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).groupBy("b", "label", "pred").agg(F.sum("k").alias("k"))
+    met = draws.join(F.broadcast(table), (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))).groupBy("b", "label", "pred").agg(F.count("*").alias("k"))
     sides = met.select("b", "label", "pred", "k", F.explode(F.array(F.struct(F.col("label").alias("l"), F.lit(1).alias("t")), F.struct(F.col("pred").alias("l"), F.lit(0).alias("t")))).alias("s"))
     per = sides.groupBy("b", "s.l").agg(F.sum(F.when(F.col("s.t") == 1, F.col("k")).otherwise(0)).alias("nt"), F.sum(F.when(F.col("s.t") == 0, F.col("k")).otherwise(0)).alias("np"), F.sum(F.when((F.col("s.t") == 1) & (F.col("label") == F.col("pred")), F.col("k")).otherwise(0)).alias("tp"))
     scores = per.groupBy("b").agg(F.avg((2 * F.col("tp")).cast("double") / (F.col("nt") + F.col("np")).cast("double")).alias("f1"), (F.sum("tp").cast("double") / F.sum("nt").cast("double")).alias("acc"))

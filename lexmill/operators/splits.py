@@ -1,4 +1,4 @@
-"""Splits, folds and samples that repeat exactly: order comes from hashes of ids, never from a generator."""
+"""Splits, folds, samples and draws that repeat exactly: they come from hashes of ids or numbers, never from a generator."""
 
 from __future__ import annotations
 
@@ -9,23 +9,24 @@ from lexmill.operators.cumulative import cumulative
 from lexmill.operators.ranking import head_per_group, numbered
 from lexmill.operators.sized import broadcast_if_small
 
-#: Modulus of the arithmetic hash; it reaches no place beyond.
-MIXED = 1000003
+#: Hexadecimal digits of a hash that are read as a number: 60 bits, so no sign.
+DIGITS = 15
 
 
-def mixed(id_: Column, seed: int = 13) -> Column:
-    """An arithmetic hash that any SQL engine can repeat: of ``id * 7919 + seed``, without overflow for any id."""
-    return (id_ % MIXED * 7919 + seed) % MIXED
+def mixed(*keys: Column, seed: int = 13) -> Column:
+    """A number of 60 bits that any SQL engine can repeat: the first digits of md5 of seed and keys, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("long")
 
 
-def place_of(number: Column, n: Column, *keys: Column) -> Column:
-    """A place below ``n``: ``number`` folded by ``MIXED`` where that reaches every place, a 64-bit hash of ``keys`` above."""
-    return F.when(n <= MIXED, number % MIXED % n).otherwise(F.pmod(F.xxhash64(*keys), n))
+def mixed_sql(*keys: str, seed: int = 13) -> str:
+    """:func:`mixed` as an expression of DuckDB."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, {DIGITS}))::BIGINT"
 
 
 def ranks(rows: DataFrame, id_col: str, keys: tuple[str, ...], seed: int = 13) -> DataFrame:
     """``rows`` with ``place``, from 0, in hashed order within ``keys``; a group may be of any size, ids may be any numbers. Ids are unique."""
-    return numbered(rows, [mixed(F.col(id_col), seed).asc(), F.col(id_col).asc()], "place", keys).withColumn("place", F.col("place") - 1)
+    return numbered(rows, [mixed(F.col(id_col), seed=seed).asc(), F.col(id_col).asc()], "place", keys).withColumn("place", F.col("place") - 1)
 
 
 def stratified_split(groups: DataFrame, id_col: str, label: str, shares: tuple[float, float] = (0.7, 0.85), seed: int = 13) -> DataFrame:
@@ -43,11 +44,11 @@ def group_folds(groups: DataFrame, id_col: str, label: str, folds: int = 5, seed
 
 def sample(rows: DataFrame, id_col: str, n: int, seed: int = 13) -> DataFrame:
     """Uniform sample of ``n`` rows without replacement."""
-    return rows.orderBy(mixed(F.col(id_col), seed), id_col).limit(n)
+    return rows.orderBy(mixed(F.col(id_col), seed=seed), id_col).limit(n)
 
 
 def sample_per_group(rows: DataFrame, id_col: str, label: str, k: int, seed: int = 13) -> DataFrame:
-    return head_per_group(rows, [label], [mixed(F.col(id_col), seed), F.col(id_col)], k)
+    return head_per_group(rows, [label], [mixed(F.col(id_col), seed=seed), F.col(id_col)], k)
 
 
 def stratified_share(rows: DataFrame, id_col: str, label: str, share: float, seed: int = 13) -> DataFrame:
@@ -62,5 +63,5 @@ def resample(rows: DataFrame, id_col: str, draws: int, seed: int = 13) -> DataFr
     n = rows.count()
     if not n:
         return numbered.select(F.lit(0).cast("long").alias("draw"), *rows.columns)
-    wanted = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (place_of(F.col("id") * 7919 + seed, F.lit(n), F.lit(seed), F.col("id")) + 1).alias("_r"))
+    wanted = rows.sparkSession.range(draws).select(F.col("id").alias("draw"), (mixed(F.col("id"), seed=seed) % n + 1).alias("_r"))
     return wanted.join(numbered, "_r").select("draw", *rows.columns)

@@ -11,7 +11,7 @@ from lexmill.functions import vec
 from lexmill.operators import drift as dr
 from lexmill.operators import metrics
 from lexmill.operators.cumulative import cumulative
-from lexmill.operators.splits import place_of, resample, sample
+from lexmill.operators.splits import mixed, mixed_sql, resample, sample
 from lexmill.plans import vectors
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
@@ -123,7 +123,7 @@ _SIZES, _REPS = (65, 130, 260, 520), 40
 @query(f"""WITH {_EV}, t AS (SELECT x AS tau FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM ev WHERE cur = 0) WHERE i = ceil((n - 1) * 0.95 - 1e-9)),
 pool AS (SELECT cur, row_number() OVER (PARTITION BY cur ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY cur) AS m, x > tau AS far FROM ev CROSS JOIN t),
 sizes AS (SELECT cur, max(m) AS m FROM pool GROUP BY cur),
-draws AS (SELECT size, mixed, rep, i, CASE WHEN mixed = 1 AND i % 5 < 2 THEN 1 ELSE 0 END AS cur, ((rep * 10007 + i) * 7919 + size) % 1000003 AS h
+draws AS (SELECT size, mixed, rep, i, CASE WHEN mixed = 1 AND i % 5 < 2 THEN 1 ELSE 0 END AS cur, {mixed_sql("size", "mixed", "rep", "i")} AS h
   FROM (SELECT unnest([65, 130, 260, 520]) AS size) CROSS JOIN (SELECT unnest([0, 1]) AS mixed) CROSS JOIN range(0, {_REPS}) a(rep) CROSS JOIN range(0, 520) b(i) WHERE i < size),
 w AS (SELECT size, mixed, rep, sum(CASE WHEN far THEN 1 ELSE 0 END) AS k FROM draws JOIN sizes USING (cur) JOIN pool ON pool.cur = draws.cur AND pool.r = draws.h % sizes.m GROUP BY 1, 2, 3)
 SELECT size, mixed, round(avg(k::DOUBLE / size), 8) AS far, round(avg(CASE WHEN k > size * 0.05 + 1.645 * sqrt(size * 0.05 * 0.95) THEN 1.0 ELSE 0.0 END), 8) AS power FROM w GROUP BY size, mixed""")
@@ -140,7 +140,7 @@ def power_grid(spark, sf_dir):
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     )
     draws = grid.withColumn("cur", ((F.col("mixed") == 1) & (F.col("i") % 5 < 2)).cast("int")).join(F.broadcast(sizes), "cur")
-    draws = draws.withColumn("r", place_of((F.col("rep") * 10007 + F.col("i")) * 7919 + F.col("size"), F.col("m"), F.col("size"), F.col("mixed"), F.col("rep"), F.col("i")))
+    draws = draws.withColumn("r", mixed(F.col("size"), F.col("mixed"), F.col("rep"), F.col("i")) % F.col("m"))
     per = draws.join(placed, ["cur", "r"]).groupBy("size", "mixed", "rep").agg(F.count_if("far").alias("k"))
     n = F.col("size").cast("double")
     fires = (F.col("k") > n * 0.05 + F.lit(1.645) * F.sqrt(n * 0.05 * 0.95)).cast("double")
@@ -158,8 +158,8 @@ _SHARE, _RETENTION = 0.4, 0.95
 _SCORED = f"""{vectors._LOGITS}, sc AS (SELECT l.vec_id AS id, l.label, exp(l.m - l.lse) AS confidence, b.best AS pred, CASE WHEN {_FOREIGN} THEN 1 ELSE 0 END AS foreign_text, e.v AS vec
   FROM lse l JOIN best b USING (vec_id) JOIN e USING (vec_id) LEFT JOIN documents d ON d.doc_id = l.vec_id),
 tr AS (SELECT * FROM sc WHERE label < {vectors.KNOWN} AND {vectors._TRAIN.replace("vec_id", "id")}), va AS (SELECT * FROM sc WHERE label < {vectors.KNOWN} AND {vectors._VAL.replace("vec_id", "id")}),
-te AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 13) % 1000003, id) AS place FROM sc WHERE label < {vectors.KNOWN} AND {vectors._TEST.replace("vec_id", "id")}),
-un AS (SELECT *, row_number() OVER (ORDER BY (id * 7919 + 13) % 1000003, id) AS place FROM sc WHERE label >= {vectors.KNOWN}), size AS (SELECT count(*) AS n, floor({_SHARE}::DOUBLE * count(*)) AS u FROM te),
+te AS (SELECT *, row_number() OVER (ORDER BY {mixed_sql("id")}, id) AS place FROM sc WHERE label < {vectors.KNOWN} AND {vectors._TEST.replace("vec_id", "id")}),
+un AS (SELECT *, row_number() OVER (ORDER BY {mixed_sql("id")}, id) AS place FROM sc WHERE label >= {vectors.KNOWN}), size AS (SELECT count(*) AS n, floor({_SHARE}::DOUBLE * count(*)) AS u FROM te),
 ba AS (SELECT 'known' AS batch, * FROM te UNION ALL SELECT 'mixed', te.* FROM te CROSS JOIN size WHERE place <= n - u UNION ALL SELECT 'mixed', un.* FROM un CROSS JOIN size WHERE place <= u)"""
 _TAIL = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
 

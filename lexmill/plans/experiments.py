@@ -9,16 +9,17 @@ from lexmill.functions import vec
 from lexmill.operators import experiments as ex
 from lexmill.operators import metrics as m
 from lexmill.operators import openset
-from lexmill.operators.splits import stratified_share
+from lexmill.operators.splits import mixed, mixed_sql, stratified_share
 from lexmill.plans.evaluation import _PRED, counts_sql, predicted, rounded
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load
 
-_B = 50
+#: Fixed value: replicates of an interval.
+_B = 1000
 
 
 @query(f"""WITH {_PRED}, pc AS (SELECT label, pred, count(*) AS c FROM pred GROUP BY 1, 2), tb AS (SELECT *, sum(c) OVER (ORDER BY label, pred) AS hi FROM pc), nn AS (SELECT count(*) AS n FROM pred),
-dr AS (SELECT id // n AS b, (id * 7919 + (id // n) * 104729 + 13) % 1000003 % n AS r FROM range(0, (SELECT {_B} * n FROM nn)) t(id) CROSS JOIN nn),
+dr AS (SELECT id // n AS b, {mixed_sql("id")} % n AS r FROM range(0, (SELECT {_B} * n FROM nn)) t(id) CROSS JOIN nn),
 met AS (SELECT b, label, pred, count(*) AS k FROM dr JOIN tb ON r >= hi - c AND r < hi GROUP BY 1, 2, 3),
 sides AS (SELECT b, label AS l, k AS nt, 0 AS np, CASE WHEN label = pred THEN k ELSE 0 END AS tp FROM met UNION ALL SELECT b, pred, 0, k, 0 FROM met),
 per AS (SELECT b, l, sum(nt) AS nt, sum(np) AS np, sum(tp) AS tp FROM sides GROUP BY 1, 2),
@@ -30,7 +31,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_ci_1000(spark, sf_dir):
-    """All 1,000 replicates, independently drawn; the SQL of ``bootstrap_ci`` states 50 by an arithmetic hash."""
+    """The interval of ``bootstrap_ci`` from multinomial counts over the confusion matrix, at a cost that does not grow with the rows."""
     return rounded(ex.bootstrap_counts(predicted(spark, sf_dir), "label", "pred"), "f1_lo", "f1_hi", "acc_lo", "acc_hi", digits=8)
 
 
@@ -125,7 +126,7 @@ def winner_rule(spark, sf_dir):
 #: Labelled shares of the pool, and folds.
 _FRACTIONS, _FOLDS = [0.10, 0.20, 0.35, 0.50, 0.75, 1.00], [0, 1, 2]
 _STRATEGIES = ["least confident", "random"]
-_HASHED = "(vec_id * 7919 + 13 + k) % 1000003"
+_HASHED = mixed_sql("p.vec_id", "p.k")
 
 
 def _centers_sql(name: str, of: str) -> str:
@@ -140,14 +141,14 @@ def _curve_sql() -> str:
         "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label < 8)",
         f"pool AS (SELECT s, k, vec_id FROM e CROSS JOIN (SELECT unnest({_STRATEGIES}) AS s) CROSS JOIN (SELECT unnest({_FOLDS}) AS k) WHERE vec_id % 5 <> k)",
         "size AS (SELECT s, k, count(*) AS n FROM pool GROUP BY s, k)",
-        """r0 AS (SELECT s, k, vec_id, row_number() OVER (PARTITION BY s, k, label ORDER BY (vec_id * 7919 + 13) % 1000003, vec_id) AS r, count(*) OVER (PARTITION BY s, k, label) AS n FROM pool JOIN e USING (vec_id))""",
+        f"""r0 AS (SELECT s, k, vec_id, row_number() OVER (PARTITION BY s, k, label ORDER BY {mixed_sql("vec_id")}, vec_id) AS r, count(*) OVER (PARTITION BY s, k, label) AS n FROM pool JOIN e USING (vec_id))""",
         "l0 AS (SELECT s, k, vec_id FROM r0 WHERE r <= greatest(floor(n * 0.1 + 0.5), 1))",
     ]
     for step, fraction in enumerate(_FRACTIONS, 1):
         old, new = f"l{step - 1}", f"l{step}"
         parts += [
             _centers_sql(f"c{step}", old),
-            f"""o{step} AS (SELECT p.s, p.k, p.vec_id, row_number() OVER (PARTITION BY p.s, p.k ORDER BY CASE WHEN p.s = 'random' THEN ({_HASHED.replace("vec_id", "p.vec_id").replace("+ k", "+ p.k")})::DOUBLE ELSE round(conf, 9) END, p.vec_id) AS r
+            f"""o{step} AS (SELECT p.s, p.k, p.vec_id, row_number() OVER (PARTITION BY p.s, p.k ORDER BY CASE WHEN p.s = 'random' THEN {_HASHED}::DOUBLE ELSE round(conf, 9) END, p.vec_id) AS r
 FROM pool p LEFT JOIN {old} USING (s, k, vec_id) LEFT JOIN (SELECT s, k, vec_id, 1 / sum(exp(z - m)) AS conf FROM (SELECT p.s, p.k, p.vec_id, {dot} AS z, max({dot}) OVER (PARTITION BY p.s, p.k, p.vec_id) AS m FROM pool p JOIN e USING (vec_id) JOIN c{step} c ON c.s = p.s AND c.k = p.k) GROUP BY s, k, vec_id) f USING (s, k, vec_id)
 WHERE {old}.vec_id IS NULL)""",
             f"h{step} AS (SELECT s, k, floor(n * {fraction}::DOUBLE + 0.5) - count(*) AS want FROM {old} JOIN size USING (s, k) GROUP BY s, k, n)",
@@ -174,7 +175,7 @@ def curve(spark, sf_dir, folds=_FOLDS, done=None):
     sure = lambda labelled, rest: logits(labelled, rest).withColumn("confidence", F.array_max(vec.softmax(F.col("logits"))))
     best = vec.argmax(F.transform("logits", lambda z: F.round(z, 12))) + 1
     predict = lambda labelled: logits(labelled, held).withColumn("pred", F.element_at("names", best))
-    order = (F.col("vec_id") * 7919 + 13 + F.col("fold")) % 1000003
+    order = mixed(F.col("vec_id"), F.col("fold")).cast("double")
     return ex.active_learning(pool, seeds, "vec_id", keys, _FRACTIONS, sure, predict, {"random": order}, done)
 
 

@@ -102,7 +102,7 @@ def length_histogram(spark, sf_dir):
     return metrics.histogram(rows, "x", keys=("lang",)).withColumn("density", F.round("density", 9))
 
 
-@query("""SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919 + 13) % 1000003, doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+@query(f"""SELECT doc_id, quality FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {splits.mixed_sql("doc_id")}, doc_id) AS r, count(*) OVER (PARTITION BY quality) AS n FROM labels)
 WHERE r <= greatest(floor(n * 0.1 + 0.5), 1)""")
 def stratified_tenth(spark, sf_dir):
     return splits.stratified_share(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "quality", 0.1).select("doc_id", "quality")
