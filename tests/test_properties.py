@@ -211,25 +211,6 @@ def test_neighbours_across_blocks(spark):
     np.fill_diagonal(sims, -np.inf)
     for i in range(50):
         assert [r["near"] for r in sorted((r for r in got if r["query"] == i), key=lambda r: r["place"])] == list(np.argsort(-sims[i])[:3])
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    rows = frame(spark, [(i, x.tolist()) for i, x in enumerate(unit)], "vec_id long, embedding array<double>")
-    for least in (0.3, 0.8):
-        pairs = {(r["a"], r["b"]) for r in neighbours.pairs_above(rows, least, block=7).collect()}
-        assert pairs == set(zip(*(x.tolist() for x in np.nonzero(np.triu(unit @ unit.T, 1) >= least)), strict=True))
-    assert neighbours.pairs_above(rows.limit(0), 0.5).count() == 0
-
-
-def test_index_finds_nine_in_ten_neighbours(spark):
-    """Clustered vectors, one in three of them in one hot cluster; with all centres probed nothing is missed."""
-    rng = np.random.default_rng(6)
-    own = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 40, 3000))
-    v = rng.normal(size=(40, 24))[own] + rng.normal(0, 0.6, (3000, 24))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    rows = frame(spark, [(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    want = {(r["query"], r["near"]) for r in neighbours.nearest(rows.where("vec_id % 20 = 0"), rows, 10).collect()}
-    found = {(r["query"], r["near"]) for r in neighbours.nearest_indexed(rows, rows, 10).collect()}
-    assert len({q for q, _ in found}) == 3000 and len(want & found) >= 0.9 * len(want)
-    assert {(r["query"], r["near"]) for r in neighbours.nearest_indexed(rows.where("vec_id % 20 = 0"), rows, 10, probes=1000).collect()} == want
 
 
 def test_precision_matrix_is_well_formed(spark):
@@ -333,14 +314,6 @@ def test_active_learning_ends_at_the_whole_pool_and_resumes(spark, sf_dir):
     assert set(again) == set(rows) and all(r["accuracy"] == -1.0 if k[0] == 0 else r == rows[k] for k, r in again.items())
 
 
-def test_draws_reach_every_place_of_many_rows(spark):
-    rows = spark.range(1_250_000).select("id", F.lit("a").alias("pred"), F.when(F.col("id") < 1_000_003, "a").otherwise("b").alias("label"))
-    got = experiments.bootstrap(rows, "id", "label", "pred", 3).first()
-    assert 0.79 < got["acc_lo"] <= got["acc_hi"] < 0.81
-    drawn = [r["id"] for r in splits.resample(rows.select("id"), "id", 400).collect()]
-    assert len(drawn) == 400 and 40 < sum(i >= 1_000_003 for i in drawn) < 120
-
-
 def test_bootstrap_counts_equal_resampled_rows(spark):
     rng = np.random.default_rng(2)
     label = rng.integers(0, 3, 400)
