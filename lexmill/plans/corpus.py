@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import leaks, ranking
+from lexmill.operators import leaks, quantiles, ranking
 from lexmill.plans.registry import query
 from lexmill.sources.tables import load, load_spread
 
@@ -87,10 +87,10 @@ SELECT lang, min(n_chars) AS least, quantile_cont(n_chars, 0.25)::DOUBLE AS q1,
 FROM documents GROUP BY lang
 """)
 def length_quantiles(spark, sf_dir):
-    q = lambda p, name: F.percentile("n_chars", F.lit(p)).alias(name)
-    return load(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.min("n_chars").alias("least"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.percentile("n_chars", F.lit(0.99)), 6).alias("p99"), F.max("n_chars").alias("most")
-    )
+    rows = load(spark, sf_dir, "documents").select("lang", "n_chars")
+    found = quantiles.quantiles(rows, "n_chars", (0.0, 0.25, 0.5, 0.75, 0.99, 1.0), ("lang",))
+    q = lambda k: F.col("quantiles")[k]
+    return found.select("lang", q(0).cast("long").alias("least"), q(1).alias("q1"), q(2).alias("median"), q(3).alias("q3"), F.round(q(4), 6).alias("p99"), q(5).cast("long").alias("most"))
 
 
 @query("""

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import checks, ranking
+from lexmill.operators.quantiles import merged, quantiles, sketched
 from lexmill.plans.registry import query
+from lexmill.sources.shared import cut
 from lexmill.sources.tables import latest, load
 
 
@@ -111,7 +113,18 @@ def translated_copies_in_train(spark, sf_dir):
 FROM (SELECT role, len(regexp_extract_all(text, '\\S+')) AS words FROM conversations) GROUP BY role""")
 def usage_summary(spark, sf_dir):
     words = load(spark, sf_dir, "conversations").select("role", F.regexp_count("text", F.lit(r"(?U)\S+")).alias("words"))
-    return words.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("words"), 6).alias("mean_words"), F.percentile("words", F.lit(0.5)).alias("p50"), F.round(F.percentile("words", F.lit(0.95)), 6).alias("p95"))
+    means = words.groupBy("role").agg(F.round(F.avg("words"), 6).alias("mean_words"))
+    found = quantiles(words, "words", (0.5, 0.95), ("role",))
+    return found.join(means, "role").select("role", "n", "mean_words", F.col("quantiles")[0].alias("p50"), F.round(F.col("quantiles")[1], 6).alias("p95"))
+
+
+@query("""SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.05), 9) AS p05, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.999), 9) AS p999 FROM events GROUP BY event_type""")
+def event_quantiles(spark, sf_dir):
+    """Exact quantiles by type from sketches that are kept by day and merged."""
+    rows = load(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    kept = cut(sketched(rows, "value", ("event_type", "day")), "sketches")
+    found = quantiles(rows, "value", (0.05, 0.5, 0.95, 0.999), ("event_type",), merged(kept, ("event_type",)))
+    return found.select("event_type", "n", *[F.round(F.col("quantiles")[k], 9).alias(name) for k, name in enumerate(("p05", "p50", "p95", "p999"))])
 
 
 @query("""SELECT l_returnflag, o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT n_name) AS nations
