@@ -69,15 +69,41 @@ def ks_p(spark, sf_dir):
     rows = compared(spark, sf_dir)
     n, m = rows.agg(F.sum("cur"), F.sum(1 - F.col("cur"))).first()
     d = metrics.ks_statistic(rows, "x", "cur").first()["ks"]
-    return spark.createDataFrame([(round(d, 9), round(dr.ks_p(d, n, m), 8))], "ks double, p double")
+    return spark.createDataFrame([(round(d, 9), round(dr.ks_asymptotic_p(d, n, m), 8))], "ks double, p double")
+
+
+def _lattice(key: str, of: str) -> str:
+    """CTEs ``walk`` and ``exact`` (``key``, ``p``): exact p-values of the samples in ``of`` (``key``, ``ks``, ``n``, ``m``), one diagonal of the lattice a row."""
+    return f"""walk({key}, t, n, m, h, w) AS (SELECT {key}, 0, n::BIGINT, m::BIGINT, round(ks * n * m)::BIGINT, [0.0::DOUBLE for i in range(0, n::BIGINT + 1)] FROM {of} UNION ALL
+  SELECT {key}, t + 1, n, m, h, [CASE WHEN abs(i * m - (t + 1 - i) * n) >= h THEN 1.0::DOUBLE ELSE (i * coalesce(w[i], 0.0::DOUBLE) + (t + 1 - i) * w[i + 1]) / (t + 1) END for i in range(0, n + 1)] FROM walk WHERE t < n + m),
+exact AS (SELECT {key}, w[n + 1] AS p FROM walk WHERE t = n + m)"""
+
+
+_DAYS = """e AS (SELECT day(ts) AS day, value / (value + 50.0::DOUBLE) AS x FROM events), both_days AS (SELECT day, x, 1 AS cur FROM e WHERE day > 1 UNION ALL SELECT day + 1, x, 0 FROM e WHERE day + 1 IN (SELECT day FROM e)),
+g AS (SELECT day, x, sum(cur) AS a, sum(1 - cur) AS b FROM both_days GROUP BY day, x),
+c AS (SELECT day, (sum(a) OVER w)::DOUBLE / (sum(a) OVER o)::DOUBLE AS fa, (sum(b) OVER w)::DOUBLE / (sum(b) OVER o)::DOUBLE AS fb, sum(a) OVER o AS n, sum(b) OVER o AS m FROM g WINDOW w AS (PARTITION BY day ORDER BY x), o AS (PARTITION BY day)),
+d AS (SELECT day, max(abs(fa - fb)) AS ks, max(n) AS n, max(m) AS m FROM c GROUP BY day HAVING max(n) > 0 AND max(m) > 0)"""
+
+
+@query(f"WITH RECURSIVE {_DAYS}, {_lattice('day', 'd')} SELECT day, n::BIGINT AS n, m::BIGINT AS m, round(ks, 9) AS ks, round(p, 8) AS p FROM d JOIN exact USING (day)")
+def ks_daily(spark, sf_dir):
+    """Every day's values against those of the day before, by the exact test."""
+    rows = load(spark, sf_dir, "events").select(F.dayofmonth("ts").cast("long").alias("day"), (F.col("value") / (F.col("value") + F.lit(50.0))).alias("x"))
+    days = rows.select("day").distinct()
+    before = rows.select((F.col("day") + 1).alias("day"), "x", F.lit(0).alias("cur")).join(F.broadcast(days), "day", "left_semi")  # a row a day of the month
+    both = rows.where("day > 1").select("day", "x", F.lit(1).alias("cur")).unionByName(before)
+    sizes = both.groupBy("day").agg(F.sum("cur").alias("n"), F.sum(1 - F.col("cur")).alias("m")).where("n > 0 and m > 0")
+    found = metrics.ks_statistic(both, "x", "cur", ("day",)).join(sizes, "day")
+    p = F.pandas_udf(lambda d, n, m: pd.Series([dr.ks_p(*x) for x in zip(d, n, m, strict=True)], dtype=float), "double")
+    return found.select("day", "n", "m", F.round("ks", 9).alias("ks"), F.round(p("ks", "n", "m"), 8).alias("p"))
 
 
 @query(f"""WITH {_EV}, t AS (SELECT x AS tau FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM ev WHERE cur = 0) WHERE i = ceil((n - 1) * 0.95 - 1e-9)),
 k AS (SELECT count(*) AS n, sum(CASE WHEN x > tau THEN 1 ELSE 0 END) AS k FROM ev CROSS JOIN t WHERE cur = 1),
 f AS (SELECT i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(i::DOUBLE) END) OVER (ORDER BY i) AS f FROM range(0, (SELECT n + 1 FROM k)) r(i)),
 pmf AS (SELECT f.i, k.k, t.f - f.f - g.f + f.i * ln(0.05::DOUBLE) + (k.n - f.i) * ln(0.95::DOUBLE) AS lp FROM k JOIN f ON true JOIN f g ON g.i = k.n - f.i JOIN f t ON t.i = k.n),
-at AS (SELECT lp AS at FROM pmf WHERE i = k)
-SELECT max(pmf.k)::BIGINT AS k, round(sum(CASE WHEN i >= pmf.k THEN exp(lp) ELSE 0 END), 8) AS greater, round(least(1.0, sum(CASE WHEN lp <= at + 1e-7 THEN exp(lp) ELSE 0 END)), 8) AS two_sided FROM pmf CROSS JOIN at""".replace("at AS (SELECT lp AS at", "pk AS (SELECT lp AS lk").replace("lp <= at +", "lp <= lk +").replace("CROSS JOIN at", "CROSS JOIN pk"))
+pk AS (SELECT lp AS lk FROM pmf WHERE i = k)
+SELECT max(pmf.k)::BIGINT AS k, round(sum(CASE WHEN i >= pmf.k THEN exp(lp) ELSE 0 END), 8) AS greater, round(least(1.0, sum(CASE WHEN lp <= lk + 1e-7 THEN exp(lp) ELSE 0 END)), 8) AS two_sided FROM pmf CROSS JOIN pk""")
 def binom_p(spark, sf_dir):
     rows = compared(spark, sf_dir)
     tau = metrics.threshold_higher(rows.where("cur = 0"), "x", 0.95).first()["tau"]
@@ -186,14 +212,14 @@ def batches(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
 _REPORT = "batch string, n long, confidence_ks double, confidence_ks_p double, confidence_psi double, unknown_rate double, unknown_rate_p double, mix_chi2 double, mix_psi double, foreign_share double, foreign_share_train double, language_mix_p double, embedding_mmd2 double"
 
 
-@query(f"""WITH {_SCORED}, counts AS (SELECT batch, count(*)::DOUBLE AS n, sum(foreign_text)::DOUBLE AS f FROM ba GROUP BY batch),
+@query(f"""WITH RECURSIVE {_SCORED}, counts AS (SELECT batch, count(*)::DOUBLE AS n, sum(foreign_text)::DOUBLE AS f FROM ba GROUP BY batch),
 tau AS (SELECT confidence AS tau FROM (SELECT confidence, row_number() OVER (ORDER BY confidence) - 1 AS i, count(*) OVER () AS n FROM va) WHERE i = floor((n - 1) * (1 - 0.95::DOUBLE) + 1e-9)),
 unk AS (SELECT batch, sum(CASE WHEN confidence < tau THEN 1 ELSE 0 END) AS u FROM ba CROSS JOIN tau GROUP BY batch),
 cf AS (SELECT b.batch, x.confidence, x.cur FROM (SELECT DISTINCT batch FROM ba) b JOIN (SELECT batch, confidence, 1 AS cur FROM ba UNION ALL SELECT NULL, confidence, 0 FROM va) x ON x.batch = b.batch OR x.batch IS NULL),
 kg AS (SELECT batch, confidence, sum(cur) AS a, sum(1 - cur) AS b FROM cf GROUP BY 1, 2),
 kc AS (SELECT batch, (sum(a) OVER w)::DOUBLE / (sum(a) OVER o)::DOUBLE AS fa, (sum(b) OVER w)::DOUBLE / (sum(b) OVER o)::DOUBLE AS fb FROM kg WINDOW w AS (PARTITION BY batch ORDER BY confidence), o AS (PARTITION BY batch)),
-kd AS (SELECT batch, max(abs(fa - fb)) AS ks FROM kc GROUP BY batch), km AS (SELECT batch, sum(cur)::DOUBLE AS n, sum(1 - cur)::DOUBLE AS m FROM cf GROUP BY batch), kl AS (SELECT batch, ks, {_LAM} FROM kd JOIN km USING (batch)),
-kp AS (SELECT batch, ks, {_KS_P} AS p FROM kl),
+kd AS (SELECT batch, max(abs(fa - fb)) AS ks FROM kc GROUP BY batch), km AS (SELECT batch, sum(cur)::DOUBLE AS n, sum(1 - cur)::DOUBLE AS m FROM cf GROUP BY batch), kn AS (SELECT batch, ks, n, m FROM kd JOIN km USING (batch)), {_lattice("batch", "kn")},
+kp AS (SELECT batch, ks, p FROM kn JOIN exact USING (batch)),
 hb AS (SELECT batch, least(floor(confidence * 10) + 1, 10) AS k, sum(1 - cur) AS ref, sum(cur) AS cur FROM cf GROUP BY 1, 2),
 hs AS (SELECT batch, ref::DOUBLE / (sum(ref) OVER o)::DOUBLE AS r, cur::DOUBLE / (sum(cur) OVER o)::DOUBLE AS c FROM hb WINDOW o AS (PARTITION BY batch)),
 hp AS (SELECT batch, sum((c - r) * ln((c + 1e-4) / (r + 1e-4))) AS psi FROM hs GROUP BY batch),
