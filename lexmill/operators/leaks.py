@@ -1,7 +1,17 @@
-"""Contamination scan: passages of a bank that a corpus repeats."""
+"""Contamination scan: passages, texts, ids and terms of a bank that a corpus repeats.
+
+A bank of bounded bytes is one automaton that every task runs over its texts, so
+nothing of the corpus is exploded or moved. A larger bank meets the corpus in joins
+of hashes. Both are exact and give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +19,13 @@ from lexmill.functions.text import collapse, windows, words_of
 from lexmill.operators.sized import broadcast_if_small
 from lexmill.sources.shared import cut
 
+#: Words of a passage, characters of a text that counts whole, row ids that a text may mention.
 WIDTH = 7
 LEAST_CHARS = 15
+MOST_IDS = 4
+ROW_ID = "[a-z]+-[0-9]{3,}"
+#: Bytes of needles up to which they are an automaton (some 50 times as large), and of each piece of it.
+NEEDLE_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
 
 
 def _hashed_windows(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -18,12 +33,88 @@ def _hashed_windows(rows: DataFrame, id_col: str, text_col: str, width: int) ->
     return rows.select(id_col, F.explode(runs).alias("run")).select(id_col, "run", F.xxhash64("run").alias("h"))
 
 
-def shared_windows(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text: str = "text", corpus_text: str = "text", width: int = WIDTH) -> DataFrame:
+def _needles(bank: DataFrame, text_col: str, width: int, least_chars: int) -> DataFrame:
+    """Distinct ``needle`` by ``kind``: passages (1) with the spaces around them, and whole texts (0)."""
+    norm = bank.select(collapse(F.col(text_col)).alias("norm")).where("norm is not null")
+    passages = norm.select(F.lit(1).alias("kind"), F.explode(windows(F.split("norm", " "), width)).alias("run")).select("kind", F.concat(F.lit(" "), "run", F.lit(" ")).alias("needle"))
+    return norm.where(F.length("norm") >= least_chars).select(F.lit(0).alias("kind"), F.col("norm").alias("needle")).unionByName(passages).distinct()
+
+
+def scanned(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text: str = "text", corpus_text: str = "text", width: int = WIDTH, least_chars: int = LEAST_CHARS, most_bytes: int = NEEDLE_BYTES) -> DataFrame:
+    """``n_texts`` and ``n_windows`` of every row: distinct texts of the bank that it contains, and distinct passages of ``width`` words that it shares.
+
+    Texts are normalised on both sides; null texts hold nothing. ``corpus_id`` is unique.
+    """
+    needles = cut(_needles(bank, bank_text, width, least_chars), "needles")
+    if (needles.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) > most_bytes:
+        passages = shared_windows(corpus, bank, corpus_id, bank_text, corpus_text, width, most_bytes=0)
+        items = bank.select(F.col(bank_text).alias("text"), F.xxhash64(collapse(F.col(bank_text))).alias("item")).dropDuplicates(["item"])
+        texts = contained_texts(corpus.withColumnRenamed(corpus_text, "text"), items, corpus_id, "item", least_chars, width).groupBy(corpus_id).agg(F.count("*").alias("n_texts"))
+        return corpus.select(corpus_id).join(texts, corpus_id, "left").join(passages, corpus_id, "left").na.fill(0, ["n_texts", "n_windows"]).select(corpus_id, "n_texts", "n_windows")
+    pieces, size = [[]], 0
+    for r in needles.orderBy("kind", "needle").collect():  # most_bytes at most
+        size += len(r["needle"])
+        if size > PIECE_BYTES and pieces[-1]:
+            pieces.append([])
+            size = len(r["needle"])
+        pieces[-1].append((r["needle"], r["kind"]))
+    send = corpus.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines = []
+        for piece in send.value:
+            machine = ahocorasick.Automaton()
+            for place, (needle, kind) in enumerate(piece):
+                machine.add_word(needle, (kind, place))
+            machine.make_automaton()
+            if len(machine):
+                machines.append(machine)
+        for batch in batches:
+            found = np.zeros((batch.num_rows, 2), dtype=np.int64)
+            for i, text in enumerate(batch.column(1)):
+                if text.is_valid:
+                    padded = f" {text.as_py()} "
+                    for machine in machines:
+                        for kind, _ in {hit for _, hit in machine.iter(padded)}:
+                            found[i, kind] += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=[corpus_id, "n_texts", "n_windows"])
+
+    kind = corpus.select(corpus_id).schema[0].dataType.simpleString()
+    return corpus.select(corpus_id, collapse(F.col(corpus_text)).alias("norm")).mapInArrow(run, f"`{corpus_id}` {kind}, n_texts long, n_windows long")
+
+
+def known_ids(corpus: DataFrame, ids: DataFrame, corpus_id: str, id_col: str = "id", corpus_text: str = "text") -> DataFrame:
+    """``n_ids``: distinct ids of the data set, without regard to case, that a text mentions; texts that mention none have no row."""
+    known = broadcast_if_small(ids.select(F.lower(id_col).alias("_id")).distinct())
+    words = F.array_distinct(F.regexp_extract_all(collapse(F.col(corpus_text)), F.lit(ROW_ID), F.lit(0)))
+    mentioned = corpus.select(corpus_id, F.explode(words).alias("_id")).join(known, "_id", "left_semi")
+    return mentioned.groupBy(corpus_id).agg(F.count("*").alias("n_ids"))
+
+
+def verdict(corpus: DataFrame, bank: DataFrame, ids: DataFrame, terms: tuple[str, ...], corpus_id: str, bank_text: str = "text", id_col: str = "id", corpus_text: str = "text", most_ids: int = MOST_IDS) -> DataFrame:
+    """Every text with all reasons why it may leak the bank: ``n_texts``, ``n_windows``, ``n_ids``, ``n_terms``, and whether it does.
+
+    One text or passage of the bank or one listed term is enough; ids of the bank
+    count if there are more than ``most_ids``.
+    """
+    found = scanned(corpus, bank, corpus_id, bank_text, corpus_text).join(known_ids(corpus, ids, corpus_id, id_col, corpus_text), corpus_id, "left").na.fill(0, ["n_ids"])
+    if terms:
+        listed = corpus.select(corpus_id, F.coalesce(F.size(listed_terms(collapse(F.col(corpus_text)), terms)), F.lit(0)).cast("long").alias("n_terms"))
+        found = found.join(listed.where("n_terms > 0"), corpus_id, "left").na.fill(0, ["n_terms"])
+    else:
+        found = found.withColumn("n_terms", F.lit(0).cast("long"))
+    leaks = (F.col("n_texts") > 0) | (F.col("n_windows") > 0) | (F.col("n_terms") > 0) | (F.col("n_ids") > most_ids)
+    return found.select(corpus_id, "n_texts", "n_windows", "n_ids", "n_terms", leaks.alias("leaks"))
+
+
+def shared_windows(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text: str = "text", corpus_text: str = "text", width: int = WIDTH, most_bytes: int = NEEDLE_BYTES) -> DataFrame:
     """Distinct windows of ``width`` words of each text that the bank holds too, counted by text.
 
-    The bank's windows are matched by hash first, then by text, so the corpus is
-    exploded but not shuffled as long as the bank is small.
+    A bank of more than ``most_bytes`` is matched by hash first, then by text, so the
+    corpus is exploded but not shuffled as long as the windows can be broadcast.
     """
+    if most_bytes:
+        return scanned(corpus, bank, corpus_id, bank_text, corpus_text, width, most_bytes=most_bytes).where("n_windows > 0").select(corpus_id, "n_windows")
     runs = bank.select(F.explode(windows(words_of(F.col(bank_text)), width)).alias("run")).distinct()
     side = broadcast_if_small(runs.select(F.xxhash64("run").alias("h"), F.col("run").alias("bank_run")))
     ours = _hashed_windows(corpus, corpus_id, corpus_text, width)

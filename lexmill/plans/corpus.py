@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators import leaks, quantiles, ranking
 from lexmill.plans.registry import query
-from lexmill.sources.tables import load, load_spread
+from lexmill.sources.shared import fresh_path
+from lexmill.sources.tables import load, load_spread, read_corpus
 
 _NORM = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 _WINDOWS = "unnest([array_to_string(w[i:i+6], ' ') for i in range(1, len(w) - 5)])"
@@ -23,21 +24,63 @@ def leak_scan_7gram(spark, sf_dir):
     return leaks.shared_windows(load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark"), "doc_id")
 
 
+#: Listed terms, and the id of a benchmark row as a file would mention it.
+_TERMS = ("confidential", "benchmark item", "do not distribute")
+_ITEM_ID = "'item-' || lpad(CAST(item_id AS VARCHAR), 5, '0')"
+
+
+def item_ids(bank):
+    return bank.select(F.format_string("item-%05d", "item_id").alias("id"))
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, {_NORM} AS norm, string_split({_NORM}, ' ') AS w FROM documents), b AS (SELECT {_NORM} AS item, string_split({_NORM}, ' ') AS w FROM benchmark),
 dw AS (SELECT DISTINCT doc_id, {_WINDOWS} AS run FROM d), bw AS (SELECT DISTINCT {_WINDOWS} AS run FROM b),
 n AS (SELECT doc_id, count(*) AS n_windows FROM dw WHERE run IN (SELECT run FROM bw) GROUP BY doc_id),
-f AS (SELECT doc_id, count(DISTINCT item) AS n_texts FROM d JOIN b ON contains(norm, item) WHERE length(item) >= 15 GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_texts, 0) AS n_texts, coalesce(n_windows, 0) AS n_windows, len(list_distinct(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}'))) AS n_ids,
-  coalesce(n_texts, 0) > 0 OR coalesce(n_windows, 0) > 0 OR len(list_distinct(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}'))) > 4 AS leaks
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id
+f AS (SELECT doc_id, count(DISTINCT item) AS n_texts FROM d JOIN b ON contains(norm, item) WHERE length(item) >= 15 GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_ids FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}')) AS id FROM d) WHERE id IN (SELECT {_ITEM_ID} FROM benchmark) GROUP BY doc_id),
+t AS (SELECT doc_id, len(list_distinct(regexp_extract_all(norm, '{"|".join(_TERMS)}'))) AS n_terms FROM d)
+SELECT d.doc_id, coalesce(n_texts, 0) AS n_texts, coalesce(n_windows, 0) AS n_windows, coalesce(n_ids, 0) AS n_ids, n_terms,
+  coalesce(n_texts, 0) > 0 OR coalesce(n_windows, 0) > 0 OR coalesce(n_ids, 0) > 4 OR n_terms > 0 AS leaks
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id JOIN t ON t.doc_id = d.doc_id
 """)
 def leak_verdict(spark, sf_dir):
+    """Every document with the reasons why it may leak the benchmark: whole texts, passages, more than four row ids, listed terms."""
     docs, bank = load_spread(spark, sf_dir, "documents", ["doc_id", "text"]), load(spark, sf_dir, "benchmark")
-    texts = leaks.contained_texts(docs, bank.select("text", F.xxhash64(tx.collapse(F.col("text"))).alias("item")).dropDuplicates(["item"]), "doc_id", "item").groupBy("doc_id").agg(F.count("*").alias("n_texts"))
-    ids = F.size(F.array_distinct(F.regexp_extract_all(tx.collapse(F.col("text")), F.lit("[a-z]+-[0-9]{3,}"), F.lit(0)))).cast("long")
-    found = docs.select("doc_id", ids.alias("n_ids")).join(leaks.shared_windows(docs, bank, "doc_id"), "doc_id", "left").join(texts, "doc_id", "left").na.fill(0, ["n_windows", "n_texts"])
-    return found.select("doc_id", "n_texts", "n_windows", "n_ids", ((F.col("n_texts") > 0) | (F.col("n_windows") > 0) | (F.col("n_ids") > 4)).alias("leaks"))
+    return leaks.verdict(docs, bank, item_ids(bank), _TERMS, "doc_id")
+
+
+#: Files of the corpus below, and of a report that mentions rows by id.
+_FILES, _REPORTS = 16, 3
+_BODY = f"""SELECT 'documents' AS kind, (doc_id % {_FILES})::INTEGER AS part, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 2
+UNION ALL SELECT 'report', (item_id % {_REPORTS})::INTEGER, string_agg({_ITEM_ID} || ',' || length(text), chr(10) ORDER BY item_id) FROM benchmark GROUP BY 2
+UNION ALL SELECT 'other', (doc_id % {_REPORTS})::INTEGER, string_agg('row-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || ',' || n_chars, chr(10) ORDER BY doc_id) FROM documents GROUP BY 2"""
+
+
+@query(f"""WITH files AS ({_BODY}), d AS (SELECT kind, part, {_NORM} AS norm FROM files), w AS (SELECT kind, part, unnest(string_split(norm, ' ')) AS w, generate_subscripts(string_split(norm, ' '), 1) AS p FROM d),
+r AS (SELECT kind, part, w || {" || ".join(f"' ' || lead(w, {k}) OVER o" for k in range(1, 7))} AS run FROM w WINDOW o AS (PARTITION BY kind, part ORDER BY p)),
+b AS (SELECT DISTINCT {_NORM} AS item FROM benchmark), bw AS (SELECT DISTINCT {_WINDOWS} AS run FROM (SELECT string_split({_NORM}, ' ') AS w FROM benchmark)),
+n AS (SELECT kind, part, count(*) AS n_windows FROM (SELECT DISTINCT kind, part, run FROM r) WHERE run IN (SELECT run FROM bw) GROUP BY kind, part),
+f AS (SELECT kind, part, count(*) AS n_texts FROM d JOIN b ON contains(norm, item) WHERE length(item) >= 15 GROUP BY kind, part),
+i AS (SELECT kind, part, count(*) AS n_ids FROM (SELECT DISTINCT kind, part, unnest(regexp_extract_all(norm, '[a-z]+-[0-9]{{3,}}')) AS id FROM d) WHERE id IN (SELECT {_ITEM_ID} FROM benchmark) GROUP BY kind, part),
+t AS (SELECT kind, part, len(list_distinct(regexp_extract_all(norm, '{"|".join(_TERMS)}'))) AS n_terms FROM d)
+SELECT kind, part, coalesce(n_texts, 0) AS n_texts, coalesce(n_windows, 0) AS n_windows, coalesce(n_ids, 0) AS n_ids, n_terms,
+  coalesce(n_texts, 0) > 0 OR coalesce(n_windows, 0) > 0 OR coalesce(n_ids, 0) > 4 OR n_terms > 0 AS leaks
+FROM d LEFT JOIN n USING (kind, part) LEFT JOIN f USING (kind, part) LEFT JOIN i USING (kind, part) JOIN t USING (kind, part)""")
+def corpus_verdict(spark, sf_dir):
+    """The verdict on every file of a folder: documents, a report that mentions the benchmark's rows, and one that mentions others."""
+    bank, docs = load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents")
+    rows = [
+        docs.select(F.lit("documents").alias("kind"), (F.col("doc_id") % _FILES).cast("int").alias("part"), F.col("doc_id").alias("at"), "text"),
+        bank.select(F.lit("report").alias("kind"), (F.col("item_id") % _REPORTS).cast("int").alias("part"), F.col("item_id").alias("at"), F.format_string("item-%05d,%d", "item_id", F.length("text")).alias("text")),
+        docs.select(F.lit("other").alias("kind"), (F.col("doc_id") % _REPORTS).cast("int").alias("part"), F.col("doc_id").alias("at"), F.format_string("row-%05d,%d", "doc_id", "n_chars").alias("text")),
+    ]
+    path = fresh_path(spark, "corpus")
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    every.repartition("kind", "part").sortWithinPartitions("kind", "part", "at").select("kind", "part", "text").write.partitionBy("kind", "part").text(path)
+    found = leaks.verdict(read_corpus(spark, path), bank, item_ids(bank), _TERMS, "path")
+    at = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    return found.select(at("kind").alias("kind"), at("part").cast("int").alias("part"), "n_texts", "n_windows", "n_ids", "n_terms", "leaks")
 
 
 @query(f"""
@@ -177,13 +220,18 @@ def chat_normalise(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", tx.chat_style(F.col("text")).alias("styled"))
 
 
-@query("""
-SELECT page_id, len(list_distinct(regexp_extract_all(lower(html), '[a-z]+-[0-9]{3,}'))) AS n_ids,
-  len(list_distinct(regexp_extract_all(lower(html), '[a-z]+-[0-9]{3,}'))) > 4 AS leaks FROM pages
-""")
+@query("""WITH p AS (SELECT page_id, lower(html) || ' row-' || lpad(CAST(page_id * 7 AS VARCHAR), 5, '0') || ' ' || coalesce(list_aggregate(['row-' || lpad(CAST(page_id + k AS VARCHAR), 5, '0') for k in range(0, page_id % 8)], 'string_agg', ', '), '') AS body FROM pages),
+m AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(body, '[a-z]+-[0-9]{3,}')) AS id FROM p),
+k AS (SELECT page_id, count(*) AS n_ids FROM m WHERE id IN (SELECT 'row-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') FROM documents) GROUP BY page_id)
+SELECT page_id, coalesce(n_ids, 0) AS n_ids, coalesce(n_ids, 0) > 4 AS leaks FROM pages LEFT JOIN k USING (page_id)""")
 def row_id_mentions(spark, sf_dir):
-    ids = F.size(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("[a-z]+-[0-9]{3,}"), F.lit(0))))
-    return load(spark, sf_dir, "pages").select("page_id", ids.cast("long").alias("n_ids"), (ids > 4).alias("leaks"))
+    """Ids of documents that pages mention in a list at their end; ids that no document has do not count."""
+    pages = load(spark, sf_dir, "pages")
+    ids = F.transform(F.when(F.col("page_id") % 8 > 0, F.sequence(F.lit(0), (F.col("page_id") % 8 - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda k: F.format_string("row-%05d", F.col("page_id") + k))
+    listed = pages.select("page_id", F.concat_ws(" ", "html", F.format_string("row-%05d", F.col("page_id") * 7), F.array_join(ids, ", ")).alias("text"))
+    known = load(spark, sf_dir, "documents").select(F.format_string("row-%05d", "doc_id").alias("id"))
+    found = pages.select("page_id").join(leaks.known_ids(listed, known, "page_id"), "page_id", "left").na.fill(0, ["n_ids"])
+    return found.select("page_id", "n_ids", (F.col("n_ids") > leaks.MOST_IDS).alias("leaks"))
 
 
 @query("""

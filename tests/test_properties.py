@@ -337,3 +337,70 @@ def test_winner_and_verdict(spark):
     assert experiments.paired(side([0.9, 0.9, 0.9]), side([0.8, 0.8, 0.95]), "fold", "f").first()["verdict"] == "helps"
     assert experiments.paired(side([0.7, 0.7, 0.9]), side([0.8, 0.8, 0.8]), "fold", "f").first()["verdict"] == "hurts"
     assert experiments.paired(side([0.8]), side([0.8]), "fold", "f").first()["verdict"] == "no difference"
+
+
+@pytest.mark.parametrize("most_bytes, piece", [(1 << 22, 1 << 20), (1 << 22, 40), (0, 1)])
+def test_scans_by_automaton_and_by_join_agree(spark, monkeypatch, most_bytes, piece):
+    """One automaton, several pieces of it, or joins of hashes; passages at the ends, overlapping, in odd spaces."""
+    monkeypatch.setattr(leaks, "PIECE_BYTES", piece)
+    bank = frame(spark, [(1, "A b  c d e f g h"), (2, "short"), (3, "a text of some length"), (4, None), (5, "a b c d e f g")], "item long, text string")
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "x a B\tc d\ne f g h y a b c d e f g"), (3, "xa b c d e f g"), (4, "quite A Text of  some lengthy"), (5, ""), (6, None), (7, "b c d e f g h")], "doc long, text string")
+    got = {r["doc"]: (r["n_texts"], r["n_windows"]) for r in leaks.scanned(docs, bank, "doc", most_bytes=most_bytes).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (0, 0), 4: (1, 0), 5: (0, 0), 6: (0, 0), 7: (0, 1)}
+    assert {r["doc"]: r["n_windows"] for r in leaks.shared_windows(docs, bank, "doc").collect()} == {1: 1, 2: 2, 7: 1}
+    assert leaks.scanned(docs, bank.limit(0), "doc", most_bytes=most_bytes).where("n_texts + n_windows > 0").count() == 0
+
+
+def test_verdict_has_four_reasons(spark):
+    bank = frame(spark, [("one two three four five six seven eight",)], "text string")
+    ids = frame(spark, [(f"MSG-{k:04d}",) for k in range(20)], "id string")
+    texts = {1: "nothing", 2: "one two three four five six seven", 3: "msg-0001, msg-0002 msg-0003 MSG-0004", 4: "msg-0001 msg-0002 msg-0003 msg-0004 msg-0005 msg-00011", 5: "msg-9001 msg-9002 msg-9003 msg-9004 msg-9005", 6: "Internal Only", 7: None}
+    docs = frame(spark, list(texts.items()), "doc long, text string")
+    got = {r["doc"]: (r["n_texts"], r["n_windows"], r["n_ids"], r["n_terms"], r["leaks"]) for r in leaks.verdict(docs, bank, ids, ("internal only",), "doc").collect()}
+    assert got == {1: (0, 0, 0, 0, False), 2: (0, 1, 0, 0, True), 3: (0, 0, 4, 0, False), 4: (0, 0, 5, 0, True), 5: (0, 0, 0, 0, False), 6: (0, 0, 0, 1, True), 7: (0, 0, 0, 0, False)}
+    assert leaks.verdict(docs, bank, ids, (), "doc").where("n_terms > 0").count() == 0
+
+
+def test_exact_two_sample_test_counts_all_orders():
+    """Against every order of small samples, the asymptotic value of larger ones, and chances far below rounding."""
+    from itertools import combinations
+
+    for n, m in ((1, 1), (3, 4), (5, 5), (6, 2)):
+        gaps = []
+        for first in combinations(range(n + m), n):
+            i, steps = 0, []
+            for k in range(n + m):
+                i += k in first
+                steps.append(abs(i * m - (k + 1 - i) * n))
+            gaps.append(max(steps))
+        for gap in sorted(set(gaps)):
+            assert math.isclose(drift.ks_exact_p(gap / (n * m), n, m), np.mean([g >= gap for g in gaps]), rel_tol=1e-12)
+    assert abs(drift.ks_exact_p(0.08, 900, 700) - drift.ks_asymptotic_p(0.08, 900, 700)) < 0.01
+    assert 0 < drift.ks_exact_p(0.9, 300, 300) < 1e-90 and drift.ks_exact_p(1.0, 300, 300) < 1e-170 and drift.ks_p(0.0, 5, 7) == 1.0
+    assert drift.ks_p(0.01, 20_000, 20_000) == drift.ks_asymptotic_p(0.01, 20_000, 20_000)
+
+
+def test_reports_of_nothing(spark):
+    rows = frame(spark, [(i, 0.5 + i / 100, i % 3, i % 2, [float(i), 1.0]) for i in range(12)], "id long, confidence double, pred int, foreign int, vec array<double>")
+    none = rows.limit(0)
+    for report in (drift.drift_report(rows, rows, none), drift.drift_report(rows, none, rows), drift.drift_report(none, rows, rows)):
+        assert report["alerts"] == [] and report["confidence_ks_p"] == 1.0 and report["confidence_psi"] is None
+    assert drift.drift_report(rows, rows, rows)["confidence_ks"] == 0.0
+
+
+def test_quantiles_equal_sorted_values(spark):
+    from lexmill.operators import quantiles
+
+    rng = np.random.default_rng(7)
+    groups = {"hot": rng.normal(size=6000).round(3), "ties": np.full(500, 2.5), "one": np.array([1.0]), None: rng.exponential(size=41), "two": np.array([3.0, -1.0])}
+    rows = frame(spark, [(k, i % 5, float(x)) for k, v in groups.items() for i, x in enumerate(v)] + [("hot", 0, None), ("empty", 1, None), ("one", 2, float("nan"))], "k string, day int, x double")
+    shares = (0.0, 0.01, 0.25, 0.5, 0.777, 0.99, 1.0)
+    kept = quantiles.merged(quantiles.sketched(rows, "x", ("k", "day")), ("k",))
+    for sketches, error in ((None, 0.01), (kept, 0.01), (None, 0.0)):  # without any error bounds miss, and groups are done again
+        got = {r["k"]: (r["n"], r["quantiles"]) for r in quantiles.quantiles(rows, "x", shares, ("k",), sketches, error).collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            assert got[k][0] == len(v) and np.allclose(got[k][1], np.quantile(v, shares), rtol=1e-12)
+    total = quantiles.quantiles(rows, "x", (0.5,)).first()
+    assert math.isclose(total["quantiles"][0], np.median(np.concatenate(list(groups.values()))), rel_tol=1e-12)
+    assert quantiles.quantiles(rows.limit(0), "x", (0.5,), ("k",)).count() == 0
