@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters records by seeded hashes into buckets that fit in memory, as
-many to a shard as the bytes ask for; pass two runs a Fisher-Yates shuffle over
+many to each shard as its bytes ask for; pass two runs a Fisher-Yates shuffle over
 each bucket and writes it as one file. The id alone decides the shard (highest random weight over the
 shards), so one more shard only takes rows into itself. A bucket's slots start
 where the bucket before it ends; both passes are functions of the records and
@@ -11,6 +11,7 @@ the seed, so a lost task repeats exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ BUCKET_BYTES = 16 << 20
 #: Parts of a shard that are counted first; counted again, finer, where buckets must be smaller.
 FINE = 1 << 12
 EMIT_ROWS = 2000
-#: Groups of identical rows whose records are broadcast to where their copies are made.
-HOT_ROWS = 64
+#: Bytes of the records of identical rows that are broadcast to where their copies are made.
+HOT_BYTES = 16 << 20
 
 
 def shard_of(key: Column, n_shards: int, seed: int = SEED) -> Column:
@@ -79,39 +80,46 @@ def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns ``record`` (a struct of all columns of ``docs``, so names never
     clash), ``shard``, ``bucket`` and ``slot`` (gapless from 0 in each shard), one
     row per input row; every bucket is one partition in slot order. Buckets hold
-    about ``bucket_bytes`` of text, however much there is; one very long text makes
-    its bucket larger.
+    about ``bucket_bytes``, however much there is and however much of it one shard
+    holds; one very long row makes its bucket larger.
 
     Null ids form one key, null texts are empty. Rows that repeat an id share its
-    shard and are spread over its buckets by their text, and identical rows that
-    would fill a bucket by their number; rows that differ in other columns only keep
-    their places on every run. An empty table gives an empty result.
+    shard and are spread over its buckets by all their columns, maps included, and
+    identical rows that would fill a bucket by their number; rows that differ in any
+    column keep their places on every run. An empty table gives an empty result.
     """
     if docs.isEmpty():
         return docs.select(F.struct("*").alias("record"), F.lit(0).alias("shard"), F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("slot"))
     bounded_batches(docs.sparkSession)
-    key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if _hashable(f.dataType)]
-    marks = [F.xxhash64(F.lit(seed + 1), key, text).alias("tie"), F.xxhash64(F.lit(seed + 2), *hashed).alias("whole"), shard_of(key, n_shards, seed).alias("shard")]
-    rows = docs.select(F.struct("*").alias("record"), key.alias("id"), *marks, (F.octet_length(text) + 8).alias("bytes"))
+    key = F.col(f"`{id_col}`").cast("long")
+    named = {f.name: F.col(f"`{f.name}`") for f in docs.schema}
+    texts = [F.octet_length(named[f.name]) for f in docs.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [named[f.name] for f in docs.schema if not _hashable(f.dataType)]
+    # What Spark cannot hash is hashed as JSON.
+    hashed = [named[f.name] for f in docs.schema if _hashable(f.dataType)] + ([F.to_json(F.struct(*nested))] if nested else [])
+    size = reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)).cast("long") for t in texts], F.lit(8 * len(named)).cast("long"))
+    size = size + (F.octet_length(hashed[-1]) if nested else F.lit(0))
+    marks = [F.xxhash64(F.lit(seed + 1), *hashed).alias("tie"), F.xxhash64(F.lit(seed + 2), *hashed).alias("whole"), shard_of(key, n_shards, seed).alias("shard")]
+    rows = docs.select(F.struct(*named.values()).alias("record"), key.alias("id"), *marks, size.alias("bytes"))
     fine, counted = FINE, _counted(rows, FINE)
-    total, parts = counted.agg(F.sum("bytes")).first()[0], 1
-    while total > parts * n_shards * bucket_bytes:
-        parts *= 2
-    if len(hashed) == len(docs.columns):
-        full = counted.where(F.col("bytes") > 4 * max(bucket_bytes, total * max(1, parts // fine) / (parts * n_shards)))
-        if not full.isEmpty():
-            rows, fine = _spread(rows, full, fine, bucket_bytes), 0
-    if parts > fine:
-        fine = max(parts, FINE)
+    held = {r["shard"]: r["bytes"] for r in counted.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}  # a row a shard
+    parts = [1 << max(0, -(-held.get(k, 0) // bucket_bytes) - 1).bit_length() for k in range(n_shards)]
+    most = F.element_at(F.array(*[F.lit(4 * max(bucket_bytes, held.get(k, 0) * max(1, parts[k] // fine) // parts[k])) for k in range(n_shards)]), F.col("shard") + 1)
+    if not (full := counted.where(F.col("bytes") > most)).isEmpty():
+        rows, fine = _spread(rows, full, fine, bucket_bytes), 0
+    if max(parts) > fine:
+        fine = max(*parts, FINE)
         counted = _counted(rows, fine)
-    bucket = F.expr(f"shard * {parts} + fine div {fine // parts}").cast("int")
+    of = lambda numbers: F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("shard") + 1)
+    first = [sum(parts[:k]) for k in range(n_shards)]
+    bucket = (of(first) + F.expr("fine div step")).cast("int")
+    counted = counted.withColumn("step", of([fine // n for n in parts]))
     sums = counted.groupBy("shard", bucket.alias("bucket")).agg(F.sum("rows").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")
     starts = broadcast_if_small(cut(sums.select("bucket", before.alias("at")), "starts"))  # one row a bucket
 
-    scattered = rows.withColumn("fine", F.pmod("tie", F.lit(fine)).cast("int")).withColumn("bucket", bucket).drop("fine", "bytes")
-    scattered = scattered.join(starts, "bucket").repartitionById(n_shards * parts, F.col("bucket"))
+    scattered = rows.withColumn("fine", F.pmod("tie", F.lit(fine)).cast("int")).withColumn("step", of([fine // n for n in parts])).withColumn("bucket", bucket).drop("fine", "step", "bytes")
+    scattered = scattered.join(starts, "bucket").repartitionById(sum(parts), F.col("bucket"))
     schema = T.StructType([scattered.schema["record"], T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("slot", T.LongType())])
     return scattered.mapInArrow(_shuffle(seed), schema)
 
@@ -142,14 +150,19 @@ def _spread(rows: DataFrame, full: DataFrame, fine: int, bucket_bytes: int) -> D
     spans = starts.withColumn("span", F.explode(F.expr(f"sequence(first div {step}, (upto - 1) div {step})")))
     numbers = rows.sparkSession.range(n).withColumn("span", F.expr(f"id div {step}")).withColumnRenamed("id", "number")
     copies = numbers.join(spans, "span").where("number >= first and number < upto").select("tie", "whole", "number", "first")
-    made = copies.join(broadcast_if_small(hot.drop("upto", "copies"), HOT_ROWS), ["tie", "whole"])
+    records = hot.drop("upto", "copies")
+    made = copies.join(F.broadcast(records) if (hot.agg(F.sum("bytes")).first()[0] or 0) <= HOT_BYTES else records, ["tie", "whole"])
     again = made.select("record", "id", F.xxhash64("tie", F.col("number") - F.col("first")).alias("tie"), "whole", "shard", "bytes")
     return cool.select(again.columns).unionByName(again)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write every bucket as one Parquet file below its shard's folder, rows in slot order."""
-    shuffled.select("record.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).write.partitionBy("_shard").parquet(path)
+    """Write every bucket as one Parquet file below its shard's folder, rows in slot order.
+
+    A row is ``record`` (all columns of the documents, whatever their names) and
+    ``slot``; null ids and texts, repeated rows and an empty table are written as they are.
+    """
+    shuffled.select("record", "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_external_shuffle(spark, sf_dir: str) -> DataFrame:
@@ -157,14 +170,14 @@ def op4_external_shuffle(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "shards")
     write_shards(external_shuffle(spark.read.parquet(f"{sf_dir}/documents.parquet")), path)
     written = spark.read.parquet(path)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    grown = shard_of(F.col("doc_id").cast("long"), N_SHARDS + 1)
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    grown = shard_of(F.col("record.doc_id").cast("long"), N_SHARDS + 1)
     return written.select(
-        "doc_id",
+        "record.doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("_shard").cast("int").alias("shard"),
-        F.col("_slot").alias("slot"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
         grown.alias("grown_shard"),
     )

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lexmill.llm import sharding
 from lexmill.llm.sharding import external_shuffle, op4_external_shuffle, shard_of, write_shards
@@ -38,7 +39,7 @@ def test_small_buckets_keep_slots_gapless(spark, docs, bucket_bytes, tmp_path):
         assert [x for x, _ in sorted(s)] == list(range(len(s))) and [b for _, b in sorted(s)] == sorted(b for _, b in s)
     write_shards(made, f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
-    assert back.count() == docs.count() and set(docs.columns) <= set(back.columns)
+    assert sorted(map(tuple, back.select("record.*").collect())) == sorted(map(tuple, docs.collect())) and {"shard", "slot"} <= set(back.columns)
 
 
 def hashed(*values):
@@ -59,26 +60,34 @@ def test_scatter_and_shuffle_equal_a_plain_version(spark, docs, monkeypatch, fin
     """Buckets and slots by plain loops; with 4 parts counted first, buckets must be counted again."""
     monkeypatch.setattr(sharding, "FINE", fine)
     seed, shards, most = sharding.SEED, 3, 2000
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    total, parts = sum(len(t.encode()) + 8 for t in rows.values()), 1
-    while total > parts * shards * most:
-        parts *= 2
-    assert parts > 4
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    shard_of_id = {i: max((hashed(whole(seed), whole(k), whole(i, 8)), k) for k in range(shards))[1] for i in rows}
+    held, parts = Counter(), []
+    for i, r in rows.items():
+        held[shard_of_id[i]] += 40 + sum(len(r[c].encode()) for c in ("text", "lang", "source"))
+    for k in range(shards):
+        parts.append(1)
+        while held[k] > parts[k] * most:
+            parts[k] *= 2
+    assert min(parts) > 4
+    cells, first = max(fine, *parts), [sum(parts[:k]) for k in range(shards)]
     buckets = defaultdict(list)
-    for i, text in rows.items():
-        shard = max((hashed(whole(seed), whole(k), whole(i, 8)), k) for k in range(shards))[1]
-        tie = hashed(whole(seed + 1), whole(i, 8), text)
-        buckets[shard * parts + (tie % max(fine, parts)) // (max(fine, parts) // parts)].append((i, tie))
+    for i, r in rows.items():
+        shard = shard_of_id[i]
+        tie = hashed(whole(seed + 1), whole(i, 8), r["text"], r["lang"], r["source"], whole(r["n_chars"], 8))
+        buckets[first[shard] + (tie % cells) // (cells // parts[shard])].append((i, tie))
     want, at = {}, Counter()
     for bucket in sorted(buckets):
+        shard = max(k for k in range(shards) if first[k] <= bucket)
         held = sorted(buckets[bucket])
         draws = np.random.Generator(np.random.PCG64([seed, bucket])).random(len(held))
         for i in range(len(held) - 1, 0, -1):
             j = int(draws[i] * (i + 1))
             held[i], held[j] = held[j], held[i]
         for i, _ in held:
-            want[i] = (bucket // parts, bucket, at[bucket // parts])
-            at[bucket // parts] += 1
+            want[i] = (shard, bucket, at[shard])
+            at[shard] += 1
     made = external_shuffle(docs, n_shards=shards, bucket_bytes=most).select("record.doc_id", "shard", "bucket", "slot").collect()
     assert {r["doc_id"]: (r["shard"], r["bucket"], r["slot"]) for r in made} == want
 
@@ -107,6 +116,22 @@ def test_identical_rows_are_spread_over_buckets(spark):
     assert runs[0] == runs[1]
 
 
+@pytest.mark.parametrize("kind", ["string", "map<string,string>"])
+def test_a_hot_id_fills_no_bucket(spark, tmp_path, kind):
+    """Most rows have one id, or none, and one text, and differ elsewhere; other columns have the operator's own names."""
+    rows = [(None if i % 2 else 4, "one text for all", f"{i:05d}" if kind == "string" else {"u": f"{i:05d}"}, i, i % 3) for i in range(6000)] + [(i, f"text {i}", None, i, 0) for i in range(600)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, url {kind}, _shard int, slot int")
+    made = external_shuffle(frame, n_shards=4, bucket_bytes=8000)
+    found = made.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).collect()
+    assert sum(r["n"] for r in found) == 6600 and max(r["n"] for r in found) < 400 and all(r["shards"] == 1 for r in found)
+    write_shards(made, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert Counter(str(tuple(r)) for r in back.select("record.*").collect()) == Counter(str(tuple(r)) for r in frame.collect())
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in back.where(f"shard = {shard}").select("slot").collect())
+        assert slots == list(range(len(slots)))
+
+
 def test_long_and_unnamed_documents_stay_in_the_mix(spark):
     rows = [(1, "w " * 5000, "a")] + [(i, f"x{i} y z", "b") for i in range(2, 40)] + [(None, "no id here", "b"), (50, " ", "b")]
     mixed = [r["doc_id"] for r in apply_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
@@ -121,8 +146,6 @@ def test_shuffle_order_is_mixed(spark):
 
 
 def test_one_more_shard_only_takes_into_itself(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.range(5000).select(shard_of(F.col("id"), 7).alias("a"), shard_of(F.col("id"), 8).alias("b")).collect()
     assert all(r["b"] in (r["a"], 7) for r in rows) and 450 < sum(r["b"] == 7 for r in rows) < 800
 
