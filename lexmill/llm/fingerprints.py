@@ -156,15 +156,16 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Fingerprints of every text and of its edited text, and how alike they are.
 
     The edited text ends with the start of the next document, by descending id
-    (after the last: the first). Rows of one id follow each other by text or, if they
-    fill whole ranges, by a hash of it; rows without id come last; null texts are
-    empty; a single row is its own next. One row per input row; other columns are
+    (after the last: the first). Rows of one id follow each other by the hash of their
+    text, then by text, however many there are; rows without id come last; null texts
+    are empty; a single row is its own next. One row per input row; other columns are
     ignored; an empty table stays empty; texts are taken whole.
 
     Ranges of ids are cut by quantiles. An id, or none, that fills several is cut by
-    hashes of its texts. The least row of every range is known beforehand: it is
-    sent to the range before it as well, and texts move once. Rows that agree in id
-    and text stand in one range.
+    hashes of its texts. The least row of every range is found beforehand: it is
+    sent to the range before it as well, and texts move once. The order is a matter of
+    the rows alone, the ranges are not. Rows that agree in id and text stand in one
+    range.
     """
     spark = bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -178,16 +179,11 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = [cuts[i * MOST_RANGES // n - 1] for i in range(1, n)] if cuts else []
     pieces = {i: k for i, k in Counter([*cuts, *([top] if top is not None else [])]).items()}
     pieces |= {None: max(1, round(n * unnamed / count))} if unnamed else {}
-    heavy = [i for i, k in pieces.items() if k > 2 and i is not None]
-    # A place in the order: rows without id last, larger ids first, then the hash of an id that is cut.
-    by_hash = F.col("doc_id").isNull() | F.col("doc_id").isin(heavy) if heavy else F.col("doc_id").isNull()
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("i"), F.when(by_hash, F.xxhash64("text")).otherwise(0).cast("long").alias("h"))
-    heads = sorted((i is None, 0 if i is None else ~i, -(1 << 63) + (j << 64) // k if i is None or i in heavy else 0) for i, k in pieces.items() for j in range(k if i is None or i in heavy else 1))
+    # A place in the order: rows without id last, larger ids first, then the hash of the text.
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("i"), F.xxhash64("text").alias("h"))
+    heads = sorted((i is None, 0 if i is None else ~i, -(1 << 63) + (j << 64) // k) for i, k in pieces.items() for j in range(k))
     placed = rows.withColumn("place", place)
-    if not heavy and not unnamed:
-        least = {k: h for k, h in enumerate(heads)}  # ids that occur
-    else:
-        least = {r["k"]: tuple(r["p"]) for r in placed.groupBy(_range_of(heads, F.col("place")).alias("k")).agg(F.min("place").alias("p")).collect()}  # a row a range
+    least = {r["k"]: tuple(r["p"]) for r in placed.groupBy(_range_of(heads, F.col("place")).alias("k")).agg(F.min("place").alias("p")).collect()}  # a row a range
     filled = sorted(least)
     heads = [least[k] for k in filled]
     last = len(heads) - 1
