@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators.metrics import macro_scores
+from lexmill.operators.selection import smallest
 from lexmill.operators.splits import mixed
 from lexmill.sources.shared import cut
 
@@ -165,15 +166,14 @@ def active_learning(pool: DataFrame, seeds: DataFrame, id_col: str, keys: tuple[
         pool, seeds = pool.join(F.broadcast(finished), list(keys), "left_anti"), seeds.join(F.broadcast(finished), list(keys), "left_anti")
     sizes = cut(pool.groupBy(*keys).agg(F.count("*").alias("_all")), "sizes")  # a row a group
     labelled, found = cut(seeds.select(*keys, id_col), "labelled"), []
-    within = Window.partitionBy(*keys)
     for fraction in fractions:
         want = sizes.join(labelled.groupBy(*keys).agg(F.count("*").alias("_have")), list(keys), "left")
         want = want.select(*keys, (F.floor(F.col("_all") * F.lit(fraction) + F.lit(0.5)) - F.coalesce("_have", F.lit(0))).alias("_want")).where("_want > 0")
         rest = rest_of(labelled)
         sure = confidence(pool.join(labelled, [*keys, id_col], "left_semi"), rest.where(~F.col("strategy").isin(*orders)))
-        picked = [sure.withColumn("_n", F.row_number().over(within.orderBy(F.round("confidence", 9), id_col))).select(*keys, id_col, "_n")]
-        picked += [rest.where(F.col("strategy") == name).withColumn("_n", F.row_number().over(within.orderBy(order, id_col))).select(*keys, id_col, "_n") for name, order in orders.items()]
-        chosen = reduce(DataFrame.unionByName, picked).join(F.broadcast(want), list(keys)).where(F.col("_n") <= F.col("_want")).select(*keys, id_col)
+        picked = [sure.select(*keys, id_col, F.round("confidence", 9).alias("_order"))]
+        picked += [rest.where(F.col("strategy") == name).select(*keys, id_col, order.cast("double").alias("_order")) for name, order in orders.items()]
+        chosen = smallest(cut(reduce(DataFrame.unionByName, picked), "pool"), list(keys), "_order", id_col, want, "_want")
         labelled = cut(labelled.unionByName(chosen), "labelled")
         scores = macro_scores(predict(pool.join(labelled, [*keys, id_col], "left_semi")), keys=keys)
         counts = labelled.groupBy(*keys).agg(F.count("*").alias("n_labelled"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vec
+from lexmill.operators import discrepancy, metrics
 from lexmill.operators import drift as dr
-from lexmill.operators import metrics
 from lexmill.operators.cumulative import cumulative
 from lexmill.operators.splits import mixed, mixed_sql, resample, sample
 from lexmill.plans import vectors
@@ -132,6 +132,30 @@ def mmd2_p(spark, sf_dir):
     return spark.createDataFrame([dr.mean_discrepancy(_two_labels(spark, sf_dir), "vec_id", "label", "embedding", dr.PERMUTATIONS)], "mmd2 double, p double")
 
 
+def _linear_sql(features: int = discrepancy.FEATURES, draws: int = dr.PERMUTATIONS, seed: int = discrepancy.SEED) -> str:
+    """Random features of single rows: equal to the operator as long as a block is one row."""
+    u = lambda k: f"(({mixed_sql('f', 'd', str(k), seed=seed)}) + 0.5::DOUBLE) / pow(16.0::DOUBLE, 15)"
+    return f"""WITH {_V}, p AS (SELECT a.vec_id < b.vec_id AS up, list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) for i in range(1, 65)]) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+g AS (SELECT sqrt(2 / median(d)) AS scale FROM p WHERE up AND d > 0),
+w AS (SELECT f, list(scale * sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) ORDER BY d) AS w FROM range(0, {features}) a(f) CROSS JOIN range(0, 64) b(d) CROSS JOIN g GROUP BY f),
+z AS (SELECT vec_id, list(a ORDER BY f) AS a FROM (SELECT vec_id, f, list_sum([v.v[i] * w.w[i] for i in range(1, 65)]) AS a FROM v CROSS JOIN w) GROUP BY vec_id),
+b AS (SELECT vec_id, label AS side, row_number() OVER (PARTITION BY label ORDER BY {mixed_sql("vec_id")}, vec_id) - 1 AS block, count(*) FILTER (WHERE label = 0) OVER () AS n, count(*) FILTER (WHERE label = 1) OVER () AS m FROM v),
+k AS (SELECT x.vec_id AS i, y.vec_id AS j, [cos(x.a[q] - y.a[q]) for q in range(1, {features + 1})] AS c FROM z x JOIN z y ON x.vec_id <> y.vec_id),
+c AS (SELECT i, j, list_sum(c) / {features} AS c FROM k WHERE i < j),
+weight AS (SELECT c, CASE WHEN x.side <> y.side THEN -1.0::DOUBLE / (x.n * x.m) WHEN x.side = 0 THEN 1.0::DOUBLE / (x.n * (x.n - 1)) ELSE 1.0::DOUBLE / (x.m * (x.m - 1)) END AS wt FROM k JOIN b x ON x.vec_id = i JOIN b y ON y.vec_id = j),
+by_f AS (SELECT q, sum(wt * c[q]) AS x FROM weight CROSS JOIN range(1, {features + 1}) t(q) GROUP BY q), seen AS (SELECT avg(x) AS mmd2 FROM by_f),
+drawn AS (SELECT draw, vec_id, n, m, row_number() OVER (PARTITION BY draw ORDER BY {mixed_sql("draw", "side", "block", seed=seed)}, side, block) <= n AS one FROM b CROSS JOIN range(0, {draws}) t(draw)),
+made AS (SELECT x.draw, 2 * sum(CASE WHEN x.one <> y.one THEN -c / (x.n * x.m)::DOUBLE WHEN x.one THEN c / (x.n * (x.n - 1))::DOUBLE ELSE c / (x.m * (x.m - 1))::DOUBLE END) AS x FROM drawn x JOIN c ON c.i = x.vec_id JOIN drawn y ON y.draw = x.draw AND y.vec_id = c.j GROUP BY x.draw)
+SELECT round(mmd2, 8) AS mmd2, round((SELECT stddev_samp(x) FROM by_f) / sqrt({features}), 8) AS error, round((1 + (SELECT count(*) FROM made WHERE x >= mmd2 - 1e-12))::DOUBLE / {draws + 1}, 8) AS p FROM seen"""
+
+
+@query(_linear_sql())
+def mmd2_linear(spark, sf_dir):
+    """The discrepancy by random features, its error, and its p-value by permutations of fixed sizes."""
+    found = discrepancy.linear_discrepancy(_two_labels(spark, sf_dir), "vec_id", "label", "embedding")
+    return spark.createDataFrame([tuple(round(x, 8) for x in found)], "mmd2 double, error double, p double")
+
+
 @query("""WITH d AS (SELECT day(ts) AS day, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT day, sum(n) AS total FROM d GROUP BY 1),
 ref AS (SELECT k, sum(CASE WHEN day <= 7 THEN n ELSE 0 END)::DOUBLE / (sum(sum(CASE WHEN day <= 7 THEN n ELSE 0 END)) OVER ())::DOUBLE AS r FROM d GROUP BY k),
 g AS (SELECT t.day, ref.k, r, coalesce(d.n, 0) AS n, total, coalesce(d.n, 0)::DOUBLE / total::DOUBLE AS c FROM t CROSS JOIN ref LEFT JOIN d ON d.day = t.day AND d.k = ref.k)

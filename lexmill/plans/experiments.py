@@ -8,7 +8,7 @@ from lexmill.functions import text as tx
 from lexmill.functions import vec
 from lexmill.operators import experiments as ex
 from lexmill.operators import metrics as m
-from lexmill.operators import openset
+from lexmill.operators import openset, stopping
 from lexmill.operators.splits import mixed, mixed_sql, stratified_share
 from lexmill.plans.evaluation import _PRED, counts_sql, predicted, rounded
 from lexmill.plans.registry import query
@@ -184,6 +184,21 @@ def learning_curve(spark, sf_dir):
     return rounded(curve(spark, sf_dir), "macro_f1", "accuracy", digits=8)
 
 
+_PATIENCE = 3
+
+
+@query(f"""WITH RECURSIVE log AS (SELECT event_type, user_id % 7 AS seed, day(ts) AS epoch, round(avg(value), 6) AS score FROM events GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY event_type, seed ORDER BY epoch) AS i FROM log),
+walk(event_type, seed, i, best_epoch, best_score, last_epoch, waited, stopped) AS (SELECT event_type, seed, i, epoch, score, epoch, 0, false FROM o WHERE i = 1 UNION ALL
+  SELECT o.event_type, o.seed, o.i, CASE WHEN score > best_score THEN epoch ELSE best_epoch END, CASE WHEN score > best_score THEN score ELSE best_score END, epoch, CASE WHEN score > best_score THEN 0 ELSE waited + 1 END, score <= best_score AND waited + 1 >= {_PATIENCE}
+  FROM walk w JOIN o ON o.event_type = w.event_type AND o.seed = w.seed AND o.i = w.i + 1 WHERE NOT stopped)
+SELECT event_type, seed, best_epoch, best_score, last_epoch, i::BIGINT AS epochs, stopped FROM (SELECT *, row_number() OVER (PARTITION BY event_type, seed ORDER BY i DESC) AS r FROM walk) WHERE r = 1""")
+def early_stops(spark, sf_dir):
+    """Runs are event types by groups of users, epochs are days: where each stops that has waited three epochs for a better mean."""
+    log = load(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 7).alias("seed"), F.dayofmonth("ts").cast("long").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("score"))
+    return stopping.early_stops(log, ["event_type", "seed"], "epoch", "score", _PATIENCE)
+
+
 @query(f"""WITH {_PRED}, {counts_sql("source,")}, f AS (SELECT source, avg(CASE WHEN n_true + n_pred = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (n_true + n_pred)::DOUBLE END) AS f FROM counts GROUP BY source)
 SELECT round(avg(f), 9) AS mean, round(stddev_samp(f), 9) AS std, round(min(f), 9) AS least, count(*) AS n FROM f""")
 def seed_spread(spark, sf_dir):
