@@ -14,8 +14,9 @@ from lexmill.operators.cumulative import cumulative
 from lexmill.operators.splits import mixed, mixed_sql, resample, sample
 from lexmill.plans import vectors
 from lexmill.plans.registry import query
+from lexmill.sources.shared import cut, fresh_path
 from lexmill.sources.tables import load
-from lexmill.streaming import windows
+from lexmill.streaming import monitor, windows
 
 _EV = """ev AS (SELECT event_id, event_type, value / (value + 50.0::DOUBLE) AS x, CASE WHEN day(ts) <= 7 THEN 0 ELSE 1 END AS cur FROM events WHERE day(ts) <= 7 OR day(ts) BETWEEN 22 AND 28)"""
 _SHARES = """sh AS (SELECT *, ref::DOUBLE / (sum(ref) OVER ())::DOUBLE AS r, cur::DOUBLE / (sum(cur) OVER ())::DOUBLE AS c FROM (SELECT {k} AS k, sum(1 - cur) AS ref, sum(cur) AS cur FROM ev GROUP BY 1))"""
@@ -197,6 +198,65 @@ def power_grid(spark, sf_dir):
     return per.groupBy("size", "mixed").agg(F.round(F.avg(F.col("k") / n), 8).alias("far"), F.round(F.avg(fires), 8).alias("power"))
 
 
+_FOUND = "n long, ks double, ks_p double, unknown_p double, mix_p double, share_p double, alerts string, day date"
+
+
+def judged_days(reference: DataFrame, tau: float):
+    """A judge of whole days of events against reference rows: the exact two-sample test of ``x``, the rate above ``tau``, the mix of types, and the share of a quarter of the users."""
+    (quarter,) = reference.agg(F.avg(F.col("quarter").cast("double"))).first()
+
+    def judge(rows: DataFrame) -> DataFrame:
+        rows = marked_events(rows)
+        days = rows.select("day").distinct()  # a row a day
+        both = rows.withColumn("cur", F.lit(1)).unionByName(reference.withColumn("cur", F.lit(0)).crossJoin(F.broadcast(days)))
+        sums = both.groupBy("day").agg(F.sum("cur").alias("n"), F.sum(1 - F.col("cur")).alias("m"), F.count_if((F.col("cur") == 1) & (F.col("x") > tau)).alias("far"), F.sum(F.col("cur") * F.col("quarter").cast("int")).alias("some"))
+        mix = dr.chi_square(both, "event_type", "cur", ("day",))
+        found = sums.join(metrics.ks_statistic(both, "x", "cur", ("day",)), "day").join(mix, "day")
+
+        @F.pandas_udf("ks_p double, unknown_p double, mix_p double, share_p double")
+        def p_values(ks: pd.Series, n: pd.Series, m: pd.Series, far: pd.Series, chi2: pd.Series, df: pd.Series, some: pd.Series) -> pd.DataFrame:
+            made = [(dr.ks_p(d, a, b), dr.binomial_tails(k, a, 0.05)[0], dr.chi_square_tail(c, f), dr.binomial_tails(s, a, quarter)[1]) for d, a, b, k, c, f, s in zip(ks, n, m, far, chi2, df, some, strict=True)]
+            return pd.DataFrame(made, columns=["ks_p", "unknown_p", "mix_p", "share_p"])
+
+        given = found.select("day", "n", "ks", p_values("ks", "n", "m", "far", "chi2", "df", "some").alias("p")).select("day", "n", "ks", "p.*")
+        fired = [F.when(F.col(c) < dr.alert_level(), F.lit(name)) for name, c in (("values", "ks_p"), ("unknown rate", "unknown_p"), ("mix", "mix_p"), ("share", "share_p"))]
+        return given.withColumn("alerts", F.concat_ws(", ", *fired)).select("n", "ks", "ks_p", "unknown_p", "mix_p", "share_p", "alerts", "day")
+
+    return judge
+
+
+def marked_events(events: DataFrame) -> DataFrame:
+    return events.select("day", "event_type", (F.col("value") / (F.col("value") + F.lit(50.0))).alias("x"), (F.col("user_id") % 4 == 0).alias("quarter"))
+
+
+_TAIL_OF = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT ts::DATE AS day, day(ts) AS d, event_type, value / (value + 50.0::DOUBLE) AS x, user_id % 4 = 0 AS quarter FROM events), ref AS (SELECT * FROM e WHERE d <= 7),
+tau AS (SELECT x AS tau FROM (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM ref) WHERE i = ceil((n - 1) * 0.95 - 1e-9)), qs AS (SELECT avg(quarter::INT::DOUBLE) AS share FROM ref),
+days AS (SELECT DISTINCT day FROM e WHERE d > 7), both_sides AS (SELECT day, event_type, x, quarter, 1 AS cur FROM e WHERE d > 7 UNION ALL SELECT days.day, event_type, x, quarter, 0 FROM ref CROSS JOIN days),
+g AS (SELECT day, x, sum(cur) AS a, sum(1 - cur) AS b FROM both_sides GROUP BY day, x),
+c AS (SELECT day, (sum(a) OVER w)::DOUBLE / (sum(a) OVER o)::DOUBLE AS fa, (sum(b) OVER w)::DOUBLE / (sum(b) OVER o)::DOUBLE AS fb, sum(a) OVER o AS n, sum(b) OVER o AS m FROM g WINDOW w AS (PARTITION BY day ORDER BY x), o AS (PARTITION BY day)),
+d AS (SELECT day, max(abs(fa - fb)) AS ks, max(n) AS n, max(m) AS m FROM c GROUP BY day), {_lattice("day", "d")},
+k AS (SELECT day, count(*) AS n, sum(CASE WHEN x > tau THEN 1 ELSE 0 END) AS far, sum(quarter::INT) AS quarters, max(share) AS share FROM both_sides CROSS JOIN tau CROSS JOIN qs WHERE cur = 1 GROUP BY day),
+up AS (SELECT day, sum({_TAIL_OF.format(p="0.05::DOUBLE")}) AS p FROM (SELECT day, n, unnest(range(far::BIGINT, n::BIGINT + 1)) AS i FROM k) GROUP BY day),
+sm AS (SELECT day, i, quarters, {_TAIL_OF.format(p="share")} AS mass FROM (SELECT day, n, quarters, share, unnest(range(0, n::BIGINT + 1)) AS i FROM k)),
+sp AS (SELECT a.day, least(1.0, sum(CASE WHEN a.mass <= b.mass * exp(1e-7::DOUBLE) THEN a.mass ELSE 0 END)) AS p FROM sm a JOIN sm b ON a.day = b.day AND b.i = b.quarters GROUP BY a.day),
+t AS (SELECT day, event_type, sum(1 - cur) AS ref, sum(cur) AS cur FROM both_sides GROUP BY day, event_type), s AS (SELECT *, ref::DOUBLE / (sum(ref) OVER o)::DOUBLE AS r FROM t WINDOW o AS (PARTITION BY day)),
+x AS (SELECT day, cur, (r + 1e-6) / (sum(r + 1e-6) OVER o) * (sum(cur) OVER o) AS e FROM s WINDOW o AS (PARTITION BY day)), q AS (SELECT day, sum((cur - e) * (cur - e) / e) AS chi2 FROM x GROUP BY day),
+f AS (SELECT day, d.n::BIGINT AS n, ks, exact.p AS ks_p, up.p AS unknown_p, exp(-chi2 / 2) * (1 + chi2 / 2) AS mix_p, sp.p AS share_p FROM d JOIN exact USING (day) JOIN up USING (day) JOIN q USING (day) JOIN sp USING (day))
+SELECT strftime(day, '%Y-%m-%d') AS day, n, round(ks, 9) AS ks, round(ks_p, 7) AS ks_p, round(unknown_p, 7) AS unknown_p, round(mix_p, 7) AS mix_p, round(share_p, 7) AS share_p,
+  concat_ws(', ', CASE WHEN ks_p < 0.002 THEN 'values' END, CASE WHEN unknown_p < 0.002 THEN 'unknown rate' END, CASE WHEN mix_p < 0.002 THEN 'mix' END, CASE WHEN share_p < 0.002 THEN 'share' END) AS alerts FROM f""")
+def stream_monitor(spark, sf_dir):
+    """Every day of the event stream after the first week, judged once it is over against that week."""
+    first = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).where(F.dayofmonth("ts") <= 7)
+    reference = cut(marked_events(first).drop("day"), "reference")
+    tau = metrics.threshold_higher(reference, "x", 0.95).first()["tau"]
+    live = monitor.Monitor(spark, fresh_path(spark, "monitor"), judged_days(reference, tau), _FOUND)
+    found = live.run(windows.read_events(spark, sf_dir).where(F.dayofmonth("ts") > 7), last=True)
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.round("ks", 9).alias("ks"), *[F.round(c, 7).alias(c) for c in ("ks_p", "unknown_p", "mix_p", "share_p")], "alerts")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
 def stream_daily_counts(spark, sf_dir):
     counts = windows.replay(windows.window_counts(windows.read_events(spark, sf_dir)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import fresh_path
+from lexmill.streaming.latest import keyed_state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -40,13 +41,19 @@ def replay(counts: DataFrame, name: str = "windows") -> DataFrame:
     return spark.read.schema(counts.schema).parquet(f"{base}/result")
 
 
-def replay_append(rows: DataFrame, name: str = "rows") -> DataFrame:
-    """Run a stream over all that is there and return what it appended. A batch that is run again replaces its own rows."""
+def resumed(rows: DataFrame, base: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is new since it last ran below ``base``, and return all that it gave. A batch that is run again replaces its own rows."""
     spark = rows.sparkSession
-    base = fresh_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/result/batch={number}")
 
-    rows.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(spark):
+        run = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/result")
+
+
+def replay_append(rows: DataFrame, name: str = "rows", mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there and return what it gave."""
+    return resumed(rows, fresh_path(rows.sparkSession, name), mode)
