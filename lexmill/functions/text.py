@@ -120,6 +120,18 @@ def retry_delay(message: Column, attempt: Column, most: int = 60) -> Column:
     return F.when(asked != "", asked.cast("double") + 1).otherwise(F.least(F.lit(float(most)), F.pow(F.lit(2.0), attempt)))
 
 
+def shots_prompt(intro: list[str], names: list[str], about: list[Column], unknown: str | None, shots: Column, outro: str) -> Column:
+    """A prompt as of a classifier: intro, a line for each name, one for ``unknown`` where the set is open, examples (an array of lines), outro.
+
+    Parts that are absent (no ``unknown``, an empty or null array) leave no line behind.
+    """
+    listed = [F.format_string("- %s: %s", F.lit(n), a) for n, a in zip(names, about, strict=True)]
+    open_ = [F.lit(f"- unknown: {unknown}")] if unknown else []
+    examples = F.when(F.size(F.coalesce(shots, F.array().cast("array<string>"))) > 0, F.concat(F.array(F.lit(""), F.lit("Examples:")), shots)).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(*[F.lit(x) for x in intro], F.lit(""), F.lit("Labels:"), *listed, *open_), examples, F.array(F.lit(""), F.lit(outro)))
+    return F.array_join(lines, "\n")
+
+
 def prompt(intro: str, names: list[str], about: list[Column], outro: str) -> Column:
     """A prompt of fixed lines around one line for each name, ``- name: about``."""
     lines = [F.format_string("- %s: %s", F.lit(n), a) for n, a in zip(names, about, strict=True)]

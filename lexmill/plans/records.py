@@ -9,10 +9,11 @@ from lexmill.functions import vec
 from lexmill.operators import checks, leaks, metrics, openset, ranking, splits
 from lexmill.plans import vectors
 from lexmill.plans.registry import query
-from lexmill.sources import tables
+from lexmill.sources import npz, tables
 from lexmill.sources.shared import fresh_path
 from lexmill.sources.tables import load
 from lexmill.streaming import windows
+from lexmill.streaming.latest import latest_rows
 
 
 @query("""SELECT conv_id, turn, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS stripped, role || '/' || (conv_id % 7) AS path, split_part(role || '/' || (conv_id % 7), '/', -1) AS last,
@@ -44,6 +45,31 @@ def prompt_lines(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", tx.prompt("Choose one language.", ["de", "en"], about, "Answer with one of them.").alias("prompt"))
 
 
+_LANGS = ("de", "en", "es", "fr")
+_ABOUT = "count(*) FILTER (WHERE lang = '{l}') || ' documents of ' || coalesce(CAST(round(avg(n_chars) FILTER (WHERE lang = '{l}'))::BIGINT AS VARCHAR), '0') || ' characters'"
+
+
+@query(f"""WITH s AS (SELECT source, lang, left(text, 80) AS t, row_number() OVER (PARTITION BY source, lang ORDER BY {splits.mixed_sql("doc_id")}, doc_id) AS r FROM documents WHERE lang IN {_LANGS}),
+l AS (SELECT source, string_agg('"' || t || '" -> ' || lang, chr(10) ORDER BY lang, r) AS shots FROM s WHERE r <= 3 GROUP BY source),
+c AS (SELECT source, {", ".join(f"{_ABOUT.format(l=x)} AS {x}" for x in _LANGS)} FROM documents GROUP BY source), m AS (SELECT unnest(['closed', 'open']) AS mode, unnest([0, 3]) AS shots)
+SELECT c.source, mode, 'You say which language a text is in.' || chr(10) || 'Texts may be short.' || chr(10) || chr(10) || 'Labels:' || chr(10) || {" || chr(10) || ".join(f"'- {x}: ' || {x}" for x in _LANGS)}
+  || CASE WHEN mode = 'open' THEN chr(10) || '- unknown: none of the languages above' ELSE '' END || CASE WHEN m.shots > 0 AND l.shots IS NOT NULL THEN chr(10) || chr(10) || 'Examples:' || chr(10) || l.shots ELSE '' END || chr(10) || chr(10) || 'Answer with the best label.' AS prompt
+FROM c CROSS JOIN m LEFT JOIN l ON l.source = c.source""")
+def shots_prompts(spark, sf_dir):
+    """A prompt for each source: closed set without examples, and open set with three texts of each language."""
+    docs = load(spark, sf_dir, "documents").where(F.col("source").isNotNull())
+    quoted = F.concat(F.lit('"'), F.left("text", F.lit(80)), F.lit('" -> '), "lang")
+    group = F.concat_ws("/", "source", "lang")
+    drawn = splits.sample_per_group(docs.where(F.col("lang").isin(*_LANGS)).withColumn("_g", group), "doc_id", "_g", 3).select("source", "lang", "place", quoted.alias("line"))
+    shots = drawn.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "place", "line"))), lambda x: x["line"]).alias("shots"))
+    of = lambda x: F.col("lang") == x
+    counts = docs.groupBy("source").agg(*[F.format_string("%d documents of %s characters", F.count_if(of(x)), F.coalesce(F.round(F.avg(F.when(of(x), F.col("n_chars")))).cast("long").cast("string"), F.lit("0"))).alias(x) for x in _LANGS])
+    intro, outro = ["You say which language a text is in.", "Texts may be short."], "Answer with the best label."
+    made = lambda unknown, lines: tx.shots_prompt(intro, list(_LANGS), [F.col(x) for x in _LANGS], unknown, lines, outro)
+    modes = F.array(F.struct(F.lit("closed").alias("mode"), made(None, F.lit(None).cast("array<string>")).alias("prompt")), F.struct(F.lit("open").alias("mode"), made("none of the languages above", F.col("shots")).alias("prompt")))
+    return counts.join(shots, "source", "left").select("source", F.explode(modes).alias("m")).select("source", "m.mode", "m.prompt")
+
+
 @query("""SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN (conv_id % 50) + 0.5 + 1 WHEN 1 THEN (conv_id % 9) + 1 ELSE least(60, pow(2.0, turn)) END::DOUBLE AS wait FROM conversations""")
 def retry_delays(spark, sf_dir):
     asked = lambda m: F.format_string(m, F.col("conv_id") % 50)
@@ -154,17 +180,29 @@ def answers_log(spark, sf_dir):
     rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n"))
     answer = lambda turn, n: rows.select(F.lit("m").alias("model"), F.lit("open").alias("mode"), F.lit(0).alias("shots"), F.col("conv_id").cast("string").alias("id"), F.lit("p").alias("pred"), turn.alias("in_tokens"), n.alias("out_tokens"), F.lit(0.1).alias("latency_s"))
     for turn, n in ((F.lit(-1).cast("long"), F.lit(0).cast("long")), (F.col("last"), F.col("n"))):
-        tables.append_json(answer(turn, n).coalesce(1), path)
+        tables.append_json(answer(turn, n), path)
     return tables.read_answers(spark, path).select("model", "id", F.col("in_tokens").alias("turn"), F.col("out_tokens").alias("answers"))
 
 
-@query("SELECT count(*) AS files, md5(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS digest FROM (SELECT item_id, text, 1 FROM benchmark) HAVING count(*) > 0".replace("count(*) AS files", "1::BIGINT AS files"))
+@query("SELECT (item_id % 8)::INTEGER AS part, length(string_agg(text, chr(10) ORDER BY item_id)) + 1 AS chars, md5(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS digest FROM benchmark GROUP BY 1")
 def corpus_files(spark, sf_dir):
-    """The benchmark as a text file, found again among the files of a folder."""
+    """The benchmark as eight text files, found again below their folder."""
     path = fresh_path(spark, "corpus")
-    load(spark, sf_dir, "benchmark").orderBy("item_id").select("text").coalesce(1).write.text(path)
-    found = tables.read_corpus(spark, path)
-    return found.agg(F.count("*").alias("files"), F.max(F.md5("text")).alias("digest"))
+    rows = load(spark, sf_dir, "benchmark").withColumn("part", (F.col("item_id") % 8).cast("int"))
+    rows.repartition("part").sortWithinPartitions("part", "item_id").select("part", "text").write.partitionBy("part").text(path)
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int")
+    return tables.read_corpus(spark, path).select(part.alias("part"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query("SELECT vec_id, label, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum([x::DOUBLE * x for x in embedding]), 6) AS power, len(embedding) AS dims FROM embeddings")
+def array_archives(spark, sf_dir):
+    """The embeddings as NumPy archives, found again."""
+    path = fresh_path(spark, "arrays")
+    npz.register(spark)
+    load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").write.format("npz").mode("append").save(path)
+    back = spark.read.format("npz").load(path)
+    power = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return back.select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(power, 6).alias("power"), F.size("embedding").cast("long").alias("dims"))
 
 
 @query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
@@ -178,6 +216,14 @@ def resumed_parts(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def stream_latest_rows(spark, sf_dir):
+    """The last event of every user, from a stream that keeps one row of state a user."""
+    events = windows.read_events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
+    given = windows.replay_append(latest_rows(events, ["user_id"], ["ts", "event_id"], "ts"), "latest", "update")
+    return tables.latest(given, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_first_answers(spark, sf_dir):
     """A log that is replayed from its start: every event arrives twice and counts once."""

@@ -46,14 +46,14 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, MESSAGES).withColumn("text", strip(F.col("text").cast("string")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
 def read_optional(spark: SparkSession, path: str, schema: str, required: bool = False) -> DataFrame:
     """A CSV table; if there is none, an empty one of the schema, or an error if ``required``."""
-    if _exists(spark, path):
+    if exists(spark, path):
         return read_csv(spark, path, schema)
     if required:
         raise FileNotFoundError(path)
@@ -95,7 +95,7 @@ def write_parts(rows: DataFrame, path: str, key: str) -> None:
 def missing_parts(rows: DataFrame, path: str, key: str) -> DataFrame:
     """The rows of keys that :func:`write_parts` has not written yet."""
     spark = rows.sparkSession
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return rows
     done = spark.read.schema(rows.schema).parquet(path).select(key).distinct()
     return rows.join(done, key, "left_anti")
@@ -113,7 +113,9 @@ def read_corpus(spark: SparkSession, path: str, binary: tuple[str, ...] = (".png
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A pipe table of a small report, ``most`` rows at most."""
+    """A pipe table of a report; of one with more than ``most`` rows the first of them, and a line that says so."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    return "\n".join([head, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows.limit(most).collect())])
+    found = rows.limit(most + 1).collect()
+    lines = [head, *("| " + " | ".join(cell(v) for v in r) + " |" for r in found[:most])]
+    return "\n".join([*lines, f"\nOnly the first {most} rows are shown."] if len(found) > most else lines)
