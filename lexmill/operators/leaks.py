@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import collapse, windows, words_of
-from lexmill.operators.sized import broadcast_if_small
+from lexmill.operators.sized import BROADCAST_BYTES, broadcast_if_small
 from lexmill.sources.shared import cut
 
 #: Words of a passage, characters of a text that counts whole, row ids that a text may mention.
@@ -116,7 +116,7 @@ def shared_windows(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text
     if most_bytes:
         return scanned(corpus, bank, corpus_id, bank_text, corpus_text, width, most_bytes=most_bytes).where("n_windows > 0").select(corpus_id, "n_windows")
     runs = bank.select(F.explode(windows(words_of(F.col(bank_text)), width)).alias("run")).distinct()
-    side = broadcast_if_small(runs.select(F.xxhash64("run").alias("h"), F.col("run").alias("bank_run")))
+    side = broadcast_if_small(runs.select(F.xxhash64("run").alias("h"), F.col("run").alias("bank_run")), most_bytes=BROADCAST_BYTES)
     ours = _hashed_windows(corpus, corpus_id, corpus_text, width)
     hits = ours.join(side, (ours["h"] == side["h"]) & (ours["run"] == side["bank_run"]), "left_semi")
     return hits.groupBy(corpus_id).agg(F.count("*").alias("n_windows"))
@@ -150,7 +150,7 @@ def contained_texts(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_id:
 
     held = ours.select("_c", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("_h"))
     near = cut(held.join(broadcast_if_small(items.select("_b", "_h")), "_h").select("_b", "_c").distinct(), "candidates")
-    met = ours.join(broadcast_if_small(near), "_c").join(broadcast_if_small(items.select("_b", "_item")), "_b")
+    met = ours.join(broadcast_if_small(near), "_c").join(broadcast_if_small(items.select("_b", "_item"), most_bytes=BROADCAST_BYTES), "_b")
     return met.where(F.col("_norm").contains(F.col("_item"))).select(F.col("_b").alias(bank_id), F.col("_c").alias(corpus_id)).distinct()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vec
-from lexmill.operators.sized import broadcast_if_small
+from lexmill.operators.sized import BROADCAST_BYTES, broadcast_if_small
 
 EPSILON = 1e-12
 
@@ -28,7 +28,7 @@ def with_logits(rows: DataFrame, centers: DataFrame, label: str, vec_col: str, s
     The centroids of a group travel as one row, so rows neither multiply nor move.
     """
     table = F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))))
-    bank = broadcast_if_small(centers.groupBy(*keys).agg(table.alias("_bank")))
+    bank = broadcast_if_small(centers.groupBy(*keys).agg(table.alias("_bank")), most_bytes=BROADCAST_BYTES)
     joined = rows.join(bank, list(keys)) if keys else rows.crossJoin(bank)
     own = vec.doubles(F.col(vec_col))
     logits = F.transform("_bank", lambda b: vec.dot(own, b["c"]) * F.lit(float(scale)))

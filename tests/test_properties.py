@@ -256,6 +256,16 @@ def test_sources(spark, tmp_path):
     got = tables.read_json_documents(spark, f"{tmp_path}/runs", "best struct<f1:double>", "cv-*.json", ("-hier",)).collect()
     assert [(r["stem"], r["best"]["f1"]) for r in got] == [("cv-a-lr1", 0.5)]
     assert "| id |" in tables.markdown(rows.select("id"))
+    many = spark.range(5)
+    assert "first 3 rows" in tables.markdown(many, 3) and "first" not in tables.markdown(many, 5) and tables.markdown(many, 3).count("\n") == 6
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from lexmill.operators.sized import broadcast_if_small
+
+    rows = frame(spark, [(i, "x" * 1000, [1.0] * 50, {"k": "v" * 100}) for i in range(20)], "i long, t string, v array<double>, m map<string,string>")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(rows)) and hinted(broadcast_if_small(rows, most_bytes=40_000)) and not hinted(broadcast_if_small(rows, most_bytes=25_000)) and not hinted(broadcast_if_small(rows, 19))
 
 
 def test_sizes_of_batches_may_have_units(spark):
