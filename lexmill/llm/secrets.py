@@ -2,8 +2,9 @@
 
 Besides the patterns that stand for themselves, a text yields parts: access
 identifiers, secrets and endpoints, some of them weak (a login name, a bare
-base64 word, a host). A connection URL with a login holds all three: the name,
-the password and what follows the at-sign. Parts of one scope are interval-joined: two parts meet if
+base64 word, the value of a named key, a bearer token, a private key, a host). A
+connection URL with a login holds all three: the name, the password and what
+follows the at-sign. Parts of one scope are interval-joined: two parts meet if
 no blank line lies between them and their gap is ``REACH`` characters at most.
 A weak part is reported only where complementary parts co-occur: an identifier
 with a secret, a secret with an identifier, an endpoint with both. Every pair of
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A name may follow an underscore (``DB_USER=``), a bare secret an equals sign (``AWS_SECRET_ACCESS_KEY=``).
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|account_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+#: Values that their names give away: keys (``secret_key:``, ``CLIENT_SECRET_KEY=``), tokens of a header, blocks of a private key.
+_NAMED = re.compile(r"""(?:secret|private|access|auth|signing|encryption|shared)_?(?:access_?)?key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A)
+_BEARER = re.compile(r"(?<![A-Za-z0-9])Bearer\x20+([A-Za-z0-9+/_.=~-]{16,})", re.I | re.A)
+_PRIVATE = re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]{0,20000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)", re.A)
 _ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+)""", re.I | re.A)
 _LOGIN = re.compile(r"""(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*://([^\s"'<>/:@]+):([^\s"'<>/@]+)@([^\s"'<>@]+)""", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
@@ -50,6 +56,15 @@ def apart(span: tuple[int, int], sorted_spans: list[tuple[int, int]]) -> bool:
     return at < 0 or sorted_spans[at][1] <= span[0]
 
 
+def disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that start first, and of those that start together the longest; what overlaps them goes."""
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans), key=lambda p: (p[0], -p[1])):
+        if not kept or kept[-1][1] <= a:
+            kept.append((a, b))
+    return kept
+
+
 class _Scope:
     """Sorted intervals and the breaks that none may reach across."""
 
@@ -72,16 +87,20 @@ def find_in(text: str) -> list[Span]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     begins = [a for a, _ in taken]
+    # Spans of two kinds may lie in each other, so an earlier one may end later.
+    reached = list(accumulate((b for _, b in taken), max))
 
     def free(a: int, b: int) -> bool:
         at = bisect_left(begins, b) - 1
-        return at < 0 or taken[at][1] <= a
+        return at < 0 or reached[at] <= a
 
     logins = [m for m in _LOGIN.finditer(text) if free(m.start(1), m.end(2))]
     in_url = [m.span() for m in logins]
     weak_ids = [m.span() for m in _IDENTIFIER.finditer(text) if free(*m.span()) and apart(m.span(), in_url)] + [m.span(1) for m in logins]
     weak_secrets = [m.span() for m in _BARE.finditer(text) if free(*m.span()) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0]) and apart(m.span(), in_url)]
+    named = [m.span(1) for pattern in (_NAMED, _BEARER, _PRIVATE) for m in pattern.finditer(text)]
     weak_secrets += [m.span(2) for m in logins]
+    weak_secrets = disjoint(weak_secrets + [p for p in named if free(*p) and apart(p, in_url)])
     ids = weak_ids + [(a, b) for k, a, b in base if k == "access"]
     secrets = weak_secrets + [(a, b) for k, a, b in base if k != "access"]
     if not ids or not secrets:
