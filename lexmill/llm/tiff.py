@@ -97,86 +97,98 @@ def pack_bits(data: bytes) -> bytes:
 _SINGLE = [bytes([i]) for i in range(256)]
 
 
+#: Codes since the last clear code up to which they have so many bits; the table grows by one entry a code.
+_WIDTHS = ((254, 9), (766, 10), (1790, 11), (1 << 62, 12))
+#: Codes after which an encoder clears its table, and codes that are read at once.
+_CLEAR_AFTER, _CODES = 3837, 1 << 14
+
+
+def _width(index: int) -> tuple[int, int]:
+    """Bits of the code ``index`` since the last clear code, and the first index that has more."""
+    return next((bits, upto) for upto, bits in _WIDTHS if index < upto)
+
+
 def lzw_decode(data: bytes, most: int = MOST_PAGE_BYTES) -> bytes:
-    """LZW as TIFF has it: codes from the high bit, widths grow one code early; no further than to ``most`` bytes."""
+    """LZW as TIFF has it: codes from the high bit, widths grow one code early; no further than to ``most`` bytes.
+
+    Widths follow from the number of codes since the table was cleared, so codes
+    are read in runs of one width; only the table is filled code by code.
+    """
+    buf = np.frombuffer(data, dtype=np.uint8)
     table: list[bytes] = [*_SINGLE, b"", b""]
     out: list[bytes] = []
-    width, held, bits, last, done = 9, 0, 0, None, 0
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
+    at, index, done, last = 0, 0, 0, None
+    while done < most:
+        bits, upto = _width(index)
+        n = min(upto - index, (8 * len(buf) - at) // bits, _CODES)
+        if n <= 0:
             break
-        if code == 256:
-            del table[258:]
-            width, last = 9, None
-            continue
-        if last is None:
-            if code > 255:
-                raise TiffError("LZW data starts with no literal")
-            entry = table[code]
-        else:
-            if code < len(table):
+        held = np.unpackbits(buf[at >> 3 : (at + n * bits + 7) >> 3])[at & 7 : (at & 7) + n * bits].reshape(n, bits)
+        codes = held @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int32))
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        read = int(stops[0]) if len(stops) else n
+        size = len(table)
+        for code in codes[:read].tolist():
+            if code < size:
+                if last is None and code > 255:
+                    raise TiffError("LZW data starts with no literal")
                 entry = table[code]
-            elif code == len(table):
+            elif last is not None and code == size:
                 entry = last + last[:1]
             else:
-                raise TiffError("LZW code is out of range")
-            if len(table) < 4096:
+                raise TiffError("LZW code is out of range" if last is not None else "LZW data starts with no literal")
+            if last is not None and size < 4096:
                 table.append(last + entry[:1])
-            size = len(table)
-            width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
-        out.append(entry)
-        last = entry
-        done += len(entry)
-        if done >= most:
-            break
+                size += 1
+            out.append(entry)
+            last = entry
+            done += len(entry)
+            if done >= most:
+                break
+        at, index = at + read * bits, index + read
+        if read < n:
+            at += bits
+            if codes[read] == 257:
+                break
+            del table[258:]
+            index, last = 0, None
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """LZW as TIFF has it."""
-    out = bytearray()
-    held, bits, width = 256, 9, 9
-    table: dict[bytes, int] = {}
-    word, code, following = b"", -1, 258
-
-    def full(h: int, b: int) -> tuple[int, int]:
-        keep = b % 8
-        out.extend((h >> keep).to_bytes(b // 8, "big"))
-        return h & ((1 << keep) - 1), keep
-
-    for i in range(len(data)):
-        byte = data[i : i + 1]
-        longer = word + byte
-        known = byte[0] if not word else table.get(longer)
+    """LZW as TIFF has it. An entry is known by its code and the byte behind it."""
+    runs: list[list[int]] = []
+    codes: list[int] = []
+    table: dict[int, int] = {}
+    code, following = -1, 258
+    for byte in data:
+        if code < 0:
+            code = byte
+            continue
+        longer = code << 8 | byte
+        known = table.get(longer)
         if known is not None:
-            word, code = longer, known
+            code = known
             continue
-        held, bits = held << width | code, bits + width
+        codes.append(code)
         table[longer] = following
         following += 1
-        if following == 4095:
-            held, bits = held << width | 256, bits + width
-            table, following, width = {}, 258, 9
-        elif following in (512, 1024, 2048):
-            width += 1
-        if bits > 4096:
-            held, bits = full(held, bits)
-        word, code = byte, byte[0]
-    if word:
-        held, bits = held << width | code, bits + width
-        if following in (511, 1023, 2047):
-            width += 1
-    held, bits = held << width | 257, bits + width
-    pad = -bits % 8
-    full(held << pad, bits + pad)
-    return bytes(out)
+        if len(codes) == _CLEAR_AFTER:
+            runs.append([*codes, 256])
+            codes, table, following = [], {}, 258
+        code = byte
+    if code >= 0:
+        codes.append(code)
+    runs.append([*codes, 257])
+    pieces = [np.array([1, 0, 0, 0, 0, 0, 0, 0, 0], dtype=np.uint8)]  # the table is cleared first
+    for run in runs:
+        at = 0
+        while at < len(run):
+            bits, upto = _width(at)
+            part = np.array(run[at:upto], dtype=np.int32)
+            pieces.append(((part[:, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8).ravel())
+            at += len(part)
+    return np.packbits(np.concatenate(pieces)).tobytes()
 
 
 def _decompress(data: bytes, compression: int, need: int) -> bytes:
@@ -312,10 +324,9 @@ def _page(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     return Page(number, width, length, samples, bits, one(SAMPLE_FORMAT, 1), compression, predictor, tiled, raw)
 
 
-#: Layouts a payload's checksum chooses from: every compression with either predictor, in strips and in tiles.
-#: LZW has a third of the others' shares: its codes are read one by one in Python. Predictor 3 is for
-#: floating-point samples, so 8-bit payloads never have it.
-LAYOUTS = tuple((c, p, t) for c in (PACKBITS, PACKBITS, PACKBITS, LZW, DEFLATE, DEFLATE, DEFLATE) for p in (1, 2) for t in (False, True))
+#: Layouts a payload's checksum chooses from, in equal shares: compression, predictor, tiled.
+#: Predictor 3 is for floating-point samples, so 8-bit payloads never have it.
+LAYOUTS = tuple((c, p, t) for c in (PACKBITS, LZW, DEFLATE) for p in (1, 2) for t in (False, True))
 
 
 def encode(payload: bytes, layout: tuple[int, int, bool] | None = None) -> bytes:

@@ -186,6 +186,49 @@ def plain_likeness(a, b):
     return 1 - min(416, steps + heads) / 416
 
 
+def plain_lzw(data):
+    """Codes as they come, one by one: a clear code first, a table by strings, widths that grow one code early."""
+    table, word, codes = {bytes([i]): i for i in range(256)}, b"", []
+    sized = []
+
+    def put(code):
+        size = 258 + len(codes)
+        sized.append((code, 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12))
+        codes.append(code)
+
+    sized.append((256, 9))
+    for i in range(len(data)):
+        longer = word + data[i : i + 1]
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = 258 + len(codes) - 1
+        word = data[i : i + 1]
+        if 258 + len(codes) == 4095:
+            sized.append((256, 12))
+            table, codes = {bytes([i]): i for i in range(256)}, []
+    if word:
+        put(table[word])
+    put(257)
+    text = "".join(f"{code:0{n}b}" for code, n in sized)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_lzw_equals_a_plain_encoder():
+    rng = random.Random(8)
+    for size in (0, 1, 2, 253, 254, 255, 256, 700, 3000, 9000):
+        for letters in (1, 3, 256):
+            data = bytes(rng.randrange(letters) for _ in range(size))
+            stored = tiff.lzw_encode(data)
+            assert stored == plain_lzw(data) and tiff.lzw_decode(stored) == data and tiff.lzw_decode(stored + b"junk") == data
+            assert data.startswith(tiff.lzw_decode(stored, 10)[:10])
+    for wrong in (b"\xff\xff\xff", b"\x80\x7f\xff\xff"):
+        with pytest.raises(tiff.TiffError):
+            tiff.lzw_decode(wrong)
+    assert tiff.lzw_decode(b"") == b"" and len({layout[0] for layout in tiff.LAYOUTS}) * 4 == len(tiff.LAYOUTS)
+
+
 def test_op10_equals_counts_by_dictionary(spark, sf_dir, docs):
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect() if len(r["text"]) < 1500), reverse=True)
     some = docs.where(F.length("text") < 1500)
