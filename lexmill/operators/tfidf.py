@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import windows, words_of
 from lexmill.operators.metrics import class_weights, macro_scores
@@ -169,14 +170,17 @@ def linear_features(counts: dict[str, DataFrame], idf: dict[str, DataFrame]) ->
     return made[0].unionByName(made[1])
 
 
-_sparse = F.udf(lambda at, w: SparseVector(FEATURES, sorted(zip(at, w, strict=True))), VectorUDT())
+def sparse_vector(slots: Column, values: Column, size: int = FEATURES) -> Column:
+    """A sparse vector of sorted slots and their values, by expressions alone: the parser of JSON makes the type from its fields."""
+    fields = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), slots.alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(fields.alias("v"))), T.StructType([T.StructField("v", VectorUDT())]))["v"]
 
 
 def _vectors(features: DataFrame) -> DataFrame:
     """``id`` and a sparse vector; grams that hash alike are added."""
     slot = F.pmod(F.xxhash64("family", "gram"), F.lit(FEATURES)).cast("int")
     summed = features.groupBy("id", slot.alias("slot")).agg(F.sum("weight").alias("weight"))
-    return summed.groupBy("id").agg(F.collect_list(F.struct("slot", "weight")).alias("s")).select("id", _sparse("s.slot", "s.weight").alias("features"))
+    return summed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "weight"))).alias("s")).select("id", sparse_vector(F.col("s.slot"), F.col("s.weight")).alias("features"))
 
 
 def tuned_classifier(rows: DataFrame, id_col: str, text: str, label: str, part: str, strengths: tuple[float, ...] = STRENGTHS, iterations: int = 60) -> tuple[LogisticRegressionModel, float, DataFrame]:
@@ -191,8 +195,8 @@ def tuned_classifier(rows: DataFrame, id_col: str, text: str, label: str, part:
     ids = train.select(F.col(id_col).alias("id"))
     idf = {k: cut(idf_table(c.join(broadcast_if_small(ids), "id", "left_semi"), n), "idf") for k, c in counts.items()}
     made = rows.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label"), F.col(part).alias("part")).join(_vectors(linear_features(counts, idf)), "id", "left")
-    empty = F.udf(lambda: SparseVector(FEATURES, []), VectorUDT())
-    made = cut(made.withColumn("features", F.coalesce("features", empty())), "features")
+    none = sparse_vector(F.array().cast("array<int>"), F.array().cast("array<double>"))
+    made = cut(made.withColumn("features", F.coalesce("features", none)), "features")
     fitted = made.where("part = 'train'")
     weighted_rows = fitted.join(broadcast_if_small(class_weights(fitted).select("label", "weight")), "label").cache()
     best: tuple[LogisticRegressionModel, float, float] | None = None

@@ -178,6 +178,14 @@ def test_cosine_pairs_of_dense_and_single_blocks(spark, monkeypatch, rows):
         assert set(got) == {k for k, s in want.items() if s >= least} and all(math.isclose(s, want[k]) for k, s in got.items())
 
 
+def test_sparse_vectors_hold_what_they_are_given(spark):
+    from lexmill.operators.tfidf import sparse_vector
+
+    rows = frame(spark, [([1, 5], [0.1, -2.5e-300]), ([], []), ([7], [1 / 3])], "s array<int>, w array<double>")
+    got = [r["v"] for r in rows.select(sparse_vector(F.col("s"), F.col("w"), 8).alias("v")).collect()]
+    assert [(v.size, list(v.indices), list(v.values)) for v in got] == [(8, [1, 5], [0.1, -2.5e-300]), (8, [], []), (8, [7], [1 / 3])]
+
+
 def test_classifier_runs_after_components_in_one_session(spark, sf_dir):
     from lexmill.plans.catalogue import QUERIES
 
