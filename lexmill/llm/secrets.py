@@ -21,7 +21,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.spans import Span, of_kinds, ordered, scan, written
+from lexmill.llm.spans import Span, of_kinds, ordered, over_batches, scan, written
 from lexmill.sources.shared import bounded_batches
 
 BASE = ("assign", "access", "hex")
@@ -161,7 +161,8 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with secrets masked in its text and the length column set anew; all rows and columns stay.
 
     Rows meet no shuffle: the other columns travel beside the text. Null stays
-    null, equal texts stay equal, an empty table stays empty.
+    null, the empty text empty, equal texts stay equal, repeated rows stay, an empty
+    table stays empty. Other columns may have any names, with dots too.
     """
     import pyarrow as pa
 
@@ -175,7 +176,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     bounded_batches(docs.sparkSession)
-    out = docs.mapInArrow(run, docs.schema)
+    out = over_batches(docs, run)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
 
 

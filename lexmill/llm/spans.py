@@ -37,6 +37,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str, find: Callable[[str], list
     return rows.mapInArrow(run, f"doc_id long, spans array<{SPAN}>" + (", edited string" if edit else ""))
 
 
+def over_batches(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` after ``run``, which keeps its columns; by their places, as the names may hold dots."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 

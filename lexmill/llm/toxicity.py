@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm._labels import drawn, fold, labels_of, texts_of
 from lexmill.llm._words import hash_words, slices, text_slices
+from lexmill.llm.spans import over_batches
 from lexmill.sources.shared import bounded_batches
 
 HEADS = (7, 6, 4)
@@ -339,6 +340,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Rows are judged where they lie, without a shuffle; null and empty texts are judged
     like any other, and rows without a language, or a column of them, by ``CUT``.
+    Without labels of both classes all rows stay. Repeated rows fare alike, an empty
+    table stays empty, and other columns may have any names, with dots too.
     """
     if lang_col not in docs.columns:
         return drop_toxic(docs.withColumn(lang_col, F.lit(None).cast("string")), labels, id_col, text_col, lang_col).drop(lang_col)
@@ -356,7 +359,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                     part = part.filter(pa.array(use.score(hashed(part.column(text_at))) < cuts))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_batches(docs, run)
 
 
 def op6_conv_toxicity(spark, sf_dir: str) -> DataFrame:

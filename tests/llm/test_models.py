@@ -242,3 +242,39 @@ def test_pipeline_equals_its_stages(spark, sf_dir, docs):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {i: n for i, n in want.items() if n}
     assert all(x.columns == docs.columns for x in (b, c, d, e)) and f.count() == e.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_rows(spark, sf_dir, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, names that operators use and names with dots; and none of them."""
+    from pyspark.sql import functions as F
+
+    from lexmill.llm.near_dedup import near_duplicates
+    from lexmill.llm.secrets import find_in, mask
+
+    extra = ["_gone", "_doc", "_id", "row", "copies", "n", "text_at", "a.b", "c0", "c1", "rank", "place", "range", "follows"]
+    secret = spark.createDataFrame([(11, "password = hunter2hunter2 and more", "en", "a"), (12, "token: abcdefgh12345", None, None)], "doc_id long, text string, lang string, source string")
+    rows = odd.unionByName(secret, allowMissingColumns=True).withColumns({c: F.lit(7).cast("long") for c in extra})
+    rows = rows.limit(0) if empty else rows
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.cut(stage(spark, now, str(tmp_path)), "odd-stage")
+        seen.append((now, after))
+        now = after
+    (a, b), (_, c), (_, d), (_, e), (_, f) = seen
+    assert all(x.schema.names == a.columns for x in (b, c, d, e))
+    assert f.count() == e.count() == corpus_pipeline.run(spark, str(tmp_path)).count()
+    if empty:
+        assert not any(x.count() for x in (b, c, d, e, f))
+        return
+    listed = lambda x: sorted(((r["doc_id"], r["text"]) for r in x.collect()), key=repr)
+    assert listed(b) == listed(a)  # none is toxic
+    gone = {r["doc_id"] for r in near_duplicates(b).where("not kept").collect()}
+    assert gone == {2, 8, 10} and listed(c) == [r for r in listed(b) if r[0] not in gone]
+    assert listed(d) == sorted(((i, None if t is None else mask(t, find_in(t))) for i, t in listed(c)), key=repr)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["a.b"] == 7 for r in d.collect())
+    times = {r: listed(e).count(r) // listed(d).count(r) for r in set(listed(d))}
+    assert all(times[i, t] == 0 for i, t in times if not (t or "").split()) and max(times.values()) <= 2
+    assert {r["doc_id"] for r in f.collect()} == {r["doc_id"] for r in e.collect()} and f.where("not parity").count() == 0
