@@ -140,6 +140,34 @@ def test_mean_discrepancy_over_blocks_equals_all_pairs(spark, monkeypatch, bins)
     assert drift.mean_discrepancy(rows.where("side = 0"), "id", "side", "v", 10)[1] == 1.0
 
 
+@pytest.mark.parametrize("deviations", [6.0, 0.5])
+def test_permutations_have_fixed_sizes(spark, deviations):
+    """Also where the first band misses the bound of many draws."""
+    ids = spark.range(500).repartition(3)
+    for n in (2, 123, 499):
+        cuts = drift.permutation_cuts(ids, "id", n, 500, 40, 7, deviations)
+        made = drift.uniforms(np.arange(500), 40, 7)
+        assert ((made < cuts).sum(axis=0) == n).all()
+    drawn = (made < np.sort(made, axis=0)[123]).mean(axis=1)
+    assert abs(drawn.mean() - 123 / 500) < 1e-9 and 0 < drawn.min() and drawn.max() < 0.6  # no row keeps its side
+
+
+def test_permutation_p_value_equals_a_plain_one(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (30, 3)), rng.normal(0, 1, (24, 3))
+    z = np.concatenate((x, y))
+    rows = frame(spark, [(i, int(i >= 30), v.tolist()) for i, v in enumerate(z)], "id long, side int, v array<double>").repartition(4)
+    got, p = drift.mean_discrepancy(rows, "id", "side", "v", 200)
+    drawn = drift.uniforms(np.array([2 * i + (i >= 30) for i in range(54)]), 200, 5)
+    plain = []
+    for d in range(200):
+        order = np.argsort(drawn[:, d])
+        plain.append(plain_discrepancy(z[order[:30]], z[order[30:]]))
+    want = (1 + sum(v >= plain_discrepancy(x, y) for v in plain)) / 201
+    assert 0.01 < want < 0.9 and abs(p - want) <= 1.5 / 201  # single precision may turn one tie
+    assert math.isclose(got, plain_discrepancy(x, y), abs_tol=1e-6)
+
+
 def test_simulated_and_asymptotic_p_values():
     assert drift.chi_square_p([50, 50], [0.5, 0.5]) > 0.9 and drift.chi_square_p([90, 10], [0.5, 0.5]) < drift.alert_level() and drift.ks_p(0.5, 200, 200) < 1e-6
 
