@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import collapse, windows, words_of
 from lexmill.operators.sized import BROADCAST_BYTES, broadcast_if_small
-from lexmill.sources.shared import cut
+from lexmill.sources.shared import bounded_batches, cut
 
 #: Words of a passage, characters of a text that counts whole, row ids that a text may mention.
 WIDTH = 7
@@ -26,6 +25,8 @@ MOST_IDS = 4
 ROW_ID = "[a-z]+-[0-9]{3,}"
 #: Bytes of needles up to which they are an automaton (some 50 times as large), and of each piece of it.
 NEEDLE_BYTES, PIECE_BYTES = 4 << 20, 1 << 20
+#: Bytes of a text that a task matches at once.
+TEXT_BYTES = 1 << 20
 
 
 def _hashed_windows(rows: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -69,18 +70,33 @@ def scanned(corpus: DataFrame, bank: DataFrame, corpus_id: str, bank_text: str =
             machine.make_automaton()
             if len(machine):
                 machines.append(machine)
+        own, seen = None, [set() for _ in machines]
         for batch in batches:
-            found = np.zeros((batch.num_rows, 2), dtype=np.int64)
-            for i, text in enumerate(batch.column(1)):
-                if text.is_valid:
-                    padded = f" {text.as_py()} "
-                    for machine in machines:
-                        for kind, _ in {hit for _, hit in machine.iter(padded)}:
-                            found[i, kind] += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=[corpus_id, "n_texts", "n_windows"])
+            rows, counts = [], []
+            for i in range(batch.num_rows):
+                place, last = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                if place == 0:
+                    own, seen = batch.column(0).slice(i, 1), [set() for _ in machines]
+                # A piece starts and ends anywhere in its bytes: what is left of a character there is in the next piece too.
+                if (piece := batch.column(3)[i]).is_valid:
+                    text = (" " if place == 0 else "") + piece.as_py().decode("utf-8", "ignore") + (" " if last else "")
+                    for machine, hits in zip(machines, seen, strict=True):
+                        hits.update(hit for _, hit in machine.iter(text))
+                if last:
+                    rows.append(own)
+                    kinds = [kind for hits in seen for kind, _ in hits]
+                    counts.append((kinds.count(0), kinds.count(1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))], names=[corpus_id, "n_texts", "n_windows"])
 
     kind = corpus.select(corpus_id).schema[0].dataType.simpleString()
-    return corpus.select(corpus_id, collapse(F.col(corpus_text)).alias("norm")).mapInArrow(run, f"`{corpus_id}` {kind}, n_texts long, n_windows long")
+    # Long texts come in pieces that overlap by the longest needle, one after the other, so no task of Python holds one whole.
+    overlap = max((len(needle.encode()) for piece in pieces for needle, _ in piece), default=0)
+    norm = bounded_batches(corpus.sparkSession) and corpus.select(corpus_id, F.encode(collapse(F.col(corpus_text)), "utf-8").alias("norm"))
+    count = F.greatest(F.ceil(F.coalesce(F.octet_length("norm"), F.lit(0)) / TEXT_BYTES), F.lit(1)).cast("int")
+    placed = norm.select(corpus_id, "norm", count.alias("_n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("_at"))
+    piece = F.substring("norm", F.col("_at") * TEXT_BYTES + 1, F.lit(TEXT_BYTES + overlap))
+    return placed.select(corpus_id, "_at", (F.col("_at") == F.col("_n") - 1).alias("_last"), piece.alias("_piece")).mapInArrow(run, f"`{corpus_id}` {kind}, n_texts long, n_windows long")
 
 
 def known_ids(corpus: DataFrame, ids: DataFrame, corpus_id: str, id_col: str = "id", corpus_text: str = "text") -> DataFrame:
