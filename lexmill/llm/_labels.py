@@ -1,10 +1,22 @@
-"""Bounded samples of labelled texts for classifiers that are fitted on the driver."""
+"""Labels, and what tasks that train on rows of their own tell each other."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Numbers of a model that make up a row of changes.
+WIDE = 8
+_NUMBERS = [f"d{i}" for i in range(WIDE)]
+#: Model, place in it, weight, and weighted numbers: whole ones, as their sums are the same in any order.
+CHANGES = "k int, at int, n long, " + ", ".join(f"{d} long" for d in _NUMBERS)
+#: Changes of parameters are counted in this part of one.
+STEP = 1 << 20
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids count as the empty text."""
@@ -31,3 +43,44 @@ def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = F.min(F.struct("text", *others)).alias("_row")
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*")
+
+
+def changed(k: int, numbers: np.ndarray, weight: int) -> pa.RecordBatch:
+    """Rows of ``CHANGES`` of model ``k``, those that are zero left out; ``numbers`` are weighted already."""
+    rows = np.zeros(-(-len(numbers) // WIDE) * WIDE, dtype=np.int64)
+    rows[: len(numbers)] = numbers
+    rows = rows.reshape(-1, WIDE)
+    at = np.flatnonzero(rows.any(axis=1))
+    same = lambda x, kind: pa.array(np.full(len(at), x), kind)
+    return pa.RecordBatch.from_arrays([same(k, pa.int32()), pa.array(at, pa.int32()), same(weight, pa.int64()), *[pa.array(rows[at, i]) for i in range(WIDE)]], names=["k", "at", "n", *_NUMBERS])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ks, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        numbers = np.stack([c.to_numpy() for c in batch.columns[3:]], axis=1)
+        mean = (numbers / batch.column(2).to_numpy()[:, None]).astype(np.float32)
+        for k in np.unique(ks):
+            mine = ks == k
+            made = [pa.array([x], t) for x, t in ((int(k), pa.int32()), (at[mine].tobytes(), pa.binary()), (numbers[mine].tobytes(), pa.binary()), (mean[mine].tobytes(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(made, names=["k", "at", "total", "mean"])
+
+
+def _collected(changes: DataFrame, size: int, column: str, kind: type) -> dict[int, np.ndarray]:
+    added = changes.groupBy("k", "at").agg(*[F.sum(c).alias(c) for c in ("n", *_NUMBERS)])
+    rows = -(-size // WIDE)
+    out: dict[int, np.ndarray] = {}
+    for r in added.mapInArrow(_packed, "k int, at binary, total binary, mean binary").select("k", "at", column).collect():
+        mine = out.setdefault(r["k"], np.zeros((rows, WIDE), dtype=kind))
+        mine[np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r[column], dtype=kind).reshape(-1, WIDE)
+    return {k: x.ravel()[:size] for k, x in out.items()}
+
+
+def summed(changes: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """Sums of ``CHANGES`` by model, each of ``size`` numbers: no more than the models reach the driver."""
+    return _collected(changes, size, "total", np.int64)
+
+
+def mean_changes(changes: DataFrame, size: int) -> dict[int, np.ndarray]:
+    """Weighted means of ``CHANGES`` by model; each row of numbers is averaged over the tasks that changed it."""
+    return _collected(changes, size, "mean", np.float32)
